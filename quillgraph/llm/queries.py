@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing
+from . import language_id, license_scan, mixing, toxicity
 
 QUERIES = {
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_mixing": mixing.op4_mixing,
+    "op5_language_id": language_id.op5_language_id,
+    "op6_toxicity": toxicity.op6_toxicity,
 }
 
 ORACLES = {

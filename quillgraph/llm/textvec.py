@@ -88,40 +88,55 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE) -> Iterator[pa
 
 @dataclass
 class Words:
-    """start, end: byte positions; hash: of the lower-cased word; first: number of the first word of each text, and one more."""
+    """start, end: byte positions; hash: of the lower-cased word; first: number of the first word of each text, and one more.
+
+    affix: for each k > 0 that was asked for, hashes of the first k bytes, for k < 0 of the last; 0 for words not longer.
+    """
 
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    affix: dict[int, np.ndarray]
 
 
-def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of non-empty spans of bytes, A-Z as a-z."""
+def _spans(total: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    low = np.where(start > 0, total[start - 1], _U(0))
+    return mix((total[end - 1] - low) * down[start] + (end - start).astype(np.uint64) + _U(salt & 0xFFFFFFFF))
+
+
+def _totals(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up, down = powers(len(buf))
     total = VALUES[buf]
     total *= up
-    np.cumsum(total, out=total)
-    low = np.where(start > 0, total[start - 1], _U(0))
-    return mix((total[end - 1] - low) * down[start] + (end - start).astype(np.uint64))
+    return np.cumsum(total, out=total), down
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of non-empty spans of bytes, A-Z as a-z."""
+    return _spans(*_totals(buf), start, end)
 
 
-def words(buf: np.ndarray, off: np.ndarray, kind: np.ndarray) -> Words:
-    """Maximal runs of bytes of a class in each text of flat()."""
+def words(buf: np.ndarray, off: np.ndarray, kind: np.ndarray, affixes: tuple[int, ...] = ()) -> Words:
+    """Maximal runs of bytes of a class in each text of flat(). A very long text is hashed in pieces that end between words."""
     inside = kind[buf]
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     start, end = edge[::2], edge[1::2]
-    if len(buf) <= 2 * SLICE:
-        h = span_hashes(buf, start, end) if len(start) else np.zeros(0, dtype=np.uint64)
-    else:  # a very long text: hashed in pieces that end between words
-        parts, at = [], 0
-        while at < len(start):
-            to = max(at + 1, int(np.searchsorted(end, start[at] + SLICE)))
-            low = start[at]
-            parts.append(span_hashes(buf[low : end[to - 1]], start[at:to] - low, end[at:to] - low))
-            at = to
-        h = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
-    return Words(start, end, h, np.searchsorted(start, off))
+    h = np.zeros(len(start), dtype=np.uint64)
+    affix = {k: np.zeros(len(start), dtype=np.uint64) for k in affixes}
+    at = 0
+    while at < len(start):
+        low = start[at]
+        to = len(start) if len(buf) - low <= 2 * SLICE else max(at + 1, int(np.searchsorted(end, low + SLICE)))
+        total, down = _totals(buf[low : end[to - 1]])
+        s, e = start[at:to] - low, end[at:to] - low
+        h[at:to] = _spans(total, down, s, e)
+        for k, out in affix.items():
+            longer = np.flatnonzero(e - s > abs(k))
+            x = s[longer] if k > 0 else e[longer] + k
+            out[at + longer] = _spans(total, down, x, x + abs(k), 7919 * k)
+        at = to
+    return Words(start, end, h, np.searchsorted(start, off), affix)
 
 
 def word_hash(word: str | bytes) -> int:
