@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import language_id, license_scan, mixing, toxicity
+from . import decontaminate, language_id, license_scan, mixing, toxicity
 
 QUERIES = {
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_mixing": mixing.op4_mixing,
     "op5_language_id": language_id.op5_language_id,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op8_decontamination": decontaminate.op8_decontamination,
 }
 
 ORACLES = {
