@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, license_scan, mixing, toxicity
+from . import decontaminate, html_extract, language_id, license_scan, line_dedup, mixing, toxicity, warc_zip
 
 QUERIES = {
+    "op1_warc": warc_zip.op1_warc,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_mixing": mixing.op4_mixing,
     "op5_language_id": language_id.op5_language_id,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_decontamination": decontaminate.op8_decontamination,
+    "op10_html_extract": html_extract.op10_html_extract,
 }
 
 ORACLES = {
+    "op1_warc": warc_zip.ORACLE,
     "op4_mixing": mixing.ORACLE,
 }
