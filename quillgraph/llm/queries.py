@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language_id, license_scan, line_dedup, mixing, toxicity, warc_zip
+from . import decontaminate, html_extract, jaccard_join, language_id, license_scan, line_dedup, mixing, toxicity, warc_zip
 
 QUERIES = {
     "op1_warc": warc_zip.op1_warc,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_language_id": language_id.op5_language_id,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op10_html_extract": html_extract.op10_html_extract,
 }
