@@ -217,21 +217,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
+def _leaks(held):
+    @F.arrow_udf("boolean")
+    def leaks(texts: pa.Array) -> pa.Array:
+        flags, n = np.zeros(len(texts), dtype=bool), 0
+        for part in textvec.slices(pa.RecordBatch.from_arrays([texts], names=["t"]), 0):
+            flags[[n + row[0] for row in find(held.value, part.column(0))]] = True
+            n += part.num_rows
+        return pa.array(flags)
+
+    return leaks
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents without a verified passage, with all their columns."""
     out = docs
     for index in indexes(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.arrow_udf("boolean")
-        def leaks(texts: pa.Array, held=held) -> pa.Array:
-            flags, n = np.zeros(len(texts), dtype=bool), 0
-            for part in textvec.slices(pa.RecordBatch.from_arrays([texts], names=["t"]), 0):
-                flags[[n + row[0] for row in find(held.value, part.column(0))]] = True
-                n += part.num_rows
-            return pa.array(flags)
-
-        out = out.filter(~leaks(F.col(text_col).cast("string")))
+        out = out.filter(~_leaks(docs.sparkSession.sparkContext.broadcast(index))(F.col(text_col).cast("string")))
     return out
 
 

@@ -108,7 +108,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def profiles(docs: DataFrame, rule: Rule) -> DataFrame:
-    """kind 0: a row for each document (did, n, c, k0..k2); kind 1: parts of the table of shingle counts."""
+    """docs: (did, text, th). kind 0: a row for each document (did, th, n, c, k0..k2); kind 1: parts of the table of shingle counts."""
 
     def run(batches):
         counts = np.zeros(COUNTERS, dtype=np.int32)
@@ -119,14 +119,14 @@ def profiles(docs: DataFrame, rule: Rule) -> DataFrame:
                     counts += np.bincount((v >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
                 n, blank = part.num_rows, pa.nulls(part.num_rows, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(n, np.int32)), part.column(0), pa.array(np.diff(first)), _signed(_classes(first, v)), *map(_signed, _keys(first, v)), blank, pa.nulls(n, pa.binary())],
-                    names=["kind", "did", "n", "c", "k0", "k1", "k2", "block", "counts"],
+                    [pa.array(np.zeros(n, np.int32)), part.column(0), part.column(2), pa.array(np.diff(first)), _signed(_classes(first, v)), *map(_signed, _keys(first, v)), blank, pa.nulls(n, pa.binary())],
+                    names=["kind", "did", "th", "n", "c", "k0", "k1", "k2", "block", "counts"],
                 )
-        nulls = [pa.nulls(BLOCKS, pa.int64())] * 6
+        nulls = [pa.nulls(BLOCKS, pa.int64())] * 7
         parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(BLOCKS, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(BLOCKS, np.int32)), *nulls, pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(parts, pa.binary())], names=["kind", "did", "n", "c", "k0", "k1", "k2", "block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(BLOCKS, np.int32)), *nulls, pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(parts, pa.binary())], names=["kind", "did", "th", "n", "c", "k0", "k1", "k2", "block", "counts"])
 
-    return docs.mapInArrow(run, "kind int, did bigint, n bigint, c bigint, k0 bigint, k1 bigint, k2 bigint, block int, counts binary")
+    return docs.mapInArrow(run, "kind int, did bigint, th bigint, n bigint, c bigint, k0 bigint, k1 bigint, k2 bigint, block int, counts binary")
 
 
 def shingle_ranks(rows: DataFrame) -> np.ndarray:
@@ -310,10 +310,14 @@ def _dealt(postings: DataFrame) -> DataFrame:
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = CONTRACT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id) of every row; class_id: documents with equal sets, null for empty ones."""
-    src = docs.select(F.col(id_col).cast("long").alias("did"), F.col(text_col).cast("string").alias("text"))
+    """(did, th, n, c, root, component_id) of every row.
+
+    th: xxhash64 of the text; n: shingles; c: class of documents with equal sets, root: its component, both null for
+    empty sets; component_id: the component's smallest id.
+    """
+    src = docs.select(F.col(id_col).cast("long").alias("did"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("th"))
     rows = shared.settle(profiles(src, rule), "set-profiles")
-    profile = rows.filter("kind = 0").select("did", "n", F.when(F.col("c") != 0, F.col("c")).alias("c"), "k0", "k1", "k2")
+    profile = rows.filter("kind = 0").select("did", "th", "n", F.when(F.col("c") != 0, F.col("c")).alias("c"), "k0", "k1", "k2")
     classes = shared.settle(profile.filter("c is not null").groupBy("c").agg(F.min("did").alias("mdoc"), F.min("k0").alias("k0"), F.min("k1").alias("k1"), F.min("k2").alias("k2")), "set-classes")
 
     # Classes that agree in a key are compared with the first of their group.
@@ -346,10 +350,33 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     named = _with_roots(classes.select("c", "mdoc"), roots)
     least = named.groupBy("root").agg(F.min("mdoc").alias("component_id"))
-    named = shared.settle(named.join(least, "root").select("c", "component_id"), "components")
-    out = profile.join(named, "c", "left")
-    return out.select(F.col("did").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("did")).otherwise(F.col("component_id")).alias("component_id"), F.col("c").alias("class_id"))
+    named = shared.settle(named.join(least, "root").select("c", "root", "component_id"), "components")
+    return profile.join(named, "c", "left").select("did", "th", "n", "c", "root", F.when(F.col("c").isNull(), F.col("did")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = CORPUS) -> DataFrame:
+    """The documents, all columns, without those that are linked, over any number of links, with one of a smaller id.
+
+    Of rows that repeat an id within a component one stays; empty texts all stay.
+    """
+    comps = shared.settle(similarity_components(docs, id_col, text_col, rule), "document-components").filter("root is not null")
+    key, th = shared.spare(docs, "k_id", "k_text")
+    first = F.col("did").eqNullSafe(F.col("component_id"))
+    marked = docs.withColumn(th, F.xxhash64(text_col))
+
+    def on(other: DataFrame):
+        return marked[id_col].cast("long").eqNullSafe(other["did_"]) & (marked[th] == other["th_"])
+
+    gone = comps.filter(~first).select(F.col("did").alias("did_"), F.col("th").alias("th_")).distinct()
+    again = comps.filter(first).groupBy("did", "root").count().filter("count > 1").select("did", "root")
+    if not again.isEmpty():
+        rows = comps.join(again, comps["did"].eqNullSafe(again["did"]) & (comps["root"] == again["root"])).select(comps["did"].alias("did_"), F.col("th").alias("th_"), again["root"].alias(key)).distinct()
+        kept = marked.join(rows, on(rows)).dropDuplicates([id_col, key]).select(*docs.columns)
+        held = gone.unionByName(rows.select("did_", "th_")).distinct()
+        return marked.join(held, on(held), "left_anti").select(*docs.columns).unionByName(kept)
+    return marked.join(gone, on(gone), "left_anti").select(*docs.columns)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_components(shared.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = similarity_components(shared.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("did").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("c").alias("class_id"))
