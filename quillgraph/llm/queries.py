@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, jaccard_join, language_id, license_scan, line_dedup, mixing, toxicity, warc_zip
+from . import decontaminate, html_extract, jaccard_join, language_id, license_scan, line_dedup, mixing, nn_descent, toxicity, warc_zip
 
 QUERIES = {
     "op1_warc": warc_zip.op1_warc,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_decontamination": decontaminate.op8_decontamination,
+    "op9_nn_descent": nn_descent.op9_nn_descent,
     "op10_html_extract": html_extract.op10_html_extract,
 }
 
