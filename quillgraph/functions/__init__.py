@@ -1 +1 @@
-"""Part of the quillgraph engine; see README.md."""
+"""Column functions: text clean-up, segmentation, extraction and keys, all from built-in expressions but for NFC."""

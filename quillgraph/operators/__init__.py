@@ -1 +1 @@
-"""Part of the quillgraph engine; see README.md."""
+"""Distributed operators over text, graphs, rules and labels."""

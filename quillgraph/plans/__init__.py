@@ -1 +1 @@
-"""Part of the quillgraph engine; see README.md."""
+"""Control plane: rules as query plans, their compilation to joins, and exact analysis of small graphs on the driver."""

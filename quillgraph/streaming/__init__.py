@@ -1 +1 @@
-"""Part of the quillgraph engine; see README.md."""
+"""Structured Streaming: notices are flagged as they arrive."""
