@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import align, parse, realize, rewrite, sampling, stats
+from .operators import local, parse, realize, rewrite, sampling, stats
 from .operators import ruleset as RS
 from .operators.notices import SQL, notices, table
 from .plans import certify
@@ -329,17 +329,23 @@ _TOTALS = "sum(f_pc)::bigint as fired_pc, sum(f_wd)::bigint as fired_wd, sum(f_s
 
 
 def _normal(spark, sf):
-    n, nodes, edges = _graph(spark, sf)
-    return n, *rewrite.normalise_strata(list(LIBRARY), rewrite.kept(nodes, "nodes"), rewrite.kept(edges, "edges"), n)
+    """The notices in normal form, rewritten within their rows."""
+    return local.normalise(list(LIBRARY), local.graph_rows(_n(spark, sf)), every=True)
+
+
+def _by(rule: str):
+    return lambda t: t["rule"] == rule
+
+
+def _fired(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.explode("trace").alias("t")).select("doc_id", "t.rule")
 
 
 @query("repair_summary", f"select jurisdiction, {_TOTALS} from fired group by jurisdiction", True)
 def _(spark, sf):
-    n, _, _, fired = _normal(spark, sf)
     names = {"r_PC": "fired_pc", "r_WD": "fired_wd", "r_SALE": "fired_sale", "r_RET": "fired_ret", "r_NOTIFY": "fired_notify"}
-    d = fired.groupBy("doc_id").agg(*[F.sum((F.col("rule") == k).cast("long")).alias(v) for k, v in names.items()])
-    speaking = parse.parsed(n).filter(F.size("sentences") > 0).select("doc_id", "jurisdiction")
-    return speaking.join(d, "doc_id", "left").groupBy("jurisdiction").agg(*[F.sum(F.coalesce(F.col(v), F.lit(0))).cast("long").alias(v) for v in names.values()])
+    d = _normal(spark, sf).filter(F.size("sentences") > 0)
+    return d.groupBy("jurisdiction").agg(*[F.sum(F.size(F.filter("trace", _by(k)))).cast("long").alias(v) for k, v in names.items()])
 
 
 @query("repair_trace_counts", "select rule, sum(n)::bigint as n, count(*) as n_docs from (select doc_id, unnest(['r_PC', 'r_WD', 'r_SALE', 'r_RET', 'r_NOTIFY']) as rule, unnest([f_pc, f_wd, f_sale, f_ret, f_notify]) as n from fired) where n > 0 group by rule", True)
@@ -356,14 +362,15 @@ select edge_type, tgt_type, n from (
  union all select 'sellsTo', 'ThirdParty', sum(sale - f_sale)::bigint from fired union all select 'hasDuration', 'DurationIndefinite', sum(ind - f_ret)::bigint from fired
  union all select 'hasDuration', 'DurationBounded', sum(bnd + f_ret)::bigint from fired union all select 'notifies', 'Notification', sum(f_notify)::bigint from fired) where n > 0""", True)
 def _(spark, sf):
-    _, nodes, edges, _ = _normal(spark, sf)
+    """By the joins for graphs of any size, a rank at a time."""
+    n, nodes, edges = _graph(spark, sf)
+    nodes, edges, _ = rewrite.normalise_strata(list(LIBRARY), rewrite.kept(nodes, "nodes"), rewrite.kept(edges, "edges"), n)
     return parse.typed_edges(nodes, edges).groupBy("edge_type", "tgt_type").agg(F.count("*").alias("n"))
 
 
 @query("repair_outcome_metrics", "select count(*) as n_docs, sum((f_pc + f_wd + f_sale + f_ret + f_notify > 0)::int)::bigint as repaired, sum(f_pc + f_wd + f_sale + f_ret + f_notify)::bigint as steps, max(f_pc + f_wd + f_sale + f_ret + f_notify)::bigint as deepest, median(f_pc + f_wd + f_sale + f_ret + f_notify)::double as median_depth from fired", True)
 def _(spark, sf):
-    n, _, _, fired = _normal(spark, sf)
-    per = n.select("doc_id").join(fired.groupBy("doc_id").agg(F.count("*").alias("k")), "doc_id", "left").select(F.coalesce("k", F.lit(0)).alias("k"))
+    per = _normal(spark, sf).select(F.size("trace").cast("long").alias("k"))
     return per.agg(F.count("*").alias("n_docs"), F.sum((F.col("k") > 0).cast("long")).alias("repaired"), F.sum("k").alias("steps"), F.max("k").alias("deepest"), F.median("k").alias("median_depth"))
 
 
@@ -382,9 +389,8 @@ done as (select doc_id, concat_ws(' ', b, x) as output from fired left join body
 
 @query("realize_text", f"{_REALIZED} select doc_id, md5(output) as digest, length(output)::bigint as n_chars from done", True)
 def _(spark, sf):
-    n, nodes, edges = _graph(spark, sf)
-    _, _, trace = rewrite.normalise_trace(list(LIBRARY), rewrite.kept(nodes, "nodes"), rewrite.kept(edges, "edges"), n)
-    out = realize.realize(list(LIBRARY), parse.parsed(n), trace)
+    rows = local.normalise(list(LIBRARY), local.graph_rows(_n(spark, sf)))
+    out = realize.realize(list(LIBRARY), rows.select("doc_id", "sentences"), local.trace_table(rows, list(LIBRARY)))
     return out.select("doc_id", F.md5("output").alias("digest"), F.length("output").cast("long").alias("n_chars"))
 
 
@@ -446,7 +452,7 @@ def _(spark, sf):
     return RS.vacuous(RS.tables(spark))
 
 
-@query("rule_dependency", "select * from (values ('r_RET', 'r_NOTIFY', 'creates'), ('r_FLIP1', 'r_FLIP2', 'creates'), ('r_FLIP2', 'r_FLIP1', 'creates'), ('r_RET', 'r_RET_BAD', 'releases'), ('r_RET_BAD', 'r_RET', 'releases')) t(rule, enables, mechanism)")
+@query("rule_dependency", "select * from (values ('r_RET', 'r_NOTIFY', 'creates'), ('r_FLIP1', 'r_FLIP2', 'creates'), ('r_FLIP2', 'r_FLIP1', 'creates'), ('r_RET', 'r_RET_BAD', 'releases'), ('r_RET_BAD', 'r_RET', 'releases'), ('r_RET_BAD', 'r_RET', 'frees')) t(rule, enables, mechanism)")
 def _(spark, sf):
     return RS.dependencies(spark, LIBRARY + PROBES)
 
@@ -497,7 +503,7 @@ def _(spark, sf):
 
 @query("firing_census", "select r as rule, coalesce(n, 0)::bigint as n, n is null as never from (select unnest(['r_PC', 'r_WD', 'r_SALE', 'r_RET', 'r_NOTIFY', 'r_BAD', 'r_RET_BAD', 'r_FLIP1', 'r_FLIP2']) as r) left join (select rule, sum(n)::bigint as n from (select unnest(['r_PC', 'r_WD', 'r_SALE', 'r_RET', 'r_NOTIFY']) as rule, unnest([f_pc, f_wd, f_sale, f_ret, f_notify]) as n from fired) where n > 0 group by rule) x on x.rule = r", True)
 def _(spark, sf):
-    _, _, _, fired = _normal(spark, sf)
+    fired = _fired(_normal(spark, sf))
     names = spark.createDataFrame([(r.name,) for r in LIBRARY + PROBES], "rule string")
     n = fired.groupBy("rule").agg(F.count("*").alias("n"))
     return names.join(n, "rule", "left").select("rule", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("never"))
@@ -654,8 +660,7 @@ def _(spark, sf):
 
 @query("counterfactual_subset", "select sum((f_pc + f_wd + f_sale + f_ret + f_notify > 0 and f_pc = 0 and f_sale = 0)::int)::bigint as only_removed, sum((f_pc + f_wd + f_sale + f_ret + f_notify > 0)::int)::bigint as fired from fired", True)
 def _(spark, sf):
-    _, _, _, fired = _normal(spark, sf)
-    sets = fired.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
+    sets = _fired(_normal(spark, sf)).groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
     removed = F.array(*map(F.lit, ("r_WD", "r_RET", "r_NOTIFY")))
     return sets.agg(F.sum((F.size(F.array_except("rules", removed)) == 0).cast("long")).alias("only_removed"), F.count("*").alias("fired"))
 

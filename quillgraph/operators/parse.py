@@ -60,8 +60,8 @@ def _some(*pairs) -> Column:
     return F.filter(F.array(*[F.when(on, x) for on, x in pairs]), lambda x: x.isNotNull())
 
 
-def parse_nodes(p: DataFrame, id_col: str = "doc_id", permits: bool = False) -> DataFrame:
-    """(id, node_id, node_type, node_ord, sent_idx) in the order in which a reader meets them."""
+def node_array(permits: bool = False) -> Column:
+    """A parsed document's nodes (node_id, node_type, node_ord, sent_idx) in the order in which a reader meets them."""
 
     def of(m):
         at = (F.col("backbone") == m["i"]) & F.col("backbone").isNotNull()
@@ -81,11 +81,11 @@ def parse_nodes(p: DataFrame, id_col: str = "doc_id", permits: bool = False) ->
             found.append((m["operates"], _node("oq", "Operator", m, 7)))
         return _some(*found)
 
-    return p.select(id_col, F.explode(F.flatten(F.transform("marks", of))).alias("n")).select(id_col, "n.*")
+    return F.flatten(F.transform("marks", of))
 
 
-def parse_edges(p: DataFrame, id_col: str = "doc_id", permits: bool = False) -> DataFrame:
-    """(id, edge_id, src, tgt, edge_type, edge_ord, sent_idx)."""
+def edge_array(permits: bool = False) -> Column:
+    """Its edges (edge_id, src, tgt, edge_type, edge_ord, sent_idx)."""
     core = F.col("backbone").cast("string")
 
     def of(m):
@@ -108,7 +108,15 @@ def parse_edges(p: DataFrame, id_col: str = "doc_id", permits: bool = False) ->
             found.append((m["operates"], _edge("ef", "permits", name("oq"), name("dp", core), m, 5)))
         return _some(*found)
 
-    return p.select(id_col, F.explode(F.flatten(F.transform("marks", of))).alias("e")).select(id_col, "e.*")
+    return F.flatten(F.transform("marks", of))
+
+
+def parse_nodes(p: DataFrame, id_col: str = "doc_id", permits: bool = False) -> DataFrame:
+    return p.select(id_col, F.explode(node_array(permits)).alias("n")).select(id_col, "n.*")
+
+
+def parse_edges(p: DataFrame, id_col: str = "doc_id", permits: bool = False) -> DataFrame:
+    return p.select(id_col, F.explode(edge_array(permits)).alias("e")).select(id_col, "e.*")
 
 
 def graph_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", permits: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -11,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.matcher import one_step
 from ..plans.rules import Rule
-from . import parse
-from .rewrite import kept, normalise_trace
+from . import local, parse
+from .rewrite import kept
 
 
 def sentence_signatures(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -60,18 +59,15 @@ def realize(rules: list[Rule], docs: DataFrame, trace: DataFrame, key: str = "do
 
 def round_trip(rules: list[Rule], texts: DataFrame, contexts: DataFrame, key: str = "doc_id", text_col: str = "output") -> DataFrame:
     """(key, compliant): whether no rule matches the text when it is parsed again."""
-    nodes, edges = parse.graph_of(texts, key, text_col)
-    left = one_step(rules, nodes, edges, contexts, key).select(key).distinct().withColumn("hit", F.lit(True))
-    return texts.select(key).join(left, key, "left").select(key, F.col("hit").isNull().alias("compliant"))
+    rows = local.graph_rows(texts.select(key, text_col).join(contexts, key), key, text_col)
+    return rows.select(key, (F.size(local.all_steps(rules)) == 0).alias("compliant"))
 
 
 def process_documents(rules: list[Rule], docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Parse, detect, normalise, realize, check: (key, flagged, fired, output, compliant, scored_text). docs: with age and jurisdiction."""
-    p = parse.parsed(docs, key, text_col)
-    nodes, edges = kept(parse.parse_nodes(p, key), "nodes"), kept(parse.parse_edges(p, key), "edges")
-    contexts = docs.select(key, "age", "jurisdiction")
-    _, _, trace = normalise_trace(rules, nodes, edges, contexts, key)
-    out = kept(realize(rules, p, trace, key, text_col), "realized")
+    rows = local.normalise(rules, local.graph_rows(docs, key, text_col))
+    trace, contexts = local.trace_table(rows, rules, key), docs.select(key, "age", "jurisdiction")
+    out = kept(realize(rules, rows.select(key, "sentences"), trace, key, text_col), "realized")
     fired = trace.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "rule"))), lambda x: x["rule"]), ",").alias("fired"))
     check = round_trip(rules, out, contexts, key)
     d = docs.select(key, text_col).join(out, key).join(check, key).join(fired, key, "left")
