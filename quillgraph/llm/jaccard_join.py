@@ -7,11 +7,14 @@ shingle in their prefixes under that order, so the index holds prefixes only.
 *Index-level skipping.* An index list is sorted by set size in blocks. For each entry only blocks within its size bound are
 met, and a block is skipped as a whole when no position in it leaves enough shingles to reach the threshold.
 
-*Answer-level skipping.* Classes whose least hashes agree are compared with one of their group first and linked where they
-are similar: the answers of such a set are derived from its neighbour's. In every index list, classes of one component are
-one entry; only pairs of entries are compared. Then, where entries of several classes are still in different components,
-their remaining pairs are compared one by one, so that nothing is lost. Pairs within a group of near copies are never
-enumerated.
+*Answer-level skipping.* In each index list the entry in which the shingle comes first has least of its own before it: in a
+group of copies that is the text the others were made from. The first round compares every entry with that one only, and
+the answers of a set that is linked with it are derived from its answers: both are in one component. In the second round
+lists of one component are passed over, and of the others only pairs of different components are compared, within the
+bounds, so that nothing is lost. Pairs within a group of linked copies are never enumerated.
+
+*Verification.* A bitmap of about four bits a shingle travels first: bits that only one of two sets has bound their
+intersection from above. The sets themselves travel only for pairs that this bound leaves.
 
 Defined results. Null, empty and blank texts: an empty set, linked with nothing, its own component. Fewer words
 than a shingle: the whole sequence as one shingle. Repeated ids: each row is a document, and its component is named by the smallest
@@ -37,7 +40,6 @@ from .components import connected_components
 
 OF = 100
 COUNTERS, BLOCKS = 1 << 20, 16
-KEYS = 3
 STEP = 64
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _ODD = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x6C8E9CF570932BD5)]
@@ -91,24 +93,12 @@ def _classes(first: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.where(size > 0, textvec.mix(total[first[1:]] - total[first[:-1]] + size.astype(np.uint64) * _A) | np.uint64(1), np.uint64(0))
 
 
-def _keys(first: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
-    """KEYS hashes of three least hashes each: sets that are much alike tend to agree in them. 0 for empty sets."""
-    some = np.flatnonzero(np.diff(first))
-    out = []
-    for k in range(KEYS):
-        key = np.zeros(len(first) - 1, dtype=np.uint64)
-        if len(some):
-            key[some] = textvec.mix(sum(np.minimum.reduceat(v * _ODD[3 * k + j], first[some]) * (_A, _B, _C)[j] for j in range(3))) | np.uint64(1)
-        out.append(key)
-    return out
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
 def profiles(docs: DataFrame, rule: Rule) -> DataFrame:
-    """docs: (did, text, th). kind 0: a row for each document (did, th, n, c, k0..k2); kind 1: parts of the table of shingle counts."""
+    """docs: (did, text, th). kind 0: a row for each document (did, th, n, c); kind 1: parts of the table of shingle counts."""
 
     def run(batches):
         counts = np.zeros(COUNTERS, dtype=np.int32)
@@ -119,14 +109,14 @@ def profiles(docs: DataFrame, rule: Rule) -> DataFrame:
                     counts += np.bincount((v >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
                 n, blank = part.num_rows, pa.nulls(part.num_rows, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(n, np.int32)), part.column(0), part.column(2), pa.array(np.diff(first)), _signed(_classes(first, v)), *map(_signed, _keys(first, v)), blank, pa.nulls(n, pa.binary())],
-                    names=["kind", "did", "th", "n", "c", "k0", "k1", "k2", "block", "counts"],
+                    [pa.array(np.zeros(n, np.int32)), part.column(0), part.column(2), pa.array(np.diff(first)), _signed(_classes(first, v)), blank, pa.nulls(n, pa.binary())],
+                    names=["kind", "did", "th", "n", "c", "block", "counts"],
                 )
-        nulls = [pa.nulls(BLOCKS, pa.int64())] * 7
+        nulls = [pa.nulls(BLOCKS, pa.int64())] * 4
         parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(BLOCKS, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(BLOCKS, np.int32)), *nulls, pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(parts, pa.binary())], names=["kind", "did", "th", "n", "c", "k0", "k1", "k2", "block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(BLOCKS, np.int32)), *nulls, pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(parts, pa.binary())], names=["kind", "did", "th", "n", "c", "block", "counts"])
 
-    return docs.mapInArrow(run, "kind int, did bigint, th bigint, n bigint, c bigint, k0 bigint, k1 bigint, k2 bigint, block int, counts binary")
+    return docs.mapInArrow(run, "kind int, did bigint, th bigint, n bigint, c bigint, block int, counts binary")
 
 
 def shingle_ranks(rows: DataFrame) -> np.ndarray:
@@ -165,8 +155,25 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, rule: Rule) -> DataFrame:
     return docs.mapInArrow(run, "did bigint, c bigint, n bigint, tokens array<bigint>")
 
 
-def sets_of(docs: DataFrame, needed: DataFrame, rule: Rule) -> DataFrame:
-    """needed: (c, mdoc) distinct; (c, members) with each class's set, taken from the document that carries it."""
+def bitmap(v: np.ndarray) -> bytes:
+    """A power of two of bits, between four and eight a shingle."""
+    bits = 8 << max(4, int(np.ceil(np.log2(max(1, len(v) / 2)))))
+    held = np.zeros(bits, dtype=bool)
+    held[((v * _ODD[8]) >> np.uint64(7)) & np.uint64(bits - 1)] = True
+    return np.packbits(held).tobytes()
+
+
+def most_common(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> int:
+    """An upper bound of the intersection of two sets of these bitmaps and sizes."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return min(nx - int(np.bitwise_count(x & ~y).sum()), ny - int(np.bitwise_count(y & ~x).sum()))
+
+
+def sets_of(docs: DataFrame, needed: DataFrame, rule: Rule, bitmaps: bool) -> DataFrame:
+    """needed: (c, mdoc) distinct; (c, n, members) with each class's set or bitmap, taken from the document that carries it."""
     held = docs.sparkSession.sparkContext.broadcast(shared.fingerprint_filter(needed, "mdoc"))
 
     def run(batches):
@@ -175,34 +182,44 @@ def sets_of(docs: DataFrame, needed: DataFrame, rule: Rule) -> DataFrame:
             batch = batch.take(pa.array(np.flatnonzero(shared.may_hold(held.value, ids))))
             for part in textvec.slices(batch, 1):
                 first, v = shingle_sets(part.column(1), rule)
-                yield pa.RecordBatch.from_arrays([part.column(0), _signed(_classes(first, v)), pa.array([v[first[i] : first[i + 1]].tobytes() for i in range(part.num_rows)], pa.binary())], names=["did", "c", "members"])
+                sets = [v[first[i] : first[i + 1]] for i in range(part.num_rows)]
+                data = [bitmap(x) if bitmaps else x.tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), _signed(_classes(first, v)), pa.array(np.diff(first)), pa.array(data, pa.binary())], names=["did", "c", "n", "members"])
 
-    rows = docs.mapInArrow(run, "did bigint, c bigint, members binary")
-    found = rows.join(needed.select("c", F.col("mdoc").alias("did_")), (rows["c"] == needed["c"]) & rows["did"].eqNullSafe(F.col("did_"))).select(rows["c"], "members")
+    rows = docs.mapInArrow(run, "did bigint, c bigint, n bigint, members binary")
+    found = rows.join(needed.select(F.col("c").alias("c_"), F.col("mdoc").alias("did_")), (F.col("c") == F.col("c_")) & F.col("did").eqNullSafe(F.col("did_"))).select("c", "n", "members")
     return shared.settle(found.dropDuplicates(["c"]), "shingle-sets")
 
 
-def linked_pairs(docs: DataFrame, pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """Those of the candidate pairs (a, b) of classes that are linked; all shingles are compared."""
+def _compared(docs: DataFrame, pairs: DataFrame, classes: DataFrame, rule: Rule, bitmaps: bool) -> DataFrame:
+    """Those of the pairs (a, b) that are linked, or with bitmaps may be."""
     ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    sets = sets_of(docs, shared.settle(classes.join(ends, "c").select("c", "mdoc"), "needed"), rule)
-    both = pairs.join(sets.select(F.col("c").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
+    sets = sets_of(docs, shared.settle(classes.join(ends, "c").select("c", "mdoc"), "needed"), rule, bitmaps)
+    one, two = (sets.select(F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("members").alias(f"s{k}")) for k in "ab")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb")
 
     def compare(batches):
         for batch in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                common = int((y[at] == x).sum())
-                if OF * common >= rule.similar * (len(x) + len(y) - common):
+            for i, (nx, ny, x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True)):
+                x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint8 if bitmaps else np.uint64) for s in (x, y))
+                if bitmaps:
+                    common = most_common(x, y, nx, ny)
+                else:
+                    x, y = (y, x) if len(x) > len(y) else (x, y)
+                    at = np.searchsorted(y, x)
+                    at[at == len(y)] = 0
+                    common = int((y[at] == x).sum())
+                if OF * common >= rule.similar * (nx + ny - common):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int32())) for k in (0, 1)], names=["a", "b"])
 
-    return shared.settle(both.mapInArrow(compare, "a bigint, b bigint"), "links")
+    return shared.settle(both.mapInArrow(compare, "a bigint, b bigint"), "compared")
+
+
+def linked_pairs(docs: DataFrame, pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """Those of the candidate pairs (a, b) of classes that are linked."""
+    return _compared(docs, _compared(docs, pairs, classes, rule, True), classes, rule, False)
 
 
 def candidate_pairs(token: np.ndarray, c: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray, rule: Rule) -> np.ndarray:
@@ -222,7 +239,7 @@ def candidate_pairs(token: np.ndarray, c: np.ndarray, root: np.ndarray, n: np.nd
     at = 0
     upto = np.cumsum(count)
     while at < len(i_all):
-        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 21), side="right")))
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 18), side="right")))
         i = i_all[at:to]
         low, high = (i + 1) // STEP, (end[i] - 1) // STEP
         ib, b = np.repeat(i, high - low + 1), _ranges(low, high - low + 1)
@@ -271,17 +288,21 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
 
 
 def first_round(postings: DataFrame, rule: Rule) -> DataFrame:
-    """kind 0: candidate pairs (a, b) with one class for each component in a list; kind 1: postings (token, c, size) of lists that need the second round."""
+    """kind 0: pairs (a, b) of a list's foremost entry and each other one; kind 1: the postings (token, c, size) of lists of several classes."""
 
     def take(token, c, root, size):
-        some = _first_of(token, root)
+        n, pos = size >> 32, size & 0xFFFFFFFF
+        order = np.lexsort((c, pos, token))
+        token, c, n, pos, size = token[order], c[order], n[order], pos[order], size[order]
         lists = np.cumsum(_first_of(token)) - 1
-        roots = np.bincount(lists[some], minlength=int(lists[-1]) + 1 if len(lists) else 0)
-        entries = np.bincount(lists, minlength=len(roots))
-        many = roots[lists] > 1
-        one = some & many
-        pairs = candidate_pairs(token[one], c[one], root[one], size[one] >> 32, size[one] & 0xFFFFFFFF, rule)
-        rest = many & (entries > roots)[lists]
+        head = np.flatnonzero(_first_of(token))[lists] if len(token) else lists
+        many = np.flatnonzero(c != c[head])
+        low, high = np.minimum(n[many], n[head[many]]), np.maximum(n[many], n[head[many]])
+        near = many[(high <= rule.reach(low)) & rule.enough(low, high, np.minimum((n - pos)[many], (n - pos)[head[many]]))]
+        pairs = np.unique(np.stack([np.minimum(c[near], c[head[near]]), np.maximum(c[near], c[head[near]])], axis=1), axis=0)
+        several = np.zeros(int(lists[-1]) + 1 if len(lists) else 0, dtype=bool)
+        several[lists[many]] = True
+        rest = several[lists]
         k = int(rest.sum())
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat([0, 1], [len(pairs), k]).astype(np.int32)), pa.array(np.concatenate([pairs[:, 0], token[rest]])), pa.array(np.concatenate([pairs[:, 1], c[rest]])), pa.array(np.concatenate([np.zeros(len(pairs), np.int64), size[rest]]))],
@@ -295,6 +316,12 @@ def second_round(postings: DataFrame, rule: Rule) -> DataFrame:
     """Candidate pairs (a, b) of all classes of different components in a list."""
 
     def take(token, c, root, size):
+        if not len(token):
+            return
+        lists = np.cumsum(_first_of(token)) - 1
+        roots = np.bincount(lists[_first_of(token, root)])
+        some = roots[lists] > 1
+        token, c, root, size = token[some], c[some], root[some], size[some]
         pairs = candidate_pairs(token, c, root, size >> 32, size & 0xFFFFFFFF, rule)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -317,36 +344,22 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     src = docs.select(F.col(id_col).cast("long").alias("did"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("th"))
     rows = shared.settle(profiles(src, rule), "set-profiles")
-    profile = rows.filter("kind = 0").select("did", "th", "n", F.when(F.col("c") != 0, F.col("c")).alias("c"), "k0", "k1", "k2")
-    classes = shared.settle(profile.filter("c is not null").groupBy("c").agg(F.min("did").alias("mdoc"), F.min("k0").alias("k0"), F.min("k1").alias("k1"), F.min("k2").alias("k2")), "set-classes")
-
-    # Classes that agree in a key are compared with the first of their group.
-    near = None
-    for k in range(KEYS):
-        groups = classes.groupBy(f"k{k}").agg(F.min("c").alias("a"), F.count("*").alias("members")).filter("members > 1").select(f"k{k}", "a")
-        pairs = classes.join(groups, f"k{k}").filter("c <> a").select("a", F.col("c").alias("b"))
-        near = pairs if near is None else near.unionByName(pairs)
-    near = shared.settle(near.distinct(), "near-pairs")
-    links = linked_pairs(src, near, classes, rule)
-    roots = connected_components(links)
-
+    profile = rows.filter("kind = 0").select("did", "th", "n", F.when(F.col("c") != 0, F.col("c")).alias("c"))
+    classes = shared.settle(profile.filter("c is not null").groupBy("c").agg(F.min("did").alias("mdoc")), "set-classes")
     ranks = shingle_ranks(rows.filter("kind = 1"))
     pre = prefixes(src, ranks, rule)
-    carried = pre.join(classes.select("c", F.col("mdoc").alias("did_")), (pre["c"] == classes["c"]) & pre["did"].eqNullSafe(F.col("did_"))).select(pre["c"], "n", "tokens")
-    postings = _with_roots(carried, roots).select("c", "root", "n", F.posexplode("tokens").alias("pos", "token")).withColumn("size", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")))
+    # One document of each class carries its prefix on.
+    carried = pre.join(classes.select(F.col("c").alias("c_"), F.col("mdoc").alias("did_")), (F.col("c") == F.col("c_")) & F.col("did").eqNullSafe(F.col("did_"))).select("c", "n", "tokens")
+    postings = carried.select("c", F.col("c").alias("root"), "n", F.posexplode("tokens").alias("pos", "token")).withColumn("size", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")))
     first = shared.settle(first_round(_dealt(postings), rule), "first-round")
-    tried = first.filter("kind = 0").select("a", "b").distinct().join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    tried = shared.settle(tried, "first-pairs")
-    if not tried.isEmpty():
-        links = links.unionByName(linked_pairs(src, tried, classes, rule))
-        roots = connected_components(links)
+    tried = shared.settle(first.filter("kind = 0").select("a", "b").distinct(), "first-pairs")
+    links = linked_pairs(src, tried, classes, rule)
+    roots = connected_components(links)
     rest = first.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("c"), "size")
-    if not rest.isEmpty():
-        later = second_round(_dealt(_with_roots(rest, roots)), rule)
-        later = shared.settle(later.join(tried, ["a", "b"], "left_anti").join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "second-pairs")
-        if not later.isEmpty():
-            links = links.unionByName(linked_pairs(src, later, classes, rule))
-            roots = connected_components(links)
+    later = shared.settle(second_round(_dealt(_with_roots(rest, roots)), rule).join(tried, ["a", "b"], "left_anti"), "second-pairs")
+    if not later.isEmpty():
+        links = links.unionByName(linked_pairs(src, later, classes, rule))
+        roots = connected_components(links)
 
     named = _with_roots(classes.select("c", "mdoc"), roots)
     least = named.groupBy("root").agg(F.min("mdoc").alias("component_id"))
@@ -362,19 +375,19 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comps = shared.settle(similarity_components(docs, id_col, text_col, rule), "document-components").filter("root is not null")
     key, th = shared.spare(docs, "k_id", "k_text")
     first = F.col("did").eqNullSafe(F.col("component_id"))
-    marked = docs.withColumn(th, F.xxhash64(text_col))
-
-    def on(other: DataFrame):
-        return marked[id_col].cast("long").eqNullSafe(other["did_"]) & (marked[th] == other["th_"])
-
-    gone = comps.filter(~first).select(F.col("did").alias("did_"), F.col("th").alias("th_")).distinct()
-    again = comps.filter(first).groupBy("did", "root").count().filter("count > 1").select("did", "root")
-    if not again.isEmpty():
-        rows = comps.join(again, comps["did"].eqNullSafe(again["did"]) & (comps["root"] == again["root"])).select(comps["did"].alias("did_"), F.col("th").alias("th_"), again["root"].alias(key)).distinct()
-        kept = marked.join(rows, on(rows)).dropDuplicates([id_col, key]).select(*docs.columns)
-        held = gone.unionByName(rows.select("did_", "th_")).distinct()
-        return marked.join(held, on(held), "left_anti").select(*docs.columns).unionByName(kept)
-    return marked.join(gone, on(gone), "left_anti").select(*docs.columns)
+
+    def on(df: DataFrame, other: DataFrame):
+        return df[id_col].cast("long").eqNullSafe(other["did_"]) & (df[th] == other["th_"])
+
+    gone = shared.settle(comps.filter(~first).select(F.col("did").alias("did_"), F.col("th").alias("th_")).distinct(), "duplicates")
+    again = comps.filter(first).groupBy("did", "root").count().filter("count > 1").select(F.col("did").alias("a_did"), F.col("root").alias("a_root"))
+    rows = shared.settle(comps.join(again, F.col("did").eqNullSafe(F.col("a_did")) & (F.col("root") == F.col("a_root"))).select(F.col("did").alias("did_"), F.col("th").alias("th_"), F.col("a_root").alias(key)).distinct(), "repeated")
+    held = gone.unionByName(rows.select("did_", "th_")).distinct()
+    # Only texts that a filter of fixed size holds are shuffled.
+    some, rest = shared.split_by(docs.withColumn(th, F.xxhash64(text_col)), th, shared.fingerprint_filter(held, "th_"))
+    other = some.join(held.hint("merge"), on(some, held), "left_anti").select(*docs.columns)
+    kept = some.join(rows.hint("merge"), on(some, rows)).dropDuplicates([id_col, key]).select(*docs.columns)
+    return rest.select(*docs.columns).unionByName(other).unionByName(kept)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

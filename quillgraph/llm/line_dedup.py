@@ -14,8 +14,8 @@ Defined results. Null and empty texts have no lines and stay as they are. Rows w
 document and aren't compared with each other; repeated rows all keep or lose the same lines. Null ids come last in order.
 A text whose lines all go becomes empty. Lines repeated within one document stay. Extra columns aren't touched.
 
-Scale: one pass makes a small profile of each text (hashes only), which all joins use; text is shuffled once, to the list
-of its lines that go.
+Scale: one pass makes a small profile of each text (hashes only), which all joins use. Texts are shuffled to the list of
+their lines that go only if a filter of fixed size holds them.
 """
 
 from __future__ import annotations
@@ -119,11 +119,19 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 def common_lines(a: list[int], b: list[int], words: list[int], least: int = LEAST_WORDS) -> set[int]:
     """Positions in b of the lines in blocks of least words that align with a; words: of b's lines."""
-    left, gone = list(b), set()
-    known = set(a)
-    for n in range(len(left)):  # a line that a doesn't have matches nothing
-        if left[n] not in known:
-            left[n] = -1 - n
+    places: dict[int, list[int]] = {}
+    for i, line in enumerate(a):
+        places.setdefault(line, []).append(i)
+    # Only lines in a run of least words that a has too can be in a block; the others match nothing.
+    left, gone = [-1 - n for n in range(len(b))], set()
+    for n in range(len(b)):
+        if b[n] in places:
+            to, size = n, 0
+            while to < len(b) and size < least:
+                size += words[to]
+                to += 1
+            if size >= least and any(a[i : i + to - n] == b[n:to] for i in places[b[n]]):
+                left[n:to] = b[n:to]
     while True:
         before, block = len(gone), []
         for i, j in [*patience(a, left), (-9, -9)]:
@@ -198,11 +206,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = removals(docs, id_col, text_col, least)
     k_id, k_text, lines, removed = shared.spare(docs, "k_id", "k_text", "gone", "lines_removed")
     keyed = docs.withColumn(k_id, F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).withColumn(k_text, F.xxhash64(text_col))
-    joined = keyed.join(gone.select(F.col("k_id").alias(k_id), F.col("k_text").alias(k_text), F.col("gone").alias(lines)), [k_id, k_text], "left")
-    # Only texts that lose lines are sent to Python; the others go as null.
+    # Only texts that may lose lines are shuffled to the list of their lines, and only those that do go to Python.
+    some, rest = shared.split_by(keyed, k_text, shared.fingerprint_filter(gone, "k_text"))
+    joined = some.join(gone.select(F.col("k_id").alias(k_id), F.col("k_text").alias(k_text), F.col("gone").alias(lines)).hint("merge"), [k_id, k_text], "left")
     changed = F.arrow_udf(_without, "string")(F.when(F.col(lines).isNotNull(), F.col(text_col).cast("string")), F.col(lines))
-    out = joined.withColumn(text_col, F.coalesce(changed, F.col(text_col))).withColumn(removed, F.coalesce(F.size(lines), F.lit(0)))
-    return out.select(*docs.columns, removed)
+    joined = joined.withColumn(text_col, F.coalesce(changed, F.col(text_col))).withColumn(removed, F.coalesce(F.size(lines), F.lit(0)))
+    return joined.select(*docs.columns, removed).unionByName(rest.withColumn(removed, F.lit(0)).select(*docs.columns, removed))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,3 +91,15 @@ def may_hold(packed: np.ndarray, values: np.ndarray) -> np.ndarray:
     for b in bits_of(values, len(packed) * 8):
         out &= (packed[b >> np.uint64(3)] >> (np.uint64(7) - (b & np.uint64(7))).astype(np.uint8)) & 1 == 1
     return out
+
+
+def split_by(df: DataFrame, column: str, packed: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """The rows whose integer key may be in a fingerprint filter, and the rows whose key surely isn't."""
+    held = df.sparkSession.sparkContext.broadcast(packed)
+
+    @F.arrow_udf("boolean")
+    def may(keys: pa.Array) -> pa.Array:
+        return pa.array(may_hold(held.value, keys.fill_null(0).to_numpy(zero_copy_only=False)))
+
+    flag = may(F.col(column))
+    return df.filter(flag), df.filter(~flag)

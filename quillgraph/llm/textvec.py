@@ -50,7 +50,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers 0..n-1, and their inverses modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
+    if "up" not in _powers or len(_powers["up"]) < n:
         size = max(n, 2 * SLICE)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
