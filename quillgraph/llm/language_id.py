@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared, textvec
@@ -216,9 +216,7 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame) -> Model | None:
     """Trains on the bounded sample of rows that aren't held out."""
     known = docs.select("doc_id", F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and lang is not null").filter(~held_out(F.col("doc_id")))
-    # Ids only: Spark keeps the first PER_LANG rows of each language in every task before it shuffles.
-    ranked = known.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    chosen = ranked.filter(F.col("n") <= PER_LANG).select(F.col("doc_id").alias("id")).distinct()
+    chosen = shared.first_by_hash(known, "lang", "doc_id", PER_LANG).select(F.col("doc_id").alias("id")).distinct()
     src = docs.filter(F.col("lang").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = src.join(F.broadcast(chosen), src.doc_id == chosen.id).select("lang", "text")
 

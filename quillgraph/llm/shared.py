@@ -12,7 +12,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FILTER_BITS = 1 << 23
@@ -103,3 +103,16 @@ def split_by(df: DataFrame, column: str, packed: np.ndarray) -> tuple[DataFrame,
 
     flag = may(F.col(column))
     return df.filter(flag), df.filter(~flag)
+
+
+def first_by_hash(df: DataFrame, key: str, id_col: str, per: int) -> DataFrame:
+    """The per rows of each key whose hashed ids come first, with their place n.
+
+    Rows are counted by key first, and those whose hash lies beyond twice the share that is wanted go before anything is
+    shuffled by key: so few rows of a key meet, however many it has.
+    """
+    counted = df.groupBy(F.col(key).alias("key_")).agg(F.count("*").alias("rows_"))
+    hashed = df.withColumn("hash_", F.xxhash64(id_col))
+    place = (F.col("hash_") / F.lit(float(1 << 64))) + 0.5  # uniform in 0..1, in the order of the hash
+    near = hashed.join(counted, hashed[key] == counted["key_"]).filter(place * F.col("rows_") <= 2.0 * per + 50)
+    return near.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("hash_", id_col))).filter(F.col("n") <= per).drop("hash_", "rows_", "key_")

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared, textvec
@@ -227,8 +227,8 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Trains on the bounded sample; None without rows of both labels."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ranked = known.withColumn("n", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    chosen = ranked.filter(F.col("n") <= max(PER_CLASS.values())).filter((F.col("n") <= PER_CLASS[0]) | (F.col("toxic") == 1)).filter((F.col("n") <= PER_CLASS[1]) | (F.col("toxic") == 0)).select(F.col("doc_id").alias("id"), "toxic")
+    ranked = shared.first_by_hash(known, "toxic", "doc_id", max(PER_CLASS.values()))
+    chosen = ranked.filter((F.col("toxic") == 1) & (F.col("n") <= PER_CLASS[1]) | (F.col("toxic") == 0) & (F.col("n") <= PER_CLASS[0])).select(F.col("doc_id").alias("id"), "toxic")
     # At most the sum of PER_CLASS rows of two numbers: a proven bound.
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["id"]).select("id", "toxic", lang.alias("lang"), F.col("text").cast("string").alias("text"))
