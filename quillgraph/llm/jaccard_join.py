@@ -174,19 +174,17 @@ def most_common(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> int:
 
 def sets_of(docs: DataFrame, needed: DataFrame, rule: Rule, bitmaps: bool) -> DataFrame:
     """needed: (c, mdoc) distinct; (c, n, members) with each class's set or bitmap, taken from the document that carries it."""
-    held = docs.sparkSession.sparkContext.broadcast(shared.fingerprint_filter(needed, "mdoc"))
+    some = shared.may_hold(docs, "did", shared.fingerprint_filter(needed, "mdoc"))
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            batch = batch.take(pa.array(np.flatnonzero(shared.may_hold(held.value, ids))))
             for part in textvec.slices(batch, 1):
                 first, v = shingle_sets(part.column(1), rule)
                 sets = [v[first[i] : first[i + 1]] for i in range(part.num_rows)]
                 data = [bitmap(x) if bitmaps else x.tobytes() for x in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), _signed(_classes(first, v)), pa.array(np.diff(first)), pa.array(data, pa.binary())], names=["did", "c", "n", "members"])
 
-    rows = docs.mapInArrow(run, "did bigint, c bigint, n bigint, members binary")
+    rows = some.mapInArrow(run, "did bigint, c bigint, n bigint, members binary")
     found = rows.join(needed.select(F.col("c").alias("c_"), F.col("mdoc").alias("did_")), (F.col("c") == F.col("c_")) & F.col("did").eqNullSafe(F.col("did_"))).select("c", "n", "members")
     return shared.settle(found.dropDuplicates(["c"]), "shingle-sets")
 

@@ -52,57 +52,51 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def bits_of(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two bit numbers for each 64-bit value."""
-    x = values.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(20)) % np.uint64(bits), ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(17)) % np.uint64(bits)
+def _places(column, bits: int) -> list:
+    """Two bit numbers for each value of a column."""
+    return [F.pmod(F.xxhash64(F.lit(k), column), F.lit(bits)) for k in (1, 2)]
 
 
 def fingerprint_filter(df: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A Bloom filter of an integer column, as packed bits of a fixed size; partitions are OR-ed pairwise on executors."""
+    """A Bloom filter of a column, as packed bits of a fixed size; tasks' filters are OR-ed on executors, in a few tasks."""
 
     def part(batches):
         held = np.zeros(bits, dtype=bool)
         for batch in batches:
-            for b in bits_of(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), bits):
-                held[b] = True
+            for k in (0, 1):
+                held[batch.column(k).to_numpy()] = True
         yield pa.RecordBatch.from_pydict({"packed": [np.packbits(held).tobytes()]})
 
     def union(batches):
         held = np.zeros(bits // 8, dtype=np.uint8)
         for batch in batches:
             for packed in batch.column(0):
-                held |= np.frombuffer(packed.as_py(), dtype=np.uint8)
+                held |= np.frombuffer(packed.as_buffer(), dtype=np.uint8)
         yield pa.RecordBatch.from_pydict({"packed": [held.tobytes()]})
 
-    parts = df.select(F.col(column).cast("long")).mapInArrow(part, "packed binary")
-    n = parts.rdd.getNumPartitions()
-    while n > 16:
-        n = max(8, n // 8)
-        parts = parts.coalesce(n).mapInArrow(union, "packed binary")
+    one, two = _places(F.col(column), bits)
     held = np.zeros(bits // 8, dtype=np.uint8)
-    for row in parts.coalesce(1).mapInArrow(union, "packed binary").collect():
+    for row in df.select(one.alias("one"), two.alias("two")).mapInArrow(part, "packed binary").repartition(8).mapInArrow(union, "packed binary").collect():
         held |= np.frombuffer(row[0], dtype=np.uint8)
     return held
 
 
-def may_hold(packed: np.ndarray, values: np.ndarray) -> np.ndarray:
-    out = np.ones(len(values), dtype=bool)
-    for b in bits_of(values, len(packed) * 8):
-        out &= (packed[b >> np.uint64(3)] >> (np.uint64(7) - (b & np.uint64(7))).astype(np.uint8)) & 1 == 1
-    return out
-
+def may_hold(df: DataFrame, column: str, packed: np.ndarray, how: str = "left_semi") -> DataFrame:
+    """The rows whose key may be in a filter; with left_anti those whose key surely isn't. Without Python.
 
-def split_by(df: DataFrame, column: str, packed: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """The rows whose integer key may be in a fingerprint filter, and the rows whose key surely isn't."""
-    held = df.sparkSession.sparkContext.broadcast(packed)
+    The filter travels as one broadcast row of its fixed size.
+    """
+    bits = df.sparkSession.createDataFrame([(bytearray(packed.tobytes()),)], "filter_bits binary")
+    found = F.lit(True)
+    for place in _places(F.col(column), len(packed) * 8):
+        byte = F.conv(F.hex(F.substring(F.col("filter_bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        found = found & (F.getbit(byte, (7 - place % 8).cast("int")) == 1)
+    return df.join(F.broadcast(bits), found, how)
 
-    @F.arrow_udf("boolean")
-    def may(keys: pa.Array) -> pa.Array:
-        return pa.array(may_hold(held.value, keys.fill_null(0).to_numpy(zero_copy_only=False)))
 
-    flag = may(F.col(column))
-    return df.filter(flag), df.filter(~flag)
+def split_by(df: DataFrame, column: str, packed: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be in a fingerprint filter, and the rows whose key surely isn't."""
+    return may_hold(df, column, packed), may_hold(df, column, packed, "left_anti")
 
 
 def first_by_hash(df: DataFrame, key: str, id_col: str, per: int) -> DataFrame:
