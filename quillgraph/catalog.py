@@ -10,7 +10,7 @@ from .operators import local, parse, realize, rewrite, sampling, stats
 from .operators import ruleset as RS
 from .operators.notices import SQL, notices, table
 from .plans import certify
-from .plans.matcher import applicable_matches, one_step
+from .plans.matcher import applicable_matches
 from .plans.rules import LIBRARY, PROBES, RULES
 from .sources import files, fixtures
 
@@ -38,6 +38,13 @@ def _graph(spark: SparkSession, sf: str):
     return n, nodes, edges
 
 
+def _steps(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, rule) of every possible step, found within the rows."""
+    rows = local.graph_rows(_n(spark, sf))
+    names = F.array(*[F.lit(r.name) for r in LIBRARY])
+    return rows.select("doc_id", F.explode(F.transform(local.all_steps(list(LIBRARY)), lambda m: F.element_at(names, m["rule_ord"] + 1))).alias("rule"))
+
+
 def _big(c: str) -> F.Column:
     return F.col(c).cast("long").alias(c)
 
@@ -304,8 +311,7 @@ for _name in _MATCH_SQL:
 
 @query("flag_violations", "select rule, count(*) as n_docs, sum(n)::bigint as n from (" + " union all ".join(f"select '{k}' as rule, * from ({v})" for k, v in _MATCH_SQL.items()) + ") group by rule", True)
 def _(spark, sf):
-    n, nodes, edges = _graph(spark, sf)
-    return one_step(list(LIBRARY), nodes, edges, n).groupBy("rule").agg(F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n"))
+    return _steps(spark, sf).groupBy("rule").agg(F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n"))
 
 
 @query("nac_only_negation", "select doc_id from g where bb and not wd", True)
@@ -523,8 +529,8 @@ def _(spark, sf):
 select code, jurisdiction, count(*) as n_applicable, sum(case code when 'PC' then f_pc when 'WD' then f_wd when 'SALE' then (f_sale > 0)::int when 'RET' then (f_ret > 0)::int else 0 end)::bigint as n_violations
 from (select c.code, f.* from {_CODES_SQL} join fired f on f.jurisdiction = c.jurisdiction and (age_lt is null or age < age_lt)) group by code, jurisdiction""", True)
 def _(spark, sf):
-    n, nodes, edges = _graph(spark, sf)
-    hits = one_step(list(LIBRARY), nodes, edges, n).select("doc_id", F.regexp_replace("rule", "^r_", "").alias("code")).distinct().withColumn("hit", F.lit(1))
+    n = _n(spark, sf)
+    hits = _steps(spark, sf).select("doc_id", F.regexp_replace("rule", "^r_", "").alias("code")).distinct().withColumn("hit", F.lit(1))
     c = F.broadcast(RS.codes(spark).withColumnRenamed("jurisdiction", "place"))
     d = n.join(c, (F.col("jurisdiction") == F.col("place")) & (F.col("age_lt").isNull() | (F.col("age") < F.col("age_lt"))))
     return d.join(hits, ["doc_id", "code"], "left").groupBy("code", "jurisdiction").agg(F.count("*").alias("n_applicable"), F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("n_violations"))
@@ -652,8 +658,7 @@ def _(spark, sf):
 select sum((truth > 0 and found = 0)::int)::bigint as missed, sum((truth > 0)::int)::bigint as violating, sum((truth > 0 and found = 0 and targeted = 0)::int)::bigint as missed_untargeted
 from (select f_pc + f_wd + (f_sale > 0)::int + (f_ret > 0)::int as truth, f_pc + (f_sale > 0)::int as found, f_pc + (f_sale > 0)::int as targeted from fired)""", True)
 def _(spark, sf):
-    n, nodes, edges = _graph(spark, sf)
-    steps = one_step(list(LIBRARY), nodes, edges, n).filter("rule <> 'r_NOTIFY'").groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
+    steps = _steps(spark, sf).filter("rule <> 'r_NOTIFY'").groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
     found = F.exists("rules", lambda r: r.isin("r_PC", "r_SALE"))
     return steps.agg(F.sum((~found).cast("long")).alias("missed"), F.count("*").alias("violating"), F.sum(F.forall("rules", lambda r: ~r.isin("r_PC", "r_SALE")).cast("long")).alias("missed_untargeted"))
 
@@ -694,7 +699,7 @@ def _(spark, sf):
 
 @query("usage_totals_window", "select event_id, round(sum(value) over (partition by event_type order by ts range between interval 60 second preceding and current row), 4) as tokens from events")
 def _(spark, sf):
-    w = Window.partitionBy("event_type").orderBy(F.expr("unix_micros(ts)")).rangeBetween(-60_000_000, 0)
+    w = Window.partitionBy("event_type").orderBy(F.expr("unix_micros(cast(ts as timestamp))")).rangeBetween(-60_000_000, 0)
     return table(spark, sf, "events").select("event_id", F.round(F.sum("value").over(w), 4).alias("tokens"))
 
 

@@ -27,7 +27,7 @@ def provisions(texts: DataFrame) -> DataFrame:
     """(id, source, jurisdiction, tau, text): each source cut by its own rules, long spans in pieces, stored up to a length."""
     clean = T.named_entities(T.strip_markup(F.col("text")))
     by = F.when(F.col("source").contains("ccpa"), T.header_segments(clean)).when(F.col("source").contains("uk_aadc"), F.filter(T.dewrap(T.drop_page_lines(clean)), lambda x: F.length(x) >= T.LEAST_SEGMENT)).otherwise(T.segments(clean))
-    spans = texts.select("source", "jurisdiction", F.posexplode(F.flatten(F.transform(by, T.split_long))).alias("pos", "span"))
+    spans = texts.select("source", "jurisdiction", F.posexplode(F.flatten(F.transform(by, lambda x: T.split_long(x)))).alias("pos", "span"))
     numbered = spans.withColumn("n", F.row_number().over(Window.orderBy("source", "pos")) - 1)
     return numbered.select(F.format_string("prov_%04d", "n").alias("id"), "source", "jurisdiction", T.find_tau(F.col("span")).alias("tau"), F.substring("span", 1, T.STORED).alias("text"))
 
