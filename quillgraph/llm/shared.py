@@ -65,7 +65,7 @@ def fingerprint_filter(df: DataFrame, column: str, bits: int = FILTER_BITS) -> n
         for batch in batches:
             for k in (0, 1):
                 held[batch.column(k).to_numpy()] = True
-        yield pa.RecordBatch.from_pydict({"packed": [np.packbits(held).tobytes()]})
+        yield pa.RecordBatch.from_pydict({"packed": [np.packbits(held, bitorder="little").tobytes()]})
 
     def union(batches):
         held = np.zeros(bits // 8, dtype=np.uint8)
@@ -84,13 +84,13 @@ def fingerprint_filter(df: DataFrame, column: str, bits: int = FILTER_BITS) -> n
 def may_hold(df: DataFrame, column: str, packed: np.ndarray, how: str = "left_semi") -> DataFrame:
     """The rows whose key may be in a filter; with left_anti those whose key surely isn't. Without Python.
 
-    The filter travels as one broadcast row of its fixed size.
+    The filter travels as one broadcast row of its fixed size, as an array of 64-bit words that is read in place.
     """
-    bits = df.sparkSession.createDataFrame([(bytearray(packed.tobytes()),)], "filter_bits binary")
+    bits = df.sparkSession.createDataFrame([(packed.view("<i8").tolist(),)], "filter_bits array<bigint>")
     found = F.lit(True)
     for place in _places(F.col(column), len(packed) * 8):
-        byte = F.conv(F.hex(F.substring(F.col("filter_bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        found = found & (F.getbit(byte, (7 - place % 8).cast("int")) == 1)
+        word = F.get(F.col("filter_bits"), F.floor(place / 64).cast("int"))
+        found = found & (F.getbit(word, (place % 64).cast("int")) == 1)
     return df.join(F.broadcast(bits), found, how)
 
 
