@@ -6,7 +6,8 @@ the passage itself was copied, and every common block of LEAST_WORDS words begin
 document (by id) is found; each later document is aligned with the first document of each of its keys by patience diff:
 lines that stand once on either side anchor the alignment by a longest increasing chain, which is extended to equal
 neighbours and repeated between anchors. Aligned blocks of LEAST_WORDS words or more are deleted from the later document.
-Alignment is repeated with what is left, so that moved blocks go too. A document is only ever paired with first holders,
+What patience leaves (passages that stand twice on a side and so have no anchor, moved ones) is looked up among the first
+document's runs of LEAST_WORDS words, so that every line in a run of so many words that it has too goes. A document is only ever paired with first holders,
 so pairs grow with the lines of the corpus and never with the square of a group of copies; and since the first document
 that holds a line never loses it, nothing disappears from the corpus.
 
@@ -20,7 +21,9 @@ their lines that go only if a filter of fixed size holds them.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -117,33 +120,38 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _runs(words: list[int], least: int) -> Iterator[tuple[int, int]]:
+    """Where the shortest runs of least words stand: from each line on, and up to each line.
+
+    A line stands in an equal run of least words, however long, only if it stands in an equal one of these.
+    """
+    upto = [0, *accumulate(words)]
+    for n, total in enumerate(upto):
+        if (to := bisect_left(upto, total + least)) < len(upto):
+            yield n, to
+        if (low := bisect_right(upto, total - least) - 1) >= 0:
+            yield low, n
+
+
 def common_lines(a: list[int], b: list[int], words: list[int], least: int = LEAST_WORDS) -> set[int]:
-    """Positions in b of the lines in blocks of least words that align with a; words: of b's lines."""
-    places: dict[int, list[int]] = {}
-    for i, line in enumerate(a):
-        places.setdefault(line, []).append(i)
-    # Only lines in a run of least words that a has too can be in a block; the others match nothing.
-    left, gone = [-1 - n for n in range(len(b))], set()
-    for n in range(len(b)):
-        if b[n] in places:
-            to, size = n, 0
-            while to < len(b) and size < least:
-                size += words[to]
-                to += 1
-            if size >= least and any(a[i : i + to - n] == b[n:to] for i in places[b[n]]):
-                left[n:to] = b[n:to]
-    while True:
-        before, block = len(gone), []
-        for i, j in [*patience(a, left), (-9, -9)]:
-            if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
-                if sum(words[y] for _, y in block) >= least:
-                    gone |= {y for _, y in block}
-                block = []
-            block.append((i, j))
-        if len(gone) == before:
-            return gone
-        for j in gone:
-            left[j] = -1 - j
+    """Positions in b of all lines in blocks of least words that a has too; words: of b's lines."""
+    size, held, gone = dict(zip(b, words, strict=True)), set(a), set()
+    block: list[tuple[int, int]] = []
+    for i, j in [*patience(a, b), (-9, -9)]:
+        if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
+            if sum(words[y] for _, y in block) >= least:
+                gone |= {y for _, y in block}
+            block = []
+        block.append((i, j))
+    if all(j in gone or line not in held for j, line in enumerate(b)):
+        return gone
+    # Patience finds no anchor in a passage that stands twice on a side and leaves out moved ones: their runs are looked up.
+    # A line that b hasn't counts least words, so that a's other runs are as short as b's.
+    runs = {tuple(a[s:e]) for s, e in _runs([size.get(line, least) for line in a], least)}
+    for s, e in _runs(words, least):
+        if tuple(b[s:e]) in runs:
+            gone.update(range(s, e))
+    return gone
 
 
 def removals(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST_WORDS) -> DataFrame:

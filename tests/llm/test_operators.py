@@ -116,6 +116,27 @@ def test_patience_blocks_by_brute_force():
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
 
 
+def test_line_dedup_of_repeated_passages(spark):
+    x, y, z, a, b, c, d, e, *p = (" ".join(words_of(20, 300 + k)) for k in range(11))
+    rows = [(0, [x, *p, y, *p, z]), (1, [a, *p, b]), (2, [c, *p, d, *p, e])]
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in rows], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {0: rows[0][1], 1: [a, b], 2: [c, d, e]}
+
+
+def test_common_lines_by_brute_force():
+    rng = random.Random(5)
+    for _ in range(400):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(14))] for _ in range(2))
+        words = [(20, 3, 9, 30, 1, 24)[x] for x in b]
+        want = set()
+        for s in range(len(b)):
+            for e in range(s + 1, len(b) + 1):
+                if sum(words[s:e]) >= 25 and any(a[i : i + e - s] == b[s:e] for i in range(len(a))):
+                    want |= set(range(s, e))
+        assert line_dedup.common_lines(a, b, words) == want
+
+
 def test_line_dedup_odd(odd, empty):
     got = line_dedup.dedup_lines(odd)
     assert got.count() == len(ODD) and got.columns[:-1] == odd.columns
