@@ -1,16 +1,18 @@
 """Operator 8, benchmark decontamination: q-gram lemma filtering with banded alignment.
 
-Method. Texts and benchmark items are reduced to their letters and digits in lower case. An item is cut into patterns: the
-whole item up to LONGEST bytes, else windows of PATTERN bytes every half window, so that LONGEST bytes of a passage in a
-row hold a whole window. All q-grams of the patterns are indexed. A text's q-gram hits fall into diagonal bands (position
-in the text less position in the pattern) that overlap by half. By the q-gram lemma, a place within k edits of a pattern
-of m bytes shares at least m + 1 - q (k + 1) q-grams with it in one band; bands below that count are dropped, and each
-region that is left is verified by alignment within the band. k is EDITS of the pattern's length, less for short patterns
-so that the lemma's bound stays positive.
+Method. Texts and benchmark items are reduced to their letters and digits in lower case. An item's patterns are the whole
+item up to LONGEST bytes and windows of each size of WINDOWS at each of its strides, so that whatever an item's length, a
+verbatim stretch of it of 64 bytes holds a whole window. All q-grams of the items are indexed. A text's q-gram hits fall
+into diagonal bands (position in the text less position in the item) that overlap by half. By the q-gram lemma, a place
+within k edits of a pattern of m bytes shares at least m + 1 - q (k + 1) q-grams with it in one band; patterns below that
+count are dropped, and each region that is left is verified by alignment within the band. k is EDITS of the pattern's
+length, less for short patterns so that the lemma's bound stays positive. Items of fewer than SHORTEST letters and digits
+have too few q-grams for that and are looked up by hash, word by word, without edits.
 
 Defined results. A row for each document and item with a verified pattern; documents without one give no row. Null or
-empty texts match nothing. Items with fewer than SHORTEST letters and digits aren't searched: they would be no evidence.
-Repeated rows: a row each; repeated items count once. Extra columns aren't read.
+empty texts match nothing, nor do items without a letter or digit. An item under SHORTEST matches only where its words
+stand as whole words in a row; so an item of one common word matches each text that has the word. Repeated rows: a row
+each; repeated items count once. Extra columns aren't read.
 
 Scale: the benchmark is taken in blocks of BLOCK bytes, each broadcast in turn, so that what is broadcast has a proven
 bound whatever the benchmark's size; each block is one scan of the texts, without a shuffle.
@@ -18,6 +20,7 @@ bound whatever the benchmark's size; each block is one scan of the texts, withou
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 from . import shared, textvec
 
 Q = 10
-PATTERN, LONGEST, SHORTEST = 100, 150, 32
+LONGEST, SHORTEST = 150, 32
+WINDOWS = ((60, 5), (100, 10))
 EDITS = 0.08
 BAND = 16
 BLOCK = 2_000_000
@@ -58,37 +62,60 @@ def qgrams(x: np.ndarray) -> np.ndarray:
 class Index:
     items: list  # id of each item
     parts: np.ndarray  # patterns of each item
-    item: np.ndarray  # item of each pattern
-    offset: np.ndarray  # where the pattern begins in its item
-    pattern: list[bytes]
+    text: np.ndarray  # letters of the items in a row
+    begin: np.ndarray  # where each item begins in it (one more for the end)
+    owner: np.ndarray  # item of each letter
+    fewest: np.ndarray  # least of an item's patterns
+    start: np.ndarray  # where each pattern begins in the text, rising
+    size: np.ndarray
     budget: np.ndarray
     least: np.ndarray  # q-grams that a region must share
     grams: np.ndarray  # sorted
     first: np.ndarray
-    post_pattern: np.ndarray
-    post_at: np.ndarray
+    post: np.ndarray  # where each q-gram stands in the text
     coarse: np.ndarray
-
-
-def build_index(items: list[tuple[object, bytes]]) -> Index:
-    """items: (id, normalised bytes)."""
-    item, offset, pattern = [], [], []
-    for i, (_, text) in enumerate(items):
-        starts = [0] if len(text) <= LONGEST else sorted({*range(0, len(text) - PATTERN, PATTERN // 2), len(text) - PATTERN})
-        for s in starts:
-            item.append(i)
-            offset.append(s)
-            pattern.append(text if len(text) <= LONGEST else text[s : s + PATTERN])
-    m = np.array([len(p) for p in pattern], dtype=np.int64)
+    short: dict  # by length: hashes, and items by their letters with word marks
+
+
+def marked(norm: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The letters, those that begin a word higher by 256."""
+    return norm + np.uint16(256) * (np.diff(at, prepend=-9) != 1).astype(np.uint16)
+
+
+def _hashes(rows: np.ndarray) -> np.ndarray:
+    return (rows.astype(np.uint64) * textvec.powers(rows.shape[1])[0]).sum(axis=1)
+
+
+def build_index(items: list[tuple[object, np.ndarray]]) -> Index:
+    """items: (id, letters with word marks)."""
+    size = np.array([len(x) if len(x) >= SHORTEST else 0 for _, x in items], dtype=np.int64)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    text = np.concatenate([x for n, (_, x) in zip(size, items, strict=True) if n] or [np.zeros(0, dtype=np.uint16)]).astype(np.uint8)
+    owner = np.repeat(np.arange(len(items)), size)
+    short: dict[int, dict[bytes, list[int]]] = {}
+    pattern = []
+    for i, (n, low) in enumerate(zip(size.tolist(), begin.tolist(), strict=False)):
+        own = {(low, n)} if 0 < n <= LONGEST else set()
+        for m, stride in WINDOWS:
+            if n > m:
+                own |= {(low + s, m) for s in (*range(0, n - m, stride), n - m)}
+        pattern += sorted(own)
+        if not n:
+            short.setdefault(len(items[i][1]), {}).setdefault(items[i][1].tobytes(), []).append(i)
+    start, m = np.array(pattern, dtype=np.int64).reshape(-1, 2).T
     budget = np.minimum((m * EDITS).astype(np.int64), m // Q - 1)
-    grams = [qgrams(np.frombuffer(p, dtype=np.uint8)) for p in pattern]
-    every = np.concatenate(grams)
-    owner, at = np.repeat(np.arange(len(pattern)), [len(g) for g in grams]), np.concatenate([np.arange(len(g)) for g in grams])
-    order = np.argsort(every, kind="stable")
-    unique, first = np.unique(every[order], return_index=True)
+    least = m + 1 - Q * (budget + 1)
+    fewest = np.full(len(items), 1 << 20)
+    np.minimum.at(fewest, owner[start], least)
+    every = qgrams(text)
+    at = np.flatnonzero(owner[: len(every)] == owner[Q - 1 :]) if len(every) else np.zeros(0, dtype=np.int64)
+    at = at[np.argsort(every[at], kind="stable")]
+    unique, first = np.unique(every[at], return_index=True)
     coarse = np.zeros(1 << _COARSE, dtype=bool)
     coarse[unique >> np.uint64(64 - _COARSE)] = True
-    return Index([k for k, _ in items], np.bincount(item, minlength=len(items)), np.array(item), np.array(offset), pattern, budget, m + 1 - Q * (budget + 1), unique, np.append(first, len(every)), owner[order], at[order], coarse)
+    table = {n: (np.unique(_hashes(np.array([np.frombuffer(x, dtype=np.uint16) for x in own]))), own) for n, own in short.items()}
+    parts = np.where(size > 0, np.bincount(owner[start], minlength=len(items)), 1)
+    return Index([k for k, _ in items], parts, text, begin, owner, fewest, start, m, budget, least, unique, np.append(first, len(at)), at, coarse, table)
 
 
 def banded_distances(patterns: list[bytes], regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,59 +144,91 @@ def banded_distances(patterns: list[bytes], regions: np.ndarray) -> tuple[np.nda
     return best, end
 
 
-def find(index: Index, texts: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
-    """(text, item, patterns found, first byte, end byte, most edits of a pattern) for each text and item with a verified pattern."""
-    buf, off = textvec.flat(texts)
-    norm, at = normalise(buf)
-    noff = np.searchsorted(at, off)
+def _whole(index: Index, norm: np.ndarray, at: np.ndarray, noff: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, first letter, end letter) of the places of the short items."""
+    letters = marked(norm, at)
+    begins = np.append(letters >= 256, True)
+    words = np.flatnonzero(begins[:-1])
+    for n, (hashes, own) in index.short.items():
+        i = words[words + n <= len(norm)]
+        i = i[begins[i + n]]
+        for c in range(0, len(i), 1 << 16):
+            rows = letters[i[c : c + (1 << 16), None] + np.arange(n)]
+            for r in np.flatnonzero(np.isin(_hashes(rows), hashes)):
+                low = int(i[c + r])
+                d = int(np.searchsorted(noff, low, side="right")) - 1
+                if low + n <= noff[d + 1]:
+                    yield from ((d, it, low, low + n) for it in own.get(rows[r].tobytes(), ()))
+
+
+def _regions(index: Index, norm: np.ndarray, noff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns, and where in the letters the bands begin in which they may stand."""
+    none = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     h = qgrams(norm)
     i = np.flatnonzero(index.coarse[h >> np.uint64(64 - _COARSE)])
-    if not len(i):
-        return []
+    if not len(i) or not len(index.grams):
+        return none
     k = np.minimum(np.searchsorted(index.grams, h[i]), len(index.grams) - 1)
     hit = index.grams[k] == h[i]
     i, k = i[hit], k[hit]
-    doc = np.searchsorted(noff, i, side="right") - 1
-    inside = i + Q <= noff[doc + 1]
-    i, k, doc = i[inside], k[inside], doc[inside]
+    inside = i + Q <= noff[np.searchsorted(noff, i, side="right")]
+    i, k = i[inside], k[inside]
     if not len(i):
-        return []
+        return none
     count = index.first[k + 1] - index.first[k]
     rep = np.repeat(np.arange(len(i)), count)
-    post = np.repeat(index.first[k] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    p, j = index.post_pattern[post], index.post_at[post]
-    band = ((i[rep] - j) >> 4) + 64  # the lowest diagonal may be before the first byte
-    bands = int(band.max()) + 2
-    shares = []
-    for low in (0, 1):  # each hit lies in two bands
-        shares.append(((p * bands + band - low) << np.int64(8)) + j)
-    seen = np.unique(np.concatenate(shares))
-    key, number = np.unique(seen >> 8, return_counts=True)
-    p, band = key // bands, key % bands - 64
+    g = index.post[np.repeat(index.first[k] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
+    least = (int(np.diff(index.begin).max()) >> 4) + 2  # the lowest diagonal may be before the first byte
+    band = ((i[rep] - g + index.begin[index.owner[g]]) >> 4) + least
+    total = len(index.text)
+    seen = np.unique(np.concatenate([band * total + g, (band - 1) * total + g]))  # each hit lies in two bands
+    # Groups of hits of one item in one band, near enough to each other for a pattern.
+    band, g = seen // total, seen % total
+    item = index.owner[g]
+    cut = np.flatnonzero((np.diff(band) != 0) | (np.diff(item) != 0) | (np.diff(g) > LONGEST)) + 1
+    low, high = np.concatenate([[0], cut]), np.append(cut, len(seen))
+    keep = high - low >= index.fewest[item[low]]
+    low, high = low[keep], high[keep]
+    band, item, lowest, highest = band[low], item[low], g[low], g[high - 1]
+    head = np.searchsorted(index.start, np.maximum(lowest - LONGEST, index.begin[item]))
+    count = np.searchsorted(index.start, highest, side="right") - head
+    rep = np.repeat(np.arange(len(low)), count)
+    p = np.repeat(head - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    row = band[rep] * total + index.start[p]
+    number = np.searchsorted(seen, row + index.size[p] - Q, side="right") - np.searchsorted(seen, row)
     keep = number >= index.least[p]
-    p, band = p[keep], band[keep]
-    if not len(p):
-        return []
-    size = np.array([len(index.pattern[x]) for x in p])
+    p, rep = p[keep], rep[keep]
+    return p, (band[rep] - least) * BAND + index.start[p] - index.begin[item[rep]]
+
+
+def find(index: Index, texts: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
+    """(text, item, patterns found, first byte, end byte, most edits of a pattern) for each text and item with a verified pattern."""
+    buf, off = textvec.flat(texts)
+    norm, at = normalise(buf)
+    noff = np.searchsorted(at, off)
+    found: dict[tuple[int, int], dict[int, tuple[int, int, int]]] = {}
+    for d, it, begin, end in _whole(index, norm, at, noff):
+        found.setdefault((d, it), {}).setdefault(-1, (int(at[begin] - off[d]), int(at[end - 1] + 1 - off[d]), 0))
+    p, starts = _regions(index, norm, noff)
+    order = np.argsort(index.size[p], kind="stable")
+    p, starts = p[order], starts[order]
     # The text of a region: the one in which its middle lies; both bands of a hit are tried, so a region cut by a border has another.
-    middle = np.clip(band * BAND + BAND + size // 2, 0, len(norm) - 1)
+    middle = np.clip(starts + BAND + index.size[p] // 2, 0, max(len(norm) - 1, 0))
     doc = np.searchsorted(noff, middle, side="right") - 1
-    found: dict[tuple[int, int], dict[int, tuple[int, int, int]]] = {}
     for c in range(0, len(p), 2048):
         own = slice(c, c + 2048)
-        pats = [index.pattern[x] for x in p[own]]
+        pats = [index.text[x : x + n].tobytes() for x, n in zip(index.start[p[own]], index.size[p[own]], strict=True)]
         regions = np.zeros((len(pats), max(map(len, pats)) + 2 * BAND), dtype=np.uint8)
-        starts = band[own] * BAND
-        for r, (s, d, t) in enumerate(zip(starts, doc[own], pats, strict=True)):
+        for r, (s, d, t) in enumerate(zip(starts[own], doc[own], pats, strict=True)):
             low, high = max(s, noff[d]), min(s + len(t) + 2 * BAND, noff[d + 1])
             if high > low:
                 regions[r, low - s : high - s] = norm[low:high]
         dist, diag = banded_distances(pats, regions)
         for r in np.flatnonzero(dist <= index.budget[p[own]]):
             x, d = int(p[c + r]), int(doc[c + r])
-            end = min(int(starts[r] + len(pats[r]) + diag[r]), int(noff[d + 1]))
+            end = min(int(starts[c + r] + len(pats[r]) + diag[r]), int(noff[d + 1]))
             begin = max(int(noff[d]), end - len(pats[r]))
-            kept = found.setdefault((d, int(index.item[x])), {})
+            kept = found.setdefault((d, int(index.owner[index.start[x]])), {})
             if x not in kept or dist[r] < kept[x][2]:
                 kept[x] = (int(at[begin] - off[d]), int(at[end - 1] + 1 - off[d]), int(dist[r]))
     return [(d, it, len(v), min(a for a, _, _ in v.values()), max(b for _, b, _ in v.values()), max(e for _, _, e in v.values())) for (d, it), v in sorted(found.items())]
@@ -179,11 +238,11 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
     """The benchmark's indexes, a block at a time."""
     held, size = [], 0
     for key, text in benchmark.select(F.col(id_col), F.col(text_col).cast("string")).filter(F.col(text_col).isNotNull()).distinct().orderBy(id_col, text_col).toLocalIterator():
-        norm = normalise(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8))[0].tobytes()
-        if len(norm) < SHORTEST:
+        letters = marked(*normalise(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)))
+        if not len(letters):
             continue
-        held.append((key, norm))
-        size += len(norm)
+        held.append((key, letters))
+        size += len(letters)
         if size >= block:
             yield build_index(held)
             held, size = [], 0

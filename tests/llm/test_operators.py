@@ -374,6 +374,24 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(odd, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_excerpts_and_short_items(spark):
+    rng = random.Random(12)
+    letters = {k: "".join(rng.choice("abcdefgh") for _ in range(n)) for k, n in enumerate((70, 150, 186, 400))}
+    bench = spark.createDataFrame([*letters.items(), (10, "Nine plus ten?"), (11, "..."), (12, "art")], "item_id bigint, text string")
+    rows, want = [], set()
+    for k, text in letters.items():
+        for s in range(0, len(text) - 64, 7):
+            rows.append((len(rows), f"{'z' * 90} {text[s : s + 64]} {'y' * 90}"))
+            want.add((rows[-1][0], k))
+    rows += [(900, "So, NINE plus\nten is"), (901, "nine plus tenths, canine plus ten, nineplus ten"), (902, "nine plus"), (903, "ten nine plus"), (904, "parts, art")]
+    want |= {(900, 10), (904, 12)}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.matches(docs, bench).collect()}
+    assert set(got) == want
+    assert (got[900, 10]["start"], got[900, 10]["end"], got[900, 10]["edits"]) == (4, 17, 0)
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {901, 902, 903}
+
+
 def test_banded_alignment_by_brute_force():
     rng = random.Random(6)
     for _ in range(60):
