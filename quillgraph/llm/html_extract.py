@@ -1,8 +1,9 @@
 """Operator 10, HTML extraction: tree scoring.
 
 Method. A page becomes a tree of elements (unclosed and misnested tags are mended as browsers do in the common cases).
-Elements that can't be part of an article go first: by name, role, or words of their class and id, and lists that are
-mostly links. Each paragraph then scores by its length and commas and passes its points to its ancestors, whole to the
+Elements that can't be part of an article go first: by name, role, or words of their class and id. Lists, tables and
+paragraphs that are mostly links don't score; outside the container that is kept they go, within it they stay, since a
+list of references is part of its article. Each other paragraph scores by its length and commas and passes its points to its ancestors, whole to the
 parent, half to the next and less further up; a container's points are discounted by its link density. The best container,
 or the article element around it, is kept, with those of its siblings that score well, are headings or read like prose. The text is
 that of the kept blocks in page order.
@@ -55,12 +56,13 @@ _WANTED = ("class", "id", "role", "hidden", "aria-hidden", "style")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "up", "score", "size", "linked", "commas")
+    __slots__ = ("tag", "attrs", "kids", "up", "score", "size", "linked", "commas", "menu")
 
     def __init__(self, tag: str, attrs: dict[str, str], up: Node | None):
         self.tag, self.attrs, self.up = tag, attrs, up
         self.kids: list = []
         self.score, self.size, self.linked, self.commas = 0.0, 0, 0, 0
+        self.menu = False
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -163,7 +165,10 @@ def _hidden(node: Node, in_article: bool) -> bool:
 
 
 def _measure(root: Node) -> None:
-    """Takes out what can't be part of the article, then sets each element's text length, length within links, and commas."""
+    """Takes out what can't be part of the article, then sets each element's text length, length within links, and commas.
+
+    Elements that are mostly links are marked as menus and count for nothing in those around them.
+    """
     order, stack = [], [(root, False)]
     while stack:
         node, inside = stack.pop()
@@ -173,22 +178,19 @@ def _measure(root: Node) -> None:
         stack.extend((k, inside) for k in node.kids if not isinstance(k, str))
     for node in reversed(order):
         links = 0
-        kids = []
         for k in node.kids:
             if isinstance(k, str):
                 node.size += len(k.strip())
                 node.commas += k.count(",") + k.count("，") + k.count("、")
-                kids.append(k)
                 continue
             anchors = k.score  # number of links below, until scores are given
             if k.tag in LISTS and anchors >= 3 and k.size and k.linked > 0.7 * k.size:
+                k.menu = True
                 continue
             node.size += k.size
             node.linked += k.linked
             node.commas += k.commas
             links += anchors
-            kids.append(k)
-        node.kids = kids
         if node.tag == "a":
             node.linked, links = node.size, links + 1
         node.score = links
@@ -206,11 +208,12 @@ def _density(node: Node) -> float:
 
 
 def _walk(root: Node):
+    """The elements but for menus and what is in them."""
     stack = [root]
     while stack:
         node = stack.pop()
         yield node
-        stack.extend(k for k in reversed(node.kids) if not isinstance(k, str))
+        stack.extend(k for k in reversed(node.kids) if not isinstance(k, str) and not k.menu)
 
 
 def _is_prose(node: Node) -> bool:
@@ -251,7 +254,7 @@ def best_parts(root: Node) -> list[Node]:
     least = max(10.0, 0.2 * best.score)
     out = []
     for k in best.up.kids:
-        if isinstance(k, str):
+        if isinstance(k, str) or k.menu:
             continue
         same = bool(_tokens(k.attrs) & _tokens(best.attrs))
         prose = k.tag == "p" and (k.size > 80 and _density(k) < 0.25 or 0 < k.size <= 80 and _density(k) == 0)

@@ -459,6 +459,18 @@ def test_html(spark):
     assert got[1]["text"] == want and got[1]["n_chars"] == len(want) and got[2]["text"] == "" and html_extract.extract_pages(d.limit(0)).count() == 0
 
 
+def test_html_links_of_the_article():
+    links = "<li><a href=a>Reference one</a><li><a href=b>Reference two</a><li><a href=c>Reference three</a>"
+    table = "<table><tr><td><a href=a>Cell one</a><td><a href=b>Cell two</a><td><a href=c>Cell three</a></table>"
+    line = "<p><a href=a>First link</a> <a href=b>second link</a> <a href=c>third link</a></p>"
+    prose = "<p>A paragraph, long enough, that tells of things at some length.</p>" * 3
+    menu = "<ul><li><a href=a>Home page</a><li><a href=b>News page</a><li><a href=c>About page</a></ul>"
+    for tag, end in (("article", "article"), ("main", "main"), ('div class="post"', "div")):
+        page = f"<body>{menu}<{tag}>{prose}<ul>{links}</ul>{table}{line}<ul class=pagination>{links.replace('Reference', 'Page')}</ul></{end}>{menu}</body>"
+        want = ["A paragraph, long enough, that tells of things at some length."] * 3 + ["Reference one", "Reference two", "Reference three", "Cell one", "Cell two", "Cell three", "First link second link third link"]
+        assert html_extract.extract(page).split("\n") == want
+
+
 # ---- shared
 
 
