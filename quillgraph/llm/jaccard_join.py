@@ -11,7 +11,8 @@ met, and a block is skipped as a whole when no position in it leaves enough shin
 group of copies that is the text the others were made from. The first round compares every entry with that one only, and
 the answers of a set that is linked with it are derived from its answers: both are in one component. In the second round
 lists of one component are passed over, and of the others only pairs of different components are compared, within the
-bounds, so that nothing is lost. Pairs within a group of linked copies are never enumerated.
+bounds, so that no component is lost. Pairs within a group of linked copies are never enumerated: only components are
+derived, and a set's links within its component, or their number, are not.
 
 *Verification.* A bitmap of about four bits a shingle travels first: bits that only one of two sets has bound their
 intersection from above. The sets themselves travel only for pairs that this bound leaves.
