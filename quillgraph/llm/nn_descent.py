@@ -4,8 +4,10 @@ Method. Equal vectors are one node. Nodes are dealt to parts of about PART nodes
 (quantised to bytes, for building and search only) and their NEIGHBOURS best neighbours so far. The graph begins with
 exact neighbours within blocks of a few random hyperplane partitions. Each round of NN-descent joins every node's
 neighbours and reverse neighbours with each other: parts ask the owners for the vectors that their nodes' lists name,
-compare all pairs within each list, and send each node the pairs that beat its worst neighbour. Queries start from their own
-place in the graph; each hop expands the WIDTH best nodes that weren't expanded, and a beam of BEAM nodes is kept. The best
+compare all pairs within each list, and send each node the pairs that beat its worst neighbour. Rounds go on until less
+than CHANGED of the neighbours are new, ROUNDS at least. Queries start from their own
+place in the graph; each hop expands the WIDTH best nodes that weren't expanded, and a beam of BEAM nodes is kept. Hops go on
+until no beam has an unexpanded node among its WIDTH best, HOPS at least. The best
 nodes found are scored again in double precision on the original vectors, with all of a node's equal vectors that can matter.
 
 Defined results. Null vectors, zero vectors and those with null or non-finite components take no part, nor do rows without
@@ -14,7 +16,7 @@ hash). Ties go to smaller ids. With fewer candidates than are asked for, all are
 
 Scale: all exchanges are between parts of a bounded number of nodes; a node of very many reverse neighbours is sampled, as
 the method does. Nothing is broadcast or collected but counts. Every row is indexed. Recall falls slowly with size: it is
-governed by ROUNDS, WIDTH and HOPS.
+governed by CHANGED, WIDTH and BEAM.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from . import shared, textvec
 PART, BLOCK, PARTITIONS = 4096, 1024, 3
 NEIGHBOURS, ROUNDS = 24, 4
 QUERIES, WIDTH, BEAM, HOPS = 128, 128, 640, 4
+CHANGED = 0.001
 AGAIN = 16
 SEED = 20240611
 
@@ -197,12 +200,33 @@ def build_graph(vectors: DataFrame, d: int, n: int) -> DataFrame:
         return part.row(*_padded(len(part.nodes), *best_of(owner[good], ids[good], sims[good], k), k))
 
     state = shared.settle(_exchange(state, updates, merge, _STATE), "graph")
-    for _ in range(ROUNDS):
+    rounds, share = 0, 1.0
+    while rounds < ROUNDS or share >= CHANGED:
         lists = shared.settle(_neighbourhoods(state, parts), "neighbourhoods")
-        state = shared.settle(_exchange(state, _joined_lists(state, lists, parts), merge, _STATE), "graph")
+        before, state = state, shared.settle(_exchange(state, _joined_lists(state, lists, parts), merge, _STATE), "graph")
+        rounds, share = rounds + 1, changed_share(before, state)
     return shared.settle(_neighbourhoods(state, parts), "search-graph")
 
 
+def changed_share(before: DataFrame, after: DataFrame) -> float:
+    """Share of the neighbours after a round that weren't there before it."""
+
+    def count(batches):
+        for batch in batches:
+            every = new = 0
+            for was, now in zip(batch.column(0), batch.column(1), strict=True):
+                was, now = (np.frombuffer(x.as_py(), dtype=np.int64).reshape(-1, NEIGHBOURS) for x in (was, now))
+                for a in range(0, len(now), 512):
+                    some = now[a : a + 512] >= 0
+                    every += int(some.sum())
+                    new += int((some & ~(now[a : a + 512, :, None] == was[a : a + 512, None, :]).any(axis=2)).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([every], pa.int64()), pa.array([new], pa.int64())], names=["every", "new"])
+
+    both = before.select("pid", F.col("ids").alias("was")).join(after.select("pid", F.col("ids").alias("now")), "pid").select("was", "now")
+    every, new = both.mapInArrow(count, "every bigint, new bigint").agg(F.sum("every"), F.sum("new")).first()
+    return new / every if every else 0.0
+
+
 def _neighbourhoods(state: DataFrame, parts: int) -> DataFrame:
     """The parts with each node's neighbours and a sample of those that have it as a neighbour: 2 NEIGHBOURS ids, padded with -1."""
     k = NEIGHBOURS
@@ -287,6 +311,21 @@ def _joined_lists(state: DataFrame, lists: DataFrame, parts: int) -> DataFrame:
 _BEAM = "pid bigint, nodes binary, vectors binary, ids binary, sims binary, done binary"
 
 
+def open_beams(beams: DataFrame) -> int:
+    """Number of beams with an unexpanded node among their WIDTH best."""
+
+    def count(batches):
+        for batch in batches:
+            some = 0
+            for nodes, ids, done in zip(*(batch.column(c) for c in range(3)), strict=True):
+                shape = (len(nodes.as_py()) // 8, -1)
+                ids, done = np.frombuffer(ids.as_py(), dtype=np.int64).reshape(shape), np.frombuffer(done.as_py(), dtype=np.int8).reshape(shape)
+                some += int(((ids >= 0) & (done == 0))[:, :WIDTH].any(axis=1).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([some], pa.int64())], names=["some"])
+
+    return beams.select("nodes", "ids", "done").mapInArrow(count, "some bigint").agg(F.sum("some")).first()[0] or 0
+
+
 def search(graph: DataFrame, starts: DataFrame, d: int, n: int, wanted: int) -> DataFrame:
     """starts: (node), distinct; (node, found) with the best nodes found for each by greedy search."""
     parts, groups = max(1, -(-n // PART)), max(1, -(-starts.count() // QUERIES))
@@ -357,7 +396,9 @@ def search(graph: DataFrame, starts: DataFrame, d: int, n: int, wanted: int) ->
             out.append((row["pid"], row["nodes"], row["vectors"], *(b.tobytes() for b in beam)))
         return _table(_BEAM, *zip(*out, strict=True)) if out else _table(_BEAM, *[[]] * 6)
 
-    for _ in range(HOPS):
+    hops = 0
+    while hops < HOPS or open_beams(beams):
+        hops += 1
         asked = _exchange(graph, beams.mapInArrow(expand, _ASK), neighbours, _ASK)
         beams = shared.settle(_exchange(beams, _vectors_for(graph, asked), hop, _BEAM), "beams")
 

@@ -435,6 +435,19 @@ def test_nearest(spark):
     assert nn_descent.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_nearest_goes_on_until_it_converges(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "ROUNDS", 1)
+    monkeypatch.setattr(nn_descent, "HOPS", 1)
+    shares, beams = [], []
+    share, open_ = nn_descent.changed_share, nn_descent.open_beams
+    monkeypatch.setattr(nn_descent, "changed_share", lambda a, b: shares.append(share(a, b)) or shares[-1])
+    monkeypatch.setattr(nn_descent, "open_beams", lambda b: beams.append(open_(b)) or beams[-1])
+    x = np.random.default_rng(9).normal(size=(3000, 16)).astype(np.float32)
+    list(nn_descent.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")).toLocalIterator())
+    assert len(shares) > 1 and shares[0] > shares[-1] and shares[-1] < nn_descent.CHANGED
+    assert len(beams) > 1 and beams[0] > 0 and beams[-1] == 0
+
+
 # ---- 10
 
 
