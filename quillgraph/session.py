@@ -10,8 +10,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
-#: Rows of an Arrow batch: texts are long, and a batch stands in memory on both sides of a Python worker's pipe.
-BATCH_ROWS = 2500
+#: Rows and bytes of an Arrow batch: texts are long, and a batch stands in memory on both sides of a Python worker's pipe.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2500, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def build_session(master: str = "local[8]", partitions: int = 8, **more: str) -> SparkSession:
@@ -33,8 +33,10 @@ def build_session(master: str = "local[8]", partitions: int = 8, **more: str) ->
 def ship(spark: SparkSession) -> None:
     """Sends the package's source to the executors once a session, as --py-files would, and bounds Arrow batches."""
     sc = spark.sparkContext
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, most in BATCH.items():
+        now = spark.conf.get(name)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
     if getattr(sc, "_quillgraph_shipped", False):
         return
     with tempfile.NamedTemporaryFile(prefix="quillgraph-", suffix=".zip", delete=False) as held:
