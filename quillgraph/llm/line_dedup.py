@@ -1,22 +1,27 @@
 """Operator 2, line deduplication: pairwise alignment of documents that share rare runs of lines.
 
-Method. Lines are compared by a hash of their bytes (A-Z as a-z); blank lines are passed over. A line alone may be common,
-so the key of a line is the hash of the shortest run of lines from it on that has LEAST_WORDS words: that is rare unless
-the passage itself was copied, and every common block of LEAST_WORDS words begins with one. For each key the first
-document (by id) is found; each later document is aligned with the first document of each of its keys by patience diff:
+Method. Lines are compared by a hash of their bytes (A-Z as a-z); blank lines are passed over. A line alone may be common and
+short, so what is looked up is the shortest run of lines of LEAST_WORDS words from each line on, and up to each line: every
+common block of so many words is covered by such runs. Each run's frequency is measured over all documents, and its first
+holder is found; runs that stand in one document only go. Of its shared runs a document takes the rarest first, and is paired
+with that run's first holder, unless the holders it already has cover the run's lines. Each pair is aligned by patience diff:
 lines that stand once on either side anchor the alignment by a longest increasing chain, which is extended to equal
 neighbours and repeated between anchors. Aligned blocks of LEAST_WORDS words or more are deleted from the later document.
 What patience leaves (passages that stand twice on a side and so have no anchor, moved ones) is looked up among the first
-document's runs of LEAST_WORDS words, so that every line in a run of so many words that it has too goes. A document is only ever paired with first holders,
-so pairs grow with the lines of the corpus and never with the square of a group of copies; and since the first document
-that holds a line never loses it, nothing disappears from the corpus.
+document's runs, so that every line in a run of so many words that it has too goes.
 
-Defined results. Null and empty texts have no lines and stay as they are. Rows with the same id are versions of one
-document and aren't compared with each other; repeated rows all keep or lose the same lines. Null ids come last in order.
-A text whose lines all go becomes empty. Lines repeated within one document stay. Extra columns aren't touched.
+So exactly those lines go that stand in a run of LEAST_WORDS words that some earlier document has too, whichever it is: no pair
+is lost, though a document meets only as many others as it needs. The first document that holds a line never loses it.
 
-Scale: one pass makes a small profile of each text (hashes only), which all joins use. Texts are shuffled to the list of
-their lines that go only if a filter of fixed size holds them.
+Defined results. Documents are ordered by id, then by the text's hash; ids that are null or no integers come last. Each row is a
+document: of rows that are equal in id and text one counts as the first and the others are later copies. Null and empty
+texts have no lines and stay as they are. A text whose lines all go is left with its blank lines. Lines repeated
+within one document stay, as do shared ones in shorter runs than LEAST_WORDS. Extra columns aren't touched.
+
+Scale: one pass makes a small profile of each text (hashes only), which all joins use. Documents with equal lines are a class:
+all but its first lose their lines without being aligned. A first holder's lines travel once for each PARTNERS documents
+that are aligned with it, so that one which a third of all documents are aligned with is spread over many tasks. Texts are
+shuffled to the list of their lines that go only where a bounded filter holds them, and are cut without Python.
 """
 
 from __future__ import annotations
@@ -27,20 +32,22 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared, textvec
 
 LEAST_WORDS = 25
+PARTNERS = 256
 _NOT_FEED = np.arange(256) != 10
-_LAST = (1 << 63) - 1
+_DOC = "struct<late:boolean,id:bigint,text:bigint>"
 
 
 def line_profile(buf: np.ndarray, off: np.ndarray, least: int = LEAST_WORDS):
-    """Of each slice: first line of each text, and of each non-blank line its number, hash, words and key (0: none)."""
+    """Of each slice: first line of each text (and one more); of each non-blank line its number, hash and words; two hashes of
+    each text's lines; and of each shortest run of least words its text, first line, end line and key."""
     lines = textvec.words(buf, off, _NOT_FEED)
-    words = textvec.words(buf, off, textvec.NOT_SPACE).start
+    words = textvec.word_bounds(buf, textvec.NOT_SPACE)[0]
     begin = np.searchsorted(words, lines.start)
     count = np.searchsorted(words, lines.end) - begin
     text = textvec.owner(lines.first)
@@ -49,16 +56,21 @@ def line_profile(buf: np.ndarray, off: np.ndarray, least: int = LEAST_WORDS):
     some = np.flatnonzero(count)
     text, number, count, h = text[some], number[some], count[some], lines.hash[some]
     first = np.searchsorted(text, np.arange(len(off)))
-    upto = np.cumsum(count)
-    last = np.searchsorted(upto, upto - count + least)  # the line in which the run reaches least words
-    whole = last < first[text + 1] if len(text) else np.zeros(0, dtype=bool)
-    up, down = textvec.powers(len(h))
-    total = np.cumsum(textvec.mix(h + np.uint64(1)) * up)
-    at = np.flatnonzero(whole)
-    low = np.where(at > 0, total[at - 1], np.uint64(0))
-    key = np.zeros(len(h), dtype=np.uint64)
-    key[at] = textvec.mix((total[last[at]] - low) * down[at] + (last[at] - at).astype(np.uint64))
-    return first, number, h, count, key
+    up, down = textvec.powers(len(h) + 1)
+    total, other = (np.concatenate([[np.uint64(0)], np.cumsum(textvec.mix(h + np.uint64(salt)) * up[:-1])]) for salt in (1, 0x51ED))
+    own = tuple(textvec.mix((t[first[1:]] - t[first[:-1]]) * down[first[:-1]] + np.diff(first).astype(np.uint64)) for t in (total, other))
+    upto = np.concatenate([[0], np.cumsum(count)])
+    here = np.arange(len(h))
+    runs = np.concatenate([
+        np.stack([here, np.searchsorted(upto, upto[:-1] + least)], axis=1),
+        np.stack([np.searchsorted(upto, upto[1:] - least, side="right") - 1, here + 1], axis=1),
+    ])
+    at = np.concatenate([here, here])
+    inside = (runs[:, 0] >= first[text[at]]) & (runs[:, 1] <= first[text[at] + 1])
+    runs = np.unique(runs[inside], axis=0)
+    start, end = runs[:, 0], runs[:, 1]
+    key = textvec.mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return first, number, h, count, own, (text[start], start, end, key)
 
 
 def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -154,71 +166,145 @@ def common_lines(a: list[int], b: list[int], words: list[int], least: int = LEAS
     return gone
 
 
-def removals(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST_WORDS) -> DataFrame:
-    """(k_id, k_text, gone): for documents that lose lines, their key and the numbers of those lines."""
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("k_id"), F.xxhash64(text_col).alias("k_text"), F.col(text_col).cast("string").alias("t"))
+def _lists(first: np.ndarray, values: np.ndarray, kind, own: np.ndarray) -> pa.ListArray:
+    size = np.diff(first)[own]
+    off = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    at = np.repeat(first[own] - off[:-1], size) + np.arange(off[-1])
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values[at], kind))
+
+
+def _doc(id_col: str, text_col: str) -> F.Column:
+    """What orders and names documents."""
+    key = shared.whole_id(F.col(id_col))
+    return F.struct(key.isNull().alias("late"), F.coalesce(key, F.lit(0).cast("long")).alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("text"))
 
-    def profile(batches):
-        for batch in batches:
-            for part in textvec.slices(batch, 2):
-                first, number, h, count, key = line_profile(*textvec.flat(part.column(2)), least)
-                own = [i for i in range(part.num_rows) if first[i] < first[i + 1] and key[first[i] : first[i + 1]].any()]
-                take = pa.array(own, pa.int32())
 
-                def lists(values, kind, own=own, first=first):
-                    off = np.concatenate([[0], np.cumsum([first[i + 1] - first[i] for i in own])]).astype(np.int32)
-                    flat = np.concatenate([values[first[i] : first[i + 1]] for i in own]) if own else values[:0]
-                    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, kind))
+def profiles(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST_WORDS) -> DataFrame:
+    """A row for each document that has a run: its lines, and its runs (key, where they begin and end)."""
 
+    def run(batches):
+        for batch in batches:
+            for part in textvec.slices(batch, 1):
+                first, number, h, count, own, (text, start, end, key) = line_profile(*textvec.flat(part.column(1)), least)
+                cut = np.searchsorted(text, np.arange(part.num_rows + 1))
+                take = np.flatnonzero(np.diff(cut))
+                low = first[text]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), lists(number.astype(np.int32), pa.int32()), lists(h.view(np.int64), pa.int64()), lists(count.astype(np.int32), pa.int32()), lists(key.view(np.int64), pa.int64())],
-                    names=["k_id", "k_text", "number", "line", "words", "key"],
+                    [part.column(0).take(pa.array(take)), *(pa.array(x[take].view(np.int64)) for x in own), _lists(first, number, pa.int32(), take), _lists(first, h.view(np.int64), pa.int64(), take), _lists(first, count, pa.int32(), take)]
+                    + [_lists(cut, key.view(np.int64), pa.int64(), take), _lists(cut, start - low, pa.int32(), take), _lists(cut, end - low, pa.int32(), take)],
+                    names=["doc", "one", "two", "number", "line", "words", "key", "start", "end"],
                 )
 
-    prof = shared.settle(src.mapInArrow(profile, "k_id bigint, k_text bigint, number array<int>, line array<bigint>, words array<int>, key array<bigint>"), "line-profiles")
-    keys = prof.select("k_id", "k_text", F.explode(F.array_distinct(F.filter("key", lambda k: k != 0))).alias("key"))
-    firsts = keys.groupBy("key").agg(F.min("k_id").alias("f_id"), F.max("k_id").alias("l_id")).filter("f_id < l_id").select("key", "f_id")
-    pairs = keys.join(firsts, "key").filter("k_id > f_id").select("k_id", "k_text", "f_id").distinct()
-    pairs = shared.settle(pairs, "line-pairs")
-    one = prof.select("k_id", "k_text", "number", "line", "words").dropDuplicates(["k_id", "k_text"])
-    other = one.select(F.col("k_id").alias("f_id"), F.col("line").alias("f_line"))
-    both = pairs.join(one, ["k_id", "k_text"]).join(other, "f_id").select("k_id", "k_text", "number", "line", "words", "f_line")
+    src = docs.select(_doc(id_col, text_col).alias("doc"), F.col(text_col).cast("string").alias("t"))
+    return src.mapInArrow(run, f"doc {_DOC}, one bigint, two bigint, number array<int>, line array<bigint>, words array<int>, key array<bigint>, start array<int>, end array<int>")
+
+
+def holders_needed(runs: list[tuple[int, int, int, object]]) -> list:
+    """runs: (frequency, first line, end line, holder); the holders that cover all lines of the runs, found by the rarest ones."""
+    of: dict[object, list[tuple[int, int]]] = {}
+    for _, s, e, holder in runs:
+        of.setdefault(holder, []).append((s, e))
+    covered: set[int] = set()
+    out: list = []
+    for _, s, e, holder in sorted(runs, key=lambda r: (r[0], r[3], r[1])):
+        if holder not in out and not covered.issuperset(range(s, e)):
+            out.append(holder)
+            for x, y in of[holder]:
+                covered.update(range(x, y))
+    return out
+
+
+def partners(prof: DataFrame, copies: DataFrame) -> DataFrame:
+    """(doc, holder): the earlier documents with which each document is to be aligned. copies aren't aligned."""
+    runs = prof.select("doc", F.explode(F.arrays_zip("key", "start", "end")).alias("r")).select("doc", F.col("r.key").alias("key"), F.col("r.start").alias("s"), F.col("r.end").alias("e"))
+    known = runs.groupBy("key").agg(F.min("doc").alias("holder"), F.max("doc").alias("last"), F.count("*").alias("places")).filter("holder < last").select("key", "holder", "places")
+    held = runs.join(known, "key").filter("holder < doc").join(copies.select("doc"), "doc", "left_anti")
+    held = held.groupBy("doc").agg(F.collect_list(F.struct("places", "s", "e", "holder")).alias("runs"))
+
+    def choose(batches):
+        for batch in batches:
+            docs, out = [], []
+            for doc, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for holder in holders_needed([(r["places"], r["s"], r["e"], tuple(r["holder"].values())) for r in runs]):
+                    docs.append(doc)
+                    out.append(dict(zip(("late", "id", "text"), holder, strict=True)))
+            kind = batch.schema.field(0).type
+            yield pa.RecordBatch.from_arrays([pa.array(docs, kind), pa.array(out, kind)], names=["doc", "holder"])
+
+    return held.mapInArrow(choose, f"doc {_DOC}, holder {_DOC}")
+
+
+def aligned(prof: DataFrame, pairs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """(doc, gone): the numbers of the lines that each pair's alignment deletes."""
+    many = pairs.groupBy("holder").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    pairs = shared.settle(pairs.join(many, "holder").select("doc", "holder", F.pmod(F.xxhash64("doc"), "parts").alias("part")), "line-pairs")
+    lines = prof.select("doc", "number", "line", "words").dropDuplicates(["doc"])
+    firsts = pairs.select("holder", "part").distinct().join(lines.select(F.col("doc").alias("holder"), "line"), "holder")
+    firsts = firsts.select("holder", "part", F.lit(0).alias("kind"), F.lit(None).cast(_DOC).alias("doc"), F.lit(None).cast("array<int>").alias("number"), "line", F.lit(None).cast("array<int>").alias("words"))
+    later = pairs.join(lines, "doc").select("holder", "part", F.lit(1).alias("kind"), "doc", "number", "line", "words")
+    dealt = firsts.unionByName(later).repartition("holder", "part").sortWithinPartitions("holder", "part", "kind")
 
     def align(batches):
+        held: list[int] = []  # the lines of the holder that came last; its partners follow it
         for batch in batches:
-            ids, texts, gone = [], [], []
-            for k_id, k_text, number, line, words, f_line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if found := common_lines(f_line, line, words, least):
-                    ids.append(k_id)
-                    texts.append(k_text)
+            at, gone = [], []
+            for i, (kind, number, line, words) in enumerate(zip(*(batch.column(k) for k in (2, 4, 5, 6)), strict=True)):
+                if not kind.as_py():
+                    held = line.as_py()
+                elif found := common_lines(held, line.as_py(), words.as_py(), least):
+                    number = number.as_py()
+                    at.append(i)
                     gone.append(sorted(number[j] for j in found))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["k_id", "k_text", "gone"])
+            yield pa.RecordBatch.from_arrays([batch.column(3).take(pa.array(at, pa.int32())), pa.array(gone, pa.list_(pa.int32()))], names=["doc", "gone"])
 
-    found = both.mapInArrow(align, "k_id bigint, k_text bigint, gone array<int>")
-    return shared.settle(found.groupBy("k_id", "k_text").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "line-removals")
+    out = shared.settle(dealt.mapInArrow(align, f"doc {_DOC}, gone array<int>"), "line-blocks")
+    shared.discard(pairs)
+    return out
 
 
-def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
-    out = []
-    for text, lines in zip(texts.to_pylist(), gone.to_pylist(), strict=True):
-        if text is None or lines is None:
-            out.append(None)
-        else:
-            drop = set(lines)
-            out.append("\n".join(x for n, x in enumerate(text.split("\n")) if n not in drop))
-    return pa.array(out, pa.string())
+def removals(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST_WORDS) -> DataFrame:
+    """(doc, gone, every, again): what each document loses. every: all its lines; again: several rows are this document."""
+    prof = shared.settle(profiles(docs, id_col, text_col, least), "line-profiles")
+    classes = prof.groupBy("one", "two").agg(F.min("doc").alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    members = shared.settle(prof.select("doc", "one", "two").join(classes.select("one", "two", "first"), ["one", "two"]).groupBy("doc", "first").agg(F.count("*").alias("rows")), "line-classes")
+    copies = members.filter("doc > first")
+    pairs = shared.settle(partners(prof, copies), "line-partners")
+    blocks = aligned(prof, pairs, least)
+    none = F.lit(None).cast("array<int>")
+    every = blocks.select("doc", "gone", F.lit(False).alias("every"), F.lit(False).alias("again"))
+    every = every.unionByName(members.filter("doc > first or rows > 1").select("doc", none.alias("gone"), (F.col("doc") > F.col("first")).alias("every"), (F.col("rows") > 1).alias("again")))
+    out = shared.settle(every.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.max("every").alias("every"), F.max("again").alias("again")), "line-removals")
+    shared.discard(prof, members, pairs, blocks)
+    return out
+
+
+def _first_rows(rows: DataFrame, doc: str, every: str) -> DataFrame:
+    """Rows of documents that stand several times: all but one of each lose all lines. A hot one is counted off in parts first."""
+    part, place = shared.spare(rows, "part", "place")
+    dealt = rows.withColumn(part, F.floor(F.rand(17) * 256))
+    dealt = shared.settle(dealt.withColumn(place, F.row_number().over(Window.partitionBy(doc, part).orderBy(F.lit(0)))), "line-repeats")
+    one = dealt.filter(F.col(place) == 1).withColumn(place, F.row_number().over(Window.partitionBy(doc).orderBy(part)))
+    return one.unionByName(dealt.filter(F.col(place) > 1)).withColumn(every, F.col(every) | (F.col(place) > 1)).drop(part, place)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """All rows and columns with the text after deletion, and the column lines_removed (with underscores if there is one)."""
     gone = removals(docs, id_col, text_col, least)
-    k_id, k_text, lines, removed = shared.spare(docs, "k_id", "k_text", "gone", "lines_removed")
-    keyed = docs.withColumn(k_id, F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).withColumn(k_text, F.xxhash64(text_col))
-    # Only texts that may lose lines are shuffled to the list of their lines, and only those that do go to Python.
-    some, rest = shared.split_by(keyed, k_text, shared.fingerprint_filter(gone, "k_text"))
-    joined = some.join(gone.select(F.col("k_id").alias(k_id), F.col("k_text").alias(k_text), F.col("gone").alias(lines)).hint("merge"), [k_id, k_text], "left")
-    changed = F.arrow_udf(_without, "string")(F.when(F.col(lines).isNotNull(), F.col(text_col).cast("string")), F.col(lines))
-    joined = joined.withColumn(text_col, F.coalesce(changed, F.col(text_col))).withColumn(removed, F.coalesce(F.size(lines), F.lit(0)))
+    doc, lines, every, again, removed, cut = shared.spare(docs, "doc", "gone", "every", "again", "lines_removed", "cut")
+    keyed = docs.withColumn(doc, _doc(id_col, text_col))
+    # Only texts that may lose lines are shuffled to the list of their lines.
+    key = F.col(f"{doc}.text")
+    some, rest = shared.split_by(keyed, key, shared.fingerprint_filter(gone, F.col("doc.text")))
+    joined = some.join(gone.select(F.col("doc").alias(doc), F.col("gone").alias(lines), F.col("every").alias(every), F.col("again").alias(again)).hint("merge"), doc, "left")
+    if not gone.filter("again").isEmpty():
+        twice = F.coalesce(F.col(again), F.lit(False))
+        joined = joined.filter(~twice).unionByName(_first_rows(joined.filter(twice), doc, every).select(*joined.columns))
+    parts = F.split(F.col(text_col).cast("string"), "\n", -1)
+    blank = F.filter(parts, lambda x: ~x.rlike(r"[^\x20\x09-\x0D]"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lines)), lambda i: F.get(parts, i))
+    kept = F.when(F.col(every), blank).when(F.size(lines) > 0, left)
+    joined = joined.withColumn(cut, kept)
+    joined = joined.withColumn(removed, F.when(F.col(cut).isNotNull(), F.size(parts) - F.size(cut)).otherwise(0)).withColumn(text_col, F.when(F.col(cut).isNotNull(), F.array_join(cut, "\n")).otherwise(F.col(text_col)))
     return joined.select(*docs.columns, removed).unionByName(rest.withColumn(removed, F.lit(0)).select(*docs.columns, removed))
 
 

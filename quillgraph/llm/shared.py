@@ -1,8 +1,9 @@
 """What the operators share: tables kept in the cluster's shared folder, column hygiene, bounded fingerprint filters.
 
 Scale notes: tables are written once as Parquet below ``spark.checkpoint.dir``, which every executor can read, so that
-a lost executor costs the tasks that ran on it and never a whole lineage. The fingerprint filter has a fixed number of
-bits: it saves work where it is sparse and lets everything through where it is full, and never decides a result.
+a lost executor costs the tasks that ran on it and never a whole lineage; they are deleted when no later step reads them. The
+fingerprint filter grows with its keys up to a bound: beyond some millions of keys it fills up and saves less work, and it
+never decides a result.
 """
 
 from __future__ import annotations
@@ -15,13 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FILTER_BITS = 1 << 23
+#: A filter has sixteen bits a key, within these bounds: 8 MB is the most that is ever broadcast.
+FILTER_BITS = (1 << 16, 1 << 26)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
+    """The folder that all executors share; a temporary one only where the session names none and runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -33,7 +38,21 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillgraph/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_in = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes settled tables that no later step reads: what depends on them must have been settled itself."""
+    for t in tables:
+        hadoop = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t.settled_in)
+        hadoop.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def whole_id(column: F.Column) -> F.Column:
+    """An id as a 64-bit integer; null where it is none."""
+    return column.try_cast("long")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,13 +71,19 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def _column(column: str | F.Column) -> F.Column:
+    return F.col(column) if isinstance(column, str) else column
+
+
 def _places(column, bits: int) -> list:
     """Two bit numbers for each value of a column."""
     return [F.pmod(F.xxhash64(F.lit(k), column), F.lit(bits)) for k in (1, 2)]
 
 
-def fingerprint_filter(df: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A Bloom filter of a column, as packed bits of a fixed size; tasks' filters are OR-ed on executors, in a few tasks."""
+def fingerprint_filter(df: DataFrame, column: str | F.Column, bits: int | None = None) -> np.ndarray:
+    """A Bloom filter of a column of a settled table, as packed bits; tasks' filters are OR-ed on executors, in a few tasks."""
+    if bits is None:
+        bits = min(max(FILTER_BITS[0], 1 << (16 * df.count()).bit_length()), FILTER_BITS[1])
 
     def part(batches):
         held = np.zeros(bits, dtype=bool)
@@ -74,39 +99,38 @@ def fingerprint_filter(df: DataFrame, column: str, bits: int = FILTER_BITS) -> n
                 held |= np.frombuffer(packed.as_buffer(), dtype=np.uint8)
         yield pa.RecordBatch.from_pydict({"packed": [held.tobytes()]})
 
-    one, two = _places(F.col(column), bits)
+    one, two = _places(_column(column), bits)
     held = np.zeros(bits // 8, dtype=np.uint8)
     for row in df.select(one.alias("one"), two.alias("two")).mapInArrow(part, "packed binary").repartition(8).mapInArrow(union, "packed binary").collect():
         held |= np.frombuffer(row[0], dtype=np.uint8)
     return held
 
 
-def may_hold(df: DataFrame, column: str, packed: np.ndarray, how: str = "left_semi") -> DataFrame:
+def may_hold(df: DataFrame, column: str | F.Column, packed: np.ndarray, how: str = "left_semi") -> DataFrame:
     """The rows whose key may be in a filter; with left_anti those whose key surely isn't. Without Python.
 
     The filter travels as one broadcast row of its fixed size, as an array of 64-bit words that is read in place.
     """
     bits = df.sparkSession.createDataFrame([(packed.view("<i8").tolist(),)], "filter_bits array<bigint>")
     found = F.lit(True)
-    for place in _places(F.col(column), len(packed) * 8):
+    for place in _places(_column(column), len(packed) * 8):
         word = F.get(F.col("filter_bits"), F.floor(place / 64).cast("int"))
         found = found & (F.getbit(word, (place % 64).cast("int")) == 1)
     return df.join(F.broadcast(bits), found, how)
 
 
-def split_by(df: DataFrame, column: str, packed: np.ndarray) -> tuple[DataFrame, DataFrame]:
+def split_by(df: DataFrame, column: str | F.Column, packed: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """The rows whose key may be in a fingerprint filter, and the rows whose key surely isn't."""
     return may_hold(df, column, packed), may_hold(df, column, packed, "left_anti")
 
 
 def first_by_hash(df: DataFrame, key: str, id_col: str, per: int) -> DataFrame:
-    """The per rows of each key whose hashed ids come first, with their place n.
+    """(key, id, n): of each key the per ids whose hashes come first, with their place n.
 
-    Rows are counted by key first, and those whose hash lies beyond twice the share that is wanted go before anything is
-    shuffled by key: so few rows of a key meet, however many it has.
+    Keys are few (labels, languages: a model holds weights for each), so their counts are broadcast. Ids whose hash lies beyond
+    twice the share that is wanted go before anything is shuffled: few rows of a key meet, however many it has.
     """
-    counted = df.groupBy(F.col(key).alias("key_")).agg(F.count("*").alias("rows_"))
-    hashed = df.withColumn("hash_", F.xxhash64(id_col))
-    place = (F.col("hash_") / F.lit(float(1 << 64))) + 0.5  # uniform in 0..1, in the order of the hash
-    near = hashed.join(counted, hashed[key] == counted["key_"]).filter(place * F.col("rows_") <= 2.0 * per + 50)
-    return near.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("hash_", id_col))).filter(F.col("n") <= per).drop("hash_", "rows_", "key_")
+    counted = df.groupBy(F.col(key).alias("key_")).agg(F.approx_count_distinct(id_col).alias("ids_"))
+    place = F.xxhash64(id_col) / F.lit(float(1 << 64)) + 0.5  # uniform in 0..1, in the order of the hash
+    near = df.join(F.broadcast(counted), df[key] == F.col("key_")).filter(place * F.col("ids_") <= 2.0 * per + 50).select(key, id_col).distinct()
+    return near.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(id_col), id_col))).filter(F.col("n") <= per)

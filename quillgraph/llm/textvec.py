@@ -51,7 +51,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers 0..n-1, and their inverses modulo 2**64."""
     if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, 2 * SLICE)
+        size = max(n, SLICE + (SLICE >> 4))
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
             steps[0] = 1
@@ -117,17 +117,21 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return _spans(*_totals(buf), start, end)
 
 
+def word_bounds(buf: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the maximal runs of bytes of a class begin and end."""
+    edge = np.flatnonzero(np.diff(kind[buf], prepend=False, append=False))
+    return edge[::2], edge[1::2]
+
+
 def words(buf: np.ndarray, off: np.ndarray, kind: np.ndarray, affixes: tuple[int, ...] = ()) -> Words:
     """Maximal runs of bytes of a class in each text of flat(). A very long text is hashed in pieces that end between words."""
-    inside = kind[buf]
-    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    start, end = edge[::2], edge[1::2]
+    start, end = word_bounds(buf, kind)
     h = np.zeros(len(start), dtype=np.uint64)
     affix = {k: np.zeros(len(start), dtype=np.uint64) for k in affixes}
     at = 0
     while at < len(start):
         low = start[at]
-        to = len(start) if len(buf) - low <= 2 * SLICE else max(at + 1, int(np.searchsorted(end, low + SLICE)))
+        to = len(start) if len(buf) - low <= SLICE else max(at + 1, int(np.searchsorted(end, low + SLICE)))
         total, down = _totals(buf[low : end[to - 1]])
         s, e = start[at:to] - low, end[at:to] - low
         h[at:to] = _spans(total, down, s, e)
