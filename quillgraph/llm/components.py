@@ -29,4 +29,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(_lowest(both).select("a", F.least("m", "a").alias("m")), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = _lowest(large)
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        e = shared.settle(small.distinct(), "stars")
+        e, old = shared.settle(small.distinct(), "stars"), e
+        shared.discard(old)

@@ -19,7 +19,7 @@ intersection from above. The sets themselves travel only for pairs that this bou
 
 Defined results. Null, empty and blank texts: an empty set, linked with nothing, its own component. Fewer words
 than a shingle: the whole sequence as one shingle. Repeated ids: each row is a document, and its component is named by the smallest
-id in it; null ids are passed over in that minimum, and a component of null ids only is named null. Extra columns aren't read.
+id in it; null ids (and those that are no integers) are passed over in that minimum, and a component of null ids only is named null. Extra columns aren't read.
 
 Scale: the order of shingles comes from a table of counts of fixed size (2**20) over all documents; any order is right, a
 better one only saves work. Sets travel only for classes in a candidate pair. Pair tables are compared by joins that Spark
@@ -193,7 +193,8 @@ def sets_of(docs: DataFrame, needed: DataFrame, rule: Rule, bitmaps: bool) -> Da
 def _compared(docs: DataFrame, pairs: DataFrame, classes: DataFrame, rule: Rule, bitmaps: bool) -> DataFrame:
     """Those of the pairs (a, b) that are linked, or with bitmaps may be."""
     ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    sets = sets_of(docs, shared.settle(classes.join(ends, "c").select("c", "mdoc"), "needed"), rule, bitmaps)
+    needed = shared.settle(classes.join(ends, "c").select("c", "mdoc"), "needed")
+    sets = sets_of(docs, needed, rule, bitmaps)
     one, two = (sets.select(F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("members").alias(f"s{k}")) for k in "ab")
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb")
 
@@ -213,12 +214,17 @@ def _compared(docs: DataFrame, pairs: DataFrame, classes: DataFrame, rule: Rule,
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int32())) for k in (0, 1)], names=["a", "b"])
 
-    return shared.settle(both.mapInArrow(compare, "a bigint, b bigint"), "compared")
+    out = shared.settle(both.mapInArrow(compare, "a bigint, b bigint"), "compared")
+    shared.discard(needed, sets)
+    return out
 
 
 def linked_pairs(docs: DataFrame, pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """Those of the candidate pairs (a, b) of classes that are linked."""
-    return _compared(docs, _compared(docs, pairs, classes, rule, True), classes, rule, False)
+    near = _compared(docs, pairs, classes, rule, True)
+    out = _compared(docs, near, classes, rule, False)
+    shared.discard(near)
+    return out
 
 
 def candidate_pairs(token: np.ndarray, c: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray, rule: Rule) -> np.ndarray:
@@ -341,7 +347,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     th: xxhash64 of the text; n: shingles; c: class of documents with equal sets, root: its component, both null for
     empty sets; component_id: the component's smallest id.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("did"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("th"))
+    src = docs.select(shared.whole_id(F.col(id_col)).alias("did"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("th"))
     rows = shared.settle(profiles(src, rule), "set-profiles")
     profile = rows.filter("kind = 0").select("did", "th", "n", F.when(F.col("c") != 0, F.col("c")).alias("c"))
     classes = shared.settle(profile.filter("c is not null").groupBy("c").agg(F.min("did").alias("mdoc")), "set-classes")
@@ -363,6 +369,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     named = _with_roots(classes.select("c", "mdoc"), roots)
     least = named.groupBy("root").agg(F.min("mdoc").alias("component_id"))
     named = shared.settle(named.join(least, "root").select("c", "root", "component_id"), "components")
+    shared.discard(classes, first, tried, later)
     return profile.join(named, "c", "left").select("did", "th", "n", "c", "root", F.when(F.col("c").isNull(), F.col("did")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -376,7 +383,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.col("did").eqNullSafe(F.col("component_id"))
 
     def on(df: DataFrame, other: DataFrame):
-        return df[id_col].cast("long").eqNullSafe(other["did_"]) & (df[th] == other["th_"])
+        return shared.whole_id(df[id_col]).eqNullSafe(other["did_"]) & (df[th] == other["th_"])
 
     gone = shared.settle(comps.filter(~first).select(F.col("did").alias("did_"), F.col("th").alias("th_")).distinct(), "duplicates")
     again = comps.filter(first).groupBy("did", "root").count().filter("count > 1").select(F.col("did").alias("a_did"), F.col("root").alias("a_root"))

@@ -5,15 +5,17 @@ first and last two and three bytes (affixes), and its byte trigrams; neighbourin
 Forward-backward over all words of a text gives each word a probability for each language, so that a text that switches
 language is labelled word by word; a text's language is the one with the largest mean probability, which is its score.
 
-Training (in numpy, by gradient ascent on the conditional likelihood) uses a bounded sample: for each language at most
-PER_LANG documents that aren't held out, those whose hashed ids come first, and of each WINDOWS windows of WINDOW words,
-spread over the whole text. Training sequences splice runs of different languages, from which transitions are learned.
+Training (in numpy, by gradient ascent on the conditional likelihood) uses a bounded sample of whole texts: for each language
+at most PER_LANG ids that aren't held out, those whose hashes come first, and of these as many as have LANG_BYTES of text
+together; a text of more than LONGEST bytes isn't trained on. Training sequences splice runs of different languages, from which
+transitions are learned.
 
 Defined results. Null text, or one without a letter: `und`, score 0. No labelled row at all: `und` for every text.
-Repeated rows: equal results. Null ids aren't held out and aren't trained on. Extra columns aren't read.
+Repeated rows: equal results; of rows that repeat an id and a language, the text of the least hash is trained on. Null ids
+aren't held out and aren't trained on. Extra columns aren't read, whatever their names.
 
-Scale: two scans (the first reads ids and labels only for the choice of the sample), no shuffle of text, a model of fixed
-size for each language.
+Scale: two scans (the first reads ids and labels only for the choice of the sample), no shuffle of text but the sample's, a
+model of fixed size for each language.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared, textvec
 
-PER_LANG, WINDOWS, WINDOW = 400, 6, 40
+PER_LANG, LANG_BYTES, LONGEST = 400, 600_000, 100_000
 AFFIXES = (2, 3, -2, -3)
 AFFIX_ROWS, TRIGRAM_ROWS, LEXICON, SLOTS = 1 << 15, 1 << 14, 20_000, 1 << 17
 SEQUENCES, LENGTH, EPOCHS, BATCH, RATE = 4000, 40, 4, 100, 0.15
@@ -115,7 +117,7 @@ def posteriors(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np
 
 
 def train(texts: list[bytes], langs: list[str], seed: int = 11) -> Model | None:
-    """texts: windows of running words; langs: the language of each."""
+    """langs: the language of each text."""
     names = sorted(set(langs))
     if not names:
         return None
@@ -213,27 +215,19 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def sample(docs: DataFrame) -> DataFrame:
+    """(lang, text): the bounded sample of rows that aren't held out."""
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("id is not null and lang is not null").filter(~held_out(F.col("id")))
+    # At most PER_LANG ids of each language: as bounded as the model.
+    chosen = shared.first_by_hash(rows.select("lang", "id"), "lang", "id", PER_LANG).select("lang", "id")
+    one = rows.filter(F.octet_length("text") <= LONGEST).join(F.broadcast(chosen), ["lang", "id"]).groupBy("lang", "id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one"))
+    so_far = F.sum(F.octet_length("one.text")).over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    return one.withColumn("bytes", so_far).filter(F.col("bytes") <= LANG_BYTES).select("lang", "one.text")
+
+
 def fit(docs: DataFrame) -> Model | None:
     """Trains on the bounded sample of rows that aren't held out."""
-    known = docs.select("doc_id", F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and lang is not null").filter(~held_out(F.col("doc_id")))
-    chosen = shared.first_by_hash(known, "lang", "doc_id", PER_LANG).select(F.col("doc_id").alias("id")).distinct()
-    src = docs.filter(F.col("lang").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = src.join(F.broadcast(chosen), src.doc_id == chosen.id).select("lang", "text")
-
-    def windows(batches):
-        for batch in batches:
-            langs, out = [], []
-            for part in textvec.slices(batch, 1):
-                buf, off = textvec.flat(part.column(1))
-                w = textvec.words(buf, off, textvec.LETTERS)
-                for i in range(part.num_rows):
-                    a, b = int(w.first[i]), int(w.first[i + 1])
-                    for s in np.unique(np.linspace(a, max(a, b - WINDOW), WINDOWS).astype(int)) if b > a else ():
-                        langs.append(part.column(0)[i].as_py())
-                        out.append(buf[w.start[s] : w.end[min(s + WINDOW, b) - 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["lang", "bytes"])
-
-    got = sorted((r["lang"], bytes(r["bytes"])) for r in rows.mapInArrow(windows, "lang string, bytes binary").collect())
+    got = sorted((r["lang"], r["text"].encode("utf-8", "surrogatepass")) for r in sample(docs).collect())
     return train([x for _, x in got], [x for x, _ in got])
 
 

@@ -7,13 +7,16 @@ is calibrated for each language, which is guessed from the text alone by its let
 of the logit's distance from that threshold, so that 0.5 is the threshold in every language.
 
 Training. The embeddings' vocabulary, the filters and the thresholds are fitted on a bounded sample of labelled rows that
-aren't held out: at most PER_CLASS rows of each label, those whose hashed ids come first; a row of more than MOST_WORDS
-words isn't taken for training. Hash keys are checked, so that a word that was never seen has no embedding at all.
+aren't held out: at most PER_CLASS ids of each label, those whose hashes come first, each with one whole text, and of these
+as many as have SAMPLE_BYTES of text together; a text of more than LONGEST bytes isn't trained on. Hash keys are checked,
+so that a word that was never seen has no embedding at all.
 
-Defined results. Null and empty text: the score of a text without words, below 0.5. Repeated rows: equal scores. Without
-labels of both kinds: score 0 for all. Null ids aren't held out and aren't trained on. Extra columns aren't read.
+Defined results. Null and empty text: the score of a text without words, below 0.5. Repeated rows: equal scores; of rows that
+repeat an id, the text of the least hash is trained on. An id labelled both ways counts as toxic. Without labels of both
+kinds: score 0 for all. Null ids aren't held out and aren't trained on. Extra columns aren't read, whatever their names.
 
-Scale: one scan for the sample, one for the scores, no shuffle of text; the model has a fixed size.
+Scale: one scan for the sample, one for the scores, no shuffle of text but the sample's; what reaches the driver has a fixed
+bound, as has the model.
 """
 
 from __future__ import annotations
@@ -22,13 +25,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared, textvec
 
 PER_CLASS = {0: 1600, 1: 900}
-MOST_WORDS = 20_000
+SAMPLE_BYTES, LONGEST = 6_000_000, 200_000
 AFFIXES = (4, 5, 6, 7)
 WIDTHS = (1, 2, 3)
 DIM, FILTERS = 8, 8
@@ -57,8 +60,8 @@ def features(w: textvec.Words) -> np.ndarray:
 
 
 def look_up(model: Model, f: np.ndarray) -> np.ndarray:
-    slot = (f >> np.uint64(46)).astype(np.int64)
-    return np.where(model.keys[slot] == f, model.ids[slot], 0)
+    slot = (f >> np.uint64(46)).astype(np.int32)
+    return np.where(model.keys[slot] == f, model.ids[slot], np.int32(0))
 
 
 def embed(model: Model, ids: np.ndarray) -> np.ndarray:
@@ -124,9 +127,9 @@ def _fit_vocabulary(docs: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray,
 
 
 def train(docs: list[np.ndarray], y: np.ndarray, counts: np.ndarray, langs: np.ndarray, seed: int = 7) -> Model:
-    """docs: features of each text's words; y: 0 or 1; counts: letters of each text; langs: a language number each, or -1."""
+    """docs: features of each text's words, emptied here; y: 0 or 1; counts: letters of each text; langs: a language number each, or -1."""
     rng = np.random.default_rng(seed)
-    tune = rng.permutation(len(docs)) % 4 == 0
+    tune = rng.permutation(len(docs)) % 4 == 0  # the rest fits the weights, these the thresholds
     fit = np.flatnonzero(~tune)
     vocab, z = _fit_vocabulary([docs[i] for i in fit], y[fit])
     keys, ids = np.zeros(SLOTS, dtype=np.uint64), np.zeros(SLOTS, dtype=np.int32)
@@ -143,6 +146,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, counts: np.ndarray, langs: np.n
     model = Model(keys, ids, emb, conv, bias, rng.normal(0.3, 0.05, FILTERS * len(WIDTHS)).astype(np.float32), -1.0, np.zeros((1, 256)), np.zeros(1))
 
     found = [look_up(model, d) for d in docs]
+    docs.clear()
     squares: dict[str, np.ndarray] = {}
 
     def step(name: str, value: np.ndarray, grad: np.ndarray) -> None:
@@ -224,14 +228,23 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Trains on the bounded sample; None without rows of both labels."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ranked = shared.first_by_hash(known, "toxic", "doc_id", max(PER_CLASS.values()))
-    chosen = ranked.filter((F.col("toxic") == 1) & (F.col("n") <= PER_CLASS[1]) | (F.col("toxic") == 0) & (F.col("n") <= PER_CLASS[0])).select(F.col("doc_id").alias("id"), "toxic")
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, toxic, lang, text): the bounded sample of labelled rows that aren't held out."""
+    known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
+    chosen = shared.first_by_hash(known, "toxic", "id", max(PER_CLASS.values()))
     # At most the sum of PER_CLASS rows of two numbers: a proven bound.
+    chosen = chosen.filter(F.col("n") <= F.when(F.col("toxic") == 1, PER_CLASS[1]).otherwise(PER_CLASS[0])).select("id", "toxic")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["id"]).select("id", "toxic", lang.alias("lang"), F.col("text").cast("string").alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").alias("id"), lang.alias("lang"), text.alias("text")).filter(F.octet_length("text") <= LONGEST).join(F.broadcast(chosen), "id")
+    one = rows.groupBy("id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "lang")).alias("one"))
+    so_far = F.sum(F.octet_length("one.text")).over(Window.orderBy(F.xxhash64("id"), "id"))
+    return one.withColumn("bytes", so_far).filter(F.col("bytes") <= SAMPLE_BYTES).select("id", "toxic", "one.lang", "one.text")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """Trains on the bounded sample; None without rows of both labels."""
+    rows = sample(docs, labels)
 
     def profile(batches):
         for batch in batches:
@@ -239,21 +252,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
                 buf, off = textvec.flat(part.column(3))
                 w = textvec.words(buf, off, textvec.LETTERS, AFFIXES)
                 f, c = features(w), letter_counts(buf, off)
-                own = [i for i in range(part.num_rows) if w.first[i + 1] - w.first[i] <= MOST_WORDS]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(k).take(pa.array(own, pa.int32())) for k in range(3)] + [pa.array([f[w.first[i] : w.first[i + 1]].tobytes() for i in own], pa.binary()), pa.array([c[i].tobytes() for i in own], pa.binary())],
+                    [part.column(k) for k in range(3)] + [pa.array([f[a:b].tobytes() for a, b in zip(w.first, w.first[1:], strict=False)], pa.binary()), pa.array([x.tobytes() for x in c], pa.binary())],
                     names=["id", "toxic", "lang", "f", "c"],
                 )
 
     kind = rows.schema[0].dataType.simpleString()
-    got = sorted(rows.mapInArrow(profile, f"id {kind}, toxic int, lang string, f binary, c binary").collect(), key=lambda r: (r["id"], bytes(r["c"])))
+    got = sorted(rows.mapInArrow(profile, f"id {kind}, toxic int, lang string, f binary, c binary").collect(), key=lambda r: r["id"])
     y = np.array([r["toxic"] for r in got], dtype=np.float32)
     if not y.any() or y.all() or len(y) < 8:
         return None
     names = sorted({r["lang"] for r in got if r["lang"] is not None})
     langs = np.array([names.index(r["lang"]) if r["lang"] is not None else -1 for r in got])
     docs_f = [np.frombuffer(r["f"], dtype=np.uint64).reshape(-1, 1 + len(AFFIXES)) for r in got]
-    return train(docs_f, y, np.stack([np.frombuffer(r["c"], dtype=np.float32) for r in got]), langs)
+    counts = np.stack([np.frombuffer(r["c"], dtype=np.float32) for r in got])
+    got.clear()
+    return train(docs_f, y, counts, langs)
 
 
 def score_column(spark: SparkSession, model: Model | None, text) -> F.Column:
