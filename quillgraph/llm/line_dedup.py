@@ -218,6 +218,8 @@ def partners(prof: DataFrame, copies: DataFrame) -> DataFrame:
     """(doc, holder): the earlier documents with which each document is to be aligned. copies aren't aligned."""
     runs = prof.select("doc", F.explode(F.arrays_zip("key", "start", "end")).alias("r")).select("doc", F.col("r.key").alias("key"), F.col("r.start").alias("s"), F.col("r.end").alias("e"))
     known = runs.groupBy("key").agg(F.min("doc").alias("holder"), F.max("doc").alias("last"), F.count("*").alias("places")).filter("holder < last").select("key", "holder", "places")
+    # Settled, so that the join's sides are both plain exchanges, of which Spark splits a hot key's.
+    known = shared.settle(known, "line-runs")
     held = runs.join(known, "key").filter("holder < doc").join(copies.select("doc"), "doc", "left_anti")
     held = held.groupBy("doc").agg(F.collect_list(F.struct("places", "s", "e", "holder")).alias("runs"))
 
@@ -231,12 +233,14 @@ def partners(prof: DataFrame, copies: DataFrame) -> DataFrame:
             kind = batch.schema.field(0).type
             yield pa.RecordBatch.from_arrays([pa.array(docs, kind), pa.array(out, kind)], names=["doc", "holder"])
 
-    return held.mapInArrow(choose, f"doc {_DOC}, holder {_DOC}")
+    out = shared.settle(held.mapInArrow(choose, f"doc {_DOC}, holder {_DOC}"), "line-partners")
+    shared.discard(known)
+    return out
 
 
 def aligned(prof: DataFrame, pairs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """(doc, gone): the numbers of the lines that each pair's alignment deletes."""
-    many = pairs.groupBy("holder").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    many = shared.settle(pairs.groupBy("holder").agg(F.ceil(F.count("*") / PARTNERS).alias("parts")), "line-holders")
     pairs = shared.settle(pairs.join(many, "holder").select("doc", "holder", F.pmod(F.xxhash64("doc"), "parts").alias("part")), "line-pairs")
     lines = prof.select("doc", "number", "line", "words").dropDuplicates(["doc"])
     firsts = pairs.select("holder", "part").distinct().join(lines.select(F.col("doc").alias("holder"), "line"), "holder")
@@ -258,23 +262,23 @@ def aligned(prof: DataFrame, pairs: DataFrame, least: int = LEAST_WORDS) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(3).take(pa.array(at, pa.int32())), pa.array(gone, pa.list_(pa.int32()))], names=["doc", "gone"])
 
     out = shared.settle(dealt.mapInArrow(align, f"doc {_DOC}, gone array<int>"), "line-blocks")
-    shared.discard(pairs)
+    shared.discard(pairs, many)
     return out
 
 
 def removals(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST_WORDS) -> DataFrame:
     """(doc, gone, every, again): what each document loses. every: all its lines; again: several rows are this document."""
     prof = shared.settle(profiles(docs, id_col, text_col, least), "line-profiles")
-    classes = prof.groupBy("one", "two").agg(F.min("doc").alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    classes = shared.settle(prof.groupBy("one", "two").agg(F.min("doc").alias("first"), F.count("*").alias("rows")).filter("rows > 1"), "line-copies")
     members = shared.settle(prof.select("doc", "one", "two").join(classes.select("one", "two", "first"), ["one", "two"]).groupBy("doc", "first").agg(F.count("*").alias("rows")), "line-classes")
     copies = members.filter("doc > first")
-    pairs = shared.settle(partners(prof, copies), "line-partners")
+    pairs = partners(prof, copies)
     blocks = aligned(prof, pairs, least)
     none = F.lit(None).cast("array<int>")
     every = blocks.select("doc", "gone", F.lit(False).alias("every"), F.lit(False).alias("again"))
     every = every.unionByName(members.filter("doc > first or rows > 1").select("doc", none.alias("gone"), (F.col("doc") > F.col("first")).alias("every"), (F.col("rows") > 1).alias("again")))
     out = shared.settle(every.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.max("every").alias("every"), F.max("again").alias("again")), "line-removals")
-    shared.discard(prof, members, pairs, blocks)
+    shared.discard(prof, classes, members, pairs, blocks)
     return out
 
 

@@ -5,34 +5,37 @@ Method. Equal vectors are one node. Nodes are dealt to parts of about PART nodes
 exact neighbours within blocks of a few random hyperplane partitions. Each round of NN-descent joins every node's
 neighbours and reverse neighbours with each other: parts ask the owners for the vectors that their nodes' lists name,
 compare all pairs within each list, and send each node the pairs that beat its worst neighbour. Rounds go on until less
-than CHANGED of the neighbours are new, ROUNDS at least. Queries start from their own
-place in the graph; each hop expands the WIDTH best nodes that weren't expanded, and a beam of BEAM nodes is kept. Hops go on
-until no beam has an unexpanded node among its WIDTH best, HOPS at least. The best
-nodes found are scored again in double precision on the original vectors, with all of a node's equal vectors that can matter.
+than CHANGED of the neighbours are new, ROUNDS at least. A query starts from its own node. Each hop expands the WIDTH best nodes
+of its beam that weren't expanded, and compares it with their neighbours, and with no other vectors; a beam keeps the BEAM best
+nodes met, and hops go on until every beam's nodes are expanded. The best nodes found are scored again in double precision on
+the original vectors, with all of a node's equal vectors that can matter.
 
-Defined results. Null vectors, zero vectors and those with null or non-finite components take no part, nor do rows without
-an id and vectors whose length isn't the most frequent one. Of rows that repeat an id, one takes part (that of the least
-hash). Ties go to smaller ids. With fewer candidates than are asked for, all are returned. Extra columns aren't read.
+Defined results. Null vectors, empty ones, zero vectors and those with null or non-finite components take no part. Each other row is
+a candidate, whether or not its id is null or repeated, but for the query's own row; rows that repeat a query are queries
+too. Vectors are compared with those of equal length; lengths with fewer than SMALL vectors are searched exactly. Ties go to smaller ids,
+null last. With fewer candidates than are asked for, all are returned. Extra columns aren't read.
 
 Scale: all exchanges are between parts of a bounded number of nodes; a node of very many reverse neighbours is sampled, as
-the method does. Nothing is broadcast or collected but counts. Every row is indexed. Recall falls slowly with size: it is
-governed by CHANGED, WIDTH and BEAM.
+the method does. Nothing is broadcast or collected but counts. Every row is indexed. The vectors that a query is compared with
+grow with BEAM, hardly with the table; recall falls slowly with size and is governed by NEIGHBOURS and BEAM.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared, textvec
 
 PART, BLOCK, PARTITIONS = 4096, 1024, 3
-NEIGHBOURS, ROUNDS = 24, 4
-QUERIES, WIDTH, BEAM, HOPS = 128, 128, 640, 4
-CHANGED = 0.001
+NEIGHBOURS, ROUNDS = 32, 4
+QUERIES, WIDTH, BEAM = 128, 16, 112
+CHANGED = 0.005
 AGAIN = 16
+SMALL = 256
 SEED = 20240611
 
 _STATE = "pid bigint, nodes binary, vectors binary, ids binary, sims binary"
@@ -121,17 +124,22 @@ def _requests(schema: str, me: int, nodes: np.ndarray, parts: int) -> pa.Table:
 
 
 def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v, node): v doubles; node: the smallest id of the same vector."""
+    """(vec_id, v, copies, node), distinct in (vec_id, v): v doubles; copies: rows; node: a number of the vector, 0 or more."""
     v = F.col(vector_col).cast("array<double>")
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
+    rows = table.select(shared.whole_id(F.col(id_col)).alias("vec_id"), v.alias("v")).filter("v is not null and size(v) > 0")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.filter(~bad & F.exists("v", lambda x: x != 0)).withColumn("h", F.xxhash64("v"))
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("vec_id").orderBy("h"))).filter("n = 1").drop("n")
-    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rows = rows.filter(F.size("v") == (lengths[0] if lengths else 0))
-    rows = shared.settle(rows, "vectors")
-    first = rows.groupBy("h").agg(F.min("vec_id").alias("node"))
-    return shared.settle(rows.join(first, "h").select("vec_id", "v", "node"), "vector-nodes")
+    rows = rows.filter(~bad & F.exists("v", lambda x: x != 0))
+    # Lengths whose squares would leave the range of doubles are scaled; a cosine doesn't change by that.
+    most = F.array_max(F.transform("v", F.abs))
+    rows = rows.withColumn("v", F.when((most > 1e140) | (most < 1e-140), F.transform("v", lambda x: x / most)).otherwise(F.col("v")))
+    rows = rows.groupBy("vec_id", "v").agg(F.count("*").alias("copies"))
+    rows = shared.settle(rows.withColumn("node", F.shiftrightunsigned(F.xxhash64("v"), 1)), "vectors")
+    spread = rows.groupBy("node").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    if spread.filter("low <> high").isEmpty():
+        return rows
+    # Different vectors of one hash: numbered on from it.
+    apart = rows.select("node", "v").distinct().withColumn("more", F.row_number().over(Window.partitionBy("node").orderBy("v")) - 1)
+    return shared.settle(rows.join(apart, ["node", "v"]).select("vec_id", "v", "copies", (F.col("node") + F.col("more")).alias("node")), "vectors")
 
 
 def _quantised(rows: pa.Array, d: int) -> np.ndarray:
@@ -143,7 +151,7 @@ def _quantised(rows: pa.Array, d: int) -> np.ndarray:
 def build_graph(vectors: DataFrame, d: int, n: int) -> DataFrame:
     """The parts after NN-descent, with reverse neighbours (a sample of NEIGHBOURS) beside each node's own."""
     k, parts = NEIGHBOURS, max(1, -(-n // PART))
-    nodes = vectors.filter("vec_id = node").select("node", "v")
+    nodes = vectors.select("node", "v").dropDuplicates(["node"])
 
     def deal(batches):
         for batch in batches:
@@ -205,7 +213,10 @@ def build_graph(vectors: DataFrame, d: int, n: int) -> DataFrame:
         lists = shared.settle(_neighbourhoods(state, parts), "neighbourhoods")
         before, state = state, shared.settle(_exchange(state, _joined_lists(state, lists, parts), merge, _STATE), "graph")
         rounds, share = rounds + 1, changed_share(before, state)
-    return shared.settle(_neighbourhoods(state, parts), "search-graph")
+        shared.discard(lists, before)
+    out = shared.settle(_neighbourhoods(state, parts), "search-graph")
+    shared.discard(dealt, state)
+    return out
 
 
 def changed_share(before: DataFrame, after: DataFrame) -> float:
@@ -308,11 +319,12 @@ def _joined_lists(state: DataFrame, lists: DataFrame, parts: int) -> DataFrame:
     return _exchange(lists, _vectors_for(state, lists.mapInArrow(ask, _ASK)), join, _UPDATE)
 
 
-_BEAM = "pid bigint, nodes binary, vectors binary, ids binary, sims binary, done binary"
+_BEAM = "pid bigint, nodes binary, vectors binary, ids binary, sims binary, done binary, met binary"
+_MESSAGE = "pid bigint, asker bigint, x binary, ids binary, vectors binary"
 
 
 def open_beams(beams: DataFrame) -> int:
-    """Number of beams with an unexpanded node among their WIDTH best."""
+    """Number of beams with an unexpanded node."""
 
     def count(batches):
         for batch in batches:
@@ -320,14 +332,32 @@ def open_beams(beams: DataFrame) -> int:
             for nodes, ids, done in zip(*(batch.column(c) for c in range(3)), strict=True):
                 shape = (len(nodes.as_py()) // 8, -1)
                 ids, done = np.frombuffer(ids.as_py(), dtype=np.int64).reshape(shape), np.frombuffer(done.as_py(), dtype=np.int8).reshape(shape)
-                some += int(((ids >= 0) & (done == 0))[:, :WIDTH].any(axis=1).sum())
+                some += int(((ids >= 0) & (done == 0)).any(axis=1).sum())
             yield pa.RecordBatch.from_arrays([pa.array([some], pa.int64())], names=["some"])
 
     return beams.select("nodes", "ids", "done").mapInArrow(count, "some bigint").agg(F.sum("some")).first()[0] or 0
 
 
-def search(graph: DataFrame, starts: DataFrame, d: int, n: int, wanted: int) -> DataFrame:
-    """starts: (node), distinct; (node, found) with the best nodes found for each by greedy search."""
+class Beams:
+    """A row of a group of queries; beams are sorted, best first, and padded with -1."""
+
+    def __init__(self, row: dict, d: int):
+        self.pid, self.nodes, self.vectors = row["pid"], np.frombuffer(row["nodes"], dtype=np.int64), row["vectors"]
+        n = len(self.nodes)
+        self.q = _unit(np.frombuffer(self.vectors, dtype=np.int8).reshape(n, d))
+        self.ids = np.frombuffer(row["ids"], dtype=np.int64).reshape(n, -1)
+        self.sims = np.frombuffer(row["sims"], dtype=np.float32).reshape(n, -1)
+        self.done = np.frombuffer(row["done"], dtype=np.int8).reshape(n, -1)
+        self.met = np.frombuffer(row["met"], dtype=np.int64)
+
+    def to_expand(self) -> np.ndarray:
+        """(queries, beam): the WIDTH best unexpanded nodes of each."""
+        open_ = (self.ids >= 0) & (self.done == 0)
+        return open_ & (np.cumsum(open_, axis=1) <= WIDTH)
+
+
+def search(graph: DataFrame, starts: DataFrame, d: int, n: int) -> DataFrame:
+    """starts: (node), distinct; the beams after greedy search: a row for each group of queries, with the number of comparisons."""
     parts, groups = max(1, -(-n // PART)), max(1, -(-starts.count() // QUERIES))
 
     def group_asks(batches):
@@ -341,106 +371,132 @@ def search(graph: DataFrame, starts: DataFrame, d: int, n: int, wanted: int) ->
         part, out = Part(left), []
         for asker, x in zip(right.column("asker").to_pylist(), right.column("x"), strict=True):
             at = part.at(np.frombuffer(x.as_py(), dtype=np.int64))
-            beam = np.concatenate([part.nodes[at][:, None], part.ids[at]], axis=1)
-            out.append((asker, part.nodes[at].tobytes(), part.vectors[at].tobytes(), beam.tobytes(), np.zeros(beam.shape, np.float32).tobytes(), (beam < 0).astype(np.int8).tobytes()))
-        return _table(_BEAM, *zip(*out, strict=True)) if out else _table(_BEAM, *[[]] * 6)
+            one = np.ones(len(at), np.float32)
+            out.append((asker, part.nodes[at].tobytes(), part.vectors[at].tobytes(), part.nodes[at].tobytes(), one.tobytes(), np.zeros(len(at), np.int8).tobytes(), np.zeros(len(at), np.int64).tobytes()))
+        return _table(_BEAM, *zip(*out, strict=True)) if out else _table(_BEAM, *[[]] * 7)
 
     beams = shared.settle(_exchange(graph, starts.mapInArrow(group_asks, _ASK), begin, _BEAM), "beams")
 
     def expand(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                pid, nodes, _, ids, sims, done = (batch.column(c)[i].as_py() for c in range(6))
-                shape = (len(nodes) // 8, -1)
-                ids, done = np.frombuffer(ids, dtype=np.int64).reshape(shape), np.frombuffer(done, dtype=np.int8).reshape(shape)
-                s = np.where((done > 0) | (ids < 0), -9, np.frombuffer(sims, dtype=np.float32).reshape(shape))
-                top = np.argsort(-s, axis=1, kind="stable")[:, :WIDTH]
-                x = np.take_along_axis(ids, top, axis=1)[np.take_along_axis(s, top, axis=1) > -9]
-                yield from _requests(_ASK, pid, x, parts).to_batches()
+            for row in batch.to_pylist():
+                held = Beams(row, d)
+                yield from _requests(_ASK, held.pid, held.ids[held.to_expand()], parts).to_batches()
 
     def neighbours(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Of the expanded nodes: passed on as requests for the vectors of their neighbours."""
+        """Of the expanded nodes: their neighbours to the asker, and its requests for these neighbours' vectors to their owners."""
         part, out = Part(left), []
         for asker, x in zip(right.column("asker").to_pylist(), right.column("x"), strict=True):
             x = np.frombuffer(x.as_py(), dtype=np.int64)
-            out.append(_requests(_ASK, asker, np.concatenate([x, part.ids[part.at(x)].ravel()]), parts))
-        return pa.concat_tables(out) if out else _table(_ASK, [], [], [])
+            ids = part.ids[part.at(x)]
+            out.append(_table(_MESSAGE, [asker], [-1], [x.tobytes()], [ids.tobytes()], [None]))
+            asked = _requests(_ASK, asker, ids.ravel(), parts)
+            out.append(_table(_MESSAGE, asked.column("pid"), asked.column("asker"), asked.column("x"), [None] * len(asked), [None] * len(asked)))
+        return pa.concat_tables(out) if out else _table(_MESSAGE, *[[]] * 5)
 
     def hop(left: pa.Table, right: pa.Table) -> pa.Table:
-        x, v, _ = _replies(right, d)
-        new = np.ones(len(x), dtype=bool)
-        new[1:] = x[1:] != x[:-1]
-        x, v = x[new], v[new]
+        lists = right.filter(pa.compute.is_valid(right.column("ids")))
+        expanded = _joined(lists.column("x"), np.int64)
+        near = _joined(lists.column("ids"), np.int64).reshape(len(expanded), -1) if len(expanded) else np.zeros((0, 1), np.int64)
+        order = np.argsort(expanded)
+        expanded, near = expanded[order], near[order]
+        replies = right.filter(pa.compute.is_valid(right.column("vectors")))
+        x = _joined(replies.column("x"), np.int64)
+        v = _joined(replies.column("vectors"), np.int8).reshape(len(x), d)
+        x, at = np.unique(x, return_index=True)
+        v = _unit(v[at])
         out = []
         for row in left.to_pylist():
-            nodes = np.frombuffer(row["nodes"], dtype=np.int64)
-            q = _unit(np.frombuffer(row["vectors"], dtype=np.int8).reshape(len(nodes), d))
-            ids = np.frombuffer(row["ids"], dtype=np.int64).reshape(len(nodes), -1)
-            sims, done = np.frombuffer(row["sims"], dtype=np.float32).reshape(ids.shape), np.frombuffer(row["done"], dtype=np.int8).reshape(ids.shape)
-            open_ = np.where((done > 0) | (ids < 0), -9, sims)
-            top = np.argsort(-open_, axis=1, kind="stable")[:, :WIDTH]
-            expanded = done.copy()
-            np.put_along_axis(expanded, top, 1, axis=1)
-            s = q @ v.T
-            beam = np.full((len(nodes), BEAM), -1, np.int64), np.full((len(nodes), BEAM), -2, np.float32), np.ones((len(nodes), BEAM), np.int8)
-            for i in range(len(nodes)):
-                known = set(ids[i][(expanded[i] > 0) & (ids[i] >= 0)].tolist())
-                best = np.argsort(-s[i], kind="stable")[:BEAM]
-                beam[0][i, : len(best)], beam[1][i, : len(best)] = x[best], s[i, best]
-                # What was in the beam and isn't among the replies stays with the similarity that it had.
-                old = np.flatnonzero((ids[i] >= 0) & ~np.isin(ids[i], x) & (sims[i] != 0))
-                every, value = np.concatenate([x[best], ids[i][old]]), np.concatenate([s[i, best], sims[i][old]])
-                order = np.argsort(-value, kind="stable")[:BEAM]
-                beam[0][i, : len(order)], beam[1][i, : len(order)] = every[order], value[order]
-                beam[2][i, : len(order)] = [y in known for y in every[order].tolist()]
-            out.append((row["pid"], row["nodes"], row["vectors"], *(b.tobytes() for b in beam)))
-        return _table(_BEAM, *zip(*out, strict=True)) if out else _table(_BEAM, *[[]] * 6)
-
-    hops = 0
-    while hops < HOPS or open_beams(beams):
-        hops += 1
-        asked = _exchange(graph, beams.mapInArrow(expand, _ASK), neighbours, _ASK)
-        beams = shared.settle(_exchange(beams, _vectors_for(graph, asked), hop, _BEAM), "beams")
+            held = Beams(row, d)
+            now = held.to_expand()
+            beam = np.full((len(held.nodes), BEAM), -1, np.int64), np.full((len(held.nodes), BEAM), -2, np.float32), np.ones((len(held.nodes), BEAM), np.int8)
+            met = held.met.copy()
+            for i in range(len(held.nodes)):
+                # This query's own expanded nodes' neighbours, as far as its beam doesn't hold them.
+                new = np.unique(near[np.searchsorted(expanded, held.ids[i, now[i]])])
+                new = new[(new >= 0) & ~np.isin(new, held.ids[i])]
+                ids = np.concatenate([held.ids[i], new])
+                sims = np.concatenate([held.sims[i], v[np.searchsorted(x, new)] @ held.q[i]])
+                done = np.concatenate([held.done[i] | now[i], np.zeros(len(new), np.int8)])
+                order = np.lexsort((ids, -sims))[:BEAM]
+                for whole, part in zip(beam, (ids, sims, done), strict=True):
+                    whole[i, : len(order)] = part[order]
+                met[i] += len(new)
+            out.append((held.pid, row["nodes"], held.vectors, *(b.tobytes() for b in beam), met.tobytes()))
+        return _table(_BEAM, *zip(*out, strict=True)) if out else _table(_BEAM, *[[]] * 7)
+
+    while open_beams(beams):
+        asked = shared.settle(_exchange(graph, beams.mapInArrow(expand, _ASK), neighbours, _MESSAGE), "expanded")
+        replies = _vectors_for(graph, asked.filter("asker >= 0").select("pid", "asker", "x"))
+        told = asked.filter("asker < 0").unionByName(replies.select("pid", F.lit(0).cast("long").alias("asker"), "x", F.lit(None).cast("binary").alias("ids"), "vectors"))
+        before, beams = beams, shared.settle(_exchange(beams, told, hop, _BEAM), "beams")
+        shared.discard(asked, before)
+    return beams
+
+
+def best_found(beams: DataFrame, wanted: int) -> DataFrame:
+    """(node, found): the best nodes of each beam, the query's own one among them; met: comparisons that the query made."""
 
     def emit(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                nodes = np.frombuffer(batch.column(1)[i].as_py(), dtype=np.int64)
-                ids = np.frombuffer(batch.column(3)[i].as_py(), dtype=np.int64).reshape(len(nodes), -1)[:, : wanted + 1]
-                q = np.repeat(nodes, ids.shape[1])
+            for row in batch.to_pylist():
+                nodes = np.frombuffer(row["nodes"], dtype=np.int64)
+                ids = np.frombuffer(row["ids"], dtype=np.int64).reshape(len(nodes), -1)[:, : wanted + 1]
+                q, met = (np.repeat(x, ids.shape[1]) for x in (nodes, np.frombuffer(row["met"], dtype=np.int64)))
                 found = ids.ravel()
                 good = (found >= 0) & (found != q)
-                yield pa.RecordBatch.from_arrays([pa.array(q[good]), pa.array(found[good])], names=["node", "found"])
-
-    return beams.mapInArrow(emit, "node bigint, found bigint")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([q[good], nodes])), pa.array(np.concatenate([found[good], nodes])), pa.array(np.concatenate([met[good], np.frombuffer(row["met"], dtype=np.int64)]))], names=["node", "found", "met"])
+
+    return beams.mapInArrow(emit, "node bigint, found bigint, met bigint")
+
+
+def candidates(rows: DataFrame, queries: DataFrame, wanted: int) -> DataFrame:
+    """(node, found, met): nodes that may be among the wanted nearest of each query's node. A search for each length of vectors."""
+    sized = rows.withColumn("d", F.size("v"))
+    counts = {r["d"]: r["n"] for r in sized.groupBy("d").agg(F.approx_count_distinct("node").alias("n"), F.count("*").alias("rows")).collect()}
+    few = [d for d, n in counts.items() if n < SMALL]
+    small = sized.filter(F.col("d").isin(few)).select("d", F.col("node").alias("found")).distinct()
+    out = queries.select("node", F.size("v").alias("d")).filter(F.col("d").isin(few)).distinct().join(small, "d").select("node", "found", F.lit(0).cast("long").alias("met"))
+    for d in sorted(set(counts) - set(few)):
+        starts = shared.settle(queries.filter(F.size("v") == d).select("node").distinct(), "starts")
+        if not starts.isEmpty():
+            own = rows.filter(F.size("v") == d)
+            n = own.select("node").distinct().count()
+            graph = build_graph(own, d, n)
+            beams = search(graph, starts, d, n)
+            out = out.unionByName(best_found(beams, wanted))
+            shared.discard(graph)
+        shared.discard(starts)
+    return out
 
 
 def nearest(table: DataFrame, top: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", is_query=None) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the top nearest of each query; is_query: a condition on vec_id, default divisible by 50."""
-    spark = table.sparkSession
+    """(query_id, rank, vec_id, score, compared) of the top nearest of each query; is_query: a condition on vec_id, default divisible by 50.
+
+    compared: the nodes that the search compared the query with; 0 where it was exact.
+    """
     rows = valid_vectors(table, id_col, vector_col)
-    first = rows.select(F.size("v")).first()
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if first is None:
-        return spark.createDataFrame([], schema)
-    d, n = first[0], rows.filter("vec_id = node").count()
     queries = rows.filter(F.col("vec_id") % 50 == 0 if is_query is None else is_query)
-    graph = build_graph(rows, d, n)
-    starts = shared.settle(queries.select("node").distinct(), "starts")
-    if starts.isEmpty():
-        return spark.createDataFrame([], schema)
-    found = search(graph, starts, d, n, AGAIN + top).unionByName(starts.select("node", F.col("node").alias("found"))).distinct()
+    found = candidates(rows, queries, AGAIN + top)
     # Of equal vectors only those with the smallest ids can be among the nearest.
-    members = rows.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).filter(F.col("k") <= top + 1).select(F.col("node").alias("found"), "vec_id", F.col("v").alias("w"))
-    pairs = queries.select(F.col("vec_id").alias("query_id"), "node", "v").join(found, "node").join(members, "found").filter("vec_id <> query_id")
+    ids = F.col("vec_id").asc_nulls_last()
+    members = rows.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(ids))).filter(F.col("k") <= top + 1)
+    members = members.select(F.col("node").alias("found"), "vec_id", F.col("v").alias("w"), F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(top + 1)))).alias("copy"))
+    pairs = queries.select(F.col("vec_id").alias("query_id"), "node", "v", F.col("copies").alias("times")).join(found, "node").join(members, "found")
+    own = F.col("vec_id").eqNullSafe(F.col("query_id")) & (F.col("found") == F.col("node")) & (F.col("copy") == 1)
 
     def total(xs):
         return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
     dot, vv, ww = total(F.zip_with("v", "w", lambda x, y: x * y)), total(F.transform("v", lambda x: x * x)), total(F.transform("w", lambda x: x * x))
-    scored = pairs.select("query_id", "vec_id", (dot / (F.sqrt(vv) * F.sqrt(ww))).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    scored = pairs.filter(~own).select("query_id", "node", "times", "vec_id", (dot / (F.sqrt(vv) * F.sqrt(ww))).alias("score"), F.col("met").alias("compared"))
+    order = Window.partitionBy("query_id", "node").orderBy(F.desc("score"), ids)
+    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # A row for each row of the query.
+    thousand = F.lit(1000).cast("long")
+    best = best.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / thousand))))
+    best = best.withColumn("t", F.explode(F.sequence(F.lit(1).cast("long"), F.least(thousand, F.col("times") - F.col("t") * thousand))))
+    return best.select("query_id", "rank", "vec_id", "score", "compared")
 
 
 def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:

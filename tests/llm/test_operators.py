@@ -137,6 +137,53 @@ def test_common_lines_by_brute_force():
         assert line_dedup.common_lines(a, b, words) == want
 
 
+def brute_line_dedup(rows, least=25):
+    """rows: (id, text); the text that is left of each, by comparing each with every document before it, run by run."""
+
+    def lines(text):
+        return [(n, lower(x)) for n, x in enumerate((text or "").split("\n")) if re.search("[^\x20\x09-\x0d]", x)]
+
+    def order(text_hash, row):
+        return row[0] is None, row[0] or 0, text_hash
+
+    out, ranked = {}, sorted(range(len(rows)), key=lambda i: order(rows[i][2], rows[i]))
+    for at, i in enumerate(ranked):
+        own, gone = lines(rows[i][1]), set()
+        for j in ranked[:at]:
+            other = [x for _, x in lines(rows[j][1])]
+            for s in range(len(own)):
+                for e in range(s + 1, len(own) + 1):
+                    run = [x for _, x in own[s:e]]
+                    if sum(len(re.findall("[^\x20\x09-\x0d]+", x)) for x in run) >= least and any(other[k : k + len(run)] == run for k in range(len(other))):
+                        gone |= {n for n, _ in own[s:e]}
+        text = rows[i][1]
+        out[i] = None if text is None else "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone)
+    return out
+
+
+def test_line_dedup_by_brute_force(spark):
+    rng = random.Random(31)
+    a, b, own = " ".join(words_of(30, 1)), " ".join(words_of(12, 2)), " ".join(words_of(9, 3))
+    pool = [" ".join(words_of(rng.choice((1, 3, 8, 13, 26, 40)), 700 + k)) for k in range(14)] + [""]
+    rows = [(1, a), (2, f"{a}\n{b}"), (3, f"{a}\n{b}\n{own}")]
+    rows += [(rng.choice([None, *range(10, 30)]), "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for _ in range(60)]
+    rows += [(None, "\n".join(words_of(30, 5)))] * 2 + [(40, a.upper()), (2**63 - 1, f"{own}\n{a}"), (5, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    hashed = [(d, t, h) for (d, t), h in zip(rows, [r[0] for r in docs.select(F.coalesce(F.xxhash64("text"), F.lit(0))).collect()], strict=True)]
+    want = brute_line_dedup(hashed)
+    assert want[2] == own
+    got = line_dedup.dedup_lines(docs).collect()
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(repr, ((rows[i][0], t) for i, t in want.items())))
+
+
+def test_line_dedup_of_a_hot_holder(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PARTNERS", 4)
+    passage = "\n".join(" ".join(words_of(20, 900 + k)) for k in range(3))
+    docs = spark.createDataFrame([(i, f"{' '.join(words_of(30, 1000 + i))}\n{passage}") for i in range(40)] + [(7, f"{' '.join(words_of(30, 1007))}\n{passage}")] * 30, "doc_id bigint, text string")
+    got = line_dedup.dedup_lines(docs).collect()
+    assert sum("\n" in r["text"] for r in got) == 1 and sum(r["text"] == "" for r in got) == 30 and sum(r["doc_id"] == 7 and r["text"] != "" for r in got) == 1
+
+
 def test_line_dedup_odd(odd, empty):
     got = line_dedup.dedup_lines(odd)
     assert got.count() == len(ODD) and got.columns[:-1] == odd.columns
@@ -259,6 +306,12 @@ def test_toxicity(spark, odd, empty):
     assert out[1]["predicted"] == out[2]["predicted"] == 0
     assert toxicity.classify(odd, None).filter("score > 0").count() == 0
     assert toxicity.fit(empty, labels.limit(0)) is None and toxicity.classify(empty, None).count() == 0
+    clash = docs.select("*", *[F.lit("x").alias(c) for c in ("id", "toxic", "one", "hash", "n", "bytes", "key_", "ids_")])
+    again = toxicity.fit(clash.unionByName(clash), labels)  # repeated rows count once
+    assert np.array_equal(again.emb, model.emb) and np.array_equal(again.shift, model.shift)
+    long_ = docs.unionByName(spark.createDataFrame([(7, LONG, "en", "s", 0), (13, " ".join(["vile"] * 80_000), "en", "s", 0)], DOCS))
+    assert toxicity.fit(long_, labels) is not None and language_id.fit(long_) is not None
+    assert language_id.fit(clash.drop("toxic")).langs == ["aa", "bb", "cc"]
 
 
 # ---- 7
@@ -410,34 +463,62 @@ def test_banded_alignment_by_brute_force():
 # ---- 9
 
 
+def brute_nearest(rows, q, top=5):
+    """(vec_id, score) of the nearest rows to row number q."""
+    out = []
+    for i, (vec_id, v) in enumerate(rows):
+        if i != q and len(v) == len(rows[q][1]):
+            a, b = np.array(v, float), np.array(rows[q][1], float)
+            out.append((-round(float(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b)), 9), vec_id is None, vec_id or 0))
+    return [(None if n else v, -s) for s, n, v in sorted(out)[:top]]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(700, 16)).astype(np.float32)
     x[200:260] = x[0]  # equal vectors
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (950, [0.0] * 16), (1000, [None] + [1.0] * 15), (1050, [float("nan")] * 16), (1100, [float("inf")] * 16), (1150, []), (1200, [1.0, 2.0]), (None, [1.0] * 16)]
-    got = nn_descent.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
-    d = x.astype(float)
-    d /= np.linalg.norm(d, axis=1, keepdims=True)
-    assert {r["query_id"] for r in got} == set(range(0, 700, 50)) and len(got) == 14 * 5
-    hits = 0
-    for q in range(0, 700, 50):
-        s = np.round(d @ d[q], 10)
-        s[q] = -9
-        want = np.lexsort((np.arange(700), -s))[:5].tolist()
-        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
-        hits += len(set(want) & {v for _, v, _ in own})
-        assert [k for k, _, _ in own] == [1, 2, 3, 4, 5] and all(abs(c - d[v] @ d[q]) < 1e-9 for _, v, c in own)
-        if q in (0, 200, 250):
-            assert [v for _, v, _ in own] == want
-    assert hits >= 0.9 * 14 * 5
+    good = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[51].tolist()), (50, x[51].tolist()), (50, x[50].tolist()), (100, x[100].tolist()), (150, [1.0, 2.0]), (151, [2.0, 1.0])]
+    bad = [(900, None), (950, [0.0] * 16), (1000, [None] + [1.0] * 15), (1050, [float("nan")] * 16), (1100, [float("inf")] * 16), (1150, [])]
+    docs = spark.createDataFrame(good + bad, "vec_id bigint, embedding array<float>").withColumn("node", F.lit("x")).withColumn("score", F.lit(1)).withColumn("v", F.lit(2))
+    got = nn_descent.nearest(docs).collect()
+    want, hits = [], 0
+    for q, (vec_id, _) in enumerate(good):
+        if vec_id is not None and vec_id % 50 == 0:
+            want += [(vec_id, k + 1, v, s) for k, (v, s) in enumerate(brute_nearest(good, q))]
+    key = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got]
+    assert sorted((a, b) for a, b, *_ in key) == sorted((a, b) for a, b, *_ in want)
+    for t in want:
+        if t in key:
+            key.remove(t)
+            hits += 1
+    assert hits >= 0.9 * len(want)
     few = nn_descent.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id bigint, embedding array<float>")).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in few] == [(0, 1, 1)]
+    wide = nn_descent.nearest(spark.createDataFrame([(0, [1e-200, 0.0]), (1, [1e200, 1e200])], "vec_id bigint, embedding array<double>")).collect()
+    assert [(r["vec_id"], round(r["score"], 6)) for r in wide] == [(1, 0.707107)]
     assert nn_descent.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_greedy_search_over_many_parts(spark, monkeypatch):
+    """Several blocks, parts and groups; each query is compared with a share of the vectors only."""
+    for name, value in {"PART": 256, "BLOCK": 128, "QUERIES": 8, "NEIGHBOURS": 16, "WIDTH": 8, "BEAM": 32}.items():
+        monkeypatch.setattr(nn_descent, name, value)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 24))
+    x = (centres[rng.integers(60, size=4000)] + 0.6 * rng.normal(size=(4000, 24))).astype(np.float32)
+    got = nn_descent.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")).collect()
+    d = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 4000, 50):
+        s = d @ d[q]
+        s[q] = -9
+        hits += len(set(np.argsort(-s)[:5].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert len(got) == 400 and hits >= 0.9 * 400
+    assert 0 < max(r["compared"] for r in got) < 0.25 * 4000
+
+
 def test_nearest_goes_on_until_it_converges(spark, monkeypatch):
     monkeypatch.setattr(nn_descent, "ROUNDS", 1)
-    monkeypatch.setattr(nn_descent, "HOPS", 1)
     shares, beams = [], []
     share, open_ = nn_descent.changed_share, nn_descent.open_beams
     monkeypatch.setattr(nn_descent, "changed_share", lambda a, b: shares.append(share(a, b)) or shares[-1])
