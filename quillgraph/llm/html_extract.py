@@ -10,7 +10,8 @@ that of the kept blocks in page order.
 
 Defined results. Null and empty pages, and pages without text: an empty text. Pages without a paragraph that scores: the
 article or main element, else what is left of the body. A page that breaks off is taken as far as it goes. Repeated rows:
-a row each. Extra columns aren't read. Time is linear in a page's length, and so is memory.
+a row each. Extra columns aren't read. Time and memory are linear in a page's length: no tag climbs past elements that it
+doesn't close.
 
 Scale: one scan without a shuffle.
 """
@@ -28,8 +29,8 @@ from . import shared
 
 #: Classes of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math canvas object select xmp noembed noframes".split())
-GONE = frozenset("nav footer aside form button dialog menu video audio fieldset head input label".split()) | RAW
+RAW = frozenset("script style textarea title noscript iframe template select noembed noframes".split())
+GONE = frozenset("nav footer aside form button dialog menu video audio fieldset head input".split()) | RAW
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = frozenset("p pre blockquote td dd li figcaption".split())
@@ -43,10 +44,17 @@ UNLIKELY = frozenset(
     " navigation menu menus submenu breadcrumb breadcrumbs footer footnav header masthead topbar share sharing social related recommended recommendations"
     " newsletter subscribe subscription signup login widget widgets toolbar pagination pager skip disclaimer paywall tags tagcloud legal copyright".split()
 )
+#: Words that an article's own parts may carry: within an article they tell of something else only where most is links.
+WEAK = frozenset("legal tags tagcloud copyright skip related recommended recommendations share sharing social widget widgets toolbar banner masthead topbar header disclaimer respond alert modal overlay".split())
 STRONG = frozenset("comment comments commentlist disqus cookie cookies advert adverts advertisement ad ads sidebar".split())
 LIKELY = frozenset("article body content main column entry post story text page container wrapper prose".split())
 HEAVY = {"article": 25, "main": 15, "section": 3, "div": 5, "blockquote": 3, "td": 3, "pre": 3, "ul": -3, "ol": -3, "dl": -3, "address": -3, "form": -3, "th": -5}
 
+LISTED = frozenset("ul ol dl table select".split())
+#: A bit for each tag that a start tag may close.
+BIT = {tag: 1 << k for k, tag in enumerate(sorted(set().union(*CLOSES.values())))}
+ENDS = {tag: sum(BIT[x] for x in own) for tag, own in CLOSES.items()}
+MOST_LOOSE = 100
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+""")
@@ -56,13 +64,19 @@ _WANTED = ("class", "id", "role", "hidden", "aria-hidden", "style")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "up", "score", "size", "linked", "commas", "menu")
+    """in_p: whether a paragraph is open here that a block would close; items: bits of the open tags that a start tag may close;
+    open_: how many of each tag are open in this table cell, which end tags of most other elements don't leave."""
+
+    __slots__ = ("tag", "attrs", "kids", "up", "score", "size", "linked", "commas", "menu", "in_p", "items", "open_")
 
     def __init__(self, tag: str, attrs: dict[str, str], up: Node | None):
         self.tag, self.attrs, self.up = tag, attrs, up
         self.kids: list = []
         self.score, self.size, self.linked, self.commas = 0.0, 0, 0, 0
         self.menu = False
+        self.in_p = tag == "p" or up is not None and up.in_p and tag not in FENCE
+        self.items = BIT.get(tag, 0) | (0 if up is None or tag in LISTED else up.items)
+        self.open_ = {} if up is None or tag in ("td", "th") else up.open_
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -75,10 +89,26 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def parse(page: str) -> Node:
-    """The page's tree; text is decoded."""
+    """The page's tree; text is decoded.
+
+    A start or end tag climbs only to an element that it closes, which is known beforehand, so that the climb's steps are
+    those of the elements closed.
+    """
     root = node = Node("html", {}, None)
-    at, end = 0, len(page)
-    no_comment = no_raw = False
+    total: dict[str, int] = {}  # open elements by tag
+    at, end, loose = 0, len(page), 0
+    no_comment = False
+
+    def leave(to: Node) -> Node:
+        """Closes the elements from the current one up to the one given, which is closed too."""
+        here = node
+        while True:
+            total[here.tag] -= 1
+            here.open_[here.tag] -= 1
+            if here is to:
+                return here.up
+            here = here.up
+
     while at < end:
         lt = page.find("<", at)
         if lt < 0:
@@ -97,48 +127,55 @@ def parse(page: str) -> Node:
             stop = page.find(">", lt)
             at = stop + 1 if stop >= 0 else end
             continue
-        m = _TAG.match(page, lt) or _LOOSE.match(page, lt) if c == "/" or c.isalpha() else None
-        if m is None:
-            if page.find(">", lt) < 0 and (c.isalpha() or c == "/"):  # broken off within a tag
+        m = None
+        if c == "/" or c.isalpha():
+            m = _TAG.match(page, lt) if loose < MOST_LOOSE else None
+            if m is None:  # an open quotation mark, after which the whole rest was read: not more than some times
+                loose += 1
+                m = _LOOSE.match(page, lt)
+            if m is None and page.find(">", lt) < 0:  # broken off within a tag
                 break
+        if m is None:
             node.kids.append("<")
             at = lt + 1
             continue
         at, tag = m.end(), m[2].lower()
         if m[1]:
-            open_ = node
-            while open_ is not None and open_.tag != tag and not (open_.tag in ("td", "th") and tag not in ("table", "tr", "tbody", "body", "html")):
-                open_ = open_.up
-            if open_ is not None and open_.tag == tag and open_.up is not None:
-                node = open_.up
+            # Most end tags don't leave the table cell that they stand in.
+            known = total if tag in ("table", "tr", "tbody", "body", "html", "td", "th") else node.open_
+            if known.get(tag, 0) > 0:
+                open_ = node
+                while open_.tag != tag:
+                    open_ = open_.up
+                node = leave(open_)
             continue
         if tag in ("html", "body") and node.up is None or tag == "html":
             continue
         if tag in RAW:
             if not m[3].rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
-                stop = None if no_raw else re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
+                stop = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
                 if stop is None:
                     at = end
                 else:
                     close = page.find(">", stop.start())
                     at = close + 1 if close >= 0 else end
             continue
-        if tag in BLOCK:
+        if tag in BLOCK and node.in_p:
             open_ = node
-            while open_.up is not None and open_.tag != "p" and open_.tag not in FENCE:
+            while open_.tag != "p":
                 open_ = open_.up
-            if open_.tag == "p" and open_.up is not None:
-                node = open_.up
-        if tag in CLOSES:
+            node = leave(open_)
+        while tag in CLOSES and node.items & ENDS[tag]:
             open_ = node
-            while open_.up is not None and open_.tag not in CLOSES[tag] and open_.tag not in ("ul", "ol", "dl", "table", "select"):
+            while open_.tag not in CLOSES[tag]:
                 open_ = open_.up
-            while open_.tag in CLOSES[tag] and open_.up is not None:
-                node = open_ = open_.up
+            node = leave(open_)
         made = Node(tag, _attributes(m[3]), node)
         node.kids.append(made)
         if tag not in VOID and not m[3].endswith("/"):
             node = made
+            total[tag] = total.get(tag, 0) + 1
+            node.open_[tag] = node.open_.get(tag, 0) + 1
     return root
 
 
@@ -161,7 +198,7 @@ def _hidden(node: Node, in_article: bool) -> bool:
     words = _tokens(a)
     if node.tag in HEADINGS:
         return False
-    return bool(words & STRONG) and not words & {"has", "with", "no"} or bool(words & UNLIKELY) and not words & LIKELY
+    return bool(words & STRONG) and not words & {"has", "with", "no"} or bool(words & (UNLIKELY - WEAK if in_article else UNLIKELY)) and not words & LIKELY
 
 
 def _measure(root: Node) -> None:
@@ -176,6 +213,7 @@ def _measure(root: Node) -> None:
         node.kids = [k for k in node.kids if isinstance(k, str) or not _hidden(k, inside)]
         order.append(node)
         stack.extend((k, inside) for k in node.kids if not isinstance(k, str))
+    weak: list[Node] = []
     for node in reversed(order):
         links = 0
         for k in node.kids:
@@ -187,6 +225,9 @@ def _measure(root: Node) -> None:
             if k.tag in LISTS and anchors >= 3 and k.size and k.linked > 0.7 * k.size:
                 k.menu = True
                 continue
+            if k.linked > 0.5 * k.size and k.tag not in HEADINGS and _tokens(k.attrs) & WEAK and not _tokens(k.attrs) & LIKELY:
+                weak.append(k)
+                continue
             node.size += k.size
             node.linked += k.linked
             node.commas += k.commas
@@ -196,6 +237,8 @@ def _measure(root: Node) -> None:
         node.score = links
     for node in order:
         node.score = 0.0
+    for node in weak:
+        node.kids, node.size, node.linked = [], 0, 0
 
 
 def _class_points(node: Node) -> int:
