@@ -14,8 +14,9 @@ empty texts match nothing, nor do items without a letter or digit. An item under
 stand as whole words in a row; so an item of one common word matches each text that has the word. Repeated rows: a row
 each; repeated items count once. Extra columns aren't read.
 
-Scale: the benchmark is taken in blocks of BLOCK bytes, each broadcast in turn, so that what is broadcast has a proven
-bound whatever the benchmark's size; each block is one scan of the texts, without a shuffle.
+Scale: the benchmark is taken in blocks of BLOCK bytes. One block's index is broadcast at a time: its matches are written before
+the next one is built, and it is destroyed then, so that what is held has a proven bound whatever the benchmark's size. Each
+block is one scan of the texts, without a shuffle. clean() shuffles only texts whose hash a bounded filter of the leaking ones holds.
 """
 
 from __future__ import annotations
@@ -254,46 +255,59 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """(id, item_id, parts, item_parts, start, end, edits): the stretch of the text from start to end, in characters, holds parts of an item."""
     src = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     kind, item = src.schema[0].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, item_id {item}, parts int, item_parts int, start bigint, `end` bigint, edits int"
+
+    def rows(held, batch):
+        out = []
+        for part in textvec.slices(batch, 1):
+            for d, it, parts, a, b, edits in find(held.value, part.column(1)):
+                data = part.column(1)[d].as_buffer().to_pybytes()
+                start = len(data[:a].decode("utf-8", "replace"))
+                out.append((part.column(0)[d].as_py(), held.value.items[it], parts, int(held.value.parts[it]), start, start + len(data[a:b].decode("utf-8", "replace")), edits))
+        cols = list(zip(*out, strict=True)) if out else [()] * 7
+        kinds = [batch.schema.field(0).type, pa.int64() if item == "bigint" else None, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) if t is not None else pa.array(c) for c, t in zip(cols, kinds, strict=True)], names=[id_col, "item_id", "parts", "item_parts", "start", "end", "edits"])
+
+    return _by_block(src, benchmark, rows, f"`{id_col}` {kind}, item_id {item}, parts int, item_parts int, start bigint, `end` bigint, edits int", "matches")
+
+
+def _by_block(src: DataFrame, benchmark: DataFrame, rows, schema: str, name: str) -> DataFrame:
+    """The union of rows(index, batch) over the benchmark's blocks, each of which is broadcast, used and destroyed in turn."""
     out = None
     for index in indexes(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+        held = src.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, held=held):
             for batch in batches:
-                rows = []
-                for part in textvec.slices(batch, 1):
-                    for d, it, parts, a, b, edits in find(held.value, part.column(1)):
-                        data = part.column(1)[d].as_buffer().to_pybytes()
-                        start = len(data[:a].decode("utf-8", "replace"))
-                        rows.append((part.column(0)[d].as_py(), held.value.items[it], parts, int(held.value.parts[it]), start, start + len(data[a:b].decode("utf-8", "replace")), edits))
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-                kinds = [batch.schema.field(0).type, pa.int64() if item == "bigint" else None, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) if t is not None else pa.array(c) for c, t in zip(cols, kinds, strict=True)], names=[id_col, "item_id", "parts", "item_parts", "start", "end", "edits"])
-
-        made = src.mapInArrow(run, schema)
+                yield rows(held, batch)
+
+        made = shared.settle(src.mapInArrow(run, schema), name)
+        held.destroy()
         out = made if out is None else out.unionByName(made)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    return src.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _leaks(held):
-    @F.arrow_udf("boolean")
-    def leaks(texts: pa.Array) -> pa.Array:
-        flags, n = np.zeros(len(texts), dtype=bool), 0
-        for part in textvec.slices(pa.RecordBatch.from_arrays([texts], names=["t"]), 0):
-            flags[[n + row[0] for row in find(held.value, part.column(0))]] = True
-            n += part.num_rows
-        return pa.array(flags)
-
-    return leaks
+def _text_key(text: F.Column) -> F.Column:
+    """128 bits of a text's hashes."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents without a verified passage, with all their columns."""
-    out = docs
-    for index in indexes(benchmark):
-        out = out.filter(~_leaks(docs.sparkSession.sparkContext.broadcast(index))(F.col(text_col).cast("string")))
-    return out
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.xxhash64(text).alias("a"), text.alias("__text"), F.xxhash64(F.lit(1), text).alias("b"))
+
+    def rows(held, batch):
+        flags, n = np.zeros(batch.num_rows, dtype=bool), 0
+        for part in textvec.slices(batch, 1):
+            flags[[n + row[0] for row in find(held.value, part.column(1))]] = True
+            n += part.num_rows
+        return pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(flags)) for k in (0, 2)], names=["a", "b"])
+
+    leaks = shared.settle(_by_block(src, benchmark, rows, "a bigint, b bigint", "block-leaks").distinct(), "leaks")
+    key = shared.spare(docs, "text_key")[0]
+    some, rest = shared.split_by(docs.withColumn(key, _text_key(text)), F.col(f"{key}.a"), shared.fingerprint_filter(leaks, "a"))
+    some = some.join(leaks.select(F.struct("a", "b").alias(key)).hint("merge"), key, "left_anti")
+    return some.select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Every dealt operator against brute force, round trips or planted cases, and on odd inputs."""
 
 import hashlib
+import os
 import random
 import re
+import time
 import zipfile
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -445,6 +448,34 @@ def test_decontamination_of_excerpts_and_short_items(spark):
     assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {901, 902, 903}
 
 
+def test_decontamination_by_brute_force(spark, monkeypatch):
+    """Each pattern of each item against all substrings of each text, over a benchmark of several blocks."""
+    rng = random.Random(21)
+    items = {k: "".join(rng.choice("abcdef") for _ in range(n)) for k, n in enumerate((40, 75, 110))}
+    texts = []
+    for d in range(24):
+        body = list(items[d % 3] if d % 4 else "")
+        at = rng.randrange(0, max(1, len(body) - 30))
+        body = body[at // 3 : len(body) - rng.randrange(0, 12)]
+        for _ in range(rng.randrange(0, 9)):
+            k = rng.randrange(len(body)) if body else 0
+            body[k : k + rng.randrange(2)] = [rng.choice("abcdef")] * rng.randrange(2)
+        texts.append("".join(rng.choice("uvwxyz") for _ in range(40)) + "".join(body) + "".join(rng.choice("uvwxyz") for _ in range(30)))
+    want = set()
+    for k, item in items.items():
+        patterns = {item} | {item[s : s + m] for m, stride in decontaminate.WINDOWS if len(item) > m for s in (*range(0, len(item) - m, stride), len(item) - m)}
+        for d, text in enumerate(texts):
+            if any(edit_distance_within(p, text) <= min(int(len(p) * decontaminate.EDITS), len(p) // decontaminate.Q - 1) for p in patterns):
+                want.add((d, k))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").select("*", F.lit("x").alias("a"), F.lit("x").alias("text_key"))
+    bench = spark.createDataFrame([*items.items(), (1, items[1])], "item_id bigint, text string")
+    whole = decontaminate.indexes
+    monkeypatch.setattr(decontaminate, "indexes", lambda b: whole(b, block=60))
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, bench).collect()} == want and 4 < len(want) < 24
+    left = decontaminate.clean(docs.unionByName(docs), bench)
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted([d for d in range(24) if d not in {x for x, _ in want}] * 2) and left.columns == docs.columns
+
+
 def test_banded_alignment_by_brute_force():
     rng = random.Random(6)
     for _ in range(60):
@@ -549,6 +580,8 @@ def test_html(spark):
     deep = "<div>" * 20_000 + "deep text, that is long enough, to be scored here" + "</div>" * 20_000
     assert html_extract.extract(deep).startswith("deep text")
     d = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (None, "u", "")], "page_id bigint, url string, html string")
+    clash = d.unionByName(d).select("*", *[F.lit("x").alias(c) for c in ("text", "n_chars", "__html")])
+    assert html_extract.extract_pages(clash).count() == 6
     got = {r["page_id"]: r for r in html_extract.extract_pages(d).collect()}
     assert got[1]["text"] == want and got[1]["n_chars"] == len(want) and got[2]["text"] == "" and html_extract.extract_pages(d.limit(0)).count() == 0
 
@@ -565,6 +598,61 @@ def test_html_links_of_the_article():
         assert html_extract.extract(page).split("\n") == want
 
 
+class Reader(HTMLParser):
+    """An independent reading of pages whose article is an article element: its blocks, without what stands elsewhere."""
+
+    BLOCKS = frozenset("p h1 h2 h3 h4 li ul ol div article section blockquote table tr td".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in self.BLOCKS:
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        if tag == "article":
+            self.inside = False
+        if tag in self.BLOCKS:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="without the driver's tables")
+def test_html_of_all_pages(spark):
+    pages = shared.table(spark, "/root/testdata/sf0.01", "pages")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(pages).collect()}
+    for r in pages.collect():
+        reader = Reader()
+        reader.feed(r["html"] or "")
+        reader.close()
+        assert got[r["page_id"]] == "\n".join(t for b in reader.blocks if (t := " ".join(b.split())))
+
+
+def test_html_keeps_all_of_the_article():
+    prose = "<p>A paragraph, long enough, that tells of things at some length.</p>" * 3
+    parts = "<p>Let <math><mi>x</mi> + <mn>1</mn></math> be.<svg><text>Drawn words</text></svg><div class=legal>The law of the land.</div><div id=tags>A word on tags.</div><label>A label here.</label>"
+    gone = "<div class='share related'><a href=a>Tell</a> <a href=b>others</a></div><div class=comments>Readers say, well, much.</div>"
+    got = html_extract.extract(f"<nav><a href=x>Menu</a></nav><article>{prose}{parts}{gone}</article>").split("\n")
+    assert got[3:] == ["Let x + 1 be.Drawn words", "The law of the land.", "A word on tags.", "A label here."]
+
+
+def test_html_in_linear_time():
+    n = 40_000
+    text = "<p>At the end, a paragraph, that is long enough to score.</p>"
+    for page in ("<div>" * n + "</span>" * n, "<span><table><tr><td>" + "<div>" * n + "</span>" * n, "<b>" * n + "<h1></h1>" * n, "<ul>" + "<b>" * n + "<li></li>" * n, "<" * n + ">", "<a 'x" * n + ">", "< a" * n + ">", "<p><b>" * n, "<table>" + "<tr><td>" * n, "<!" * n, "<!--" * n, "<script>" * n):
+        began = time.process_time()
+        assert isinstance(html_extract.extract(page + text), str)
+        assert time.process_time() - began < 8
+
+
 # ---- shared
 
 
