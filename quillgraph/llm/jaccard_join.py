@@ -4,8 +4,9 @@ Method. A document is the set of its distinct shingles (3 words by contract, 5 i
 (its id is a 64-bit hash of the set). Shingles are ordered from rare to frequent; two classes at the threshold share a
 shingle in their prefixes under that order, so the index holds prefixes only.
 
-*Index-level skipping.* An index list is sorted by set size in blocks. For each entry only blocks within its size bound are
-met, and a block is skipped as a whole when no position in it leaves enough shingles to reach the threshold.
+*Index-level skipping.* Lists of one class are dropped where they are counted. An index list is sorted by set size in blocks. For
+each entry only blocks within its size bound are met, and a block is skipped as a whole when no position in it leaves
+enough shingles to reach the threshold.
 
 *Answer-level skipping.* In each index list the entry in which the shingle comes first has least of its own before it: in a
 group of copies that is the text the others were made from. The first round compares every entry with that one only, and
@@ -21,9 +22,11 @@ Defined results. Null, empty and blank texts: an empty set, linked with nothing,
 than a shingle: the whole sequence as one shingle. Repeated ids: each row is a document, and its component is named by the smallest
 id in it; null ids (and those that are no integers) are passed over in that minimum, and a component of null ids only is named null. Extra columns aren't read.
 
-Scale: the order of shingles comes from a table of counts of fixed size (2**20) over all documents; any order is right, a
-better one only saves work. Sets travel only for classes in a candidate pair. Pair tables are compared by joins that Spark
-can split where a class has many partners.
+Scale: the order of shingles comes from a table of counts over all documents, of 2**20 to 2**24 counters by their number; any order
+is right, a better one only saves work. The first round is joins that Spark can split where a list is long. In the second, a
+list of more than LIST entries is dealt as pairs of its parts, so that no task holds more than two parts of a list. Sets
+travel only for classes in a candidate pair. Pair tables are compared by joins that Spark can split where a class has many
+partners.
 """
 
 from __future__ import annotations
@@ -40,8 +43,8 @@ from . import shared, textvec
 from .components import connected_components
 
 OF = 100
-COUNTERS, BLOCKS = 1 << 20, 16
-STEP = 64
+COUNTERS, BLOCKS = (20, 24), 16
+STEP, LIST = 64, 4096
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _ODD = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x6C8E9CF570932BD5)]
 
@@ -98,16 +101,21 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def profiles(docs: DataFrame, rule: Rule) -> DataFrame:
+def counter_bits(documents: int) -> int:
+    """The counters' number grows with the documents', between bounds."""
+    return min(max(COUNTERS[0], (8 * documents).bit_length()), COUNTERS[1])
+
+
+def profiles(docs: DataFrame, rule: Rule, bits: int = COUNTERS[0]) -> DataFrame:
     """docs: (did, text, th). kind 0: a row for each document (did, th, n, c); kind 1: parts of the table of shingle counts."""
 
     def run(batches):
-        counts = np.zeros(COUNTERS, dtype=np.int32)
+        counts = np.zeros(1 << bits, dtype=np.int32)
         for batch in batches:
             for part in textvec.slices(batch, 1):
                 first, v = shingle_sets(part.column(1), rule)
                 if len(v):
-                    counts += np.bincount((v >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
+                    np.add.at(counts, (v >> np.uint64(64 - bits)).astype(np.int64), np.int32(1))
                 n, blank = part.num_rows, pa.nulls(part.num_rows, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(n, np.int32)), part.column(0), part.column(2), pa.array(np.diff(first)), _signed(_classes(first, v)), blank, pa.nulls(n, pa.binary())],
@@ -120,8 +128,8 @@ def profiles(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.mapInArrow(run, "kind int, did bigint, th bigint, n bigint, c bigint, block int, counts binary")
 
 
-def shingle_ranks(rows: DataFrame) -> np.ndarray:
-    """For each counter a byte that grows with its count. A table of fixed size, summed on the executors."""
+def shingle_ranks(rows: DataFrame, bits: int) -> np.ndarray:
+    """For each counter a byte that grows with its count. A table of bounded size, summed on the executors."""
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
@@ -129,17 +137,17 @@ def shingle_ranks(rows: DataFrame) -> np.ndarray:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 x = np.frombuffer(zlib.decompress(data.as_py()), dtype=np.int32)
                 held[block] = held.get(block, 0) + x.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.minimum(255, 8 * np.log2(1 + x)).astype(np.uint8).tobytes() for x in held.values()], pa.binary())], names=["block", "counts"])
 
-    out = np.zeros((BLOCKS, COUNTERS // BLOCKS), dtype=np.int64)
+    out = np.zeros((BLOCKS, (1 << bits) // BLOCKS), dtype=np.uint8)
     for block, data in rows.select("block", "counts").repartition(BLOCKS, "block").mapInArrow(add, "block int, counts binary").collect():
-        out[block] = np.frombuffer(data, dtype=np.int64)
-    return np.minimum(255, 8 * np.log2(1 + out.ravel())).astype(np.uint8)
+        out[block] = np.frombuffer(data, dtype=np.uint8)
+    return out.ravel()
 
 
 def prefixes(docs: DataFrame, ranks: np.ndarray, rule: Rule) -> DataFrame:
     """(did, c, n, tokens): each set's rarest shingles."""
-    held = docs.sparkSession.sparkContext.broadcast(ranks)
+    held, low = docs.sparkSession.sparkContext.broadcast(ranks), np.uint64(64 - (len(ranks).bit_length() - 1))
 
     def run(batches):
         for batch in batches:
@@ -147,7 +155,7 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, rule: Rule) -> DataFrame:
                 first, v = shingle_sets(part.column(1), rule)
                 size, c = np.diff(first), _classes(first, v)
                 own = np.flatnonzero(size)
-                rank = held.value[(v >> np.uint64(44)).astype(np.int64)]
+                rank = held.value[(v >> low).astype(np.int64)]
                 tokens = [v[first[i] : first[i + 1]][np.argsort(rank[first[i] : first[i + 1]], kind="stable")[: rule.prefix(int(size[i]))]] for i in own]
                 off = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
                 flat = np.concatenate(tokens) if tokens else v[:0]
@@ -227,12 +235,14 @@ def linked_pairs(docs: DataFrame, pairs: DataFrame, classes: DataFrame, rule: Ru
     return out
 
 
-def candidate_pairs(token: np.ndarray, c: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray, rule: Rule) -> np.ndarray:
+def candidate_pairs(token: np.ndarray, c: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray, rule: Rule, side: np.ndarray | None = None) -> np.ndarray:
     """Pairs of entries of one list and different roots within the size and position bounds: an array (pairs, 2) of classes.
 
-    Entries are re-sorted by list and size; blocks of STEP entries are met or skipped as a whole.
+    Entries are re-sorted by list and size; blocks of STEP entries are met or skipped as a whole. side: 0, or 1 and 2 in lists
+    that hold two parts, of which only entries of different ones are paired.
     """
     order = np.lexsort((n, token))
+    side = np.zeros(len(token), dtype=np.int64) if side is None else side[order]
     token, c, root, n, rem = token[order], c[order], root[order], n[order], (n - pos)[order]
     run = np.concatenate([[0], np.cumsum(token[1:] != token[:-1])]) if len(token) else token
     end = np.searchsorted(run << 32 | n, run << 32 | np.minimum(rule.reach(n), (1 << 32) - 1), side="right")
@@ -253,7 +263,7 @@ def candidate_pairs(token: np.ndarray, c: np.ndarray, root: np.ndarray, n: np.nd
         ib, b = ib[fits], b[fits]
         lo, hi = np.maximum(b * STEP, ib + 1), np.minimum(b * STEP + STEP, end[ib])
         x, y = np.repeat(ib, hi - lo), _ranges(lo, hi - lo)
-        good = rule.enough(n[x], n[y], np.minimum(rem[x], rem[y])) & (root[x] != root[y])
+        good = rule.enough(n[x], n[y], np.minimum(rem[x], rem[y])) & (root[x] != root[y]) & ((side[x] != side[y]) | (side[x] == 0))
         x, y = c[x[good]], c[y[good]]
         if len(x):
             out.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
@@ -269,12 +279,12 @@ def _ranges(low: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _lists(batches, take):
-    """Calls take(token, c, root, n, pos) with whole lists of a partition that is sorted by token."""
+    """Calls take with the columns of whole lists of a partition that is sorted by the first column."""
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
         if held is not None:
             cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
         cut = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
@@ -292,55 +302,56 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
     return change
 
 
-def first_round(postings: DataFrame, rule: Rule) -> DataFrame:
-    """kind 0: pairs (a, b) of a list's foremost entry and each other one; kind 1: the postings (token, c, size) of lists of several classes."""
-
-    def take(token, c, root, size):
-        n, pos = size >> 32, size & 0xFFFFFFFF
-        order = np.lexsort((c, pos, token))
-        token, c, n, pos, size = token[order], c[order], n[order], pos[order], size[order]
-        lists = np.cumsum(_first_of(token)) - 1
-        head = np.flatnonzero(_first_of(token))[lists] if len(token) else lists
-        many = np.flatnonzero(c != c[head])
-        low, high = np.minimum(n[many], n[head[many]]), np.maximum(n[many], n[head[many]])
-        near = many[(high <= rule.reach(low)) & rule.enough(low, high, np.minimum((n - pos)[many], (n - pos)[head[many]]))]
-        pairs = np.unique(np.stack([np.minimum(c[near], c[head[near]]), np.maximum(c[near], c[head[near]])], axis=1), axis=0)
-        several = np.zeros(int(lists[-1]) + 1 if len(lists) else 0, dtype=bool)
-        several[lists[many]] = True
-        rest = several[lists]
-        k = int(rest.sum())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat([0, 1], [len(pairs), k]).astype(np.int32)), pa.array(np.concatenate([pairs[:, 0], token[rest]])), pa.array(np.concatenate([pairs[:, 1], c[rest]])), pa.array(np.concatenate([np.zeros(len(pairs), np.int64), size[rest]]))],
-            names=["kind", "a", "b", "size"],
-        )
-
-    return postings.mapInArrow(lambda batches: _lists(batches, take), "kind int, a bigint, b bigint, size bigint")
-
-
-def second_round(postings: DataFrame, rule: Rule) -> DataFrame:
-    """Candidate pairs (a, b) of all classes of different components in a list."""
+def shared_postings(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The postings (token, c, n, pos, place) of lists of several classes, and each such list's foremost entry (token, hc, hn, hpos).
 
-    def take(token, c, root, size):
-        if not len(token):
-            return
-        lists = np.cumsum(_first_of(token)) - 1
-        roots = np.bincount(lists[_first_of(token, root)])
-        some = roots[lists] > 1
-        token, c, root, size = token[some], c[some], root[some], size[some]
-        pairs = candidate_pairs(token, c, root, size >> 32, size & 0xFFFFFFFF, rule)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return postings.mapInArrow(lambda batches: _lists(batches, take), "a bigint, b bigint").distinct()
+    The foremost entry is that of least position; of several such that of the first class.
+    """
+    place = F.shiftleft(F.least(F.col("pos"), F.lit((1 << 20) - 1)).cast("long"), 43).bitwiseOR(F.shiftrightunsigned("c", 21))
+    postings = shared.settle(postings.select("token", "c", "n", "pos", place.alias("place")), "postings")
+    lists = postings.groupBy("token").agg(F.min("place").alias("place"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
+    lists = shared.settle(lists.select("token", F.col("place").alias("head")), "lists")
+    both = shared.may_hold(postings, "token", shared.fingerprint_filter(lists, "token")).join(lists, "token")
+    held = shared.settle(both, "shared-postings")
+    heads = held.filter("place = head").groupBy("token").agg(F.min(F.struct("c", "n", "pos")).alias("h")).select("token", F.col("h.c").alias("hc"), F.col("h.n").alias("hn"), F.col("h.pos").alias("hpos"))
+    heads = shared.settle(heads, "list-heads")
+    shared.discard(postings, lists)
+    return held.drop("place", "head"), heads
+
+
+def first_round(held: DataFrame, heads: DataFrame, rule: Rule) -> DataFrame:
+    """Candidate pairs (a, b) of a list's foremost entry and each other one."""
+    low, high = F.least("n", "hn"), F.greatest("n", "hn")
+    near = (high * rule.similar <= low * OF) & rule.enough(low, high, F.least(F.col("n") - F.col("pos"), F.col("hn") - F.col("hpos")))
+    return held.join(heads, "token").filter((F.col("c") != F.col("hc")) & near).select(F.least("c", "hc").alias("a"), F.greatest("c", "hc").alias("b")).distinct()
+
+
+def second_round(held: DataFrame, roots: DataFrame, rule: Rule, most: int = LIST) -> DataFrame:
+    """Candidate pairs (a, b) of all classes of different components in a list."""
+    rooted = shared.settle(_with_roots(held, roots), "rooted-postings")
+    open_ = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("entries")).filter("low <> high")
+    open_ = shared.settle(open_.select("token", F.ceil(F.col("entries") / most).alias("parts")), "open-lists")
+    own = F.pmod(F.xxhash64("c"), "parts")
+    dealt = rooted.join(open_, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    cell = F.when(F.col("parts") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
+    dealt = dealt.select(cell.alias("cell"), "c", "root", "n", F.col("pos").cast("long").alias("pos"), side.cast("long").alias("side"))
+
+    def take(token, c, root, n, pos, side):
+        if len(token):
+            pairs = candidate_pairs(token, c, root, n, pos, rule, side)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    pairs = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: _lists(batches, take), "a bigint, b bigint").distinct()
+    out = shared.settle(pairs, "list-pairs")
+    shared.discard(rooted, open_)
+    return out
 
 
 def _with_roots(df: DataFrame, roots: DataFrame) -> DataFrame:
     return df.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
 
 
-def _dealt(postings: DataFrame) -> DataFrame:
-    return postings.select("token", "c", "root", "size").repartition("token").sortWithinPartitions("token", "root", "c")
-
-
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = CONTRACT) -> DataFrame:
     """(did, th, n, c, root, component_id) of every row.
 
@@ -348,20 +359,20 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     empty sets; component_id: the component's smallest id.
     """
     src = docs.select(shared.whole_id(F.col(id_col)).alias("did"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("th"))
-    rows = shared.settle(profiles(src, rule), "set-profiles")
+    bits = counter_bits(docs.count())
+    rows = shared.settle(profiles(src, rule, bits), "set-profiles")
     profile = rows.filter("kind = 0").select("did", "th", "n", F.when(F.col("c") != 0, F.col("c")).alias("c"))
     classes = shared.settle(profile.filter("c is not null").groupBy("c").agg(F.min("did").alias("mdoc")), "set-classes")
-    ranks = shingle_ranks(rows.filter("kind = 1"))
+    ranks = shingle_ranks(rows.filter("kind = 1"), bits)
     pre = prefixes(src, ranks, rule)
     # One document of each class carries its prefix on.
     carried = pre.join(classes.select(F.col("c").alias("c_"), F.col("mdoc").alias("did_")), (F.col("c") == F.col("c_")) & F.col("did").eqNullSafe(F.col("did_"))).select("c", "n", "tokens")
-    postings = carried.select("c", F.col("c").alias("root"), "n", F.posexplode("tokens").alias("pos", "token")).withColumn("size", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")))
-    first = shared.settle(first_round(_dealt(postings), rule), "first-round")
-    tried = shared.settle(first.filter("kind = 0").select("a", "b").distinct(), "first-pairs")
+    held, heads = shared_postings(carried.select("c", "n", F.posexplode("tokens").alias("pos", "token")))
+    tried = shared.settle(first_round(held, heads, rule), "first-pairs")
     links = linked_pairs(src, tried, classes, rule)
     roots = connected_components(links)
-    rest = first.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("c"), "size")
-    later = shared.settle(second_round(_dealt(_with_roots(rest, roots)), rule).join(tried, ["a", "b"], "left_anti"), "second-pairs")
+    open_ = second_round(held, roots, rule)
+    later = shared.settle(open_.join(tried, ["a", "b"], "left_anti"), "second-pairs")
     if not later.isEmpty():
         links = links.unionByName(linked_pairs(src, later, classes, rule))
         roots = connected_components(links)
@@ -369,7 +380,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     named = _with_roots(classes.select("c", "mdoc"), roots)
     least = named.groupBy("root").agg(F.min("mdoc").alias("component_id"))
     named = shared.settle(named.join(least, "root").select("c", "root", "component_id"), "components")
-    shared.discard(classes, first, tried, later)
+    shared.discard(classes, tried, later, heads, open_)
     return profile.join(named, "c", "left").select("did", "th", "n", "c", "root", F.when(F.col("c").isNull(), F.col("did")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -398,4 +409,21 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = similarity_components(shared.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select(F.col("did").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("c").alias("class_id"))
+    return out.select(F.col("did").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+ORACLE = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+d as (
+  select doc_id, case when len(ws) >= 3 then list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as sh from w),
+s as (select doc_id, len(sh) as n, unnest(sh) as g from d),
+half as (
+  select a.doc_id as x, b.doc_id as y from s a join s b on a.g = b.g and a.doc_id < b.doc_id and 100 * a.n >= 90 * b.n and 100 * b.n >= 90 * a.n
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+link as (select x, y from half union all select y, x from half),
+reach as (select doc_id as x, doc_id as r from d union select link.y, reach.r from reach join link on link.x = reach.x)
+select d.doc_id, len(d.sh)::bigint as n_shingles, c.component_id
+from d join (select x, min(r) as component_id from reach group by x) c on c.x = d.doc_id
+"""

@@ -315,3 +315,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs)
+
+
+ORACLE = r"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null),
+n as (
+  select doc_id, i, translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words,
+    row_number() over (partition by doc_id order by i) as p, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) over (partition by doc_id order by i) as upto
+  from l where regexp_matches(line, '[^\x20\x09-\x0D]')),
+t as (select doc_id, list(low order by p) as ls from n group by doc_id),
+runs as (
+  select a.doc_id, a.p as s, b.p as e from n a asof join n b on a.doc_id = b.doc_id and a.upto - a.words + 25 <= b.upto
+  union
+  select b.doc_id, a.p, b.p from n b asof join (select *, upto - words as before from n) a on a.doc_id = b.doc_id and b.upto - 25 >= a.before),
+keyed as (select runs.*, array_to_string(ls[s:e], chr(10)) as k from runs join t using (doc_id)),
+held as (select k, min(doc_id) as holder from keyed group by k),
+gone as (
+  select distinct n.doc_id, n.i from (select keyed.* from keyed join held using (k) where holder < doc_id) g
+  join n on n.doc_id = g.doc_id and n.p between g.s and g.e),
+kept as (select l.doc_id, string_agg(l.line, chr(10) order by l.i) as text from l anti join gone on l.doc_id = gone.doc_id and l.i = gone.i group by l.doc_id),
+lost as (select doc_id, count(*) as c from gone group by doc_id)
+select d.doc_id, case when lost.c is null then d.text else coalesce(kept.text, '') end as text, coalesce(lost.c, 0)::int as lines_removed
+from documents d left join lost on lost.doc_id = d.doc_id left join kept on kept.doc_id = d.doc_id
+"""

@@ -500,4 +500,18 @@ def nearest(table: DataFrame, top: int = 5, id_col: str = "vec_id", vector_col:
 
 
 def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(shared.table(spark, sf_dir, "embeddings"))
+    return nearest(shared.table(spark, sf_dir, "embeddings")).select("query_id", "rank", "vec_id", "score")
+
+
+#: Exact, with sums in order: the search equals it on small tables, where a block holds all vectors.
+ORACLE = r"""
+with v as (
+  select vec_id, embedding::double[] as v from embeddings
+  where embedding is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+p as (
+  select a.vec_id as query_id, b.vec_id, list_reduce(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]), lambda x, y: x + y)
+    / (sqrt(list_reduce(list_transform(a.v, lambda x: x * x), lambda x, y: x + y)) * sqrt(list_reduce(list_transform(b.v, lambda x: x * x), lambda x, y: x + y))) as score
+  from v a join v b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 5
+"""

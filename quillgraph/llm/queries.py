@@ -19,5 +19,8 @@ QUERIES = {
 
 ORACLES = {
     "op1_warc": warc_zip.ORACLE,
+    "op2_line_dedup": line_dedup.ORACLE,
     "op4_mixing": mixing.ORACLE,
+    "op7_jaccard_join": jaccard_join.ORACLE,
+    "op9_nn_descent": nn_descent.ORACLE,
 }

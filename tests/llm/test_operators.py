@@ -365,6 +365,16 @@ def test_jaccard_components(spark, rule):
     assert sorted(map(repr, map(tuple, got.select("did", "n", "component_id").collect()))) == sorted(map(repr, brute_components(rows, rule)))
 
 
+def test_long_lists_are_dealt_in_parts(spark):
+    """A list in parts gives the pairs that it gives as a whole."""
+    rng = random.Random(17)
+    rows = [(1 + k // 60, c := 1000 + k, c, rng.randrange(3, 9), 0) for k in range(120)]
+    held = spark.createDataFrame(rows, "token bigint, c bigint, root bigint, n bigint, pos int").drop("root")
+    roots = spark.createDataFrame([(1000 + k, 1000 + k % 7) for k in range(0, 120, 2)], "node bigint, root bigint")
+    whole, parts = ({tuple(r) for r in jaccard_join.second_round(held, roots, jaccard_join.CORPUS, most).collect()} for most in (4096, 8))
+    assert whole == parts and len(whole) > 100
+
+
 def test_one_of_each(spark, odd, empty):
     text = " ".join(words_of(80, 1))
     docs = spark.createDataFrame([(4, text), (2, text), (2, text), (9, text + " end"), (5, "other words that stand here alone"), (6, ""), (6, ""), (7, None)], "doc_id bigint, text string").withColumn("did", F.lit(1))
