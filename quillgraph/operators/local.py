@@ -206,3 +206,38 @@ def trace_table(rows: DataFrame, rules: list[Rule], key: str = "doc_id") -> Data
         if r.left.edges:
             sents = F.when(F.col("rule") == r.name, F.map_from_arrays(F.array(*[F.lit(e) for e in r.left.edges]), F.col("sents"))).otherwise(sents)
     return t.select(key, "step", "rule", "rule_ord", sents.alias("sents"))
+
+
+def component_count() -> Column:
+    """The connected components of the row's graph: labels of its nodes, merged edge by edge."""
+    ids = F.transform("nodes", lambda n: n["node_id"])
+    ends = F.transform("edges", lambda e: F.struct((F.array_position(ids, e["src"]) - 1).cast("int").alias("s"), (F.array_position(ids, e["tgt"]) - 1).cast("int").alias("t")))
+    start = F.when(F.size("nodes") > 0, F.sequence(F.lit(0), F.size("nodes") - 1)).otherwise(_none("int"))
+
+    def merge(labels, e):
+        a, b = F.get(labels, e["s"]), F.get(labels, e["t"])
+        return F.when(a == b, labels).otherwise(F.transform(labels, lambda x: F.when(x == F.greatest(a, b), F.least(a, b)).otherwise(x)))
+
+    return F.size(F.array_distinct(F.aggregate(ends, start, merge)))
+
+
+def coverage(rules: list[Rule], rows: DataFrame) -> DataFrame:
+    """(hosts, covered, structurally, host_rule): documents that a rule matches with its guard, or whatever the context, and pairs."""
+    def found(guarded: bool) -> Column:
+        return F.array_distinct(F.transform(all_steps(rules, guarded), lambda m: m["rule_ord"]))
+
+    d = rows.select(F.size(found(True)).alias("k"), F.size(found(False)).alias("s"))
+    return d.agg(F.count("*").alias("hosts"), F.count_if(F.col("k") > 0).alias("covered"), F.count_if(F.col("s") > 0).alias("structurally"), F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("host_rule"))
+
+
+def coverage_by_rule(rules: list[Rule], rows: DataFrame) -> DataFrame:
+    """(rule, guarded, structural): documents that each rule matches with its guard, and whatever the context."""
+    names = F.array(*[F.lit(r.name) for r in rules])
+
+    def found(guarded: bool) -> Column:
+        return F.transform(F.array_distinct(F.transform(all_steps(rules, guarded), lambda m: m["rule_ord"])), lambda o: F.struct(F.element_at(names, o + 1).alias("rule"), F.lit(int(guarded)).alias("g")))
+
+    parts = [found(True), found(False)]
+    hits = rows.select(F.explode(F.concat(*parts)).alias("h")).groupBy("h.rule").agg(F.sum("h.g").cast("long").alias("guarded"), F.sum(1 - F.col("h.g")).cast("long").alias("structural"))
+    every = rows.sparkSession.createDataFrame([(r.name,) for r in rules], "rule string")
+    return every.join(hits, "rule", "left").select("rule", F.coalesce("guarded", F.lit(0)).cast("long").alias("guarded"), F.coalesce("structural", F.lit(0)).cast("long").alias("structural"))

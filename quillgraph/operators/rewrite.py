@@ -9,7 +9,6 @@ lineage; documents without a step leave the frontier.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
@@ -19,21 +18,14 @@ from pyspark.sql import functions as F
 from ..plans.certify import stratify
 from ..plans.matcher import one_step
 from ..plans.rules import Rule
+from ..session import shared_dir
 
 NODE_COLS, EDGE_COLS = ("node_id", "node_type", "node_ord", "sent_idx"), ("edge_id", "src", "tgt", "edge_type", "edge_ord", "sent_idx")
 
 
-def shared_folder(spark) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="quillgraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def kept(df: DataFrame, name: str) -> DataFrame:
     """The table, written to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/quillgraph/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/quillgraph/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans import certify, kernel
-from ..plans.matcher import applicable_matches
-from ..plans.rules import AGES, JURISDICTIONS, LIBRARY, PROBES, RULES, Rule, rule_tables
+from ..plans.rules import AGES, JURISDICTIONS, LIBRARY, PROBES, rule_tables
 from . import align, parse, stats
 from .rewrite import kept
 
@@ -137,14 +136,15 @@ def ranks(deps: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
 
 def critical_pairs(spark: SparkSession, rules) -> DataFrame:
     """(a, b, pairs, joinable): of each two rules, one pair a row of a task."""
-    names = [(r.name, q.name) for i, r in enumerate(rules) for q in rules[i:]]
+    rules = list(rules)
+    places = [(i, j, rules[i].name, rules[j].name) for i in range(len(rules)) for j in range(i, len(rules))]
 
     def count(batches):
         for batch in batches:
             rows = []
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = kernel.critical_pairs(RULES[a], RULES[b])
-                both = [RULES[a]] if a == b else [RULES[a], RULES[b]]
+            for i, j, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = kernel.critical_pairs(rules[i], rules[j])
+                both = [rules[i]] if i == j else [rules[i], rules[j]]
                 try:
                     good = all(kernel.joinable(p, both) for p in found)
                 except kernel.Exhausted:
@@ -153,7 +153,7 @@ def critical_pairs(spark: SparkSession, rules) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.bool_()), strict=True)], names=["a", "b", "pairs", "joinable"])
 
-    return spark.createDataFrame(names, "a string, b string").repartition(8).mapInArrow(count, "a string, b string, pairs int, joinable boolean")
+    return spark.createDataFrame(places, "i int, j int, a string, b string").repartition(8).mapInArrow(count, "a string, b string, pairs int, joinable boolean")
 
 
 def admit_log(spark: SparkSession, rules, **options) -> DataFrame:
@@ -173,16 +173,6 @@ def admission_funnel(log: DataFrame) -> DataFrame:
 # ---- coverage
 
 
-def coverage(rules: list[Rule], nodes: DataFrame, edges: DataFrame, contexts_: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(hosts, covered, structurally, host_rule): hosts that a rule matches with its guard, or whatever the context, and pairs."""
-    guarded = [applicable_matches(r, nodes, edges, contexts_, key).select(key, F.lit(r.name).alias("rule")) for r in rules]
-    anyhow = [applicable_matches(r, nodes, edges, contexts_, key, False).select(key) for r in rules]
-    g = reduce(DataFrame.unionByName, guarded).distinct().groupBy(key).agg(F.count("*").alias("k"))
-    s = reduce(DataFrame.unionByName, anyhow).distinct().withColumn("s", F.lit(1))
-    hosts = parse.parsed(contexts_, key).filter(F.size("sentences") > 0).select(key) if "text" in contexts_.columns else contexts_.select(key)
-    return hosts.join(g, key, "left").join(s, key, "left").agg(F.count("*").alias("hosts"), F.count("k").alias("covered"), F.count("s").alias("structurally"), F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("host_rule"))
-
-
 def codes(spark: SparkSession) -> DataFrame:
     """(code, jurisdiction, age_lt, topic): where a violation code applies."""
     rows = [("PC", "EU", 16, "consent"), ("WD", "EU", None, "withdrawal"), ("SALE", "US", 16, "sale"), ("RET", "EU", None, "retention"), ("AADC", "UK", 18, "design")]

@@ -1,14 +1,11 @@
 """Counting, validation, deduplication, sampling and shuffling of a corpus.
 
-Seeded orders come from a SHA-256 of seed and id, so that every engine and every rerun agrees; exact_shuffle gives the order
-of Python's generator instead, for small control tables.
+Seeded orders come from a SHA-256 of seed and id, so that every engine and every rerun agrees.
 """
 
 from __future__ import annotations
 
-import random
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -18,13 +15,6 @@ def draw(seed, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}|"), key.cast("string")), 256)
 
 
-def exact_shuffle(spark: SparkSession, items: list, seed: int) -> DataFrame:
-    """(ord, item) in the order of random.Random(seed).shuffle: a control table, made on the driver."""
-    order = list(items)
-    random.Random(seed).shuffle(order)
-    return spark.createDataFrame(list(enumerate(order)), "ord int, item string")
-
-
 def counts_share(df: DataFrame, by: str) -> DataFrame:
     """(source, n, share) and a row of the total, whose source is TOTAL. One pass; shares come from the small result."""
     n = df.groupBy(F.coalesce(F.col(by), F.lit("none")).alias("source")).agg(F.count("*").alias("n"))
@@ -50,10 +40,9 @@ def validate(df: DataFrame, id_col: str, by: str, text_col: str, least: int = 5,
 
 
 def dedup_first(df: DataFrame, text_col: str, order_col: str) -> DataFrame:
-    """The first row of each text, by its key. The key is hashed, so that texts aren't what is compared and sorted."""
-    keyed = df.withColumn("dedup_key", F.sha2(T.dedup_key(F.col(text_col)), 256))
-    first = keyed.groupBy("dedup_key").agg(F.min(order_col).alias("first_ord"))
-    return keyed.join(first, "dedup_key").filter(F.col(order_col) == F.col("first_ord")).drop("first_ord")
+    """(order, dedup_key): the first place of each text. Keys are hashed once, and only they and places are shuffled, combined first."""
+    keyed = df.select(F.sha2(T.dedup_key(F.col(text_col)), 256).alias("dedup_key"), order_col)
+    return keyed.filter("dedup_key is not null").groupBy("dedup_key").agg(F.min(order_col).alias(order_col)).select(order_col, "dedup_key")
 
 
 def dedup_ratio(df: DataFrame, text_col: str) -> DataFrame:
@@ -82,10 +71,22 @@ def largest_remainder(df: DataFrame, by: list[str], n: int) -> DataFrame:
     return ranked.select(*by, "size", (F.col("base") + F.when(F.col("rk") <= F.col("left"), 1).otherwise(0)).cast("long").alias("quota"))
 
 
-def blind_order(df: DataFrame, id_col: str, seed) -> DataFrame:
-    """The rows with blind_ord, their place in the seeded order. Ranges of the draw are ranked apart and then offset."""
-    d = df.withColumn("draw", draw(seed, F.col(id_col))).withColumn("slice", F.substring("draw", 1, 2))
+def ranked(df: DataFrame, slice_: Column, *order) -> DataFrame:
+    """The rows with rank, their place from 1 in an order of which slice_ is the coarsest part. Slices are ranked apart and then offset."""
+    d = df.withColumn("slice", slice_)
     before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sizes = d.groupBy("slice").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select("slice", "offset")
-    own = Window.partitionBy("slice").orderBy("draw")
-    return d.join(F.broadcast(sizes), "slice").withColumn("blind_ord", F.col("offset") + F.row_number().over(own)).drop("slice", "offset", "draw")
+    own = Window.partitionBy("slice").orderBy(*order)
+    return d.join(F.broadcast(sizes), "slice").withColumn("rank", F.col("offset") + F.row_number().over(own)).drop("slice", "offset")
+
+
+def blind_order(df: DataFrame, id_col: str, seed) -> DataFrame:
+    """The rows with blind_ord, their place in the seeded order."""
+    d = df.withColumn("draw", draw(seed, F.col(id_col)))
+    return ranked(d, F.substring("draw", 1, 3), "draw").withColumnRenamed("rank", "blind_ord").drop("draw")
+
+
+def overlap_subset(df: DataFrame, id_col: str, share: float = 0.2, seed=11) -> DataFrame:
+    """ceil(share) of the rows, the first ones in the seeded order, for a second rater."""
+    most = -(-df.count() * round(share * 1000) // 1000)
+    return blind_order(df, id_col, seed).filter(F.col("blind_ord") <= most).drop("blind_ord")

@@ -23,6 +23,11 @@ def hash_draw(b: Column, pos: Column, n: Column, seed) -> Column:
     return F.pmod(h, n)
 
 
+def bounds(draws: int, low: float = 0.025, high: float = 0.975) -> tuple[int, int]:
+    """Places of an interval's ends among the sorted draws."""
+    return int(low * draws), min(draws - 1, int(high * draws) - (1 if draws >= 2000 else 0))
+
+
 def bootstrap_rate(items: DataFrame, group: str, hit: Column, draws: int = 2000, seed=0, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """(group, n, rate, lo, hi): a percentile bootstrap of a rate; bounds are sorted draws at int(q * draws).
 
@@ -30,10 +35,13 @@ def bootstrap_rate(items: DataFrame, group: str, hit: Column, draws: int = 2000,
     makes its own and adds them up, and what is shuffled is one row for each group, draw and task.
     """
     sizes = items.groupBy(group).agg(F.count("*").alias("n"), F.sum(hit.cast("long")).alias("k"))
-    made = sizes.select(group, "n", "k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).select(group, "n", "k", "b", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("pos"))
+    block = F.lit(1 << 14).cast("long")  # places are made in blocks, so that no row holds them all
+    made = sizes.select(group, "n", "k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
+    made = made.withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, block)))
+    made = made.select(group, "n", "k", "b", F.explode(F.sequence("low", F.least(F.col("low") + block, "n") - 1)).alias("pos"))
     rates = made.groupBy(group, "n", "k", "b").agg(F.avg((hash_draw(F.col("b"), F.col("pos"), F.col("n"), seed) < F.col("k")).cast("double")).alias("r"))
     held = rates.groupBy(group, "n", "k").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    return held.select(group, "n", F.round(F.col("k") / F.col("n"), 6).alias("rate"), F.round(F.element_at("rs", int(low * draws) + 1), 6).alias("lo"), F.round(F.element_at("rs", min(draws - 1, int(high * draws) - (1 if draws >= 2000 else 0)) + 1), 6).alias("hi"))
+    return held.select(group, "n", F.round(F.col("k") / F.col("n"), 6).alias("rate"), F.round(F.element_at("rs", bounds(draws, low, high)[0] + 1), 6).alias("lo"), F.round(F.element_at("rs", bounds(draws, low, high)[1] + 1), 6).alias("hi"))
 
 
 def paired_cluster_bootstrap(clusters: DataFrame, draws: int = 5000, seed=2026) -> DataFrame:
@@ -45,10 +53,30 @@ def paired_cluster_bootstrap(clusters: DataFrame, draws: int = 5000, seed=2026)
     sums = picks.join(F.broadcast(clusters), "pos").groupBy("b").agg((F.sum("a_sum") / F.sum("a_n") - F.sum("b_sum") / F.sum("b_n")).alias("d"))
     held = sums.agg(F.array_sort(F.collect_list("d")).alias("ds"), F.avg((F.col("d") <= 0).cast("double")).alias("below"), F.avg((F.col("d") >= 0).cast("double")).alias("above"))
     point = clusters.agg((F.sum("a_sum") / F.sum("a_n") - F.sum("b_sum") / F.sum("b_n")).alias("diff"))
-    at = [F.round(F.element_at("ds", int(q * draws) + 1), 6) for q in (0.025, 0.975)]
+    at = [F.round(F.element_at("ds", k + 1), 6) for k in bounds(draws)]
     return point.crossJoin(held).select(F.round("diff", 6).alias("diff"), at[0].alias("lo"), at[1].alias("hi"), F.round(F.least(F.lit(1.0), 2 * F.least("below", "above")), 6).alias("p"))
 
 
+def cluster_bootstrap_mean(clusters: DataFrame, draws: int = 5000, seed=2026) -> DataFrame:
+    """clusters: (pos from 0, total, n). (mean, lo, hi): the mean over all items, by drawing whole clusters."""
+    n = clusters.count()
+    picks = clusters.sparkSession.range(draws * n).select((F.col("id") / n).cast("long").alias("b"), (F.col("id") % n).alias("at"))
+    picks = picks.select("b", hash_draw(F.col("b"), F.col("at"), F.lit(n), seed).alias("pos"))
+    drawn = picks.join(F.broadcast(clusters), "pos").groupBy("b").agg((F.sum("total") / F.sum("n")).alias("m")).agg(F.array_sort(F.collect_list("m")).alias("ms"))
+    lo, hi = (F.round(F.element_at("ms", k + 1), 6) for k in bounds(draws))
+    return clusters.agg(F.round(F.sum("total") / F.sum("n"), 6).alias("mean")).crossJoin(drawn.select(lo.alias("lo"), hi.alias("hi")))
+
+
+def cohen_categorical(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(n, po, pe, kappa, pabak) of two raters with any categories; kappa is null where chance agreement is 1."""
+    cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("k"))
+    n = cells.agg(F.sum("k").alias("n"), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("k"))), F.lit(0)).alias("same"))
+    rows, cols = cells.groupBy("a").agg(F.sum("k").alias("x")), cells.groupBy(F.col("b").alias("a")).agg(F.sum("k").alias("y"))
+    chance = rows.join(cols, "a").agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0)).alias("xy"))
+    po, pe = F.col("same") / F.col("n"), F.col("xy") / (F.col("n") * F.col("n"))
+    return n.crossJoin(chance).select("n", F.round(po, 6).alias("po"), F.round(pe, 6).alias("pe"), F.round(F.when(pe < 1, (po - pe) / (1 - pe)), 6).alias("kappa"), F.round(2 * po - 1, 6).alias("pabak"))
+
+
 def holm(df: DataFrame, p: str, key: str) -> DataFrame:
     """The step-down adjustment: a running maximum of (m - rank + 1) p, one at most. A table of tests is small."""
     m = df.groupBy().agg(F.count("*").alias("m"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import sampling
 
 SPEC = "hash string, source string, spec string"
 #: Columns of the label sheet, and the spellings of an answer that names no violation.
@@ -23,13 +24,26 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(name.alias("source"), T.jurisdiction_of(name).alias("jurisdiction"), F.col("value").alias("text")).orderBy("source")
 
 
-def provisions(texts: DataFrame) -> DataFrame:
-    """(id, source, jurisdiction, tau, text): each source cut by its own rules, long spans in pieces, stored up to a length."""
+def provisions(texts: DataFrame, article: tuple[str, str] = ("Article 8", "Article 9")) -> DataFrame:
+    """(id, source, jurisdiction, tau, text): each source cut by its own rules, long spans in pieces, stored up to a length.
+
+    A source whose name holds gdpr is the stretch from one heading to the next, if both are there, and is then cut like any other.
+    """
     clean = T.named_entities(T.strip_markup(F.col("text")))
-    by = F.when(F.col("source").contains("ccpa"), T.header_segments(clean)).when(F.col("source").contains("uk_aadc"), F.filter(T.dewrap(T.drop_page_lines(clean)), lambda x: F.length(x) >= T.LEAST_SEGMENT)).otherwise(T.segments(clean))
-    spans = texts.select("source", "jurisdiction", F.posexplode(F.flatten(F.transform(by, lambda x: T.split_long(x)))).alias("pos", "span"))
-    numbered = spans.withColumn("n", F.row_number().over(Window.orderBy("source", "pos")) - 1)
-    return numbered.select(F.format_string("prov_%04d", "n").alias("id"), "source", "jurisdiction", T.find_tau(F.col("span")).alias("tau"), F.substring("span", 1, T.STORED).alias("text"))
+    begin, end = (F.locate(x, clean) for x in article)
+    name = F.col("source")
+    by = (
+        F.when(name.contains("ccpa"), T.header_segments(clean))
+        .when(name.contains("uk_aadc"), F.filter(T.dewrap(T.drop_page_lines(clean)), lambda x: F.length(x) >= T.LEAST_SEGMENT))
+        .when(name.contains("gdpr") & (begin > 0) & (end > begin), T.segments(T.article_slice(clean, *article)))
+        .otherwise(T.segments(clean))
+    )
+    spans = texts.select("source", "jurisdiction", F.flatten(F.transform(by, lambda x: T.split_long(x))).alias("spans"))
+    # Sources are files: few, and only their numbers of spans are added up in order.
+    before = Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spans.groupBy("source").agg(F.sum(F.size("spans")).alias("n")).select("source", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    numbered = spans.join(F.broadcast(offsets), "source").select("source", "jurisdiction", "offset", F.posexplode("spans").alias("pos", "span"))
+    return numbered.select(F.format_string("prov_%04d", F.col("offset") + F.col("pos")).alias("id"), "source", "jurisdiction", T.find_tau(F.col("span")).alias("tau"), F.substring("span", 1, T.STORED).alias("text"))
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -37,10 +51,11 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The last line of each hash in a JSON-lines cache; lines that aren't JSON are passed over."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
-    rows = raw.select("file", "line", F.from_json("value", "hash string, source string, spec string", {"mode": "PERMISSIVE"}).alias("r")).select("file", "line", "r.*").filter("hash is not null")
-    return last_wins(rows, "hash", F.struct("file", "line")).drop("file", "line")
+    """The last line of each hash in a JSON-lines cache, the files in the order in which they were written; lines that aren't JSON
+    are passed over."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
+    rows = raw.select("time", "file", "line", F.from_json("value", SPEC, {"mode": "PERMISSIVE"}).alias("r")).select("time", "file", "line", "r.*").filter("hash is not null")
+    return last_wins(rows, "hash", F.struct("time", "file", "line")).drop("time", "file", "line")
 
 
 def last_wins(rows: DataFrame, key: str, order: Column) -> DataFrame:
@@ -57,7 +72,8 @@ def cache_split(wanted: DataFrame, cache: DataFrame, key: str = "hash", size: in
     """Rows that the cache answers, and those left, with the number of their batch of size rows."""
     hits = wanted.join(cache, key, "left_semi")
     misses = wanted.join(cache, key, "left_anti")
-    return hits, misses.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size))
+    numbered = sampling.ranked(misses, F.substring(key, 1, 2), key)
+    return hits, numbered.withColumn("batch", F.floor((F.col("rank") - 1) / size)).drop("rank")
 
 
 def write_sheet(rows: DataFrame, path: str) -> None:
@@ -106,6 +122,13 @@ def prompt_table(markdown: DataFrame, text_col: str = "text") -> DataFrame:
     return d.select(F.regexp_extract("row", r"^\|\s*([A-Z]+\d+)\s*\|", 1).alias("prompt_id"), F.regexp_extract("row", r"^\|[^|]*\|\s*(.*?)\s*\|", 1).alias("prompt"))
 
 
+def checked_prompts(prompts: DataFrame, own: int = 10, practice: int = 2) -> DataFrame:
+    """The prompts, if there are as many of each kind (P and X) as are expected; an error otherwise. For control tables."""
+    kinds = prompts.agg(F.count_if(F.col("prompt_id").startswith("P")).alias("own"), F.count_if(F.col("prompt_id").startswith("X")).alias("practice"))
+    good = F.assert_true((F.col("own") == own) & (F.col("practice") == practice), F.lit(f"not {own} prompts and {practice} for practice"))
+    return prompts.crossJoin(F.broadcast(kinds)).filter(good.isNull()).drop("own", "practice")
+
+
 def triples(text: str) -> list[tuple[str, str, str]]:
     """`[a, b, c]` lists of a schema file, in order."""
     return [tuple(m) for m in re.findall(r"\[\s*(\w+)\s*,\s*(\w+)\s*,\s*(\w+)\s*\]", re.sub(r"(?m)^\s*#.*$", "", text))]
