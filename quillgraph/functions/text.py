@@ -165,8 +165,8 @@ def after_marker(text: Column, marker: str = "REVISED:") -> Column:
 
 def confidence(text: Column) -> Column:
     """A number held within 0 and 1; null where it isn't one."""
-    x = F.expr("try_cast(_ as double)") if isinstance(text, str) else text.try_cast("double")
-    return F.when(F.isnan(x), F.lit(None)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    x = text.try_cast("double")
+    return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def chosen_codes(answer: Column, codes: Column) -> Column:

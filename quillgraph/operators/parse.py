@@ -111,6 +111,22 @@ def edge_array(permits: bool = False) -> Column:
     return F.flatten(F.transform("marks", of))
 
 
+#: The types that each kind of edge connects, by the beginning of its id.
+ENDS = {"ea": ("DataSubject", "ConsentProcess"), "eb": ("ConsentProcess", "DataProcessing"), "ec": ("ConsentProcess", "ParentalConsent"), "ed": ("ConsentProcess", "Withdrawal"), "ee": ("Operator", "ThirdParty"), "ef": ("Operator", "DataProcessing"), "eg": ("RetentionClause", "DurationIndefinite"), "eh": ("RetentionClause", "DurationBounded")}
+
+
+def typed_edge_array(permits: bool = False) -> Column:
+    """Its edges as (src_type, edge_type, tgt_type, sent_idx)."""
+
+    def typed(e):
+        kind, (src, tgt) = F.substring(e["edge_id"], 1, 2), (F.lit(None).cast("string"),) * 2
+        for k, (a, b) in ENDS.items():
+            src, tgt = F.when(kind == k, a).otherwise(src), F.when(kind == k, b).otherwise(tgt)
+        return F.struct(src.alias("src_type"), e["edge_type"].alias("edge_type"), tgt.alias("tgt_type"), e["sent_idx"].alias("sent_idx"))
+
+    return F.transform(edge_array(permits), typed)
+
+
 def parse_nodes(p: DataFrame, id_col: str = "doc_id", permits: bool = False) -> DataFrame:
     return p.select(id_col, F.explode(node_array(permits)).alias("n")).select(id_col, "n.*")
 

@@ -134,6 +134,48 @@ def ranks(deps: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def per_cell(spark: SparkSession, rules) -> DataFrame:
+    """(jurisdiction, age_lo, age_hi, rules, acyclic): each context cell, and whether the rules active there can't enable each other in a circle."""
+    cells = kept(context_cells(spark, rules), "cells")
+    deps = dependencies(spark, rules).select("rule", "enables").distinct()
+    inside = cells.select("jurisdiction", "age_lo", F.split("rules", ",").alias("own")).crossJoin(F.broadcast(deps)).filter(F.array_contains("own", F.col("rule")) & F.array_contains("own", F.col("enables")))
+    step = kept(inside.select("jurisdiction", "age_lo", "rule", "enables"), "cell-steps")
+    reach, n = step, step.count()
+    while True:  # at most as many rounds as a library has rules
+        more = reach.join(step.select("jurisdiction", "age_lo", F.col("rule").alias("enables"), F.col("enables").alias("further")), ["jurisdiction", "age_lo", "enables"]).select("jurisdiction", "age_lo", "rule", F.col("further").alias("enables"))
+        reach = kept(reach.unionByName(more).distinct(), "cell-reach")
+        if (now := reach.count()) == n:
+            break
+        n = now
+    circles = reach.filter("rule = enables").select("jurisdiction", "age_lo").distinct().withColumn("circle", F.lit(True))
+    return cells.join(circles, ["jurisdiction", "age_lo"], "left").select("jurisdiction", "age_lo", "age_hi", "rules", F.col("circle").isNull().alias("acyclic"))
+
+
+def produce_forbid(t: dict[str, DataFrame]) -> DataFrame:
+    """(rule, forbids, type): rules whose right side has an edge type that another rule's negative condition forbids."""
+    made = t["rule_edge"].filter("part = 'R'").select("rule_id", F.col("edge_type").alias("type")).distinct()
+    asked = _extra(t, "rule_edge", "edge_type").select(F.col("rule_id").alias("other"), "type")
+    name = t["rule"].select("rule_id", F.col("name").alias("rule"))
+    other = t["rule"].select(F.col("rule_id").alias("other"), F.col("name").alias("forbids"))
+    return made.join(asked, "type").filter("rule_id <> other").join(name, "rule_id").join(other, "other").select("rule", "forbids", "type").distinct()
+
+
+def sublibrary(spark: SparkSession, rules) -> DataFrame:
+    """(rules, all_discharge, acyclic, depth) of a part of a library, taken by itself."""
+    t = tables(spark, rules)
+    ranked = ranks(dependencies(spark, rules), t)
+    g = discharges(t).agg(F.count("*").alias("rules"), F.bool_and("discharges").alias("all_discharge"))
+    return g.crossJoin(ranked.agg(F.count("*").alias("k"), F.max("rank").alias("depth"))).select("rules", "all_discharge", (F.col("k") == F.col("rules")).alias("acyclic"), "depth")
+
+
+def emittable(typed: DataFrame) -> DataFrame:
+    """(src_type, edge_type, tgt_type, admissible, emitted): what the schema admits against what the parser made."""
+    cols = ["src_type", "edge_type", "tgt_type"]
+    a = parse.attach_table(typed.sparkSession).withColumn("admissible", F.lit(True))
+    m = typed.select(*cols).distinct().withColumn("emitted", F.lit(True))
+    return a.join(m, cols, "full_outer").select(*cols, *[F.coalesce(c, F.lit(False)).alias(c) for c in ("admissible", "emitted")])
+
+
 def critical_pairs(spark: SparkSession, rules) -> DataFrame:
     """(a, b, pairs, joinable): of each two rules, one pair a row of a task."""
     rules = list(rules)

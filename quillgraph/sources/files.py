@@ -115,11 +115,11 @@ def unblind(labels: DataFrame, blind_map: DataFrame) -> DataFrame:
     return joined.select("pair_id", "arm", F.when(F.col("violations").isNull(), F.raise_error(F.concat(F.lit("no answer for "), F.col("pair_id").cast("string")))).otherwise(F.col("violations")).alias("violations"))
 
 
-def prompt_table(markdown: DataFrame, text_col: str = "text") -> DataFrame:
-    """(prompt_id, prompt) of the rows `| P1 | ... |` of markdown tables."""
+def prompt_table(markdown: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(prompt_id, prompt) of the rows `| P1 | ... |` of markdown tables, with the columns to keep."""
     rows = F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.regexp_extract(x, r"^\|\s*([A-Z]+\d+)\s*\|\s*(.*?)\s*\|", 0)), lambda x: x != "")
-    d = markdown.select(F.explode(rows).alias("row"))
-    return d.select(F.regexp_extract("row", r"^\|\s*([A-Z]+\d+)\s*\|", 1).alias("prompt_id"), F.regexp_extract("row", r"^\|[^|]*\|\s*(.*?)\s*\|", 1).alias("prompt"))
+    d = markdown.select(*(keep or []), F.explode(rows).alias("row"))
+    return d.select(*(keep or []), F.regexp_extract("row", r"^\|\s*([A-Z]+\d+)\s*\|", 1).alias("prompt_id"), F.regexp_extract("row", r"^\|[^|]*\|\s*(.*?)\s*\|", 1).alias("prompt"))
 
 
 def checked_prompts(prompts: DataFrame, own: int = 10, practice: int = 2) -> DataFrame:
@@ -139,10 +139,14 @@ def completions(prompts: DataFrame, answered: DataFrame) -> DataFrame:
     return prompts.withColumn("prompt_hash", F.sha2("prompt", 256)).join(answered, "prompt_hash", "left")
 
 
-def gated(rows: DataFrame, digest: str) -> DataFrame:
-    """The rows, if the hash over all of them, sorted, is the one that is expected; an error otherwise. For control tables."""
-    found = rows.select(F.sha2(F.to_json(F.struct(*rows.columns)), 256).alias("h")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
-    return rows.crossJoin(F.broadcast(found)).filter(F.assert_true(F.col("d") == digest, F.lit("the table isn't the frozen one")).isNull()).drop("d")
+def digest(rows: DataFrame) -> DataFrame:
+    """(d): a hash over the hashes of all rows, sorted. For control tables, which are small."""
+    return rows.select(F.sha2(F.to_json(F.struct(*rows.columns)), 256).alias("h")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
+
+
+def gated(rows: DataFrame, expected: str) -> DataFrame:
+    """The rows, if their digest is the one that is expected; an error otherwise."""
+    return rows.crossJoin(F.broadcast(digest(rows))).filter(F.assert_true(F.col("d") == expected, F.lit("the table isn't the frozen one")).isNull()).drop("d")
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
