@@ -8,13 +8,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph import catalog
+from quillgraph import audits, catalog
 from quillgraph.functions import text as T
-from quillgraph.operators import align, local, parse, realize, rewrite, sampling
+from quillgraph.operators import align, local, parse, realize, rewrite, sampling, specs
 from quillgraph.operators.notices import notices
 from quillgraph.plans.matcher import one_step
 from quillgraph.plans.rules import LIBRARY, PROBES
-from quillgraph.sources import files, fixtures
+from quillgraph.sources import files, fixtures, logs
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,10 +37,14 @@ def rows(df):
     return sorted(tuple(one(x) for x in r) for r in df[cols].astype(object).itertuples(index=False, name=None)), cols
 
 
+def test_audits_are_registered():
+    assert audits.query is catalog.query and "arm_outputs" in catalog.QUERIES
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_its_sql(spark, con, name):
-    if name in ("normal_form_edges", "repair_trace_counts"):
-        pytest.skip("the join lanes have tests of their own below; these queries are run by the driver")
+    if name == "normal_form_edges":
+        pytest.skip("the join lane has tests of its own below; this query is run by the driver")
     got, cols = rows(catalog.QUERIES[name](spark, SF).toPandas())
     want, names = rows(con.sql(catalog.ORACLES[name]).df())
     assert cols == names
@@ -92,6 +96,51 @@ def test_process_documents(spark):
     assert got[4]["fired"] == "r_SALE"  # negation isn't looked at here
 
 
+def test_realization_within_rows_and_by_joins(spark):
+    docs = spark.createDataFrame([(i, f"Text {i} stands here. It goes on!" if i % 3 else None) for i in range(40)], "doc_id bigint, text string")
+    rules = list(LIBRARY)
+    rows = rewrite.kept(local.normalise(rules, local.graph_rows(notices(docs))), "t")
+    joined = {r["doc_id"]: r["output"] for r in realize.realize(rules, rows.select("doc_id", "sentences"), local.trace_table(rows, rules)).collect()}
+    within = {r["doc_id"]: r["output"] for r in realize.realized(rules, rows).collect()}
+    every = {r["doc_id"]: r["output"] for r in realize.realized(rules, local.normalise(rules, local.graph_rows(notices(docs)), every=True), every=True).collect()}
+    assert joined == within == every and len(within) == 40
+
+
+def test_control_tables(spark, tmp_path):
+    d = spark.createDataFrame([(f"P{k}", "ask") for k in range(10)] + [("X1", "try"), ("X2", "try")], "prompt_id string, prompt string")
+    assert files.checked_prompts(d).count() == 12
+    with pytest.raises(Exception, match="not 10 prompts"):
+        files.checked_prompts(d.limit(5)).collect()
+    with pytest.raises(Exception, match="frozen"):
+        files.gated(d, "0" * 64).collect()
+    with pytest.raises(Exception, match="not as expected: a"):
+        logs.gate(spark.createDataFrame([("a", 1, 2)], "name string, expected int, found int")).collect()
+    assert files.triples("# x\nattach:\n  - [A, b, C]\n  - [D, e, F]") == [("A", "b", "C"), ("D", "e", "F")]
+    logs.write_results({"t": d}, str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/t").count() == 12
+    prompts = files.completions(d.limit(2), spark.createDataFrame([], "prompt_hash string, response string"))
+    assert prompts.filter("response is null").count() == 2
+    assert spark.range(1).select(T.all_entities(F.lit("&eacute;&nbsp;&amp;"))).first()[0] == "é &"
+
+
+def test_usage_window(spark, tmp_path):
+    from quillgraph.streaming.flags import usage_window
+
+    rows = spark.createDataFrame([(f"2026-01-01 00:00:{s:02d}", "a", 1.0) for s in (1, 2, 31, 59)], "t string, event_type string, value double").select(F.to_timestamp("t").alias("ts"), "event_type", "value")
+    rows.write.parquet(str(tmp_path / "in"))
+    q = usage_window(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), 30, 30).writeStream.format("memory").queryName("usage").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r["tokens"] for r in spark.table("usage").collect()) == [2.0, 2.0]
+
+
+def test_model_answers(spark):
+    docs = spark.createDataFrame([(1, "We do not sell data to partners. We sell data to partners."), (2, "We sell data to partners."), (3, "")], "doc_id bigint, text string")
+    graph = '{"nodes": [{"id": 0, "type": "Operator", "sent": 0}, {"id": 1, "type": "ThirdParty", "sent": 0}], "edges": [{"src": 0, "tgt": 1, "type": "sellsTo", "sent": %d}, {"src": 1, "tgt": 0, "type": "sellsTo", "sent": 1}]}'
+    answers = spark.createDataFrame([(1, 0, "no"), (1, 1, graph % 0), (1, 2, graph % 1), (2, 0, "{}"), (2, 7, graph % 0)], "doc_id bigint, attempt int, response string")
+    got = sorted(map(tuple, specs.model_parsed(docs, answers).collect()))
+    assert got == [(2, True, "Operator", "sellsTo", "ThirdParty", 0)]  # what the model said of document 1 its sentence denies
+
+
 def test_negation_filter(spark):
     d = spark.createDataFrame([(1, "We do not sell data to partners. We sell data to partners.")], "doc_id bigint, text string")
     _, edges = parse.graph_of(d)
