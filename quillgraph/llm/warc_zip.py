@@ -26,6 +26,7 @@ import gzip
 import hashlib
 import json
 import struct
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -171,7 +172,9 @@ def record(kind: str, page_id, url, payload: bytes, digest: str, refers_to) -> b
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
+        f"WARC-Date: {time.strftime('%Y-%m-%dT%H:%M:%SZ', time.gmtime())}",
+        f"WARC-Page-ID: {page_id}",
         f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Payload-Length: {len(payload)}",
@@ -179,7 +182,7 @@ def record(kind: str, page_id, url, payload: bytes, digest: str, refers_to) -> b
         f"Content-Length: {len(block)}",
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page-ID: {refers_to}"]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 1, mtime=0)
 
 
@@ -247,11 +250,13 @@ class PackageWriter:
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, zip64: bool = False, most: int = PACKAGE) -> DataFrame:
     """Writes all rows; the table of packages: (package, records, bytes)."""
-    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string").cast("binary"), F.lit(b"")).alias("payload"))
+    src = pages.select(shared.whole_id(F.col(id_col)).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string").cast("binary"), F.lit(b"")).alias("payload"))
     src = src.withColumn("digest", F.sha2("payload", 256)).withColumn("long", F.length("payload") >= least)
-    # Counted before it is shuffled; only payloads that stand more than once take part in the join.
+    # Counted before it is shuffled; only payloads that may stand more than once (a bounded filter tells) are shuffled for the join.
     again = src.filter("long").groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("original")).filter("n > 1 and original is not null").select("digest", "original")
-    rows = src.join(again, "digest", "left").withColumn("refers_to", F.when(F.col("long") & ~F.col("page_id").eqNullSafe(F.col("original")), F.col("original")))
+    again = shared.settle(again, "repeated-payloads")
+    some, rest = shared.split_by(src, "digest", shared.fingerprint_filter(again, "digest"))
+    rows = some.join(again, "digest", "left").unionByName(rest.withColumn("original", F.lit(None).cast("long"))).withColumn("refers_to", F.when(F.col("long") & ~F.col("page_id").eqNullSafe(F.col("original")), F.col("original")))
 
     def write(batches):
         out = PackageWriter(folder, most, zip64)
@@ -262,14 +267,15 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out.done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["package", "records", "bytes"])
 
     made = rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(write, "package string, records bigint, bytes bigint")
-    return shared.settle(made, "packages")
+    out = shared.settle(made, "packages")
+    shared.discard(again)
+    return out
 
 
 def read_archives(packages: DataFrame, payload: bool = False) -> DataFrame:
     """A row for each record: page_id, url, record_type, payload_bytes, payload_digest, refers_to, and the payload of responses if asked for."""
 
-    def number(urn: str):
-        x = urn.removeprefix("<urn:page:").rstrip(">")
+    def number(x: str):
         return None if x == "None" else int(x)
 
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()] + [pa.binary()] * payload
@@ -287,8 +293,8 @@ def read_archives(packages: DataFrame, payload: bool = False) -> DataFrame:
                     if kind == "response":
                         size = len(body)
                         if hashlib.sha256(body).hexdigest() != digest:
-                            raise ValueError(f"{path}: the payload of {head['warc-record-id']} differs from its digest")
-                    row = [number(head["warc-record-id"]), head["warc-target-uri"], kind, size, digest, number(head["warc-refers-to"]) if kind == "revisit" else None]
+                            raise ValueError(f"{path}: the payload of page {head['warc-page-id']} differs from its digest")
+                    row = [number(head["warc-page-id"]), head["warc-target-uri"], kind, size, digest, number(head["warc-refers-to-page-id"]) if kind == "revisit" else None]
                     rows.append([*row, body if kind == "response" else None] if payload else row)
                     if len(rows) >= 1000:
                         yield emit(rows)

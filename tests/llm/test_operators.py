@@ -63,7 +63,7 @@ def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "ä" * 200
     rows = [(3, "u3", big), (1, "u 1", big), (2, None, big), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (None, "u", big), (1, "again", big), (7, "u", "x" * 70_000)]
     for zip64 in (False, True):
-        made = warc_zip.write_archives(pages(spark, rows), str(tmp_path / f"w{zip64}"), zip64=zip64, most=20_000)
+        made = warc_zip.write_archives(pages(spark, rows).select("*", *[F.lit("x").alias(c) for c in ("payload", "digest", "long", "original", "refers_to", "n")]), str(tmp_path / f"w{zip64}"), zip64=zip64, most=20_000)
         got = warc_zip.read_archives(made, payload=True).collect()
         assert len(got) == len(rows)
         for r in got:
@@ -72,6 +72,8 @@ def test_warc_round_trip(spark, tmp_path):
             expected = 1 if payload == big.encode() and r["page_id"] != 1 else None
             assert r["refers_to"] == expected and r["record_type"] == ("revisit" if expected else "response")
             assert r["payload"] == (None if expected else payload)
+        ids = [h["warc-record-id"] for p in made.collect() for h, _ in warc_zip.read_package(p["package"])]
+        assert len(set(ids)) == len(rows)  # of repeated page ids too
         for p in made.collect():
             with zipfile.ZipFile(p["package"]) as z:
                 assert z.testzip() is None and all(i.compress_type == 0 for i in z.infolist())
