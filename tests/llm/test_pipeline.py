@@ -2,10 +2,14 @@
 
 import random
 
+import duckdb
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from test_operators import brute_components, brute_line_dedup
 
 import corpus_pipeline
-from quillgraph.llm import shared
+from quillgraph.llm import jaccard_join, mixing, shared, toxicity
 
 
 def words(n, seed):
@@ -64,6 +68,55 @@ def test_stages(spark, sf):
     assert {r["doc_id"]: r["taken"] for r in corpus_pipeline.run(spark, sf).collect()} == {k: r["taken"] for k, r in kept["mixing"].items()}
 
 
+def test_stages_by_brute_force(spark, sf):
+    """Each stage on its own input: scores by the model alone, lines and components by comparing everything, the mix by its SQL."""
+    folder = f"{sf}-brute"
+    stages = dict(corpus_pipeline.STAGES)
+    docs = shared.table(spark, sf, "documents")
+    labels = shared.table(spark, sf, "labels")
+
+    def step(name, docs):
+        out = shared.settle(stages[name](spark, docs, sf), "brute")
+        return out, sorted(((r["doc_id"], r["text"]) for r in out.collect()) if "text" in out.columns else [], key=repr)
+
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    model = toxicity.fit(docs, labels)
+    scores = toxicity.score_texts(model, pa.array([t for _, t in rows], pa.string()))
+    docs, got = step("toxicity", docs)
+    assert got == sorted([r for r, x in zip(rows, scores, strict=True) if x < 0.5], key=repr)
+    left = brute_line_dedup([(*r, 0) for r in got])
+    want = sorted([(got[i][0], t) for i, t in left.items() if t == got[i][1] or t.strip()], key=repr)
+    docs, got = step("line_dedup", docs)
+    assert got == want
+    component = [c for _, _, c in brute_components(got, jaccard_join.CORPUS)]
+    want = [r for r, c in zip(got, component, strict=True) if r[0] == c]
+    docs, got = step("jaccard_join", docs)
+    assert got == want
+    item = "".join(c for c in shared.table(spark, sf, "benchmark").filter("item_id = 1").first()["text"] if c.isalnum())
+    pieces = [item[k : k + 60] for k in range(len(item) - 59)]
+    want = [r for r in got if not any(p in "".join(c for c in r[1] or "" if c.isalnum()) for p in pieces)]
+    docs, got = step("decontaminate", docs)
+    assert got == want
+    docs.write.parquet(f"{folder}/documents")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{folder}/documents/*.parquet'")
+    con.sql(f"create view labels as select * from '{sf}/labels.parquet/*.parquet'")
+    mixed = sorted((r["doc_id"], r["size"], r["taken"]) for r in stages["mixing"](spark, docs, sf).collect())
+    assert mixed == sorted(con.sql(f"select doc_id, size, taken from ({mixing.ORACLE})").fetchall())
+
+
+def test_clashing_names(spark, sf):
+    """Stages pass on columns whose names are those of columns that operators make."""
+    names = ["id", "toxic", "doc", "gone", "every", "again", "did", "th", "root", "c", "a", "b", "text_key", "hash", "one"]
+    docs = shared.table(spark, sf, "documents").select("*", *[F.lit("x").alias(n) for n in names])
+    docs = docs.unionByName(docs.filter("doc_id = 41"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = shared.settle(stage(spark, docs, sf), "clash")
+        assert out.columns == docs.columns and 200 < out.count() <= docs.count(), name
+        docs = out
+    assert docs.filter("doc_id = 41").count() == 1
+
+
 def test_empty_documents(spark, sf, tmp_path):
     shared.table(spark, sf, "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     for t in ("labels", "benchmark"):
