@@ -44,7 +44,7 @@ from .components import connected_components
 
 OF = 100
 COUNTERS, BLOCKS = (20, 24), 16
-STEP, LIST = 64, 4096
+STEP, LIST = 64, 512
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _ODD = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x6C8E9CF570932BD5)]
 
