@@ -12,6 +12,7 @@ from .functions import text as T
 from .operators import local, parse, rewrite, sampling, specs, stats
 from .operators import ruleset as RS
 from .operators.notices import _BLANK
+from .plans import certify
 from .plans.rules import ATTACH, LIBRARY, PROBES
 from .session import shared_dir
 from .sources import files, logs
@@ -324,6 +325,39 @@ def _(spark, sf):
     return RS.produce_forbid(RS.tables(spark))
 
 
+#: Edges of nodes, and the dependencies by elements that fit into a left side.
+_FITS = """
+ends as (select e.rule, e.part, e.src as elem, 'out ' || e.type || ' ' || n.type as way from edge e join node n on n.rule = e.rule and n.part = e.part and n.elem = e.tgt
+  union select e.rule, e.part, e.tgt, 'in ' || e.type || ' ' || n.type from edge e join node n on n.rule = e.rule and n.part = e.part and n.elem = e.src where e.src <> e.tgt),
+has as (select n.rule, n.part, n.elem, n.type, list(e.way) filter (e.way is not null) as ways from node n left join ends e on e.rule = n.rule and e.part = n.part and e.elem = n.elem group by all),
+fresh as (select r.rule, r.type from types r where r.part = 'R' and r.k = 'e' and not exists (select 1 from types l where l.rule = r.rule and l.part = 'L' and l.k = 'e' and l.type = r.type)),
+fits as (select distinct d.rule, d.enables from (
+  select r.rule, l.rule as enables from made m join has r on m.k = 'n' and r.rule = m.rule and r.part = 'R' and r.elem = m.elem join has l on l.part = 'L' and l.type = r.type where list_has_all(coalesce(r.ways, []), coalesce(l.ways, []))
+  union select f.rule, e.rule from fresh f join edge e on e.part = 'L' and e.type = f.type join node s on s.rule = e.rule and s.part = 'L' and s.elem = e.src join node t on t.rule = e.rule and t.part = 'L' and t.elem = e.tgt
+    join types x on x.rule = f.rule and x.part = 'R' and x.k = 'n' and x.type = s.type join types y on y.rule = f.rule and y.part = 'R' and y.k = 'n' and y.type = t.type
+  ) d join together on together.a = d.rule and together.b = d.enables)"""
+
+
+@query("rule_dependency_instance", f"with {_FACTS}, {_FITS} select coalesce(t.rule, f.rule) as rule, coalesce(t.enables, f.enables) as enables, t.rule is not null as by_type, f.rule is not null as by_instance from (select distinct rule, enables from dep where mechanism = 'creates') t full join fits f on f.rule = t.rule and f.enables = t.enables")
+def _(spark, sf):
+    rules = LIBRARY + PROBES
+    by_type = RS.dependencies(spark, rules, certify.CREATION).select("rule", "enables").distinct().withColumn("by_type", F.lit(True))
+    by_instance = RS.instance_dependencies(spark, rules).withColumn("by_instance", F.lit(True))
+    no = F.lit(False)
+    return by_type.join(by_instance, ["rule", "enables"], "full_outer").select("rule", "enables", F.coalesce("by_type", no).alias("by_type"), F.coalesce("by_instance", no).alias("by_instance"))
+
+
+@query("dependency_rejection_rates")
+def _(spark, sf):
+    return RS.rejection_rates(spark, LIBRARY + PROBES)
+
+
+@query("cpa_cost_trace")
+def _(spark, sf):
+    """Without the seconds, which differ from run to run."""
+    return RS.cost_trace(spark, LIBRARY + PROBES).drop("seconds")
+
+
 @query("per_cell_audit", f"""with recursive {_FACTS}, sig as (select c.age, c.jurisdiction, coalesce(string_agg(a.rule, ',' order by a.rule), '') as rules from (select a::int as age, j as jurisdiction from generate_series(0, 120) x(a), (values ('US'), ('EU'), ('UK'), ('US-CA')) v(j)) c left join active a on a.age = c.age and a.jurisdiction = c.jurisdiction group by all),
 st as (select *, case when rules = lag(rules) over (partition by jurisdiction order by age) then 0 else 1 end as s from sig), grp as (select *, sum(s) over (partition by jurisdiction order by age) as cell from st),
 cells as (select jurisdiction, min(age) as age_lo, max(age) as age_hi, rules from grp group by jurisdiction, cell, rules),

@@ -118,6 +118,38 @@ def dependencies(spark: SparkSession, rules, mechanisms=certify.MECHANISMS) -> D
     return pairs.join(together, ["rule_id", "other"], "left_semi").join(name, "rule_id").join(other, "other").select("rule", "enables", "mechanism")
 
 
+def instance_dependencies(spark: SparkSession, rules) -> DataFrame:
+    """(rule, enables): dependencies by created elements that fit into another rule's left side with their edges, a narrower
+    reading than the mechanism `creates` (certify.completes says how)."""
+    t = tables(spark, rules)
+    n, e = t["rule_node"], t["rule_edge"]
+    key = ["rule_id", "part", "elem_id"]
+    far = n.select("rule_id", "part", F.col("elem_id").alias("far"), F.col("node_type").alias("far_type"))
+    sides = e.select("rule_id", "part", F.explode(F.array(F.struct(F.lit("out").alias("way"), F.col("src").alias("elem_id"), F.col("tgt").alias("far")), F.struct(F.lit("in").alias("way"), F.col("tgt").alias("elem_id"), F.col("src").alias("far")))).alias("s"), "edge_type", (F.col("src") == F.col("tgt")).alias("loop"))
+    ends = sides.filter("not (loop and s.way = 'in')").select("rule_id", "part", "s.elem_id", "s.far", "s.way", "edge_type").join(far, ["rule_id", "part", "far"], "left")
+    has = ends.groupBy(*key).agg(F.collect_set(F.concat_ws(" ", "way", "edge_type", "far_type")).alias("has"))
+    full = n.join(has, key, "left").select(*key, "node_type", F.coalesce("has", F.array().cast("array<string>")).alias("has"))
+    made = full.filter("part = 'R'").join(n.filter("part = 'L'").select("rule_id", "elem_id"), ["rule_id", "elem_id"], "left_anti").select("rule_id", "node_type", F.col("has").alias("offers"))
+    asked = full.filter("part = 'L'").select(F.col("rule_id").alias("other"), "node_type", "has")
+    by_node = made.join(asked, "node_type").filter(F.size(F.array_except("has", "offers")) == 0).select("rule_id", "other")
+    edges = e.filter("part = 'R'").select("rule_id", "edge_type").distinct()
+    fresh = edges.join(e.filter("part = 'L'").select("rule_id", "edge_type"), ["rule_id", "edge_type"], "left_anti")
+    kinds = n.filter("part = 'L'").select(F.col("rule_id").alias("other"), "elem_id", "node_type")
+    left = e.filter("part = 'L'").select(F.col("rule_id").alias("other"), "src", "tgt", "edge_type")
+    for end in ("src", "tgt"):
+        left = left.join(kinds.select("other", F.col("elem_id").alias(end), F.col("node_type").alias(f"{end}_type")), ["other", end])
+    there = n.filter("part = 'R'").select("rule_id", "node_type").distinct()
+    by_edge = fresh.join(left, "edge_type")
+    for end in ("src", "tgt"):
+        by_edge = by_edge.join(there.withColumnRenamed("node_type", f"{end}_type"), ["rule_id", f"{end}_type"], "left_semi")
+    act = active(spark, rules)
+    together = act.join(act.select(F.col("rule_id").alias("other"), "age", "jurisdiction"), ["age", "jurisdiction"]).select("rule_id", "other").distinct()
+    name = t["rule"].select("rule_id", F.col("name").alias("rule"))
+    other = t["rule"].select(F.col("rule_id").alias("other"), F.col("name").alias("enables"))
+    found = by_node.unionByName(by_edge.select("rule_id", "other")).filter("rule_id <> other").distinct()
+    return found.join(together, ["rule_id", "other"], "left_semi").join(name, "rule_id").join(other, "other").select("rule", "enables")
+
+
 def ranks(deps: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
     """(rule, rank) by peeling rules off that depend on none that is left; rules on or behind a cycle have no row."""
     left = t["rule"].select(F.col("name").alias("rule"))
@@ -205,6 +237,20 @@ def admit_log(spark: SparkSession, rules, **options) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, rule string, status string, rank int, modality string, detail string")
 
 
+def cost_trace(spark: SparkSession, rules, **options) -> DataFrame:
+    """(ord, rule, left_edges, status, pairs, seconds): what the check for confluence cost for each rule."""
+    log = certify.admit(rules, **options)
+    rows = [(i, d.rule.name, len(d.rule.left.edges), d.status, d.pairs, d.seconds) for i, d in enumerate(log)]
+    return spark.createDataFrame(rows, "ord int, rule string, left_edges int, status string, pairs int, seconds double")
+
+
+def rejection_rates(spark: SparkSession, rules) -> DataFrame:
+    """(reading, n, rejected): rules without a rank when creation is read by types and by instances."""
+    rules = list(rules)
+    got = [(name, len(rules), sum(v is None for v in certify.stratify(rules, m).rank.values())) for name, m in (("type", certify.CREATION), ("instance", certify.INSTANCES))]
+    return spark.createDataFrame(got, "reading string, n int, rejected int")
+
+
 def admission_funnel(log: DataFrame) -> DataFrame:
     """log: (source, status). Counts by source, and their TOTAL."""
     s = F.col("status")

@@ -83,3 +83,49 @@ def test_normal_forms_have_no_step():
         graph = pattern(" ".join(parts) + "; " + " ".join(edges))
         for form, _ in kernel.normal_forms(rules, graph):
             assert not list(kernel.steps(rules, form))
+
+
+def test_instances_within_types_of_new_elements():
+    """On the library, by brute force over the patterns' parts."""
+    every = list(LIBRARY + PROBES)
+    for r in every:
+        for q in every:
+            offered = {r.right.nodes[n]: certify._ends(r.right, n) for n in r.made_nodes}
+            by_node = any(t in offered and certify._ends(q.left, n) <= offered[t] for n, t in q.left.nodes.items())
+            new = {t for _, _, t in r.right.edges.values()} - {t for _, _, t in r.left.edges.values()}
+            by_edge = any(t in new and q.left.nodes[s] in r.right.nodes.values() and q.left.nodes[o] in r.right.nodes.values() for s, o, t in q.left.edges.values())
+            assert certify.completes(r, q) == (by_node or by_edge)
+    loop = certify._ends(pattern("a:A; e:a>a:x"), "a")
+    assert loop == {("out", "x", "A")}
+
+
+def test_cycles_are_broken_by_rules_that_never_fired():
+    flips = [r for r in PROBES if r.name.startswith("r_FLIP")]
+    assert certify.break_cycles(flips, set()) in (["r_FLIP1"], ["r_FLIP2"])
+    assert certify.break_cycles(flips, {"r_FLIP1"}) == ["r_FLIP2"]
+    assert certify.break_cycles(flips, {"r_FLIP1", "r_FLIP2"}) is None
+    assert certify.break_cycles(list(LIBRARY), set()) == []
+
+
+def test_feedback_set_against_every_subset():
+    rng = random.Random(5)
+    for _ in range(60):
+        nodes = list(range(5))
+        after = {n: [m for m in nodes if m != n and rng.random() < 0.3] for n in nodes}
+        allowed = {n for n in nodes if rng.random() < 0.7}
+
+        def free(gone, after=after):
+            left = [n for n in nodes if n not in gone]
+            walks = {n: set(after[n]) & set(left) for n in left}
+            for _ in left:
+                walks = {n: w | {x for m in w for x in walks[m]} for n, w in walks.items()}
+            return all(n not in w for n, w in walks.items())
+
+        sizes = [bin(k).count("1") for k in range(32) if free({n for n in nodes if k >> n & 1}) and {n for n in nodes if k >> n & 1} <= allowed]
+        got = certify.feedback_set(nodes, after, allowed)
+        assert (got is None) == (not sizes) and (got is None or free(set(got)) and set(got) <= allowed and len(got) == min(sizes))
+
+
+def test_cost_trace_looks_at_pairs():
+    log = certify.admit(LIBRARY + PROBES)
+    assert any(d.pairs for d in log) and all(d.pairs == 0 for d in log if d.status == "reject:no-measure")
