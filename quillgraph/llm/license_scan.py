@@ -204,3 +204,38 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(shared.table(spark, sf_dir, "documents")).drop("places")
+
+
+def _oracle() -> str:
+    """Phrases by their places in the row of words; templates by the places of their first key phrase, without anchors: a text
+    that holds a template's region with fewer than AGREE anchors in place would differ, which no given table has."""
+
+    def row(words: str) -> str:
+        return "'" + "".join(f" {w} " for w in words.split()) + "'"
+
+    def items(words) -> str:
+        return "[" + ", ".join(words) + "]"
+
+    phrases = ", ".join(f"('{label}', {row(p)}, {len(p.split())})" for p, label in PHRASES.items())
+    made = []
+    for label, text, keys in TEMPLATES:
+        words, key = text.split(), keys[0].split()
+        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+        made.append(f"('{label}', {items(repr(w) for w in words)}, {items(row(k) for k in keys)}, {items(repr(k) for k in key)}, {at})")
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from documents),
+t as (select doc_id, ws, len(ws)::bigint as n_words, ' ' || array_to_string(ws, '  ') || ' ' as s from w),
+phrase as (select * from (values {phrases}) v(label, p, n)),
+template as (select * from (values {", ".join(made)}) v(label, words, keys, key, skipped)),
+base as (select doc_id, label, len(string_split(s, p)) - 1 as k, len(regexp_extract_all(string_split(s, p)[1], '[^ ]+')) as a, n_words - len(regexp_extract_all(string_split(s, p)[-1], '[^ ]+')) - n as z from t join phrase on contains(s, p)),
+place as (select doc_id, ws, label, words, keys, skipped, unnest(list_filter(range(1, n_words + 1), lambda i: ws[i : i + len(key) - 1] = key)) as i from t join template on contains(s, keys[1])),
+region as (select doc_id, label, words, keys, ws[greatest(1, i - skipped - {SLACK}) : i - skipped + len(words) - 1 + {SLACK}] as r from place),
+more as (select doc_id, label, len(list_filter(words, lambda x: list_contains(r, x))) / len(words) as share from region where len(list_filter(keys, lambda x: not contains(' ' || array_to_string(r, '  ') || ' ', x))) = 0),
+b as (select doc_id, sum(k) as n_base, min(a) as first_word, max(z) as last_word, string_agg(distinct label, ',' order by label) as base_labels from base group by doc_id),
+l as (select doc_id, string_agg(distinct label, ',' order by label) as labels, max(share) as score from (select doc_id, label, 1.0::double as share from base union all select * from more where share >= {SHARE}) group by doc_id)
+select doc_id, n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score
+from t left join b using (doc_id) left join l using (doc_id)"""
+
+
+ORACLE = _oracle()

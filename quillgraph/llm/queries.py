@@ -20,6 +20,7 @@ QUERIES = {
 ORACLES = {
     "op1_warc": warc_zip.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
+    "op3_license_scan": license_scan.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op7_jaccard_join": jaccard_join.ORACLE,
     "op9_nn_descent": nn_descent.ORACLE,

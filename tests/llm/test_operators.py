@@ -8,6 +8,7 @@ import time
 import zipfile
 from html.parser import HTMLParser
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -216,6 +217,16 @@ def test_license_scan(spark):
         assert r["doc_id"] != 6 or r["labels"] == "gpl-3"
 
 
+def test_license_scan_equals_its_sql(spark):
+    texts = ["cc by-nc cc by nc CC BY NC", "Licensed under the GNU General Public License, version 3. gnu general public license version 2", "x " * 30 + "this work is licensed under a creative commons attribution 4 0 international license", "permission is hereby granted free of charge", None, "", "123 !", "under the mit license " * 3 + "apache license version 2", "Ünder THE MIT license under the mit license 漢"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in license_scan.scan_licenses(docs).drop("places").collect())
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    assert got == sorted(con.sql(license_scan.ORACLE).fetchall())
+
+
 def test_license_scan_odd(odd, empty):
     assert license_scan.scan_licenses(odd).count() == len(ODD) and license_scan.scan_licenses(empty).count() == 0
 
