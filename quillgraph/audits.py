@@ -46,6 +46,11 @@ def _(spark, sf):
     return files.read_cache(spark, path).select("hash", "spec", "source")
 
 
+@query("run_readiness", "select item, item in (select table_name from information_schema.tables) as ready from (select unnest(['documents', 'orders', 'events', 'labels', 'no_such_table']) as item)")
+def _(spark, sf):
+    return logs.readiness(spark, {name: f"{sf}/{name}.parquet" for name in ("documents", "orders", "events", "labels", "no_such_table")})
+
+
 @query("json_array_read", "select item_id, md5(text) as digest from benchmark")
 def _(spark, sf):
     path = _folder(spark, "array")
@@ -264,6 +269,18 @@ def _(spark, sf):
     return good.select("source", F.lit(None).cast("string").alias("error")).unionByName(bad.select("source", "error")).groupBy("source", "error").agg(F.count("*").alias("n"))
 
 
+@query("rules_from_cache", f"select ({_ERRORS})[(k % 6 + 1)::int] as error, count(*) as n from (select case when o_custkey % 2 = 0 then max(o_orderkey) else min(o_orderkey) end as k from orders group by o_custkey) group by all")
+def _(spark, sf):
+    """Proposals read back from a cache in which a later answer replaces the first one of each second key."""
+    o = table(spark, sf, "orders")
+    path = _folder(spark, "proposals")
+    for part, key in ((o, F.min("o_orderkey")), (o.filter("o_custkey % 2 = 0"), F.max("o_orderkey"))):
+        k = part.groupBy("o_custkey").agg(key.alias("k"))
+        files.append_cache(k.select(F.col("o_custkey").cast("string").alias("hash"), F.lit("orders").alias("source"), _answer(F.col("k")).alias("spec")), path)
+    good, bad = files.rules_from_cache(spark, path)
+    return good.select(F.lit(None).cast("string").alias("error")).unionByName(bad.select("error")).groupBy("error").agg(F.count("*").alias("n"))
+
+
 @query("refinement_rounds", f"select case when o_orderkey % 6 = 0 then 0 when (o_orderkey + 1) % 6 = 0 then 1 else 2 end as round, case when o_orderkey % 6 in (0, 5, 4) then null else ({_ERRORS})[((o_orderkey + 2) % 6 + 1)::int] end as error, count(*) as n from orders group by all")
 def _(spark, sf):
     """Each round's answer has the next fault of the list; the fourth answer isn't asked for."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import sampling
+from ..operators import sampling, specs
 
 SPEC = "hash string, source string, spec string"
 #: Columns of the label sheet, and the spellings of an answer that names no violation.
@@ -58,6 +58,11 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return last_wins(rows, "hash", F.struct("time", "file", "line")).drop("time", "file", "line")
 
 
+def rules_from_cache(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The proposals of a cache whose specs hold, and those that are passed over with their error, without asking a model again."""
+    return specs.rules_of(read_cache(spark, path).withColumnRenamed("spec", "spec_json"))
+
+
 def last_wins(rows: DataFrame, key: str, order: Column) -> DataFrame:
     """The row of each key that is last in order; only keys and orders are compared before the rows are joined."""
     cols = [c for c in rows.columns if c != key]

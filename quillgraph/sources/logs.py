@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,18 @@ def gate(facts: DataFrame) -> DataFrame:
     return facts.select("name", "expected", F.when(F.col("expected").eqNullSafe(F.col("found")), F.col("found")).otherwise(F.raise_error(wrong)).alias("found"))
 
 
+def readiness(spark: SparkSession, paths: dict[str, str], settings: tuple[str, ...] = ()) -> DataFrame:
+    """(item, ready): before a run, which of the named inputs are there and which settings have a value. Reads no data."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def there(path: str) -> bool:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf).exists(p)
+
+    rows = [(name, there(path)) for name, path in paths.items()] + [(s, bool(spark.conf.get(s, None))) for s in settings]
+    return spark.createDataFrame(rows, "item string, ready boolean")
+
+
 def rendered(rows: DataFrame, widths: dict[str, int]) -> DataFrame:
     """(line): each row as text of fixed widths, numbers to the right, null as a dash."""
     numbers = {c for c, t in rows.dtypes if t in ("int", "bigint", "double", "float", "smallint", "tinyint") or t.startswith("decimal")}
