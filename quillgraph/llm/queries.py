@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, jaccard_join, language_id, license_scan, line_dedup, mixing, nn_descent, spelling, toxicity, warc_zip
+from . import collocations, decontaminate, html_extract, jaccard_join, language_id, license_scan, line_dedup, mixing, nn_descent, spelling, toxicity, warc_zip
 
 QUERIES = {
     "op1_warc": warc_zip.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_nn_descent": nn_descent.op9_nn_descent,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op11_phrases": collocations.op11_phrases,
     "op13_spelling": spelling.op13_spelling,
 }
 
@@ -25,5 +26,6 @@ ORACLES = {
     "op4_mixing": mixing.ORACLE,
     "op7_jaccard_join": jaccard_join.ORACLE,
     "op9_nn_descent": nn_descent.ORACLE,
+    "op11_phrases": collocations.ORACLE,
     "op13_spelling": spelling.ORACLE,
 }
