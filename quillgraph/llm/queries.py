@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, decontaminate, html_extract, jaccard_join, language_id, license_scan, line_dedup, mixing, nn_descent, spelling, toxicity, warc_zip
+from . import collocations, decontaminate, html_extract, jaccard_join, language_id, license_scan, line_dedup, merkle, mixing, nn_descent, spelling, toxicity, warc_zip
 
 QUERIES = {
     "op1_warc": warc_zip.op1_warc,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_nn_descent": nn_descent.op9_nn_descent,
     "op10_html_extract": html_extract.op10_html_extract,
     "op11_phrases": collocations.op11_phrases,
+    "op12_fingerprints": merkle.op12_fingerprints,
     "op13_spelling": spelling.op13_spelling,
 }
 
@@ -27,5 +28,6 @@ ORACLES = {
     "op7_jaccard_join": jaccard_join.ORACLE,
     "op9_nn_descent": nn_descent.ORACLE,
     "op11_phrases": collocations.ORACLE,
+    "op12_fingerprints": merkle.ORACLE,
     "op13_spelling": spelling.ORACLE,
 }
