@@ -34,7 +34,7 @@ from . import shared, textvec
 #: Least count of a phrase, most words, share of a phrase's count from which a longer one subsumes it, and rows for a language.
 LEAST, LONGEST, SUBSUMED, TOP = 30, 4, 80, 2000
 #: Words of a chunk at most, and bytes of text that a task gathers before it writes its chunks.
-CHUNK, GATHERED = 1 << 20, 12 << 20
+CHUNK, GATHERED = 1 << 19, 4 << 20
 #: Shares of a language in the first step of the ranking.
 SHARES = 256
 
