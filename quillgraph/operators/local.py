@@ -8,6 +8,7 @@ own). The joins of quillgraph.plans.matcher are for graphs that don't.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,20 +35,30 @@ def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def _is(node: Column, kind: str) -> Column:
-    return F.exists("nodes", lambda n: (n["node_id"] == node) & (n["node_type"] == kind))
+class Graph(NamedTuple):
+    """Where a graph's two arrays stand: columns of the row, or what a lambda is given."""
+
+    nodes: Column | str = "nodes"
+    edges: Column | str = "edges"
+
+
+ROW = Graph()
+
+
+def _is(node: Column, kind: str, g: Graph = ROW) -> Column:
+    return F.exists(g.nodes, lambda n: (n["node_id"] == node) & (n["node_type"] == kind))
 
 
 def _named(node: Column):
     return lambda n: n["node_id"] == node
 
 
-def _touched(node: Column, but: list[Column]) -> Column:
+def _touched(node: Column, but: list[Column], g: Graph = ROW) -> Column:
     """Whether an edge other than those named ends at the node."""
-    return F.exists("edges", lambda e: ((e["src"] == node) | (e["tgt"] == node)) & _all([e["edge_id"] != h for h in but]))
+    return F.exists(g.edges, lambda e: ((e["src"] == node) | (e["tgt"] == node)) & _all([e["edge_id"] != h for h in but]))
 
 
-def _forbidden(rule: Rule, nac: Pattern, env: dict[str, Column]) -> Column:
+def _forbidden(rule: Rule, nac: Pattern, env: dict[str, Column], g: Graph = ROW) -> Column:
     """Whether a negative condition is met around the nodes of env."""
     more = rule.extra(nac)
 
@@ -67,34 +78,38 @@ def _forbidden(rule: Rule, nac: Pattern, env: dict[str, Column]) -> Column:
                 if name in now:
                     on.append(end == now[name])
                 else:
-                    on += [_is(end, more.nodes[name]), fresh(end, more.nodes[name], now)]
+                    on += [_is(end, more.nodes[name], g), fresh(end, more.nodes[name], now)]
                     now[name] = end
             return _all(on) & edges(rest, now)
 
-        return F.exists("edges", one)
+        return F.exists(g.edges, one)
 
     def nodes(left: list[str], env: dict[str, Column]) -> Column:
         if not left:
             return F.lit(True)
         kind = more.nodes[left[0]]
-        return F.exists("nodes", lambda n: (n["node_type"] == kind) & fresh(n["node_id"], kind, env) & nodes(left[1:], env | {left[0]: n["node_id"]}))
+        return F.exists(g.nodes, lambda n: (n["node_type"] == kind) & fresh(n["node_id"], kind, env) & nodes(left[1:], env | {left[0]: n["node_id"]}))
 
     return edges(list(more.edges.values()), env)
 
 
-def steps_of(rule: Rule, ord_: int, guarded: bool = True) -> Column:
-    """All applicable matches of a rule in the row's graph, as an array of steps."""
+def steps_of(rule: Rule, ord_: int, guarded: bool = True, g: Graph = ROW, near: Column | None = None) -> Column:
+    """All applicable matches of a rule in the row's graph, as an array of steps; near: only those with one of these nodes."""
     names = list(rule.left.nodes)
 
+    def at_hand(ends: list[Column]) -> list[Column]:
+        return [] if near is None else [reduce(lambda a, b: a | b, [F.array_contains(near, x) for x in ends])]
+
     def finish(env, used) -> Column:
         ids = [env[n] for n in names]
-        on = [_is(env[n], rule.left.nodes[n]) for n in names]
+        on = at_hand(ids) if ids else []
+        on += [_is(env[n], rule.left.nodes[n], g) for n in names]
         on += [env[a] != env[b] for i, a in enumerate(names) for b in names[i + 1 :] if rule.left.nodes[a] == rule.left.nodes[b]]
-        on += [~_forbidden(rule, nac, env) for nac in rule.nacs]
+        on += [~_forbidden(rule, nac, env, g) for nac in rule.nacs]
         held = [e["edge_id"] for e in used.values()]
         for n in rule.deleted_nodes:
-            on.append(~_touched(env[n], held))
-        order = F.array(*[F.element_at(F.transform(F.filter("nodes", _named(c)), lambda x: x["node_ord"]), 1) for c in ids])
+            on.append(~_touched(env[n], held, g))
+        order = F.array(*[F.element_at(F.transform(F.filter(g.nodes, _named(c)), lambda x: x["node_ord"]), 1) for c in ids])
         step = F.struct(F.lit(ord_).alias("rule_ord"), order.alias("orders"), F.array(*ids).alias("ids"), (F.array(*held) if held else _none("string")).alias("used"), (F.array(*[e["sent_idx"] for e in used.values()]) if used else _none("int")).alias("sents"))
         return F.when(_all(on), F.array(step.cast(STEP))).otherwise(_none(STEP))
 
@@ -108,16 +123,19 @@ def steps_of(rule: Rule, ord_: int, guarded: bool = True) -> Column:
             on += [end == env[n] for n, end in ((s, e["src"]), (t, e["tgt"])) if n in env]
             if s == t:
                 on.append(e["src"] == e["tgt"])
+            if len(rule.left.edges) == 1 and len(names) <= 2:
+                on += at_hand([e["src"], e["tgt"]])
             # The first of parallel edges that isn't taken yet.
-            first = ~F.exists("edges", lambda f: (f["edge_ord"] < e["edge_ord"]) & (f["edge_type"] == kind) & (f["src"] == e["src"]) & (f["tgt"] == e["tgt"]) & _all([f["edge_id"] != u["edge_id"] for u in used.values()]))
+            first = ~F.exists(g.edges, lambda f: (f["edge_ord"] < e["edge_ord"]) & (f["edge_type"] == kind) & (f["src"] == e["src"]) & (f["tgt"] == e["tgt"]) & _all([f["edge_id"] != u["edge_id"] for u in used.values()]))
             return _all(on) & first
 
-        return F.flatten(F.transform(F.filter("edges", fits), lambda e: edges(rest, {s: e["src"], t: e["tgt"]} | env, used | {name: e})))
+        return F.flatten(F.transform(F.filter(g.edges, fits), lambda e: edges(rest, {s: e["src"], t: e["tgt"]} | env, used | {name: e})))
 
     def nodes(left: list[str], env, used) -> Column:
         if not left:
             return finish(env, used)
-        found = F.filter("nodes", lambda n: n["node_type"] == rule.left.nodes[left[0]])
+        alone = len(names) == 1
+        found = F.filter(g.nodes, lambda n: _all([n["node_type"] == rule.left.nodes[left[0]], *(at_hand([n["node_id"]]) if alone else [])]))
         return F.flatten(F.transform(found, lambda n: nodes(left[1:], env | {left[0]: n["node_id"]}, used)))
 
     found = edges(list(rule.left.edges.items()), {}, {})

@@ -16,11 +16,15 @@ NODE = "struct<node_id:string,node_type:string,node_ord:int,sent_idx:int>"
 _STEP = 16
 
 
-def marks(sentences: Column) -> Column:
-    """For each sentence what its words say."""
+#: What a sentence that says anything has in it, in lower case.
+SPOKEN = "collect|personal information|consent|sign up|process|parental|withdraw|sell|retain|retention|stored|use your|uses your|using your"
 
-    def mark(s, i):
-        low = F.lower(s)
+
+def marks(sentences: Column, spoken: bool = False) -> Column:
+    """For each sentence, or only for those that say anything, what its words say. A sentence is lowered once."""
+
+    def mark(x):
+        low, i = x["low"], x["i"]
         retain = T.any_of(low, ("retain", "retention", "stored"))
         endless = T.any_of(low, ("indefinit", "as long as", "no expir"))
         parental = T.any_of(low, ("parental", "holder of parental responsibility"))
@@ -37,12 +41,13 @@ def marks(sentences: Column) -> Column:
             (T.any_of(low, ("we ", "our service", "our app", "the operator", "the company", "this service", "this app")) & T.any_of(low, ("process", "collect", "use your", "uses your", "using your"))).alias("operates"),
         )
 
-    return F.transform(sentences, mark)
+    lowered = F.transform(sentences, lambda s, i: F.struct(i.alias("i"), F.lower(s).alias("low")))
+    return F.transform(F.filter(lowered, lambda x: x["low"].rlike(SPOKEN)) if spoken else lowered, mark)
 
 
 def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", permits: bool = False) -> DataFrame:
     """The documents with sentences, marks, and backbone: the first sentence that speaks of data or consent, or null."""
-    d = docs.withColumn("sentences", T.sentences(F.col(text_col))).withColumn("marks", marks(F.col("sentences")))
+    d = docs.withColumn("sentences", T.sentences(F.col(text_col))).withColumn("marks", marks(F.col("sentences"), spoken=True))
     first = F.filter("marks", lambda m: m["backbone"] | (m["operates"] if permits else F.lit(False)))
     return d.withColumn("backbone", F.try_element_at(F.transform(first, lambda m: m["i"]), F.lit(1)))
 

@@ -20,7 +20,7 @@ def sentence_signatures(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, sent_idx, signature): what each sentence alone would parse to, `source edge target`."""
     p = parse.parsed(docs.select(key, F.posexplode(F.col("sentences")).alias("pos", "one")), key, "one")
     solo = p.withColumn("sid", F.concat_ws("/", F.col(key).cast("string"), F.col("pos").cast("string")))
-    m = F.element_at("marks", 1)
+    m = F.get("marks", 0)
     found = [
         (m["backbone"], "DataSubject subjectOf ConsentProcess"),
         (m["backbone"], "ConsentProcess grants DataProcessing"),

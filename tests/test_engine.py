@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph import audits, catalog
+from quillgraph import audits, catalog, spaces
 from quillgraph.functions import text as T
 from quillgraph.operators import align, local, parse, realize, rewrite, sampling, specs
 from quillgraph.operators.notices import notices
@@ -38,7 +38,7 @@ def rows(df):
 
 
 def test_audits_are_registered():
-    assert audits.query is catalog.query and "arm_outputs" in catalog.QUERIES
+    assert audits.query is catalog.query and {"arm_outputs", "host_runs"} <= set(catalog.QUERIES) and spaces.SETS
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
