@@ -1,9 +1,9 @@
 """Operator 11, phrase collocations by hierarchical pair naming.
 
-Method. Texts become chunks, rows of word numbers with a mark between pieces. Words that are frequent in their language get a
-global id. A frequent phrase of k words is then the pair of the ids of its first and its last k - 1 words, which overlap:
-adjacent ids of a chunk are paired, pairs are counted over all chunks, frequent ones get an id of their own, and the ids
-replace the pairs in the chunks. A phrase that holds an infrequent part is infrequent itself, so nothing frequent is lost. The
+Method. Texts become chunks, rows of numbers with a mark between pieces. Words have ids, 64 bits of a hash that is checked to be
+different for all words of the corpus, and chosen anew if it isn't. A frequent phrase of k words is the pair of the ids of its
+first and its last k - 1 words, which overlap: adjacent ids of a chunk are paired, pairs are counted over all chunks, frequent
+ones get an id of their own, which is joined to the chunks' pairs and replaces them there. A phrase that holds an infrequent part is infrequent itself, so nothing frequent is lost. The
 two ids are parent pointers: a phrase's counts of first parts come along its left parents and those of last parts along its
 right parents, which is all that the cuts need; and a phrase is subsumed exactly if one of its children is frequent enough,
 since counts fall from a phrase to each that holds it.
@@ -16,8 +16,9 @@ texts are cut into chunks that share as many words as a phrase may need, each pl
 other than the two that are named aren't read. An empty table gives an empty result.
 
 Scale: a chunk is some MB of text of one language and is the largest thing that a task holds. Counts are summed within a chunk,
-then within a task, then shuffled; a chunk's pairs that may be frequent, by a filter of bounded size that never decides a result, are
-joined with the names and go back to the chunk. No dictionary is broadcast or collected. The first phrases of a language
+then within a task, then shuffled. Texts are read three times, for words, for pairs, and for the places whose pairs may be
+frequent, by filters of bounded size that never decide a result; only those places are written, and from there on chunks shrink
+with each round. No dictionary is broadcast or collected. The first phrases of a language
 are found in two steps, by shares and then of what the shares have left.
 """
 
@@ -75,8 +76,8 @@ def _rows(lang: str, words: list[pa.Array], first: list[np.ndarray], longest: in
         yield lang, own, np.insert(ids, place, -1).astype(np.int32), encoded.dictionary.take(pa.array(used)), n
 
 
-def chunk_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, most: int = CHUNK) -> DataFrame:
-    """(chunk, lang, own, ids, words, counts): the texts by language, numbered within their chunk."""
+def _scanned(docs: DataFrame, text_col: str, lang_col: str, longest: int, most: int, emit, kind: str) -> DataFrame:
+    """What emit makes of each chunk of the texts: (number, language, own, numbers of words, the words, their counts) to batches."""
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
@@ -86,10 +87,8 @@ def chunk_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         def flush():
             nonlocal number
             for lang in sorted(held):
-                for lang_, own, ids, words, n in _rows(lang, *zip(*held[lang], strict=True), longest, most):
-                    lists = pa.ListArray.from_arrays(pa.array([0, len(words)], type=pa.int32()), words.cast(pa.string()))
-                    counts = pa.ListArray.from_arrays(pa.array([0, len(n)], type=pa.int32()), pa.array(n, type=pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([lang_]), pa.array([own], type=pa.int32()), pa.array([ids.tobytes()]), lists, counts], names=["chunk", "lang", "own", "ids", "words", "counts"])
+                for row in _rows(lang, *zip(*held[lang], strict=True), longest, most):
+                    yield from emit(number, *row)
                     number += 1
             held.clear()
 
@@ -107,7 +106,70 @@ def chunk_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         yield from flush()
 
     d = docs.select(F.col(text_col).cast("string").alias("t"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("g"))
-    return d.mapInArrow(run, "chunk bigint, lang string, own int, ids binary, words array<string>, counts array<bigint>")
+    return d.mapInArrow(run, kind)
+
+
+def word_ids(lang: str, words: pa.Array, seed: int) -> np.ndarray:
+    """64-bit ids of the words of a language, none of them negative; whether they are all different is checked over all words."""
+    buf, off = textvec.flat(words)
+    h = textvec.span_hashes(buf, off[:-1], off[1:] - 1)
+    return (textvec.mix(h ^ np.uint64(textvec.word_hash(f"{seed}|{lang}"))) >> np.uint64(1)).astype(np.int64)
+
+
+def word_counts(docs: DataFrame, text_col: str, lang_col: str, seed: int, longest: int = LONGEST, most: int = CHUNK) -> DataFrame:
+    """(lang, word, id, n): all words of each language."""
+
+    def emit(_, lang, own, ids, words, n):
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(words), type=pa.string()), "word": words.cast(pa.string()), "id": word_ids(lang, words, seed), "n": n.astype(np.int64)})
+
+    found = _scanned(docs, text_col, lang_col, longest, most, emit, "lang string, word string, id bigint, n bigint")
+    return found.groupBy("lang", "word", "id").agg(F.sum("n").alias("n"))
+
+
+def _held(packed: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs may be in a filter."""
+    hit = np.ones(len(a), dtype=bool)
+    for place in _bits(a, b, len(packed) * 8):
+        hit &= (packed[place >> 3] >> (place & 7)) & 1 == 1
+    return hit
+
+
+def _frequent_places(own: int, ids: np.ndarray, names: np.ndarray, packed: np.ndarray):
+    """A chunk's places whose words may be frequent, as (own, ids, names)."""
+    number = np.flatnonzero(_held(packed, names, np.zeros(len(names), dtype=np.int64)))
+    return _renamed(ids, own, number, names[number], len(names))
+
+
+def word_pairs(docs: DataFrame, text_col: str, lang_col: str, seed: int, packed: np.ndarray, longest: int = LONGEST, most: int = CHUNK) -> DataFrame:
+    """(left, right, n): adjacent words whose ids may be in the filter, counted by chunk."""
+
+    def emit(_, lang, own, ids, words, n):
+        own, ids, names = _frequent_places(own, ids, word_ids(lang, words, seed), packed)
+        codes, _, _, n = _pairs(ids, max(len(names), 1), own)
+        for at in range(0, len(codes), 1 << 18):
+            c = codes[at : at + (1 << 18)]
+            yield pa.RecordBatch.from_pydict({"left": names[c // len(names)], "right": names[c % len(names)], "n": n[at : at + (1 << 18)].astype(np.int64)})
+
+    return _scanned(docs, text_col, lang_col, longest, most, emit, "left bigint, right bigint, n bigint")
+
+
+def chunk_pairs(docs: DataFrame, text_col: str, lang_col: str, seed: int, packed: np.ndarray, packed_pairs: np.ndarray, longest: int = LONGEST, most: int = CHUNK) -> DataFrame:
+    """(chunk, lang, own, ids, lefts, rights): the places whose pairs of words may be frequent, numbered within their chunk."""
+
+    def emit(number, lang, own, ids, words, n):
+        own, ids, names = _frequent_places(own, ids, word_ids(lang, words, seed), packed)
+        codes, at, which, _ = _pairs(ids, max(len(names), 1), own)
+        if not len(codes):
+            return
+        left, right = names[codes // len(names)], names[codes % len(names)]
+        kept = np.flatnonzero(_held(packed_pairs, left, right))
+        ids = np.full(len(ids), -1, dtype=np.int32)
+        ids[at] = which
+        own, ids, _ = _renamed(ids, own, kept, kept, len(codes))
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(kept)], type=pa.int32()), pa.array(x[kept])) for x in (left, right)]
+        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([lang], type=pa.string()), pa.array([own], type=pa.int32()), pa.array([ids.tobytes()]), *lists], names=["chunk", "lang", "own", "ids", "lefts", "rights"])
+
+    return _scanned(docs, text_col, lang_col, longest, most, emit, "chunk bigint, lang string, own int, ids binary, lefts array<bigint>, rights array<bigint>")
 
 
 def _pairs(ids: np.ndarray, width: int, own: int):
@@ -161,14 +223,13 @@ def pair_counts(chunks: DataFrame, packed: np.ndarray | None = None) -> DataFram
     def run(batches):
         for batch in batches:
             for chunk, own, ids, names in zip(*[batch.column(k) for k in range(4)], strict=True):
-                names = np.frombuffer(names.as_buffer(), dtype=np.int64)
-                codes, _, _, n = _pairs(np.frombuffer(ids.as_buffer(), dtype=np.int32), max(len(names), 1), own.as_py())
+                names, ids = np.frombuffer(names.as_buffer(), dtype=np.int64), np.frombuffer(ids.as_buffer(), dtype=np.int32)
+                width = max(int(ids.max(initial=-1)) + 1, 1)
+                codes, _, _, n = _pairs(ids, width, own.as_py())
                 j = np.arange(len(codes), dtype=np.int32)
-                left, right = (names[codes // max(len(names), 1)], names[codes % max(len(names), 1)]) if len(codes) else (codes, codes)
+                left, right = (names[codes // width], names[codes % width]) if len(codes) else (codes, codes)
                 if packed is not None:
-                    hit = np.ones(len(j), dtype=bool)
-                    for place in _bits(left, right, len(packed) * 8):
-                        hit &= (packed[place >> 3] >> (place & 7)) & 1 == 1
+                    hit = _held(packed, left, right)
                     j, left, right, n = j[hit], left[hit], right[hit], n[hit]
                 for at in range(0, len(j), 1 << 18):
                     s = slice(at, at + (1 << 18))
@@ -177,8 +238,8 @@ def pair_counts(chunks: DataFrame, packed: np.ndarray | None = None) -> DataFram
     return chunks.select("chunk", "own", "ids", "names").mapInArrow(run, "chunk bigint, j int, left bigint, right bigint, n bigint")
 
 
-def rename(chunks: DataFrame, named: DataFrame, level: int) -> DataFrame:
-    """Chunks whose words (level 1) or adjacent pairs are replaced by the ids in (chunk, j, id); chunks without any go."""
+def rename(chunks: DataFrame, named: DataFrame, paired: bool) -> DataFrame:
+    """Chunks whose numbers, or adjacent pairs, are replaced by the ids in (chunk, j, id); chunks without any go."""
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         schema = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("own", pa.int32()), ("ids", pa.binary()), ("names", pa.binary())])
@@ -186,20 +247,16 @@ def rename(chunks: DataFrame, named: DataFrame, level: int) -> DataFrame:
             return schema.empty_table()
         row = {c: rows.column(c)[0] for c in rows.column_names}
         ids, own = np.frombuffer(row["ids"].as_buffer(), dtype=np.int32), row["own"].as_py()
-        if level > 1:
-            width = len(np.frombuffer(row["names"].as_buffer(), dtype=np.int64))
-            codes, at, which, _ = _pairs(ids, max(width, 1), own)
-            ids = np.full(len(ids), -1, dtype=np.int32)
+        size = int(ids.max(initial=-1)) + 1
+        if paired:
+            codes, at, which, _ = _pairs(ids, max(size, 1), own)
+            ids, size = np.full(len(ids), -1, dtype=np.int32), len(codes)
             ids[at] = which
-            size = len(codes)
-        else:
-            size = int(ids.max(initial=-1)) + 1
         order = np.argsort(found.column("j").to_numpy())
         own, ids, names = _renamed(ids, own, found.column("j").to_numpy()[order], found.column("id").to_numpy()[order], size)
         return pa.Table.from_pydict({"chunk": [row["chunk"].as_py()], "lang": [row["lang"].as_py()], "own": [own], "ids": [ids.tobytes()], "names": [names.astype(np.int64).tobytes()]}, schema=schema)
 
-    if level == 1:
-        chunks = chunks.select("chunk", "lang", "own", "ids")
+    chunks = chunks.select("chunk", "lang", "own", "ids")
     return chunks.groupBy("chunk").cogroup(named.select(F.col("chunk").alias("of"), "j", "id").groupBy("of")).applyInArrow(run, CHUNKS)
 
 
@@ -216,26 +273,39 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
 
     firsts[k] and lasts[k] are the counts of a phrase's first and last k words.
     """
-    chunks = shared.settle(chunk_words(docs, text_col, lang_col, longest, most), "phrase-chunks")
-    words = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("j", "w")).select("chunk", "j", "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    totals = shared.settle(chunks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, n: s + n).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-    names = words.groupBy("lang", "word").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-    names = shared.settle(names.select(F.monotonically_increasing_id().alias("id"), "lang", "word", "a"), "phrase-names")
+    where = (docs, text_col, lang_col)
+    seed, names = 0, None
+    while names is None or names.agg(F.count("*") > F.count_distinct("id")).first()[0]:
+        if names is not None:
+            shared.discard(names)
+        seed += 1  # two words had one id: all get others
+        names = shared.settle(word_counts(*where, seed, longest, most), "phrase-words")
+    totals = shared.settle(names.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
+    every, names = names, shared.settle(names.filter(F.col("n") >= least).select("id", "lang", "word", F.col("n").alias("a")), "phrase-names")
+    shared.discard(every)
     known = names.select("id", "lang", "a", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("a").alias("firsts"), F.array("a").alias("lasts"))
-    packed = shared.fingerprint_filter(names, F.struct("lang", "word"))
-    named = shared.may_hold(words, F.struct("lang", "word"), packed).join(names, ["lang", "word"]).select("chunk", "j", "id")
-    found, children = [], []
+    packed = _filter(names.select(F.col("id").alias("left"), F.lit(0).cast("long").alias("right")))
+    pairs, chunks, found, children = word_pairs(*where, seed, packed, longest, most), None, [], []
     for k in range(2, longest + 1):
-        chunks, old = shared.settle(rename(chunks, named, k - 1), "phrase-chunks"), chunks
-        shared.discard(old)
-        names = pair_counts(chunks).groupBy("left", "right").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+        names = pairs.groupBy("left", "right").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
         names = shared.settle(names.select(F.monotonically_increasing_id().alias("id"), "left", "right", "a"), "phrase-names")
         children.append(names.select(F.col("left").alias("id"), "a").unionByName(names.select(F.col("right").alias("id"), "a")).groupBy("id").agg(F.max("a").alias("child")).withColumn("k", F.lit(k - 1)))
         known = shared.settle(_grown(names, known), "phrase-known")
         found.append(known.withColumn("k", F.lit(k)))
-        if k < longest:
-            named = pair_counts(chunks, _filter(names)).join(names.drop("a"), ["left", "right"]).select("chunk", "j", "id")
-    shared.discard(chunks)
+        if k == longest:
+            break
+        own = _filter(names)
+        if k == 2:
+            old = chunks = shared.settle(chunk_pairs(*where, seed, packed, own, longest, most), "phrase-chunks")
+            held = chunks.select("chunk", F.posexplode(F.arrays_zip("lefts", "rights")).alias("j", "p")).select("chunk", "j", F.col("p.lefts").alias("left"), F.col("p.rights").alias("right"))
+        else:
+            old, held = chunks, pair_counts(chunks, own)
+        named = held.join(names.drop("a"), ["left", "right"]).select("chunk", "j", "id")
+        chunks = shared.settle(rename(chunks, named, k > 2), "phrase-chunks")
+        shared.discard(old)
+        pairs = pair_counts(chunks)
+    if chunks is not None:
+        shared.discard(chunks)
     phrases, best = found[0], children[0]
     for more in found[1:]:
         phrases = phrases.unionByName(more)
