@@ -36,6 +36,8 @@ from . import shared, textvec
 LEAST, LONGEST, SUBSUMED, TOP = 30, 4, 80, 2000
 #: Words of a chunk at most, and bytes of text that a task gathers before it writes its chunks.
 CHUNK, GATHERED = 1 << 19, 4 << 20
+#: Rows of a batch of pairs.
+SENT = 1 << 16
 #: Shares of a language in the first step of the ranking.
 SHARES = 256
 
@@ -53,7 +55,7 @@ def tokenize(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of some texts, A-Z lower-cased, and whether each is the first of a piece."""
     buf, _ = textvec.flat(texts)
     start, end = textvec.word_bounds(buf, WORD)
-    pieces = np.cumsum(BREAK[buf], dtype=np.int64)[start] if len(start) else np.zeros(0, dtype=np.int64)
+    pieces = np.cumsum(BREAK[buf], dtype=np.int32)[start] if len(start) else np.zeros(0, dtype=np.int32)
     first = np.diff(pieces, prepend=-1) > 0
     off = np.concatenate([[0], np.cumsum(end - start)])
     data = textvec.LOWER[buf[WORD[buf]]]
@@ -93,16 +95,17 @@ def _scanned(docs: DataFrame, text_col: str, lang_col: str, longest: int, most:
             held.clear()
 
         for batch in batches:
-            langs = batch.column(1).dictionary_encode()
-            for k, lang in enumerate(langs.dictionary.to_pylist()):
-                texts = batch.column(0).filter(pa.array(langs.indices.to_numpy() == k))
-                words, first = tokenize(texts)
-                if len(words):
-                    held.setdefault(lang, []).append((words, first))
-            size += batch.column(0).nbytes
-            if size >= GATHERED:
-                yield from flush()
-                size = 0
+            for part in textvec.slices(batch, 0):
+                langs = part.column(1).dictionary_encode()
+                for k, lang in enumerate(langs.dictionary.to_pylist()):
+                    words, first = tokenize(part.column(0).filter(pa.array(langs.indices.to_numpy() == k)))
+                    if len(words):
+                        held.setdefault(lang, []).append((words, first))
+                size += part.column(0).nbytes
+                if size >= GATHERED:
+                    yield from flush()
+                    size = 0
+                    pa.default_memory_pool().release_unused()
         yield from flush()
 
     d = docs.select(F.col(text_col).cast("string").alias("t"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("g"))
@@ -146,9 +149,9 @@ def word_pairs(docs: DataFrame, text_col: str, lang_col: str, seed: int, packed:
     def emit(_, lang, own, ids, words, n):
         own, ids, names = _frequent_places(own, ids, word_ids(lang, words, seed), packed)
         codes, _, _, n = _pairs(ids, max(len(names), 1), own)
-        for at in range(0, len(codes), 1 << 18):
-            c = codes[at : at + (1 << 18)]
-            yield pa.RecordBatch.from_pydict({"left": names[c // len(names)], "right": names[c % len(names)], "n": n[at : at + (1 << 18)].astype(np.int64)})
+        for at in range(0, len(codes), SENT):
+            c = codes[at : at + (SENT)]
+            yield pa.RecordBatch.from_pydict({"left": names[c // len(names)], "right": names[c % len(names)], "n": n[at : at + (SENT)].astype(np.int64)})
 
     return _scanned(docs, text_col, lang_col, longest, most, emit, "left bigint, right bigint, n bigint")
 
@@ -231,8 +234,8 @@ def pair_counts(chunks: DataFrame, packed: np.ndarray | None = None) -> DataFram
                 if packed is not None:
                     hit = _held(packed, left, right)
                     j, left, right, n = j[hit], left[hit], right[hit], n[hit]
-                for at in range(0, len(j), 1 << 18):
-                    s = slice(at, at + (1 << 18))
+                for at in range(0, len(j), SENT):
+                    s = slice(at, at + (SENT))
                     yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk.as_py()] * len(j[s]), type=pa.int64()), "j": j[s], "left": left[s], "right": right[s], "n": n[s].astype(np.int64)})
 
     return chunks.select("chunk", "own", "ids", "names").mapInArrow(run, "chunk bigint, j int, left bigint, right bigint, n bigint")
