@@ -150,8 +150,8 @@ def word_pairs(docs: DataFrame, text_col: str, lang_col: str, seed: int, packed:
         own, ids, names = _frequent_places(own, ids, word_ids(lang, words, seed), packed)
         codes, _, _, n = _pairs(ids, max(len(names), 1), own)
         for at in range(0, len(codes), SENT):
-            c = codes[at : at + (SENT)]
-            yield pa.RecordBatch.from_pydict({"left": names[c // len(names)], "right": names[c % len(names)], "n": n[at : at + (SENT)].astype(np.int64)})
+            c = codes[at : at + SENT]
+            yield pa.RecordBatch.from_pydict({"left": names[c // len(names)], "right": names[c % len(names)], "n": n[at : at + SENT].astype(np.int64)})
 
     return _scanned(docs, text_col, lang_col, longest, most, emit, "left bigint, right bigint, n bigint")
 
@@ -235,7 +235,7 @@ def pair_counts(chunks: DataFrame, packed: np.ndarray | None = None) -> DataFram
                     hit = _held(packed, left, right)
                     j, left, right, n = j[hit], left[hit], right[hit], n[hit]
                 for at in range(0, len(j), SENT):
-                    s = slice(at, at + (SENT))
+                    s = slice(at, at + SENT)
                     yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk.as_py()] * len(j[s]), type=pa.int64()), "j": j[s], "left": left[s], "right": right[s], "n": n[s].astype(np.int64)})
 
     return chunks.select("chunk", "own", "ids", "names").mapInArrow(run, "chunk bigint, j int, left bigint, right bigint, n bigint")
