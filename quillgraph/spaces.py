@@ -1,12 +1,17 @@
-"""Registered queries on rewriting as a space: classes up to isomorphism, traces, runs with cycles, and normal forms."""
+"""Registered queries on rewriting as a space (classes up to isomorphism, traces, runs with cycles, normal forms), on the alignment of
+parses, and on streams."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from .catalog import _n, query
-from .operators import delta, isomorphism, local, states
+from .catalog import _n, query, table
+from .operators import align, delta, isomorphism, local, parse, states
 from .plans.rules import LIBRARY, PROBES, Guard, Rule, pattern
+from .session import shared_dir
+from .streaming import limiter
 
 #: A rule that undoes what r_RET does, so that runs of both never end.
 UNBOUND = Rule("r_UNBOUND", pattern("RC:RetentionClause DB:DurationBounded; e1:RC>DB:hasDuration"), pattern("RC:RetentionClause DI:DurationIndefinite; e2:RC>DI:hasDuration"), (), Guard(None, None, frozenset({"EU"})))
@@ -56,3 +61,71 @@ from fired""", True)
 def _(spark, sf):
     """The state space of every notice under the library and the probes, which aren't confluent together."""
     return states.state_spaces(list(LIBRARY + PROBES), _graphs(spark, sf))
+
+
+# ---- alignment
+
+
+def _listed(spark, sf, permits: bool, names: tuple[str, str]):
+    p = parse.parsed(_n(spark, sf), permits=permits)
+    nodes, edges = align.listed("nodes", "edges")
+    return p.select("doc_id", parse.node_array(permits).alias("nodes"), parse.edge_array(permits).alias("edges")).select("doc_id", nodes.alias(names[0]), edges.alias(names[1]))
+
+
+_SIZES = "(3 * {g}.bb::int + {g}.n_pc + {g}.n_wd + 2 * {g}.sale + {g}.ret + {g}.ind + {g}.bnd)::int"
+_EDGES = "(2 * {g}.bb::int + {g}.n_pc + {g}.n_wd + {g}.sale + {g}.ind + {g}.bnd)::int"
+
+
+@query("parser_extension_alignment", f"""
+select doc_id, (3 * bb_op::int + n_pc + n_wd + 2 * sale + ret + ind + bnd + n_op)::int as pred_nodes, (2 * bb_op::int + n_pc + n_wd + sale + ind + bnd + n_op)::int as pred_edges,
+  {_SIZES.format(g="g")} as gold_nodes, {_EDGES.format(g="g")} as gold_edges, {_SIZES.format(g="g")} as m_nodes, {_EDGES.format(g="g")} as m_edges from g""", True)
+def _(spark, sf):
+    """Every notice parsed with the permits extension, aligned with its parse without it."""
+    d = _listed(spark, sf, True, ("p_nodes", "p_edges")).join(_listed(spark, sf, False, ("g_nodes", "g_edges")), "doc_id").withColumnRenamed("doc_id", "id")
+    return align.align(d).withColumnRenamed("id", "doc_id")
+
+
+@query("neighbour_alignment", f"""
+select g.doc_id, {_SIZES.format(g="g")} as pred_nodes, {_EDGES.format(g="g")} as pred_edges, {_SIZES.format(g="h")} as gold_nodes, {_EDGES.format(g="h")} as gold_edges,
+  (3 * least(g.bb::int, h.bb::int) + least(g.n_pc, h.n_pc) + least(g.n_wd, h.n_wd) + 2 * least(g.sale, h.sale) + least(g.ret, h.ret) + least(g.ind, h.ind) + least(g.bnd, h.bnd))::int as m_nodes,
+  (2 * least(g.bb::int, h.bb::int) + least(g.n_pc, h.n_pc) + least(g.n_wd, h.n_wd) + least(g.sale, h.sale) + least(g.ind, h.ind) + least(g.bnd, h.bnd))::int as m_edges
+from g join g h on h.doc_id = g.doc_id + 1""", True)
+def _(spark, sf):
+    """Every notice's parse aligned with that of the document whose id is one more."""
+    after = _listed(spark, sf, False, ("g_nodes", "g_edges")).withColumn("doc_id", F.col("doc_id") - 1)
+    return align.align(_listed(spark, sf, False, ("p_nodes", "p_edges")).join(after, "doc_id").withColumnRenamed("doc_id", "id")).withColumnRenamed("id", "doc_id")
+
+
+# ---- streams
+
+
+def _stream_of(rows, name: str) -> str:
+    """A folder that a stream can read: the rows, in files of their own."""
+    path = f"{shared_dir(rows.sparkSession)}/quillgraph/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/in")
+    return path
+
+
+BUDGET, WINDOW = 80_000, 21_600
+
+
+@query("limited_calls", f"""
+with calls as (select event_type as key, event_id as id, epoch_us(ts) as came, round(value * 100)::bigint as cost from events where ts is not null and value is not null and event_type is not null),
+s as (select key, list_reduce(
+    list({{'came': came, 'cost': cost, 'win': []::struct(t bigint, c bigint)[], 'outs': [{{'id': id, 'came': came, 'cost': cost, 'w': null::bigint}}]}} order by came, id),
+    lambda a, x: list_transform([
+        list_filter(list_concat([greatest(a.came, x.came)], list_transform(list_filter(a.win, lambda e: e.t + {WINDOW * 1_000_000} > greatest(a.came, x.came)), lambda e: e.t + {WINDOW * 1_000_000})),
+          lambda c: coalesce(list_sum(list_transform(list_filter(a.win, lambda e: e.t + {WINDOW * 1_000_000} > c), lambda e: e.c)), 0) + x.cost <= {BUDGET})[1]],
+      lambda w: {{'came': w, 'cost': x.cost, 'win': list_append(list_filter(a.win, lambda e: e.t + {WINDOW * 1_000_000} > w), {{'t': w, 'c': x.cost}}),
+        'outs': list_append(a.outs, {{'id': x.outs[1].id, 'came': x.came, 'cost': x.cost, 'w': w}})}})[1],
+    {{'came': 0::bigint, 'cost': 0::bigint, 'win': []::struct(t bigint, c bigint)[], 'outs': []::struct(id bigint, came bigint, cost bigint, w bigint)[]}}) as r from calls group by key)
+select key, o.id as id, o.cost::double as cost, o.w - o.came as waited from (select key, unnest(r.outs) as o from s)""")
+def _(spark, sf):
+    """When each event may go under a budget for its type, by a stateful stream over the table."""
+    e = table(spark, sf, "events").filter("ts is not null and value is not null and event_type is not null")
+    calls = e.select(F.col("event_type").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 100).alias("cost"))
+    # A last call of no key of the table moves the watermark past all others.
+    end = calls.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts")).select(F.lit("").alias("key"), F.lit(-1).cast("long").alias("id"), "ts", F.lit(0.0).alias("cost"))
+    path = _stream_of(calls.unionByName(end), "calls")
+    limiter.run_limited(spark.readStream.schema(calls.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/checkpoint", BUDGET, WINDOW, late="1 hour")
+    return spark.read.schema(limiter.ADMITTED).parquet(f"{path}/out").filter("key <> ''").select("key", "id", "cost", (F.col("admitted_at") - F.col("at")).alias("waited"))
