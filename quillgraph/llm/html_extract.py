@@ -47,6 +47,11 @@ UNLIKELY = frozenset(
 #: Words that an article's own parts may carry: within an article they tell of something else only where most is links.
 WEAK = frozenset("legal tags tagcloud copyright skip related recommended recommendations share sharing social widget widgets toolbar banner masthead topbar header disclaimer respond alert modal overlay".split())
 STRONG = frozenset("comment comments commentlist disqus cookie cookies advert adverts advertisement ad ads sidebar".split())
+#: Words that stand beside those of UNLIKELY in the names of classes without changing what they name.
+BESIDE = frozenset(
+    "area areas list lists section sections wrapper wrap container holder box boxes block blocks bar bars slot slots site page main left right top bottom upper lower primary secondary inner outer item items unit units"
+    " link links form thread row rows column columns col panel pane group inline sticky fixed global local mobile desktop small large full js id mod module component region zone spot text body content title icon icons button buttons btn message view layer strip rail".split()
+)
 LIKELY = frozenset("article body content main column entry post story text page container wrapper prose".split())
 HEAVY = {"article": 25, "main": 15, "section": 3, "div": 5, "blockquote": 3, "td": 3, "pre": 3, "ul": -3, "ol": -3, "dl": -3, "address": -3, "form": -3, "th": -5}
 
@@ -184,6 +189,21 @@ def _tokens(attrs: dict[str, str]) -> set[str]:
     return {x for x in _SPLIT.split(_CAMEL.sub(" ", text).lower()) if x} if text != " " else set()
 
 
+def _names(attrs: dict[str, str]) -> list[list[str]]:
+    """The names of an element's classes and its id, each as the list of its words."""
+    names = (attrs.get("class", "") + " " + attrs.get("id", "")).split()
+    return [[x for x in _SPLIT.split(_CAMEL.sub(" ", n).lower()) if x] for n in names]
+
+
+def _unlikely(name: list[str], words: frozenset[str]) -> bool:
+    """Whether a name says that the element is one of these: all of its words do, or stand beside. `comments-area` says so, and
+    `post-comments`, whose last word counts; `comments-open`, `ad-hoc` and `newsletter-history` don't."""
+    said = [w for w in name if w not in BESIDE and not w.isdigit()] or name
+    if not any(w in words for w in said):
+        return False
+    return all(w in UNLIKELY for w in said) or said[-1] in words & STRONG and all(w in UNLIKELY or w in LIKELY for w in said)
+
+
 def _hidden(node: Node, in_article: bool) -> bool:
     """Whether an element can't be part of the article."""
     if node.tag in GONE or node.tag == "header" and not in_article:
@@ -195,10 +215,27 @@ def _hidden(node: Node, in_article: bool) -> bool:
         return True
     if a.get("role", "").lower() in ROLES:
         return True
-    words = _tokens(a)
     if node.tag in HEADINGS:
         return False
-    return bool(words & STRONG) and not words & {"has", "with", "no"} or bool(words & (UNLIKELY - WEAK if in_article else UNLIKELY)) and not words & LIKELY
+    names = _names(a)
+    if any(_unlikely(n, STRONG) for n in names):
+        return True
+    return any(_unlikely(n, UNLIKELY - WEAK if in_article else UNLIKELY) for n in names) and not _tokens(a) & LIKELY
+
+
+def _prose_below(order: list[Node]) -> dict[int, tuple[int, bool]]:
+    """For each element, letters of the paragraphs in it that are no links, and whether it holds an article or a first heading."""
+    out: dict[int, tuple[int, bool]] = {}
+    for node in reversed(order):
+        letters, holds = 0, node.tag in ("article", "main", "h1")
+        for k in node.kids:
+            if isinstance(k, str):
+                letters += len(k.strip()) if node.tag != "a" else 0
+            else:
+                below = out[id(k)]
+                letters, holds = letters + (below[0] if k.tag != "a" and k.tag not in RAW else 0), holds or below[1]
+        out[id(node)] = (letters, holds)
+    return out
 
 
 def _measure(root: Node) -> None:
@@ -206,11 +243,23 @@ def _measure(root: Node) -> None:
 
     Elements that are mostly links are marked as menus and count for nothing in those around them.
     """
+    every, stack = [], [root]
+    while stack:
+        every.append(stack.pop())
+        stack.extend(k for k in every[-1].kids if not isinstance(k, str))
+    prose = _prose_below(every)
+    most = 0.5 * prose[id(root)][0]
+
+    def spared(k: Node) -> bool:
+        """What holds most of the page's text with its article or first heading isn't beside the article; nor is a form around it all."""
+        letters, holds = prose[id(k)]
+        return letters > most and (holds or k.tag == "form") and k.tag not in ("nav", "footer", "dialog", "menu", "head")
+
     order, stack = [], [(root, False)]
     while stack:
         node, inside = stack.pop()
         inside |= node.tag in ("article", "main")
-        node.kids = [k for k in node.kids if isinstance(k, str) or not _hidden(k, inside)]
+        node.kids = [k for k in node.kids if isinstance(k, str) or not _hidden(k, inside) or spared(k)]
         order.append(node)
         stack.extend((k, inside) for k in node.kids if not isinstance(k, str))
     weak: list[Node] = []
@@ -265,6 +314,23 @@ def _is_prose(node: Node) -> bool:
     return node.tag in ("div", "section", "article", "main", "body") and any(isinstance(k, str) and len(k.strip()) > 20 for k in node.kids)
 
 
+def _alike(k: Node, best: Node) -> bool:
+    """Whether a sibling is another part of the same article: of one kind and name, and prose."""
+    return k.tag == best.tag and k.tag not in PROSE and _tokens(k.attrs) == _tokens(best.attrs) and k.size >= 25 and _density(k) < 0.25 and any(n.tag in ("p", "pre", "blockquote") and n.size for n in _walk(k))
+
+
+def _level(best: Node) -> Node:
+    """The best container, or the one around it, up to three levels, that has parts like it beside it."""
+    node = best
+    for _ in range(4):
+        if node.up is None or node.tag in ("body", "html"):
+            return best
+        if any(k is not node and not isinstance(k, str) and not k.menu and _alike(k, node) for k in node.up.kids):
+            return node
+        node = node.up
+    return best
+
+
 def best_parts(root: Node) -> list[Node]:
     """The elements that make up the article, in page order."""
     candidates: dict[int, Node] = {}
@@ -292,6 +358,8 @@ def best_parts(root: Node) -> list[Node]:
         best = around
     elif articles and best.tag in ("html", "body"):
         best = max(articles, key=lambda n: n.size)
+    if around is None:
+        best = _level(best)
     if best.up is None:
         return [best]
     least = max(10.0, 0.2 * best.score)
@@ -301,7 +369,7 @@ def best_parts(root: Node) -> list[Node]:
             continue
         same = bool(_tokens(k.attrs) & _tokens(best.attrs))
         prose = k.tag == "p" and (k.size > 80 and _density(k) < 0.25 or 0 < k.size <= 80 and _density(k) == 0)
-        if k is best or k.tag in HEADINGS and k.size and _density(k) < 0.5 or id(k) in candidates and k.score + 0.2 * best.score * same >= least or prose:
+        if k is best or around is None and _alike(k, best) or k.tag in HEADINGS and k.size and _density(k) < 0.5 or id(k) in candidates and k.score + 0.2 * best.score * same >= least or prose:
             out.append(k)
     return out
 

@@ -686,3 +686,36 @@ def test_fingerprint_filter(spark):
     assert shared.may_hold(spark.range(10**6, 10**6 + 1000), "id", packed).count() < 50
     some, rest = shared.split_by(d, "x", packed)
     assert some.count() == 1001 and rest.count() == 0
+
+
+PARAGRAPH = "<p>A paragraph, long enough, that tells of things at some length.</p>"
+TOLD = "A paragraph, long enough, that tells of things at some length."
+
+
+def test_html_never_loses_a_page_to_names():
+    body = f"<h1>Head line</h1>{PARAGRAPH * 3}"
+    want = "\n".join(["Head line"] + [TOLD] * 3)
+    for names in ("post comment-status-open", "post comments-open", "has-sidebar", "no-sidebar", "page cookies-set", "single ad-hoc newsletter-history", "theme-header-fixed", "social-studies"):
+        assert html_extract.extract(f"<body><nav><a href=x>Menu</a></nav><div class='{names}'>{body}</div><footer>Foot</footer></body>") == want, names
+    for form in ("<form id=aspnetForm method=post>", "<form class='page-form'>"):
+        assert html_extract.extract(f"<body>{form}<input type=hidden value=x><div id=content>{body}</div></form></body>") == want
+    inside = f"<p class='ad-hoc'>An ad hoc word, said here.</p><section id='comments-on-the-text'>{PARAGRAPH}</section><p class='newsletter-history'>Of letters, a history.</p>"
+    got = html_extract.extract(f"<article>{body}{inside}<div class='comments-area'>{PARAGRAPH}</div><div class='ad-slot-300'>Buy, now.</div><div class=post-comments>{PARAGRAPH}</div></article>")
+    assert got.split("\n") == ["Head line", *[TOLD] * 3, "An ad hoc word, said here.", TOLD, "Of letters, a history."]
+    # A comments section goes, however long it is.
+    got = html_extract.extract(f"<body><div class=post>{body}</div><div id=comments>{PARAGRAPH * 9}</div><div class='cookie-banner'>{PARAGRAPH * 9}</div></body>")
+    assert got == want
+
+
+def test_html_parts_of_equal_depth():
+    for before, after in (("<section>", "</section>"), ("<section><div>", "</div></section>"), ("<div class=chapter><div><div>", "</div></div></div>")):
+        parts = "".join(f"{before}<h2>Part {i}</h2>{PARAGRAPH * (3 if i < 4 else 1)}{after}" for i in range(5))
+        got = html_extract.extract(f"<body><nav><a href=x>Menu</a></nav><div id=wrap>{parts}</div><aside>{PARAGRAPH}</aside><footer>Foot</footer></body>").split("\n")
+        assert got == [x for i in range(5) for x in [f"Part {i}", *[TOLD] * (3 if i < 4 else 1)]], before
+
+
+def test_html_odd_rows(spark):
+    rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, None, ""), (3, "u", "<" * 1000)]
+    d = spark.createDataFrame(rows, "page_id bigint, url string, html string").select("*", *[F.lit("x").alias(c) for c in ("text", "n_chars", "__html")])
+    got = html_extract.extract_pages(d).collect()
+    assert len(got) == 5 and sum(r["n_chars"] > 0 for r in got) == 3 and {r["n_chars"] for r in got if r["page_id"] in (None, 2)} == {0}
