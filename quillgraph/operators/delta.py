@@ -136,9 +136,9 @@ def normalise(rules: list[Rule], rows: DataFrame, steps: int = STEPS, most: int
 
     The same normal forms and traces as local.normalise; a document that takes more than most steps is an error.
     """
-    done, live = [], rows.withColumn("state", _start(rules, False))
+    done, live, further = [], rows.withColumn("state", _start(rules, False)), _steps(rules, steps, False)
     for _ in range(0, most, steps):
-        t = kept(live.withColumn("state", _steps(rules, steps, False)), "stage")
+        t = kept(live.withColumn("state", further), "stage")
         done.append(_unpacked(t.filter(~_open(F.col("state")))))
         live = t.filter(_open(F.col("state")))
         if live.isEmpty():
@@ -154,12 +154,12 @@ def run_hosts(rules: list[Rule], rows: DataFrame, steps: int = 16, most: int = 1
     """
     live = rows.withColumn("state", _start(rules, True)).withColumn("seen", _none("string"))
     done, keep = [], [c for c in rows.columns if c not in ("nodes", "edges", "trace")]
-    taken = 0
+    taken, further, keys = 0, _steps(rules, steps, True), canonical_keys(F.col("state.graphs"))
     while True:
         last = taken + steps >= most
-        t = live.withColumn("state", _steps(rules, min(steps, most - taken), True))
+        t = live.withColumn("state", _steps(rules, most - taken, True) if last else further)
         taken += min(steps, most - taken)
-        t = kept(t.withColumn("keys", canonical_keys(F.col("state.graphs"))), "runs")
+        t = kept(t.withColumn("keys", keys), "runs")
         t = t.withColumn("seen", F.concat("seen", "keys")).drop("keys")
         # The first graph that is among those before it.
         again = F.filter(F.transform("seen", lambda k, i: F.struct((F.array_position(F.col("seen"), k) - 1).alias("first"), i.alias("i"))), lambda x: x["first"] < x["i"])

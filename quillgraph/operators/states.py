@@ -37,13 +37,14 @@ def explore(rules: list[Rule], rows: DataFrame, key: str = "doc_id", most: int =
     first = roots.filter(F.col(key) == F.col("root")).select("root", F.col("state").alias("name"))
     frontier = rows.join(first, rows[key] == F.col("root")).select("root", "name", "age", "jurisdiction", _start(rules, False).alias("state"))
     frontier = kept(frontier, "frontier")
+    # Columns are built once: their expressions are large.
+    next_state, next_name = _after(rules, F.col("state"), F.col("m"), False), canonical_key(written("state.nodes", "state.edges"))
     visited, forms, depth = [frontier.select("root", F.col("name").alias("state"), F.lit(0).alias("depth"))], [], 0
     while True:
         forms.append(frontier.filter(~_open(F.col("state"))).select("root", F.col("name").alias("state"), F.col("state.trace").alias("trace")))
         open_ = frontier.filter(_open(F.col("state")))
         steps = open_.select("root", "age", "jurisdiction", "state", F.explode(F.flatten("state.found")).alias("m"))
-        after = steps.select("root", "age", "jurisdiction", _after(rules, F.col("state"), F.col("m"), False).alias("state"))
-        after = after.withColumn("name", canonical_key(written("state.nodes", "state.edges")))
+        after = steps.select("root", "age", "jurisdiction", next_state.alias("state")).withColumn("name", next_name)
         known = reduce(DataFrame.unionByName, visited)
         over = known.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > most)
         fresh = after.dropDuplicates(["root", "name"]).join(known.select("root", F.col("state").alias("name")), ["root", "name"], "left_anti").join(over.select("root"), "root", "left_anti")

@@ -1,15 +1,16 @@
-"""Registered queries on rewriting as a space (classes up to isomorphism, traces, runs with cycles, normal forms), on the alignment of
-parses, and on streams."""
+"""Registered queries on rewriting as a space (classes up to isomorphism, traces, runs with cycles, normal forms), on firings by content,
+on one large host, on the alignment of parses, and on streams."""
 
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from .catalog import _n, query, table
-from .operators import align, delta, isomorphism, local, parse, states
-from .plans.rules import LIBRARY, PROBES, Guard, Rule, pattern
+from .operators import align, census, delta, isomorphism, large, local, parse, states
+from .plans.rules import LIBRARY, PROBES, RULES, Guard, Rule, pattern
 from .session import shared_dir
 from .streaming import limiter
 
@@ -63,6 +64,88 @@ def _(spark, sf):
     return states.state_spaces(list(LIBRARY + PROBES), _graphs(spark, sf))
 
 
+# ---- firings by content
+
+
+def _variant(name: str, source: str, guard: Guard) -> Rule:
+    return replace(RULES[name], source=source, guard=guard)
+
+
+#: Rules that share names: told apart by their guards, or not at all, or acting where nothing fired.
+VARIANTS = [
+    _variant("r_PC", "under 13", Guard("<", 13, frozenset({"EU"}))),
+    _variant("r_PC", "from 13", Guard(">=", 13, frozenset({"EU"}))),
+    _variant("r_SALE", "abroad", Guard("<", 16, frozenset({"US"}))),
+    _variant("r_SALE", "anywhere, over 12", Guard(">", 12)),
+    _variant("r_WD", "one", Guard(None, None, frozenset({"EU"}))),
+    _variant("r_WD", "another", Guard("<=", 15, frozenset({"EU", "UK"}))),
+    _variant("r_RET", "elsewhere", Guard(None, None, frozenset({"UK"}))),
+    _variant("r_NOTIFY", "all", Guard()),
+]
+
+
+@query("firing_census_by_content", """
+, f as (
+  select doc_id, age, jurisdiction, unnest(['r_PC', 'r_WD', 'r_SALE', 'r_RET', 'r_NOTIFY']) as rule, unnest([f_pc, f_wd, f_sale, f_ret, f_notify]) as n from fired),
+v as (select * from (values ('r_PC', 'under 13', 0, 12, 'EU'), ('r_PC', 'from 13', 13, 200, 'EU'), ('r_SALE', 'abroad', 0, 15, 'US'), ('r_SALE', 'anywhere, over 12', 13, 200, '*'), ('r_WD', 'one', 0, 200, 'EU'),
+  ('r_WD', 'another', 0, 15, 'EU'), ('r_WD', 'another', 0, 15, 'UK'), ('r_RET', 'elsewhere', 0, 200, 'UK'), ('r_NOTIFY', 'all', 0, 200, '*')) t(rule, source, low, high, place)),
+m as (select f.doc_id, f.rule, f.n, list(v.source) filter (v.source is not null) as who from f left join v on v.rule = f.rule and f.age between v.low and v.high and v.place in ('*', f.jurisdiction) where f.n > 0 group by f.doc_id, f.rule, f.n),
+c as (select rule, case when who is null then 'unresolved' when len(who) = 1 then 'resolved' else 'ambiguous' end as status, case when len(who) = 1 then who[1] end as source, sum(n)::bigint as n, count(*) as n_hosts from m group by all)
+select * from c union all select distinct rule, 'never', source, 0, 0 from v where (rule, source) not in (select rule, source from c where status = 'resolved')""", True)
+def _(spark, sf):
+    """Every step of every notice's trace, told to the one rule of its name whose guard holds there."""
+    d = delta.normalise(list(LIBRARY), _graphs(spark, sf))
+    firings = d.select("doc_id", "age", "jurisdiction", F.explode(F.transform("trace", lambda t: t["rule"])).alias("rule"))
+    return census.census(firings, VARIANTS).drop("content_hash")
+
+
+# ---- one large host
+
+
+def _host(spark, sf):
+    """Orders, parts and suppliers, and the edges between them that line items make."""
+    d = table(spark, sf, "lineitem")
+    o, p, s = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey"))
+    return d.select(o.alias("a"), p.alias("b")), d.select(p.alias("b"), s.alias("c")), d.select(o.alias("a"), s.alias("c"))
+
+
+_HOST = "with ab as (select distinct l_orderkey as a, l_partkey as b from lineitem), bc as (select distinct l_partkey as b, l_suppkey as c from lineitem), ac as (select distinct l_orderkey as a, l_suppkey as c from lineitem)"
+
+
+@query("host_triangles", f"{_HOST} select c as supplier, count(*) as triangles, count(distinct a) as orders from ab join bc using (b) join ac using (a, c) group by c")
+def _(spark, sf):
+    """Orders, parts and suppliers that are all connected: suppliers have thousands of edges, which are dealt in parts."""
+    return large.triangles(*_host(spark, sf)).groupBy(F.col("c").alias("supplier")).agg(F.count("*").alias("triangles"), F.count_distinct("a").alias("orders"))
+
+
+@query("host_paths", f"{_HOST} select b as part, count(*) as paths from ab join bc using (b) group by b")
+def _(spark, sf):
+    """Paths from an order over a part to a supplier."""
+    ab, bc, _ = _host(spark, sf)
+    return large.path_counts(ab, bc).withColumnsRenamed({"b": "part", "n": "paths"})
+
+
+_REFINED = " ".join(
+    f", r{k} as (select n.id, md5(n.col || '|' || coalesce(string_agg(x, ',' order by x), '')) as col from r{k - 1} n left join (select e.s as id, e.k || m.col as x from e join r{k - 1} m on m.id = e.t) y on y.id = n.id group by n.id, n.col)" for k in range(1, 4)
+)
+
+
+@query("host_colours", f"""{_HOST}, e as (
+  select 'o' || a as s, 'p' || b as t, 'has>' as k from ab union all select 'p' || b, 'o' || a, 'has<' from ab
+  union all select 'p' || b, 's' || c, 'from>' from bc union all select 's' || c, 'p' || b, 'from<' from bc),
+r0 as (select distinct s as id, s[1] as col from e){_REFINED}
+select 0 as round, count(distinct col) as colours from r0 union all select 1, count(distinct col) from r1 union all select 2, count(distinct col) from r2 union all select 3, count(distinct col) from r3""")
+def _(spark, sf):
+    """How many kinds of nodes there are on the host, from their types on, after each of the first rounds of refinement."""
+    ab, bc, _ = _host(spark, sf)
+    name = [F.concat(F.lit(k), F.col(c).cast("string")) for k, c in (("o", "a"), ("p", "b"), ("s", "c"))]
+    edges = ab.distinct().select(name[0].alias("src"), name[1].alias("tgt"), F.lit("has").alias("edge_type")).unionByName(bc.distinct().select(name[1].alias("src"), name[2].alias("tgt"), F.lit("from").alias("edge_type")))
+    nodes = edges.select(F.col("src").alias("node_id")).union(edges.select("tgt")).distinct().withColumn("node_type", F.left("node_id", F.lit(1)))
+    _, counts = isomorphism.refine(nodes, edges)
+    counts += [counts[-1]] * 3
+    return spark.createDataFrame([(k, counts[k]) for k in range(4)], "round int, colours bigint")
+
+
 # ---- alignment
 
 
