@@ -286,6 +286,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     totals = shared.settle(names.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
     every, names = names, shared.settle(names.filter(F.col("n") >= least).select("id", "lang", "word", F.col("n").alias("a")), "phrase-names")
     shared.discard(every)
+    shared.release(docs.sparkSession)
     known = names.select("id", "lang", "a", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("a").alias("firsts"), F.array("a").alias("lasts"))
     packed = _filter(names.select(F.col("id").alias("left"), F.lit(0).cast("long").alias("right")))
     pairs, chunks, found, children = word_pairs(*where, seed, packed, longest, most), None, [], []
@@ -295,6 +296,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         children.append(names.select(F.col("left").alias("id"), "a").unionByName(names.select(F.col("right").alias("id"), "a")).groupBy("id").agg(F.max("a").alias("child")).withColumn("k", F.lit(k - 1)))
         known = shared.settle(_grown(names, known), "phrase-known")
         found.append(known.withColumn("k", F.lit(k)))
+        shared.release(docs.sparkSession)
         if k == longest:
             break
         own = _filter(names)
