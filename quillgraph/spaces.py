@@ -8,11 +8,12 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from .catalog import _n, query, table
+from .catalog import _MATCH_SQL, _n, query, table
 from .operators import align, census, delta, isomorphism, large, local, parse, states
 from .plans.rules import LIBRARY, PROBES, RULES, Guard, Rule, pattern
 from .session import shared_dir
-from .streaming import limiter
+from .sources import workbooks
+from .streaming import flags, limiter
 
 #: A rule that undoes what r_RET does, so that runs of both never end.
 UNBOUND = Rule("r_UNBOUND", pattern("RC:RetentionClause DB:DurationBounded; e1:RC>DB:hasDuration"), pattern("RC:RetentionClause DI:DurationIndefinite; e2:RC>DI:hasDuration"), (), Guard(None, None, frozenset({"EU"})))
@@ -212,3 +213,35 @@ def _(spark, sf):
     path = _stream_of(calls.unionByName(end), "calls")
     limiter.run_limited(spark.readStream.schema(calls.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/checkpoint", BUDGET, WINDOW, late="1 hour")
     return spark.read.schema(limiter.ADMITTED).parquet(f"{path}/out").filter("key <> ''").select("key", "id", "cost", (F.col("admitted_at") - F.col("at")).alias("waited"))
+
+
+@query("flag_stream", "select rule, count(*) as n_docs, sum(n)::bigint as n from (" + " union all ".join(f"select '{k}' as rule, * from ({v})" for k, v in _MATCH_SQL.items()) + ") group by rule", True)
+def _(spark, sf):
+    """The rules that apply to each notice, from a stream of notices."""
+    n = _n(spark, sf)
+    path = _stream_of(n, "notices")
+    flags.flag_stream(spark.readStream.schema(n.schema).parquet(f"{path}/in"), list(LIBRARY), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema("doc_id bigint, rule string, matches bigint").parquet(f"{path}/out").groupBy("rule").agg(F.count("*").alias("n_docs"), F.sum("matches").alias("n"))
+
+
+# ---- workbooks
+
+
+@query("workbook_round_trip", """
+select conv_id::varchar as conv_id, turn::varchar as turn, role, md5(text) as digest, case when role <> 'assistant' then 'n/a' end as answer,
+  ((conv_id is not null)::int + (turn is not null)::int + (role is not null)::int + (text is not null)::int + (role <> 'assistant')::int)::bigint as locked
+from conversations""")
+def _(spark, sf):
+    """Label sheets of all turns: those of others than the assistant need no answer, and have no open cell."""
+    workbooks.register(spark)
+    path = f"{shared_dir(spark)}/quillgraph/sheets-{uuid.uuid4().hex}"
+    d = table(spark, sf, "conversations")
+    sheet = d.select(*[F.col(c).cast("string").alias(c) for c in ("conv_id", "turn", "role", "text")], F.when(F.col("role") != "assistant", workbooks.NOT_APPLICABLE).alias("answer"))
+    sheet.write.format("workbook").option("unlocked", "answer").option("choices", '{"answer": ["yes", "no"]}').option("rows", 20_000).mode("append").save(path)
+    cells = spark.read.format("workbook").option("cells", "true").load(path)
+
+    def of(name):
+        return F.max(F.when(F.col("name") == name, F.col("value")))
+
+    rows = cells.groupBy("file", "row").agg(*[of(c).alias(c) for c in ("conv_id", "turn", "role", "text", "answer")], F.count_if("locked").alias("locked"))
+    return rows.select("conv_id", "turn", "role", F.md5("text").alias("digest"), "answer", "locked")
