@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .rewrite import kept
+
 #: Fixed value: the normal quantile of a two-sided 95 % interval.
 Z = 1.959963985
 
@@ -115,3 +121,58 @@ def prf(matched: Column, predicted: Column, gold: Column) -> tuple[Column, Colum
     none = F.when(matched == 0, F.lit(1.0)).otherwise(F.lit(0.0))
     p, r = F.when(predicted == 0, none).otherwise(matched / predicted), F.when(gold == 0, none).otherwise(matched / gold)
     return p, r, F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+
+
+# ---- bootstraps in one pass over the items
+
+
+def _binomial(key: Column, n: Column, p: Column) -> Column:
+    """A binomial draw that depends on its key alone."""
+
+    @F.pandas_udf("bigint")
+    def draw(keys: pd.Series, ns: pd.Series, ps: pd.Series) -> pd.Series:
+        made = [np.random.Generator(np.random.Philox(key=k & 0xFFFFFFFFFFFFFFFF)).binomial(a, b) for k, a, b in zip(keys, ns, ps, strict=True)]
+        return pd.Series(made, dtype="int64")
+
+    return draw(key, n, p)
+
+
+def resampled(items: DataFrame, group: str, values: list[str], draws: int, seed: int = 0) -> DataFrame:
+    """(group, draw, *values, k): how often each distinct row of values comes in each of so many samples with replacement, as large as
+    the group; those that don't come have no row.
+
+    Items are only counted. A sample's counts are made by a tree over the distinct rows, ordered by the bits of a hash: a node's
+    count is split between its halves by a binomial draw that depends on the seed, the group, the draw and the node. Rows number
+    draws times distinct rows, however many items there are.
+    """
+    held = kept(items.groupBy(group, *values).agg(F.count("*").alias("w")).withColumn("h", F.xxhash64(F.lit(seed), *values)), "bootstrap")
+    now = held.groupBy(group).agg(F.sum("w").alias("w"), F.count("*").alias("distinct")).withColumn("k", F.col("w"))
+    now = kept(now.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("node", F.lit(0).cast("long")), "draws")
+    done, level = [], 0
+    while True:
+        whole = F.shiftrightunsigned("h", 64 - level) if level else F.lit(0).cast("long")
+        alone = now.filter("distinct = 1").select(group, "draw", "node", "k")
+        done.append(alone.join(held.withColumn("node", whole).drop("w", "h"), [group, "node"]).select(group, "draw", *values, "k"))
+        now = now.filter("distinct > 1")
+        if level == 64 or now.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        level += 1
+        parts = held.groupBy(group, F.shiftrightunsigned("h", 64 - level).alias("part")).agg(F.sum("w").alias("w"), F.count("*").alias("distinct"))
+        halves = parts.groupBy(group, F.shiftrightunsigned("part", 1).alias("node")).agg(*[F.coalesce(F.max(F.when(F.col("part") % 2 == b, F.col(c))), F.lit(0)).alias(f"{c}{b}") for c in ("w", "distinct") for b in (0, 1)])
+        split = now.select(group, "draw", "node", "k").join(halves, [group, "node"])
+        split = split.withColumn("left", _binomial(F.xxhash64(F.lit(seed), group, "draw", "node", F.lit(level)), F.col("k"), F.col("w0") / (F.col("w0") + F.col("w1"))))
+        sides = [F.struct((F.col("node") * 2 + b).alias("node"), F.col(f"w{b}").alias("w"), F.col(f"distinct{b}").alias("distinct"), (F.col("left") if b == 0 else F.col("k") - F.col("left")).alias("k")) for b in (0, 1)]
+        now = kept(split.select(group, "draw", F.explode(F.array(*sides)).alias("s")).select(group, "draw", "s.*").filter("k > 0"), "draws")
+
+
+def one_pass_bootstrap(items: DataFrame, group: str, value: str, size: str | None = None, draws: int = 2000, seed: int = 0, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """(group, n, mean, lo, hi): a percentile bootstrap of a mean over items, or over clusters with their sizes: sums of value by
+    sums of size. Rows with a null value are left out."""
+    weight = F.lit(1).cast("double") if size is None else F.col(size).cast("double")
+    name = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("null"))  # a group without a name is one too
+    d = items.filter(F.col(value).isNotNull()).select(name.alias("g"), F.col(group).alias("name"), F.col(value).cast("double").alias("x"), weight.alias("m")).filter("m is not null")
+    point = d.groupBy("g").agg(F.first("name").alias("name"), F.count("*").alias("n"), (F.sum("x") / F.sum("m")).alias("mean"))
+    means = resampled(d, "g", ["x", "m"], draws, seed).groupBy("g", "draw").agg((F.sum(F.col("x") * F.col("k")) / F.sum(F.col("m") * F.col("k"))).alias("r"))
+    held = means.groupBy("g").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    at = [F.round(F.element_at("rs", k + 1), 6) for k in bounds(draws, low, high)]
+    return point.join(held, "g").select(F.col("name").alias(group), "n", F.round("mean", 6).alias("mean"), at[0].alias("lo"), at[1].alias("hi"))
