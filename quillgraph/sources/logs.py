@@ -11,9 +11,10 @@ def iso_utc(time: Column) -> Column:
     return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def append_events(rows: DataFrame, path: str, kind: str, time: Column | None = None) -> None:
-    """Appends the rows to a log as JSON lines, with their kind and time."""
-    rows.select(iso_utc(F.current_timestamp() if time is None else time).alias("at"), F.lit(kind).alias("kind"), F.to_json(F.struct(*rows.columns)).alias("detail")).write.mode("append").json(path)
+def append_events(rows: DataFrame, path: str, kind: str | Column, time: Column | None = None) -> None:
+    """Appends the rows to a log as JSON lines, with their kind, one for all or a column, and time."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    rows.select(iso_utc(F.current_timestamp() if time is None else time).alias("at"), kind.alias("kind"), F.to_json(F.struct(*rows.columns)).alias("detail")).write.mode("append").json(path)
 
 
 def read_events(spark, path: str) -> DataFrame:
