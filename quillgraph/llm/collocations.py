@@ -1,7 +1,7 @@
 """Operator 11, phrase collocations by hierarchical pair naming.
 
 Method. Texts become chunks, rows of numbers with a mark between pieces. Words have ids, 64 bits of a hash that is checked to be
-different for all words of the corpus, and chosen anew if it isn't. A frequent phrase of k words is the pair of the ids of its
+different for all words of the corpus, and chosen anew if it isn't; so are those by which pairs of words are counted. A frequent phrase of k words is the pair of the ids of its
 first and its last k - 1 words, which overlap: adjacent ids of a chunk are paired, pairs are counted over all chunks, frequent
 ones get an id of their own, which is joined to the chunks' pairs and replaces them there. A phrase that holds an infrequent part is infrequent itself, so nothing frequent is lost. The
 two ids are parent pointers: a phrase's counts of first parts come along its left parents and those of last parts along its
@@ -143,21 +143,27 @@ def _frequent_places(own: int, ids: np.ndarray, names: np.ndarray, packed: np.nd
     return _renamed(ids, own, number, names[number], len(names))
 
 
+def pair_ids(left: np.ndarray, right: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit ids of pairs of words, none of them negative; whether frequent ones are those of one pair is checked over all pairs."""
+    h = textvec.mix(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + textvec.mix(right.astype(np.uint64) + np.uint64(seed)))
+    return (h >> np.uint64(1)).astype(np.int64)
+
+
 def word_pairs(docs: DataFrame, text_col: str, lang_col: str, seed: int, packed: np.ndarray, longest: int = LONGEST, most: int = CHUNK) -> DataFrame:
-    """(left, right, n): adjacent words whose ids may be in the filter, counted by chunk."""
+    """(pair, n): adjacent words whose ids may be in the filter, by the pair's id, counted by chunk."""
 
     def emit(_, lang, own, ids, words, n):
         own, ids, names = _frequent_places(own, ids, word_ids(lang, words, seed), packed)
         codes, _, _, n = _pairs(ids, max(len(names), 1), own)
         for at in range(0, len(codes), SENT):
             c = codes[at : at + SENT]
-            yield pa.RecordBatch.from_pydict({"left": names[c // len(names)], "right": names[c % len(names)], "n": n[at : at + SENT].astype(np.int64)})
+            yield pa.RecordBatch.from_pydict({"pair": pair_ids(names[c // len(names)], names[c % len(names)], seed), "n": n[at : at + SENT].astype(np.int64)})
 
-    return _scanned(docs, text_col, lang_col, longest, most, emit, "left bigint, right bigint, n bigint")
+    return _scanned(docs, text_col, lang_col, longest, most, emit, "pair bigint, n bigint")
 
 
 def chunk_pairs(docs: DataFrame, text_col: str, lang_col: str, seed: int, packed: np.ndarray, packed_pairs: np.ndarray, longest: int = LONGEST, most: int = CHUNK) -> DataFrame:
-    """(chunk, lang, own, ids, lefts, rights): the places whose pairs of words may be frequent, numbered within their chunk."""
+    """(chunk, lang, own, ids, pairs, lefts, rights): the places whose pairs of words may be frequent, numbered within their chunk."""
 
     def emit(number, lang, own, ids, words, n):
         own, ids, names = _frequent_places(own, ids, word_ids(lang, words, seed), packed)
@@ -165,14 +171,15 @@ def chunk_pairs(docs: DataFrame, text_col: str, lang_col: str, seed: int, packed
         if not len(codes):
             return
         left, right = names[codes // len(names)], names[codes % len(names)]
-        kept = np.flatnonzero(_held(packed_pairs, left, right))
+        pair = pair_ids(left, right, seed)
+        kept = np.flatnonzero(_held(packed_pairs, pair, np.zeros(len(pair), dtype=np.int64)))
         ids = np.full(len(ids), -1, dtype=np.int32)
         ids[at] = which
         own, ids, _ = _renamed(ids, own, kept, kept, len(codes))
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(kept)], type=pa.int32()), pa.array(x[kept])) for x in (left, right)]
-        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([lang], type=pa.string()), pa.array([own], type=pa.int32()), pa.array([ids.tobytes()]), *lists], names=["chunk", "lang", "own", "ids", "lefts", "rights"])
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(kept)], type=pa.int32()), pa.array(x[kept])) for x in (pair, left, right)]
+        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([lang], type=pa.string()), pa.array([own], type=pa.int32()), pa.array([ids.tobytes()]), *lists], names=["chunk", "lang", "own", "ids", "pairs", "lefts", "rights"])
 
-    return _scanned(docs, text_col, lang_col, longest, most, emit, "chunk bigint, lang string, own int, ids binary, lefts array<bigint>, rights array<bigint>")
+    return _scanned(docs, text_col, lang_col, longest, most, emit, "chunk bigint, lang string, own int, ids binary, pairs array<bigint>, lefts array<bigint>, rights array<bigint>")
 
 
 def _pairs(ids: np.ndarray, width: int, own: int):
@@ -197,7 +204,7 @@ def _bits(a: np.ndarray, b: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def _filter(names: DataFrame) -> np.ndarray:
-    """A Bloom filter of the names' pairs, of bounded size, OR-ed on executors."""
+    """A Bloom filter of pairs of integers, of bounded size, OR-ed on executors."""
     bits = min(max(shared.FILTER_BITS[0], 1 << (16 * names.count()).bit_length()), 1 << 26)
 
     def part(batches):
@@ -215,7 +222,7 @@ def _filter(names: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"packed": [held.tobytes()]})
 
     out = np.zeros(bits // 8, dtype=np.uint8)
-    for row in names.select("left", "right").coalesce(8).mapInArrow(part, "packed binary").mapInArrow(union, "packed binary").collect():
+    for row in names.coalesce(8).mapInArrow(part, "packed binary").mapInArrow(union, "packed binary").collect():
         out |= np.frombuffer(row[0], dtype=np.uint8)
     return out
 
@@ -277,40 +284,43 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     firsts[k] and lasts[k] are the counts of a phrase's first and last k words.
     """
     where = (docs, text_col, lang_col)
-    seed, names = 0, None
-    while names is None or names.agg(F.count("*") > F.count_distinct("id")).first()[0]:
-        if names is not None:
-            shared.discard(names)
-        seed += 1  # two words had one id: all get others
-        names = shared.settle(word_counts(*where, seed, longest, most), "phrase-words")
-    totals = shared.settle(names.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-    every, names = names, shared.settle(names.filter(F.col("n") >= least).select("id", "lang", "word", F.col("n").alias("a")), "phrase-names")
-    shared.discard(every)
-    shared.release(docs.sparkSession)
-    known = names.select("id", "lang", "a", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("a").alias("firsts"), F.array("a").alias("lasts"))
-    packed = _filter(names.select(F.col("id").alias("left"), F.lit(0).cast("long").alias("right")))
-    pairs, chunks, found, children = word_pairs(*where, seed, packed, longest, most), None, [], []
+    seed, names, chunks = 0, None, None
+    while chunks is None:
+        seed += 1
+        words = shared.settle(word_counts(*where, seed, longest, most), "phrase-words")
+        if words.agg(F.count("*") > F.count_distinct("id")).first()[0]:
+            shared.discard(words)
+            continue  # two words have one id: all get others
+        totals = shared.settle(words.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
+        names = shared.settle(words.filter(F.col("n") >= least).select("id", "lang", "word", F.col("n").alias("a")), "phrase-names")
+        shared.discard(words)
+        known = names.select("id", "lang", "a", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("a").alias("firsts"), F.array("a").alias("lasts"))
+        packed = _filter(names.select("id", F.lit(0).cast("long")))
+        counted = word_pairs(*where, seed, packed, longest, most).groupBy("pair").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+        counted = shared.settle(counted.select(F.monotonically_increasing_id().alias("id"), "pair", "a"), "phrase-pairs")
+        chunks = shared.settle(chunk_pairs(*where, seed, packed, _filter(counted.select("pair", F.lit(0).cast("long"))), longest, most), "phrase-chunks")
+        held = chunks.select("chunk", F.posexplode(F.arrays_zip("pairs", "lefts", "rights")).alias("j", "p")).select("chunk", "j", F.col("p.pairs").alias("pair"), F.col("p.lefts").alias("left"), F.col("p.rights").alias("right"))
+        ends = held.groupBy("pair").agg(*[f(c).alias(f"{n}_{c}") for c in ("left", "right") for n, f in (("least", F.min), ("most", F.max))]).join(counted, "pair")
+        ends = shared.settle(ends.select("id", "a", "least_left", "most_left", "least_right", "most_right"), "phrase-ends")
+        if not ends.filter("least_left <> most_left or least_right <> most_right").isEmpty():
+            shared.discard(chunks)
+            chunks = None  # two pairs have one id, of which one is frequent
+    names = ends.select("id", F.col("least_left").alias("left"), F.col("least_right").alias("right"), "a")
+    named = held.join(counted, "pair").select("chunk", "j", "id")
+    found, children = [], []
     for k in range(2, longest + 1):
-        names = pairs.groupBy("left", "right").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-        names = shared.settle(names.select(F.monotonically_increasing_id().alias("id"), "left", "right", "a"), "phrase-names")
         children.append(names.select(F.col("left").alias("id"), "a").unionByName(names.select(F.col("right").alias("id"), "a")).groupBy("id").agg(F.max("a").alias("child")).withColumn("k", F.lit(k - 1)))
         known = shared.settle(_grown(names, known), "phrase-known")
         found.append(known.withColumn("k", F.lit(k)))
-        shared.release(docs.sparkSession)
         if k == longest:
             break
-        own = _filter(names)
-        if k == 2:
-            old = chunks = shared.settle(chunk_pairs(*where, seed, packed, own, longest, most), "phrase-chunks")
-            held = chunks.select("chunk", F.posexplode(F.arrays_zip("lefts", "rights")).alias("j", "p")).select("chunk", "j", F.col("p.lefts").alias("left"), F.col("p.rights").alias("right"))
-        else:
-            old, held = chunks, pair_counts(chunks, own)
-        named = held.join(names.drop("a"), ["left", "right"]).select("chunk", "j", "id")
-        chunks = shared.settle(rename(chunks, named, k > 2), "phrase-chunks")
+        if k > 2:
+            named = pair_counts(chunks, _filter(names.select("left", "right"))).join(names.drop("a"), ["left", "right"]).select("chunk", "j", "id")
+        old, chunks = chunks, shared.settle(rename(chunks, named, k > 2), "phrase-chunks")
         shared.discard(old)
-        pairs = pair_counts(chunks)
-    if chunks is not None:
-        shared.discard(chunks)
+        names = pair_counts(chunks).groupBy("left", "right").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+        names = shared.settle(names.select(F.monotonically_increasing_id().alias("id"), "left", "right", "a"), "phrase-names")
+    shared.discard(chunks)
     phrases, best = found[0], children[0]
     for more in found[1:]:
         phrases = phrases.unionByName(more)

@@ -38,12 +38,6 @@ def discard(*tables: DataFrame) -> None:
         hadoop.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Asks the driver to collect garbage, upon which Spark's cleaner deletes the shuffle files of plans that are done with: what was
-    shuffled for a settled table would else stay on the executors' disks until the driver's memory fills up."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def whole_id(column: F.Column) -> F.Column:
     """An id as a 64-bit integer; null where it is none."""
     return column.try_cast("long")
