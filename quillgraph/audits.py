@@ -168,16 +168,33 @@ def _(spark, sf):
     return _docs(spark, sf).select("doc_id", F.length(F.substring(t, 1, T.STORED)).cast("long").alias("stored"), T.provision_key("m", 0.0, 512, F.lit("EU"), F.lit(None).cast("int"), t).alias("cache_key"))
 
 
+_CLEAN = "regexp_replace(regexp_replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')".replace("{{", "{").replace("}}", "}")
+_CUT = "regexp_replace(regexp_replace(regexp_replace({}, '\\n\\s*\\n', chr(30), 'g'), '(?m)^(\\s*Article\\s+\\d+)', chr(30) || '\\1', 'g'), '(?m)^(\\s*§)', chr(30) || '\\1', 'g')"
+
+
 @query("provisions_by_source", f"""
-with p as (select page_id, page_id % 2 as k, list_filter(list_transform(string_split(regexp_replace(regexp_replace(t, '\\n\\s*\\n', chr(30), 'g'), '(\\b1798\\.\\d+(?:\\.\\d+)?\\.\\s)', chr(30) || '\\1', 'g'), chr(30)), {_TRIM}), {_LONGER}) as p
-  from (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') as t from pages where html is not null and not contains(html, '&') and not contains(html, 'Article')))
-select 'page' || page_id as source, list_sum(list_transform(p, lambda x: least(length(x), 2000)))::bigint as stored, len(p)::bigint as n from p where len(p) > 0 and list_max(list_transform(p, lambda x: length(x))) <= 5000""")
-def _(spark, sf):
-    d = table(spark, sf, "pages").filter("html is not null and not contains(html, '&') and not contains(html, 'Article')")
-    texts = d.select(F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("source"), F.lit("EU").alias("jurisdiction"), F.col("html").alias("text"))
-    p = files.provisions(texts)
-    long_ = texts.select("source", F.array_max(F.transform(T.segments(T.strip_markup(F.col("text"))), F.length)).alias("k")).filter("k > 5000")
-    return p.join(long_, "source", "left_anti").groupBy("source").agg(F.sum(F.length("text")).cast("long").alias("stored"), F.count("*").alias("n"))
+with a as (select doc_id, (['gdpr8', 'ccpa', 'uk_aadc', 'page'])[(doc_id % 4 + 1)::int] as kind, replace(text, '&', '+') as text from documents where text is not null and doc_id is not null),
+b as (select doc_id, kind, case kind when 'gdpr8' then 'head' || chr(10) || 'Article 8' || chr(10) || replace(text, '. ', '. (b) ') || chr(10) || 'Article 9' || chr(10) || 'tail' when 'ccpa' then replace(text, '. ', '. 1798.100. ')
+  when 'uk_aadc' then replace(text, '. ', '.' || chr(10) || '-- Page 3 --' || chr(10) || '12' || chr(10)) else '(a) ' || replace(text, '. ', '. (b) ') end as t from a),
+c as (select doc_id, kind, {_CLEAN} as t from b),
+d as (select doc_id, kind, case kind
+  when 'ccpa' then list_filter(list_transform(string_split(regexp_replace(t, '(\\b1798\\.\\d+(?:\\.\\d+)?\\.\\s)', chr(30) || '\\1', 'g'), chr(30)), {_TRIM}), {_LONGER})
+  when 'uk_aadc' then list_filter(list_transform(string_split(array_to_string(list_transform(list_filter(list_transform(list_filter(string_split(t, chr(10)), lambda x: not regexp_matches(trim(x), '(?i)^-+\\s*Page\\s+\\d+\\s*-+$|^\\d{{1,4}}$')), {_TRIM}), lambda x: x <> ''),
+    lambda x: case when regexp_matches(x, '[.!?:]$') then x || chr(30) else x || ' ' end), ''), chr(30)), lambda x: rtrim(x)), lambda x: length(x) >= {T.LEAST_SEGMENT})
+  when 'gdpr8' then list_filter(list_transform(string_split({_CUT.format("substr(t, instr(t, 'Article 8'), instr(t, 'Article 9') - instr(t, 'Article 8'))")}, chr(30)), {_TRIM}), {_LONGER})
+  else list_filter(list_transform(string_split({_CUT.format("t")}, chr(30)), {_TRIM}), {_LONGER}) end as p from c),
+e as (select doc_id, kind, flatten(list_transform(p, lambda s: case when length(s) > {T.LONGEST_SPAN} then list_filter(list_transform(string_split(regexp_replace(s, '(\\(\\w{{1,3}}\\)\\s)', chr(30) || '\\1', 'g'), chr(30)), {_TRIM}), lambda x: length(x) >= {T.LEAST_PIECE}) else [s] end)) as p from d)
+select kind || '_' || doc_id as source, len(p)::bigint as n, list_sum(list_transform(p, lambda x: least(length(x), {T.STORED})))::bigint as stored from e where len(p) > 0""")
+def _(spark, sf):
+    """Every document cut by the rules of the source that it is taken for: an article between two headings, sections by number, wrapped
+    lines with page banners, or paragraphs."""
+    d = _docs(spark, sf).filter("doc_id is not null").withColumn("kind", F.element_at(F.array(*map(F.lit, ("gdpr8", "ccpa", "uk_aadc", "page"))), (F.col("doc_id") % 4 + 1).cast("int")))
+    own = F.replace("text", F.lit("&"), F.lit("+"))
+    marked = F.replace(own, F.lit(". "), F.lit(". (b) "))
+    made = F.when(F.col("kind") == "gdpr8", F.concat(F.lit("head\nArticle 8\n"), marked, F.lit("\nArticle 9\ntail"))).when(F.col("kind") == "ccpa", F.replace(own, F.lit(". "), F.lit(". 1798.100. ")))
+    made = made.when(F.col("kind") == "uk_aadc", F.replace(own, F.lit(". "), F.lit(".\n-- Page 3 --\n12\n"))).otherwise(F.concat(F.lit("(a) "), marked))
+    texts = d.select(F.concat_ws("_", "kind", F.col("doc_id").cast("string")).alias("source"), F.lit("EU").alias("jurisdiction"), made.alias("text"))
+    return files.provisions(texts).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("stored"))
 
 
 @query("answer_fields", """

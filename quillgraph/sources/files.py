@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -51,11 +52,15 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The last line of each hash in a JSON-lines cache, the files in the order in which they were written; lines that aren't JSON
-    are passed over."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
-    rows = raw.select("time", "file", "line", F.from_json("value", SPEC, {"mode": "PERMISSIVE"}).alias("r")).select("time", "file", "line", "r.*").filter("hash is not null")
-    return last_wins(rows, "hash", F.struct("time", "file", "line")).drop("time", "file", "line")
+    """The last line of each hash in a JSON-lines cache; lines that aren't JSON are passed over. Later appends win, by the number
+    that append_cache gave them; lines without one count as written when their file was, within it from top to bottom. Of equal
+    hashes in one append the last in order of source and spec wins."""
+    raw = spark.read.text(path).select("value", F.unix_micros("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
+    r = F.from_json("value", f"{SPEC}, seq bigint", {"mode": "PERMISSIVE"}).alias("r")
+    rows = raw.select("time", "file", "line", r).select("time", "file", "line", "r.*").filter("hash is not null")
+    place = F.when(F.col("seq").isNull(), F.col("file")), F.when(F.col("seq").isNull(), F.col("line"))
+    order = F.struct(F.coalesce("seq", "time").alias("at"), place[0].alias("file"), place[1].alias("line"), F.col("source"), F.col("spec"))
+    return last_wins(rows, "hash", order).drop("time", "file", "line", "seq")
 
 
 def rules_from_cache(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -70,7 +75,8 @@ def last_wins(rows: DataFrame, key: str, order: Column) -> DataFrame:
 
 
 def append_cache(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+    """Appends the rows to a cache, with the time of the append in microseconds, which later ones exceed."""
+    rows.withColumn("seq", F.lit(time.time_ns() // 1000)).write.mode("append").json(path)
 
 
 def cache_split(wanted: DataFrame, cache: DataFrame, key: str = "hash", size: int = 5) -> tuple[DataFrame, DataFrame]:
