@@ -350,7 +350,7 @@ def _(spark, sf):
     """All six arms for every notice: answers on record, a second answer where the first is flagged, and the repair of the first."""
     n, k = _n(spark, sf), F.col("doc_id").cast("string")
     drafts = n.select("doc_id", F.col("text").alias("unconstrained"), F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("Few: "), "text")).alias("few_shot"), F.concat(F.lit("draft REVISED: c"), k).alias("critique"))
-    repaired = realize.process_documents(list(LIBRARY), n, every=True).select("doc_id", "flagged", "scored_text")
+    repaired = realize.process_documents(list(LIBRARY), n).select("doc_id", "flagged", "scored_text")
     again = n.filter("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("again "), k).alias("regenerated"))
     return specs.arms(drafts, repaired, again).groupBy("arm").agg(F.count("*").alias("n"), F.count("output").alias("recorded"), F.coalesce(F.sum(F.length("output")), F.lit(0)).cast("long").alias("chars"))
 

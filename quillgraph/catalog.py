@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import local, parse, realize, rewrite, sampling, stats
+from .operators import delta, local, parse, realize, rewrite, sampling, stats
 from .operators import ruleset as RS
 from .operators.notices import SQL, chain, notices, table
 from .plans import certify
@@ -342,7 +342,7 @@ _TOTALS = "sum(f_pc)::bigint as fired_pc, sum(f_wd)::bigint as fired_wd, sum(f_s
 
 def _normal(spark, sf):
     """The notices in normal form, rewritten within their rows, which leave their texts behind."""
-    return local.normalise(list(LIBRARY), local.graph_rows(_n(spark, sf)).drop("text", "sentences"), every=True)
+    return delta.normalise(list(LIBRARY), local.graph_rows(_n(spark, sf)).drop("text", "sentences"))
 
 
 def _by(rule: str):
@@ -399,7 +399,7 @@ done as materialized (select doc_id, concat_ws(' ', b, x) as output from fired l
 
 @query("realize_text", f"{_REALIZED} select doc_id, md5(output) as digest, length(output)::bigint as n_chars from done", True)
 def _(spark, sf):
-    out = realize.realized(list(LIBRARY), local.normalise(list(LIBRARY), local.graph_rows(_n(spark, sf)).drop("text"), every=True), every=True)
+    out = realize.realized(list(LIBRARY), delta.normalise(list(LIBRARY), local.graph_rows(_n(spark, sf)).drop("text")))
     return out.select("doc_id", F.md5("output").alias("digest"), F.length("output").cast("long").alias("n_chars"))
 
 
@@ -410,13 +410,13 @@ checked as (select n.doc_id, n.jurisdiction, f.f_pc + f.f_wd + f.f_sale + f.f_re
 
 @query("round_trip_compliance", f"{_AGAIN} select flagged, compliant, count(*) as n, sum((compliant or same)::int)::bigint as scored_output from checked group by all", True)
 def _(spark, sf):
-    d = realize.process_documents(list(LIBRARY), _n(spark, sf), every=True)
+    d = realize.process_documents(list(LIBRARY), _n(spark, sf))
     return d.groupBy("flagged", "compliant").agg(F.count("*").alias("n"), F.sum((F.col("scored_text") == F.col("output")).cast("long")).alias("scored_output"))
 
 
 @query("flag_and_roundtrip_rates", f"{_AGAIN} select jurisdiction, count(*) as n, round(avg(flagged::int), 6) as flag_rate, round(avg(compliant::int), 6) as round_trip_rate from checked group by jurisdiction", True)
 def _(spark, sf):
-    d = realize.process_documents(list(LIBRARY), _n(spark, sf), every=True)
+    d = realize.process_documents(list(LIBRARY), _n(spark, sf))
     return d.groupBy("jurisdiction").agg(F.count("*").alias("n"), F.round(F.avg(F.col("flagged").cast("double")), 6).alias("flag_rate"), F.round(F.avg(F.col("compliant").cast("double")), 6).alias("round_trip_rate"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.rules import Rule
-from . import local, parse
+from . import delta, local, parse
 
 
 def sentence_signatures(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -120,9 +120,10 @@ def realized(rules: list[Rule], rows: DataFrame, every: bool = False) -> DataFra
 
 def process_documents(rules: list[Rule], docs: DataFrame, key: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
     """Parse, detect, normalise, realize, check: (key, age, jurisdiction, flagged, fired, output, compliant, scored_text). docs: with age and
-    jurisdiction; every: as in local.normalise. Each document stays in its row, so that rows that repeat a key are documents of their
+    jurisdiction; every: as in local.normalise, else one step at a time. Each document stays in its row, so that rows that repeat a key are documents of their
     own."""
-    rows = local.normalise(rules, local.graph_rows(docs.select(key, text_col, "age", "jurisdiction"), key, text_col), every)
+    rows = local.graph_rows(docs.select(key, text_col, "age", "jurisdiction"), key, text_col)
+    rows = local.normalise(rules, rows, True) if every else delta.normalise(rules, rows)
     out = realized(rules, rows, every).select(key, text_col, "age", "jurisdiction", F.array_join(F.transform("trace", lambda t: t["rule"]), ",").alias("fired"), "output")
     again = local.graph_rows(out, key, "output").withColumn("compliant", F.size(local.all_steps(rules)) == 0)
     return again.select(key, "age", "jurisdiction", (F.col("fired") != "").alias("flagged"), "fired", "output", "compliant", F.when(F.col("compliant"), F.col("output")).otherwise(F.col(text_col)).alias("scored_text"))

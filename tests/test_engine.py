@@ -172,6 +172,9 @@ def test_files(spark, tmp_path):
     assert [(r["jurisdiction"], r["tau"]) for r in p] == [("EU", 16)]
     (tmp_path / "c.jsonl").write_text('{"hash":"a","source":"x","spec":"1"}\nnot json\n{"hash":"a","source":"x","spec":"2"}\n')
     assert [(r["hash"], r["spec"]) for r in files.read_cache(spark, str(tmp_path / "c.jsonl")).collect()] == [("a", "2")]
+    for k in range(4):  # appends in one second, in files with random names
+        files.append_cache(spark.createDataFrame([("a", "s", str(k)), ("b", "s", f"x{k}"), ("b", "s", f"y{k}")], "hash string, source string, spec string").repartition(3), str(tmp_path / "many"))
+    assert sorted((r["hash"], r["spec"]) for r in files.read_cache(spark, str(tmp_path / "many")).collect()) == [("a", "3"), ("b", "y3")]
     sheet = spark.createDataFrame([(str(i), "p", "A", "q", "9", "EU", "PC", "t", v) for i, v in enumerate(["", "none", "pc; wd", "ZZ"])], ", ".join(f"{c} string" for c in files.SHEET))
     files.write_sheet(sheet, str(tmp_path / "s"))
     codes = spark.createDataFrame([("PC",), ("WD",)], "code string")
