@@ -341,6 +341,31 @@ def _(spark, sf):
     return specs.model_parsed(n, _model_answers(n)).groupBy("fallback", "src_type", "edge_type", "tgt_type").agg(F.count("*").alias("n"))
 
 
+#: What a model says of every notice, right or wrong, whatever its text; 4 and 9 are odd nodes.
+_SAID = '{"nodes": [{"id": 0, "type": "DataSubject"}, {"id": 1, "type": "ConsentProcess"}, {"id": 2, "type": "Operator"}, {"id": 3, "type": "ThirdParty"}, {"id": 4, "type": "Alien"}], "edges": [%s, {"src": 2, "tgt": 3, "type": "sellsTo", "sent": 0}, {"src": 0, "tgt": 4, "type": "grants", "sent": 0}, {"src": 0, "tgt": 9, "type": "grants", "sent": 0}]}'
+_RIGHT = _SAID % '{"src": 0, "tgt": 1, "type": "subjectOf", "sent": 1}'
+_WRONG = _SAID % '{"src": 1, "tgt": 0, "type": "subjectOf", "sent": 1}, {"src": 2, "tgt": 1, "type": "grants", "sent": 0}'
+
+
+@query("model_parse_repaired", f"""
+, f as (select doc_id, doc_id % 8 = 5 as fallback, doc_id % 3 = 1 or doc_id % 6 = 0 as mended, case when doc_id % 3 in (1, 2) then 1 when doc_id % 6 = 0 then 2 else 3 end as rounds from notices),
+x as (
+  select f.doc_id, true as fallback, 0 as rounds, src_type, edge_type, tgt_type from f join edges using (doc_id) where f.fallback
+  union all select f.doc_id, false, f.rounds, 'Operator', e.edge_type, 'ThirdParty' from f join (select 'sellsTo' as edge_type) e on not f.fallback left join sent s on s.doc_id = f.doc_id and s.sent_idx = 0 where not coalesce({_denied_sql()}, false)
+  union all select f.doc_id, false, f.rounds, 'DataSubject', e.edge_type, 'ConsentProcess' from f join (select 'subjectOf' as edge_type) e on not f.fallback and f.mended left join sent s on s.doc_id = f.doc_id and s.sent_idx = 1 where not coalesce({_denied_sql()}, false))
+select fallback, rounds, src_type, edge_type, tgt_type, count(*) as n from x group by all""", True)
+def _(spark, sf):
+    """Answers that have nothing of the keyword parse: wrong at first, told so up to three times, and mended at once, later, or never."""
+    n, k = _n(spark, sf), F.col("doc_id")
+    first = n.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("attempt"))
+    silent = (k % 8 == 5) | ((k % 4 == 1) & (F.col("attempt") == 0))
+    first = first.withColumn("response", F.when(silent & (F.col("attempt") < 3), "I can't say.").otherwise(F.lit("Here: " + _WRONG)))
+    told = n.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("round"))
+    answer = F.when(k % 3 == 2, "Sorry.").when(k % 3 == 1, _RIGHT).when((k % 6 == 0) & (F.col("round") == 2), _RIGHT).when(F.col("round") == 4, _RIGHT).otherwise(_WRONG)
+    found = specs.model_parsed(n, first, repairs=told.withColumn("response", answer))
+    return found.groupBy("fallback", "rounds", "src_type", "edge_type", "tgt_type").agg(F.count("*").alias("n"))
+
+
 @query("arm_outputs", f"""{_AGAIN}, s as (select n.doc_id, n.text, c.flagged, case when c.compliant then d.output else n.text end as scored from notices n join checked c using (doc_id) join done d using (doc_id)),
 a as (select 'unconstrained' as arm, text as output from s union all select 'few_shot', case when doc_id % 5 <> 0 then 'Few: ' || text end from s union all select 'critique', 'c' || doc_id from s
   union all select 'regenerate', case when not flagged then text when doc_id % 3 = 0 then 'again ' || doc_id end from s union all select 'flag_only', case when not flagged then text end from s

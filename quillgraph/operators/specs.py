@@ -59,35 +59,72 @@ def refined(answers: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
     return g.select(key, F.coalesce("good", "last.round").alias("round"), F.when(F.col("good").isNull(), F.col("last.error")).alias("error"))
 
 
-def model_parsed(docs: DataFrame, answers: DataFrame, id_col: str = "doc_id", text_col: str = "text", attempts: int = 3) -> DataFrame:
-    """(id, fallback, src_type, edge_type, tgt_type, sent_idx) of each document's edges, as a model parsed it. answers: (id, attempt, response).
+def _read(response: Column) -> Column:
+    """The graph in an answer; null where there is none."""
+    g = F.from_json(T.json_object(response), PARSE)
+    return F.when(g["nodes"].isNotNull() & g["edges"].isNotNull(), g)
 
-    The first attempt that is a graph counts; a document without one is parsed by keywords, and that is its fallback. Of a model's
-    edges those go whose ends or types aren't in the schema, which their own sentence denies, or which connect types in a way
-    that isn't admissible. Keyword edges aren't looked at again.
-    """
-    d = answers.filter(F.col("attempt") < attempts).withColumn("g", F.from_json(T.json_object(F.col("response")), PARSE)).filter("g.nodes is not null and g.edges is not null")
-    first = d.groupBy(id_col).agg(F.min_by("g", "attempt").alias("g"))
-    p = parse.parsed(docs, id_col, text_col).join(first, id_col, "left").withColumn("fallback", F.col("g").isNull())
-    g = F.col("g")
+
+def _said_edges(g: Column) -> Column:
+    """A model's edges between nodes that it named, of types that the schema has, which their own sentence doesn't deny, with ok: whether they
+    connect types in an admissible way. sentences must be a column."""
 
     def typed(e):
         def end(k):
-            return F.element_at(F.transform(F.filter(g["nodes"], lambda n: n["id"] == e[k]), lambda n: n["type"]), 1)
+            return F.try_element_at(F.transform(F.filter(g["nodes"], lambda n: n["id"] == e[k]), lambda n: n["type"]), F.lit(1))
 
         return F.struct(end("src").alias("src_type"), e["type"].alias("edge_type"), end("tgt").alias("tgt_type"), e["sent"].alias("sent_idx"))
 
-    known = F.filter(g["edges"], lambda e: F.exists(g["nodes"], lambda n: n["id"] == e["src"]) & F.exists(g["nodes"], lambda n: n["id"] == e["tgt"]))
-
     def denied(e):
         said, out = F.get("sentences", e["sent_idx"]), F.lit(False)
         for kind in T.PREDICATES:
             out = F.when(e["edge_type"] == kind, T.negated(said, kind)).otherwise(out)
         return F.coalesce(out, F.lit(False))
 
+    def known(e):
+        return F.coalesce(e["src_type"].isin(*NODE_TYPES) & e["edge_type"].isin(*EDGE_TYPES) & e["tgt_type"].isin(*NODE_TYPES), F.lit(False))
+
     admissible = F.array(*[F.struct(*map(F.lit, t)) for t in ATTACH])
-    good = F.filter(F.transform(known, typed), lambda e: F.exists(admissible, lambda a: (a["col1"] == e["src_type"]) & (a["col2"] == e["edge_type"]) & (a["col3"] == e["tgt_type"])) & ~denied(e))
-    return p.select(id_col, "fallback", F.explode(F.when(F.col("fallback"), parse.typed_edge_array()).otherwise(good)).alias("e")).select(id_col, "fallback", "e.*")
+
+    def ok(e):
+        return F.exists(admissible, lambda a: (a["col1"] == e["src_type"]) & (a["col2"] == e["edge_type"]) & (a["col3"] == e["tgt_type"]))
+
+    own = F.filter(F.transform(g["edges"], typed), lambda e: known(e) & ~denied(e))
+    return F.transform(own, lambda e: F.struct(e["src_type"].alias("src_type"), e["edge_type"].alias("edge_type"), e["tgt_type"].alias("tgt_type"), e["sent_idx"].alias("sent_idx"), ok(e).alias("ok")))
+
+
+def model_parsed(docs: DataFrame, answers: DataFrame, id_col: str = "doc_id", text_col: str = "text", attempts: int = 3, repairs: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """(id, fallback, src_type, edge_type, tgt_type, sent_idx) of each document's edges, as a model parsed it. answers: (id, attempt, response).
+
+    The first attempt that is a graph counts; a document without one is parsed by keywords, and that is its fallback. Of a model's
+    edges those go whose ends or types aren't in the schema, which their own sentence denies, or which connect types in a way
+    that isn't admissible. Keyword edges aren't looked at again.
+
+    repairs: (id, round, response), rounds from 1: answers to being told of inadmissible edges. While a graph has some, the next
+    round's answer takes its place, until there is none that is a graph, or rounds are over; then the column rounds says how many
+    were asked for.
+    """
+    d = answers.filter(F.col("attempt") < attempts).withColumn("g", _read(F.col("response"))).filter("g is not null")
+    first = d.groupBy(id_col).agg(F.min_by("g", "attempt").alias("g"))
+    p = parse.parsed(docs, id_col, text_col).join(first, id_col, "left").withColumn("fallback", F.col("g").isNull())
+    keep = [id_col, "fallback"]
+    if repairs is None:
+        p = p.withColumn("said", _said_edges(F.col("g")))
+    else:
+        given = repairs.filter(F.col("round").between(1, rounds)).groupBy(id_col, "round").agg(F.max("response").alias("response")).withColumn("g", _read(F.col("response")))
+        later = given.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("round", "g"))).alias("later"))
+        p = p.join(later, id_col, "left")
+        p = p.withColumn("asked", F.lit(0)).withColumn("open", ~F.col("fallback"))
+        for r in range(1, rounds + 1):
+            # A round is asked for where the graph so far has an inadmissible edge, and counts where it is a graph.
+            bad = F.col("open") & F.exists(_said_edges(F.col("g")), lambda e: ~e["ok"])
+            p = p.withColumn("bad", bad).withColumn("asked", F.col("asked") + F.col("bad").cast("int"))
+            new = F.try_element_at("later", F.lit(r))
+            p = p.withColumn("new", F.when(F.col("bad"), new)).withColumn("open", F.col("new").isNotNull()).withColumn("g", F.coalesce("new", "g")).drop("new", "bad")
+        p = p.withColumn("said", _said_edges(F.col("g"))).withColumnRenamed("asked", "rounds")
+        keep.append("rounds")
+    good = F.transform(F.filter("said", lambda e: e["ok"]), lambda e: F.struct(*[e[c].alias(c) for c in ("src_type", "edge_type", "tgt_type", "sent_idx")]))
+    return p.select(*keep, F.explode(F.when(F.col("fallback"), parse.typed_edge_array()).otherwise(good)).alias("e")).select(*keep, "e.*")
 
 
 #: Prompts of the arms that a model answers; {} is the document's request, its age and its place.
