@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .catalog import _AGAIN, _CELLS, _FACTS, _LAB, _OWN, _graph, _labelled, _n, _rows, _sql, query, table
+from .catalog import _AGAIN, _FACTS, _LAB, _OWN, _graph, _labelled, _n, _rows, _sql, query, table
 from .functions import text as T
 from .operators import local, parse, realize, rewrite, sampling, specs, stats
 from .operators import ruleset as RS
@@ -116,6 +116,17 @@ def _(spark, sf):
     return logs.read_events(spark, path).groupBy("kind", "at").agg(F.count(F.get_json_object("detail", "$.event_id")).alias("n"))
 
 
+@query("results_written", """
+select 'by source' as name, coalesce(source, 'none') as row, count(*) as n, sum(length(text))::bigint as chars from documents group by all
+union all select 'by language', coalesce(lang, 'none'), count(*), sum(length(text))::bigint from documents group by all""")
+def _(spark, sf):
+    """Two tables of results, written as JSON lines below one folder and read again by name."""
+    path, d = _folder(spark, "results"), table(spark, sf, "documents")
+    tables = {name: d.groupBy(F.coalesce(c, F.lit("none")).alias("row")).agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars")) for name, c in (("by source", "source"), ("by language", "lang"))}
+    logs.write_results(tables, path)
+    return files.union_all([spark.read.schema(t.schema).json(f"{path}/{name}").select(F.lit(name).alias("name"), "row", "n", "chars") for name, t in tables.items()])
+
+
 @query("results_rendered", "select rpad(coalesce(source, '-'), 12, ' ') || ' | ' || lpad(n::varchar, 8, ' ') as line from (select source, count(*) as n from documents group by 1)")
 def _(spark, sf):
     return logs.rendered(table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n")), {"source": 12, "n": 8})
