@@ -719,3 +719,28 @@ def test_html_odd_rows(spark):
     d = spark.createDataFrame(rows, "page_id bigint, url string, html string").select("*", *[F.lit("x").alias(c) for c in ("text", "n_chars", "__html")])
     got = html_extract.extract_pages(d).collect()
     assert len(got) == 5 and sum(r["n_chars"] > 0 for r in got) == 3 and {r["n_chars"] for r in got if r["page_id"] in (None, 2)} == {0}
+
+
+def test_gradient_of_the_language_model():
+    """By finite differences of the likelihood, which is summed over all paths."""
+    rng = np.random.default_rng(5)
+    n, length, k = 3, 4, 3
+    emit, trans, start = rng.normal(size=(n, length, k)), rng.normal(size=(k, k)), rng.normal(size=k)
+    gold = rng.integers(k, size=(n, length))
+
+    def loss(emit, trans, start):
+        def score(r, path):
+            return start[path[0]] + sum(emit[r, t, y] for t, y in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:], strict=False))
+
+        paths = [[code // k**t % k for t in range(length)] for code in range(k**length)]
+        return sum(np.log(sum(np.exp(score(r, p)) for p in paths)) - score(r, gold[r].tolist()) for r in range(n))
+
+    got = language_id._gradient(emit, gold, trans, start)
+    for place, (value, grad) in enumerate(zip((emit, trans, start), got, strict=True)):
+        for at in np.ndindex(value.shape):
+            moved = [v.copy() for v in (emit, trans, start)]
+            ends = []
+            for sign in (1, -1):
+                moved[place][at] = value[at] + sign * 1e-5
+                ends.append(loss(*moved))
+            assert abs((ends[0] - ends[1]) / 2e-5 - grad[at]) < 1e-5
