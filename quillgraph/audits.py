@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .catalog import _AGAIN, _FACTS, _LAB, _OWN, _graph, _labelled, _n, _rows, _sql, query, table
+from .catalog import _AGAIN, _ATTACH_SQL, _FACTS, _LAB, _OWN, _graph, _labelled, _n, _rows, _sql, query, table
 from .functions import text as T
 from .operators import local, parse, realize, rewrite, sampling, specs, stats
 from .operators import ruleset as RS
@@ -142,6 +142,21 @@ def _long(c: str) -> F.Column:
     return F.col(c).cast("long").alias(c)
 
 
+#: A schema file, as a control table comes.
+_SCHEMA = "# what may connect what\nattach:\n" + "".join(f"  - [{', '.join(t)}]  # {k}\n" for k, t in enumerate(ATTACH)) + "retired:\n  - [Operator, permits, DataProcessing]\n  # - [DataSubject, grants, DataProcessing]\n"
+
+
+@query("schema_conformance", f", typed as (select * from edges union all select doc_id, 'Operator', 'permits', 'DataProcessing', sent_idx from say where operates and doc_id in (select doc_id from g where bb_op)) select case when (src_type, edge_type, tgt_type) in (('Operator', 'permits', 'DataProcessing')) then 'retired' when (src_type, edge_type, tgt_type) in ({_ATTACH_SQL}) then 'attach' end as section, src_type, edge_type, tgt_type, count(*) as n from typed group by all", True)
+def _(spark, sf):
+    """All edges of all notices, with the permits extension, by the section of the schema file that has their triple."""
+    path = _folder(spark, "schema")
+    spark.createDataFrame([(_SCHEMA,)], "value string").coalesce(1).write.text(path)
+    held = files.read_triples(spark, path).drop("place")
+    p = parse.parsed(_n(spark, sf), permits=True).select("doc_id", F.explode(parse.typed_edge_array(True)).alias("e")).select("doc_id", "e.*")
+    counted = p.groupBy("src_type", "edge_type", "tgt_type").agg(F.count("*").alias("n"))
+    return counted.join(held, ["src_type", "edge_type", "tgt_type"], "left").select("section", "src_type", "edge_type", "tgt_type", "n")
+
+
 # ---- scalar functions
 
 

@@ -145,6 +145,16 @@ def triples(text: str) -> list[tuple[str, str, str]]:
     return [tuple(m) for m in re.findall(r"\[\s*(\w+)\s*,\s*(\w+)\s*,\s*(\w+)\s*\]", re.sub(r"(?m)^\s*#.*$", "", text))]
 
 
+def read_triples(spark: SparkSession, path: str) -> DataFrame:
+    """(section, place, src_type, edge_type, tgt_type) of the `[a, b, c]` lists in schema files, by the key that they stand under and
+    their place in it; comments are passed over. Schema files are control tables: each is read whole."""
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"(?m)#.*$", "").alias("t"))
+    parts = F.filter(F.split("t", r"(?m)^(?=\w+\s*:)"), lambda x: x.rlike(r"^\w+\s*:"))
+    d = whole.select(F.explode(parts).alias("part")).select(F.regexp_extract("part", r"^(\w+)", 1).alias("section"), F.posexplode(F.regexp_extract_all("part", F.lit(r"\[\s*\w+\s*,\s*\w+\s*,\s*\w+\s*\]"), F.lit(0))).alias("place", "list"))
+    names = F.regexp_extract_all("list", F.lit(r"\w+"), F.lit(0))
+    return d.select("section", "place", *[F.get(names, k).alias(c) for k, c in enumerate(("src_type", "edge_type", "tgt_type"))])
+
+
 def completions(prompts: DataFrame, answered: DataFrame) -> DataFrame:
     """Model answers are a table by prompt hash: prompts with their response, null where none is on record."""
     return prompts.withColumn("prompt_hash", F.sha2("prompt", 256)).join(answered, "prompt_hash", "left")
