@@ -86,6 +86,17 @@ def _(spark, sf):
     return files.prompt_table(d, keep=["conv_id"])
 
 
+@query("text_files_read", """
+select k || item_id as source, case k when 'gdpr8_' then 'EU' when 'ccpa_' then 'US-CA' when 'uk_aadc_' then 'UK' else 'UNKNOWN' end as jurisdiction, md5(text || chr(10)) as digest
+from (select item_id, text, (['gdpr8_', 'ccpa_', 'uk_aadc_', 'other_'])[(item_id % 4 + 1)::int] as k from benchmark)""")
+def _(spark, sf):
+    """A folder of text files, one for each item, read whole by name."""
+    path, kinds = _folder(spark, "texts"), F.array(*map(F.lit, ("gdpr8_", "ccpa_", "uk_aadc_", "other_")))
+    d = table(spark, sf, "benchmark").select(F.concat(F.element_at(kinds, (F.col("item_id") % 4 + 1).cast("int")), F.col("item_id").cast("string")).alias("source"), "text")
+    d.write.partitionBy("source").text(path)
+    return files.read_texts(spark, path).select("source", "jurisdiction", F.md5("text").alias("digest"))
+
+
 @query("frozen_table", "select item_id, md5(text) as digest from benchmark")
 def _(spark, sf):
     """A copy of a table, which is read only if it has the digest that its original had."""

@@ -19,10 +19,11 @@ NONE_TOKENS = ("none", "no", "n/a", "na", "-", "0", "[]")
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """(source, jurisdiction, text) of every .txt file, whole, by name."""
+    """(source, jurisdiction, text) of every .txt file, whole, by name: the file's, or that of its folder where folders are named
+    source=..., as a table that is partitioned by source is written."""
     raw = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "")
-    return raw.select(name.alias("source"), T.jurisdiction_of(name).alias("jurisdiction"), F.col("value").alias("text")).orderBy("source")
+    name = F.col("source") if "source" in raw.columns else F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "")
+    return raw.select(name.cast("string").alias("source"), T.jurisdiction_of(name).alias("jurisdiction"), F.col("value").alias("text")).orderBy("source")
 
 
 def provisions(texts: DataFrame, article: tuple[str, str] = ("Article 8", "Article 9")) -> DataFrame:
