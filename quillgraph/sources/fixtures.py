@@ -2,45 +2,101 @@
 
 from __future__ import annotations
 
-from ..plans.rules import Pattern, pattern
+from ..plans.rules import Pattern
 
-#: Id, text, node types, edges (`source label target`, by position).
-_D, _C, _P = "DataSubject", "ConsentProcess", "DataProcessing"
+#: Id, text, types of the nodes, edges (source, label, target, by place).
 GOLD = [
-    ("g00", "We collect your email address to send you updates. By signing up, you consent to this processing.", [_D, _C, _P], ["0 subjectOf 1", "1 grants 2"]),
-    ("g01", "Where the child is below the age of sixteen, processing is lawful only with consent given by the holder of parental responsibility.", [_D, _C, _P, "ParentalConsent"], ["0 subjectOf 1", "1 grants 2", "1 requires 3"]),
-    ("g02", "The operator must obtain verifiable parental consent before collecting personal information from a child. Consent may be withdrawn at any time.", [_D, _C, _P, "ParentalConsent", "Withdrawal"], ["0 subjectOf 1", "1 grants 2", "1 requires 3", "1 permits 4"]),
-    ("g03", "We may sell your personal information to selected third-party advertising partners for their own marketing purposes.", ["Operator", "ThirdParty"], ["0 sellsTo 1"]),
-    ("g04", "We collect your email to send updates and we may sell your personal information to advertising partners.", [_D, _C, _P, "Operator", "ThirdParty"], ["0 subjectOf 1", "1 grants 2", "3 sellsTo 4"]),
-    ("g05", "Your data will be stored securely. We retain it indefinitely.", ["RetentionClause", "DurationIndefinite"], ["0 hasDuration 1"]),
-    ("g06", "Personal information is retained for 12 months and then deleted.", ["RetentionClause", "DurationBounded"], ["0 hasDuration 1"]),
-    ("g07", "By signing up you consent to processing, and you may withdraw your consent at any time.", [_D, _C, _P, "Withdrawal"], ["0 subjectOf 1", "1 grants 2", "1 permits 3"]),
-    ("g08", "Where the user is under the age of 13, the holder of parental responsibility must consent, data is retained indefinitely, and the operator may sell personal information to partners.", [_D, _C, _P, "ParentalConsent", "RetentionClause", "DurationIndefinite", "Operator", "ThirdParty"], ["0 subjectOf 1", "1 grants 2", "1 requires 3", "4 hasDuration 5", "6 sellsTo 7"]),
-    ("g09", "This notice explains our cookie categories and how to manage browser preferences.", [], []),
-    ("g10", "We collect personal information to provide the service. You consent to this processing when you create an account. We do not sell your personal information.", [_D, _C, _P], ["0 subjectOf 1", "1 grants 2"]),
-    ("g11", "Consent from the parent is required, data is kept for 24 months, and consent can be withdrawn.", [_D, _C, _P, "ParentalConsent", "Withdrawal", "RetentionClause", "DurationBounded"], ["0 subjectOf 1", "1 grants 2", "1 requires 3", "1 permits 4", "5 hasDuration 6"]),
+    (
+        "g00",
+        "We collect your email address to send you updates. By signing up, you consent to this processing.",
+        ["DataSubject", "ConsentProcess", "DataProcessing"],
+        [(0, "subjectOf", 1), (1, "grants", 2)],
+    ),
+    (
+        "g01",
+        "Where the child is below the age of sixteen, processing is lawful only with consent given by the holder of parental responsibility.",
+        ["DataSubject", "ConsentProcess", "DataProcessing", "ParentalConsent"],
+        [(0, "subjectOf", 1), (1, "grants", 2), (1, "requires", 3)],
+    ),
+    (
+        "g02",
+        "The operator must obtain verifiable parental consent before collecting personal information from a child. Consent may be withdrawn at any time.",
+        ["DataSubject", "ConsentProcess", "DataProcessing", "ParentalConsent", "Withdrawal"],
+        [(0, "subjectOf", 1), (1, "grants", 2), (1, "requires", 3), (1, "permits", 4)],
+    ),
+    (
+        "g03",
+        "We may sell your personal information to selected third-party advertising partners for their own marketing purposes.",
+        ["Operator", "ThirdParty"],
+        [(0, "sellsTo", 1)],
+    ),
+    (
+        "g04",
+        "We collect your email to send updates and we may sell your personal information to advertising partners.",
+        ["DataSubject", "ConsentProcess", "DataProcessing", "Operator", "ThirdParty"],
+        [(0, "subjectOf", 1), (1, "grants", 2), (3, "sellsTo", 4)],
+    ),
+    (
+        "g05",
+        "Your data will be stored securely. We retain it indefinitely.",
+        ["RetentionClause", "DurationIndefinite"],
+        [(0, "hasDuration", 1)],
+    ),
+    (
+        "g06",
+        "Personal information is retained for 12 months and then deleted.",
+        ["RetentionClause", "DurationBounded"],
+        [(0, "hasDuration", 1)],
+    ),
+    (
+        "g07",
+        "By signing up you consent to processing, and you may withdraw your consent at any time.",
+        ["DataSubject", "ConsentProcess", "DataProcessing", "Withdrawal"],
+        [(0, "subjectOf", 1), (1, "grants", 2), (1, "permits", 3)],
+    ),
+    (
+        "g08",
+        "Where the user is under the age of 13, the holder of parental responsibility must consent, data is retained indefinitely, and the operator may sell personal information to partners.",
+        ["DataSubject", "ConsentProcess", "DataProcessing", "ParentalConsent", "RetentionClause", "DurationIndefinite", "Operator", "ThirdParty"],
+        [(0, "subjectOf", 1), (1, "grants", 2), (1, "requires", 3), (4, "hasDuration", 5), (6, "sellsTo", 7)],
+    ),
+    (
+        "g09",
+        "This notice explains our cookie categories and how to manage browser preferences.",
+        [],
+        [],
+    ),
+    (
+        "g10",
+        "We collect personal information to provide the service. You consent to this processing when you create an account. We do not sell your personal information.",
+        ["DataSubject", "ConsentProcess", "DataProcessing"],
+        [(0, "subjectOf", 1), (1, "grants", 2)],
+    ),
+    (
+        "g11",
+        "Consent from the parent is required, data is kept for 24 months, and consent can be withdrawn.",
+        ["DataSubject", "ConsentProcess", "DataProcessing", "ParentalConsent", "Withdrawal", "RetentionClause", "DurationBounded"],
+        [(0, "subjectOf", 1), (1, "grants", 2), (1, "requires", 3), (1, "permits", 4), (5, "hasDuration", 6)],
+    ),
 ]
 
-_BACK = "DS:DataSubject CP:ConsentProcess"
-_SELL = "OP:Operator TP:ThirdParty"
-_KEEP = "RC:RetentionClause DI:DurationIndefinite"
-#: Id, context, graph, the rules that match at first, and those that the full pipeline fires.
+#: Id, context, nodes, edges (source, target, type), the rules that match at first, and how many the full pipeline fires.
 HOSTS: list[tuple[str, tuple[int, str], Pattern, set[str], int]] = [
-    ("h001", (9, "EU"), pattern(f"{_BACK}; a:DS>CP:subjectOf"), {"r_PC", "r_WD"}, 2),
-    ("h002", (15, "EU"), pattern(f"{_BACK}; a:DS>CP:subjectOf"), {"r_PC", "r_WD"}, 2),
-    ("h003", (21, "EU"), pattern("CP:ConsentProcess;"), {"r_WD"}, 1),
-    ("h004", (21, "EU"), pattern(f"{_KEEP}; a:RC>DI:hasDuration"), {"r_RET"}, 2),
-    ("h005", (9, "EU"), pattern(f"{_BACK} {_SELL}; a:DS>CP:subjectOf b:OP>TP:sellsTo"), {"r_PC", "r_WD", "r_SALE"}, 3),
-    ("h006", (9, "US"), pattern(f"{_SELL}; a:OP>TP:sellsTo"), {"r_SALE"}, 1),
-    ("h007", (15, "EU"), pattern(f"{_BACK} {_KEEP}; a:DS>CP:subjectOf b:RC>DI:hasDuration"), {"r_PC", "r_WD", "r_RET"}, 4),
-    ("h008", (15, "US"), pattern(f"{_SELL}; a:OP>TP:sellsTo"), {"r_SALE"}, 1),
-    ("h009", (9, "EU"), pattern(f"{_BACK} PC:ParentalConsent; a:DS>CP:subjectOf b:CP>PC:requires"), {"r_WD"}, 1),
-    ("h010", (15, "EU"), pattern(f"{_BACK} PC:ParentalConsent W:Withdrawal {_KEEP}; a:DS>CP:subjectOf b:CP>PC:requires c:CP>W:permits d:RC>DI:hasDuration"), {"r_RET"}, 2),
-    ("probe_001", (9, "EU"), pattern("A:TagA;"), {"r_FLIP1"}, 1),
-    ("probe_002", (9, "UK"), pattern(f"{_KEEP}; a:RC>DI:hasDuration"), {"r_RET_BAD"}, 0),
-    ("probe_003", (15, "UK"), pattern(f"{_KEEP}; a:RC>DI:hasDuration"), {"r_RET_BAD"}, 0),
-    ("probe_004", (18, "UK"), pattern(f"{_KEEP}; a:RC>DI:hasDuration"), {"r_RET_BAD"}, 0),
-    ("probe_005", (21, "UK"), pattern(f"{_KEEP}; a:RC>DI:hasDuration"), {"r_RET_BAD"}, 0),
+    ("h001", (9, "EU"), Pattern({"DS": "DataSubject", "CP": "ConsentProcess"}, {"a": ("DS", "CP", "subjectOf")}), {"r_PC", "r_WD"}, 2),
+    ("h002", (15, "EU"), Pattern({"DS": "DataSubject", "CP": "ConsentProcess"}, {"a": ("DS", "CP", "subjectOf")}), {"r_PC", "r_WD"}, 2),
+    ("h003", (21, "EU"), Pattern({"CP": "ConsentProcess"}, {}), {"r_WD"}, 1),
+    ("h004", (21, "EU"), Pattern({"RC": "RetentionClause", "DI": "DurationIndefinite"}, {"a": ("RC", "DI", "hasDuration")}), {"r_RET"}, 2),
+    ("h005", (9, "EU"), Pattern({"DS": "DataSubject", "CP": "ConsentProcess", "OP": "Operator", "TP": "ThirdParty"}, {"a": ("DS", "CP", "subjectOf"), "b": ("OP", "TP", "sellsTo")}), {"r_PC", "r_SALE", "r_WD"}, 3),
+    ("h006", (9, "US"), Pattern({"OP": "Operator", "TP": "ThirdParty"}, {"a": ("OP", "TP", "sellsTo")}), {"r_SALE"}, 1),
+    ("h007", (15, "EU"), Pattern({"DS": "DataSubject", "CP": "ConsentProcess", "RC": "RetentionClause", "DI": "DurationIndefinite"}, {"a": ("DS", "CP", "subjectOf"), "b": ("RC", "DI", "hasDuration")}), {"r_PC", "r_RET", "r_WD"}, 4),
+    ("h008", (15, "US"), Pattern({"OP": "Operator", "TP": "ThirdParty"}, {"a": ("OP", "TP", "sellsTo")}), {"r_SALE"}, 1),
+    ("h009", (9, "EU"), Pattern({"DS": "DataSubject", "CP": "ConsentProcess", "PC": "ParentalConsent"}, {"a": ("DS", "CP", "subjectOf"), "b": ("CP", "PC", "requires")}), {"r_WD"}, 1),
+    ("h010", (15, "EU"), Pattern({"DS": "DataSubject", "CP": "ConsentProcess", "PC": "ParentalConsent", "W": "Withdrawal", "RC": "RetentionClause", "DI": "DurationIndefinite"}, {"a": ("DS", "CP", "subjectOf"), "b": ("CP", "PC", "requires"), "c": ("CP", "W", "permits"), "d": ("RC", "DI", "hasDuration")}), {"r_RET"}, 2),
+    ("probe_001", (9, "EU"), Pattern({"A": "TagA"}, {}), {"r_FLIP1"}, 1),
+    ("probe_002", (9, "UK"), Pattern({"RC": "RetentionClause", "DI": "DurationIndefinite"}, {"a": ("RC", "DI", "hasDuration")}), {"r_RET_BAD"}, 0),
+    ("probe_003", (15, "UK"), Pattern({"RC": "RetentionClause", "DI": "DurationIndefinite"}, {"a": ("RC", "DI", "hasDuration")}), {"r_RET_BAD"}, 0),
+    ("probe_004", (18, "UK"), Pattern({"RC": "RetentionClause", "DI": "DurationIndefinite"}, {"a": ("RC", "DI", "hasDuration")}), {"r_RET_BAD"}, 0),
+    ("probe_005", (21, "UK"), Pattern({"RC": "RetentionClause", "DI": "DurationIndefinite"}, {"a": ("RC", "DI", "hasDuration")}), {"r_RET_BAD"}, 0),
 ]
 
 
@@ -61,4 +117,5 @@ def host_tables(spark):
 
 
 def gold_table(spark):
-    return spark.createDataFrame(GOLD, "id string, text string, g_nodes array<string>, g_edges array<string>")
+    rows = [(k, text, nodes, [f"{s} {label} {t}" for s, label, t in edges]) for k, text, nodes, edges in GOLD]
+    return spark.createDataFrame(rows, "id string, text string, g_nodes array<string>, g_edges array<string>")
