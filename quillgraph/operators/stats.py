@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .rewrite import kept
 
@@ -34,20 +39,108 @@ def bounds(draws: int, low: float = 0.025, high: float = 0.975) -> tuple[int, in
     return int(low * draws), min(draws - 1, int(high * draws) - (1 if draws >= 2000 else 0))
 
 
+#: Places that share a row of numbers, draws and groups that are made in one go.
+BLOCK, DRAWS, GROUPS = 1 << 16, 50, 256
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+
+
+def _numbered(pos: np.ndarray, at: int) -> list:
+    """The 16 words of MD5's one block for numbers of equally many digits that stand from byte `at` on: what is the same in all is one
+    number."""
+    n = len(str(int(pos[0])))
+    held, left = np.zeros((len(pos), 64), dtype=np.uint8), pos
+    for i in reversed(range(n)):
+        left, digit = np.divmod(left, 10)
+        held[:, at + i] = digit + 48
+    held[:, at + n] = 0x80
+    words = held.view("<u4")
+    words[:, 14] = 8 * (at + n)
+    return [np.ascontiguousarray(words[:, j]) if at // 4 <= j <= (at + n) // 4 else int(words[0, j]) for j in range(16)]
+
+
+def _md5_heads(prefix: bytes, words: list) -> np.ndarray:
+    """The first 32 bits of the MD5 of the prefix with each number of _numbered after it."""
+    lead = np.frombuffer(prefix.ljust(64, b"\0"), dtype="<u4").tolist()
+    words = [w | p if isinstance(w, int) else w | np.uint32(p) if p else w for w, p in zip(words, lead, strict=True)]
+    size = next(len(w) for w in words if not isinstance(w, int))
+    a, b, c, d = (np.full(size, x, dtype=np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    f, t = np.empty_like(a), np.empty_like(a)
+    for i in range(61):  # the last three steps don't change the first word
+        if i < 16:
+            j = i
+            np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
+        elif i < 32:
+            j = (5 * i + 1) % 16
+            np.bitwise_xor(b, c, out=f), np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
+        elif i < 48:
+            j = (3 * i + 5) % 16
+            np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
+        else:
+            j = (7 * i) % 16
+            np.invert(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
+        one = isinstance(words[j], int)
+        np.add(f, a, out=f), np.add(f, np.uint32((_SINES[i] + (words[j] if one else 0)) & 0xFFFFFFFF), out=f)
+        if not one:
+            np.add(f, words[j], out=f)
+        turn = _TURNS[i // 16][i % 4]
+        np.left_shift(f, np.uint32(turn), out=t), np.right_shift(f, np.uint32(32 - turn), out=f), np.bitwise_or(f, t, out=f)
+        np.add(f, b, out=a)
+        a, b, c, d = d, a, b, c
+    # After step 60 the first word stands in b.
+    return np.add(b, np.uint32(0x67452301), out=b).byteswap()
+
+
+def hash_numbers(seed, draws: range, low: int, high: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(draw, first place, numbers) of the places from low to below high, in pieces: those of hash_draw before the remainder is taken."""
+    sizes = sorted({low, high, *range(low, high, 1 << 15), *(10**e for e in range(1, 19) if low < 10**e < high)})
+    for start, end in itertools.pairwise(sizes):
+        pos, by_length = np.arange(start, end), {}
+        for b in draws:
+            prefix = f"{seed}|{b}|".encode()
+            if len(prefix) > 36:
+                raise ValueError("the seed is too long")
+            if len(prefix) not in by_length:
+                by_length[len(prefix)] = _numbered(pos, len(prefix))
+            yield b, start, _md5_heads(prefix, by_length[len(prefix)])
+
+
 def bootstrap_rate(items: DataFrame, group: str, hit: Column, draws: int = 2000, seed=0, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """(group, n, rate, lo, hi): a percentile bootstrap of a rate; bounds are sorted draws at int(q * draws).
 
-    Of 0/1 items only their number and the number of hits matter, so draws are made without joining items: each task
-    makes its own and adds them up, and what is shuffled is one row for each group, draw and task.
+    Of 0/1 items only their number and the number of hits matter, so draws are made without joining items. A draw's number at a
+    place is the same in all groups but for the remainder: it is made once for GROUPS groups that reach as far, in arrays, for
+    a block of places and some draws in a row of work, and rows are dealt evenly over tasks.
     """
-    sizes = items.groupBy(group).agg(F.count("*").alias("n"), F.sum(hit.cast("long")).alias("k"))
-    block = F.lit(1 << 14).cast("long")  # places are made in blocks, so that no row holds them all
-    made = sizes.select(group, "n", "k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-    made = made.withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, block)))
-    made = made.select(group, "n", "k", "b", F.explode(F.sequence("low", F.least(F.col("low") + block, "n") - 1)).alias("pos"))
-    rates = made.groupBy(group, "n", "k", "b").agg(F.avg((hash_draw(F.col("b"), F.col("pos"), F.col("n"), seed) < F.col("k")).cast("double")).alias("r"))
-    held = rates.groupBy(group, "n", "k").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    return held.select(group, "n", F.round(F.col("k") / F.col("n"), 6).alias("rate"), F.round(F.element_at("rs", bounds(draws, low, high)[0] + 1), 6).alias("lo"), F.round(F.element_at("rs", bounds(draws, low, high)[1] + 1), 6).alias("hi"))
+    sizes = kept(items.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n"), F.sum(hit.cast("long")).alias("k")), "sizes")
+    known = sizes.filter("k is not null")
+    n_groups, longest = known.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    lists, blocks = max(1, -(-n_groups // GROUPS)), max(1, -(-longest // BLOCK))
+    rows = lists * blocks * -(-draws // DRAWS)
+    far = known.withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(BLOCK).cast("long"))))
+    far = far.groupBy("low", F.pmod(F.xxhash64("g"), F.lit(lists)).alias("list")).agg(F.collect_list(F.struct("g", "n", "k")).alias("groups"))
+    work = far.select("low", "groups", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(DRAWS))).alias("b")).repartition(min(rows, max(256, rows // 16)))
+
+    def count(batches):
+        for batch in batches:
+            for i, (start, b) in enumerate(zip(batch.column("low").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+                groups = batch.column("groups")[i].values
+                ns, ks = (groups.field(c).to_numpy() for c in ("n", "k"))
+                hits = np.zeros((min(DRAWS, draws - b), len(groups)), dtype=np.int64)
+                for draw, at, h in hash_numbers(seed, range(b, b + len(hits)), start, int(min(start + BLOCK, ns.max()))):
+                    for j in np.flatnonzero(ns > at):
+                        own = h[: ns[j] - at]
+                        hits[draw - b, j] += np.count_nonzero((own % np.uint32(ns[j]) if ns[j] < 1 << 32 else own) < ks[j])
+                every = pa.array(np.tile(np.arange(len(groups)), len(hits)))
+                of = [groups.field(c).take(every) for c in ("g", "n", "k")]
+                yield pa.RecordBatch.from_arrays([*of, pa.array(np.repeat(np.arange(b, b + len(hits), dtype=np.int32), len(groups))), pa.array(hits.ravel())], ["g", "n", "k", "b", "hits"])
+
+    schema = StructType([sizes.schema["g"], *(StructField(c, t) for c, t in (("n", LongType()), ("k", LongType()), ("b", IntegerType()), ("hits", LongType())))])
+    rates = work.mapInArrow(count, schema).groupBy("g", "n", "k", "b").agg((F.sum("hits") / F.col("n")).alias("r"))
+    held = rates.groupBy("g", "n", "k").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    held = held.unionByName(sizes.filter("k is null").withColumn("rs", F.lit(None).cast("array<double>")))
+    at = [F.round(F.element_at("rs", k + 1), 6) for k in bounds(draws, low, high)]
+    return held.select(F.col("g").alias(group), "n", F.round(F.col("k") / F.col("n"), 6).alias("rate"), at[0].alias("lo"), at[1].alias("hi"))
 
 
 def paired_cluster_bootstrap(clusters: DataFrame, draws: int = 5000, seed=2026) -> DataFrame:

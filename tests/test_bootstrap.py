@@ -49,3 +49,32 @@ def test_intervals(spark):
     new = stats.one_pass_bootstrap(hits, "g", "y", None, 1000).first()
     assert abs(old["lo"] - new["lo"]) < 0.008 and abs(old["hi"] - new["hi"]) < 0.008 and old["rate"] == new["mean"]
     assert stats.one_pass_bootstrap(d.limit(0), "g", "x").count() == 0
+
+
+def test_hash_bootstrap_by_plain_digests(spark, monkeypatch):
+    """Groups whose places cross blocks and lengths of numbers, one without a name, one of many and one without a known item."""
+    import hashlib
+
+    rows = [("a", i % 3 == 0) for i in range(1234)] + [("b", True)] * 7 + [(None, i % 2 == 0) for i in range(120)] + [("c", None)] * 3 + [(f"s{i}", i % 2 == 0) for i in range(300)]
+    monkeypatch.setattr(stats, "BLOCK", 500)
+    d = spark.createDataFrame(rows, "g string, hit boolean")
+    got = {r["g"]: tuple(r)[1:] for r in stats.bootstrap_rate(d, "g", F.col("hit"), draws=70, seed=5).collect()}
+
+    def plain(n, k):
+        rates = sorted(sum(int(hashlib.md5(f"5|{b}|{pos}".encode()).hexdigest()[:8], 16) % n < k for pos in range(n)) / n for b in range(70))
+        return (n, round(k / n, 6), *(round(rates[i], 6) for i in stats.bounds(70)))
+
+    assert len(got) == 304 and got["c"] == (3, None, None, None)
+    assert got["a"] == plain(1234, 412) and got["b"] == plain(7, 7) and got[None] == plain(120, 60)
+    assert got["s4"] == plain(1, 1) and got["s5"] == plain(1, 0)
+
+
+def test_hash_bootstrap_shares_numbers(spark):
+    """Twelve groups of 30000 under 2000 draws: a number for each group's place would be 720 million digests."""
+    import time
+
+    d = spark.range(12 * 30_000).select((F.col("id") % 12).alias("g"), (F.col("id") % 5 == 0).alias("hit"))
+    began = time.time()
+    got = stats.bootstrap_rate(d, "g", F.col("hit")).collect()
+    assert len(got) == 12 and all(r["lo"] < r["rate"] < r["hi"] for r in got)
+    assert time.time() - began < 120
