@@ -1,12 +1,12 @@
-"""A stream of notices: each micro-batch is parsed, matched and appended; usage is summed in a sliding window."""
+"""A stream of notices: each micro-batch is parsed and matched within its rows, and appended; usage is summed in a sliding window."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import parse
-from ..plans.matcher import one_step
+from ..operators import local
+from ..operators.rewrite import kept
 from ..plans.rules import Rule
 
 
@@ -14,8 +14,10 @@ def flag_stream(notices: DataFrame, rules: list[Rule], sink: str, checkpoint: st
     """notices: a stream of (doc_id, text, age, jurisdiction). Appends (doc_id, rule, matches) to Parquet, once for each batch."""
 
     def batch(df: DataFrame, epoch: int) -> None:
-        nodes, edges = parse.graph_of(df)
-        found = one_step(rules, nodes, edges, df.select("doc_id", "age", "jurisdiction")).groupBy("doc_id", "rule").agg(F.count("*").alias("matches"))
+        # The graphs are written out, so that what reads them several times doesn't parse again.
+        rows = kept(local.graph_rows(df).select("doc_id", "age", "jurisdiction", "nodes", "edges"), "graphs")
+        names = F.array(*[F.lit(r.name) for r in rules])
+        found = rows.select("doc_id", F.explode(F.transform(local.all_steps(rules), lambda m: m["rule_ord"])).alias("ord")).groupBy("doc_id", F.element_at(names, F.col("ord") + 1).alias("rule")).agg(F.count("*").alias("matches"))
         # A batch that is run again overwrites its own folder.
         found.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 

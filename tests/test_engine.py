@@ -192,3 +192,26 @@ def test_stream(spark, tmp_path):
     nodes, edges = parse.graph_of(n)
     want = one_step(list(LIBRARY), nodes, edges, n).groupBy("doc_id", "rule").count().count()
     assert spark.read.parquet(str(tmp_path / "out")).count() == want
+
+
+def test_stream_joins_nothing(spark, tmp_path, monkeypatch):
+    """A batch is parsed once and matched within its rows; a table that is one file can be streamed by a pattern."""
+    from collections import Counter
+
+    from quillgraph.catalog import QUERIES
+    from quillgraph.streaming.flags import flag_stream
+
+    docs = spark.createDataFrame([(i, "") for i in range(40)], "doc_id bigint, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "made"))
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    want = Counter((r["doc_id"], r["rule"]) for r in one_step(list(LIBRARY), *parse.graph_of(notices(docs)), notices(docs)).collect())
+
+    def none(*_):
+        raise AssertionError("a join")
+
+    monkeypatch.setattr(type(docs), "join", none)
+    n = notices(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "documents[.]parquet")))
+    flag_stream(n, list(LIBRARY), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert {(r["doc_id"], r["rule"]): r["matches"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == dict(want)
+    found = {r["rule"]: (r["n_docs"], r["n"]) for r in QUERIES["flag_stream"](spark, str(tmp_path)).collect()}
+    assert found == {k: (len([1 for d in want if d[1] == k]), sum(v for d, v in want.items() if d[1] == k)) for k in {d[1] for d in want}}
