@@ -7,15 +7,16 @@ budget can never be admitted: it is given out at its turn without a time, and co
 
 State of a key: the calls that may still be overtaken, the costs in the window, and the last time of admission, in RocksDB. An
 event-time timer stands at the earliest of the calls: once the watermark has passed it no call can come ahead of it, its time of
-admission is settled, and it leaves the stream with it. So the state holds what came within the lateness that is allowed and the
-costs of a window, however long calls are delayed. A restart goes on from the checkpoint. A key's calls are a queue by nature:
-keys are dealt over tasks, one key's calls are not.
+admission is settled, and it leaves the stream with it. So the state holds what came within the lateness that is allowed and in the last batch, and
+the costs of a window, however long calls are delayed: a table that is replayed must come in batches, in the order of its times.
+A restart goes on from the checkpoint. A key's calls are a queue by nature: keys are dealt over tasks, one key's calls are not.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 CALLS = "key string, id bigint, at bigint, cost double"
 ADMITTED = "key string, id bigint, at bigint, cost double, admitted_at bigint"
+CALL, PIECE = np.dtype([("at", "<i8"), ("id", "<i8"), ("cost", "<f8")]), 10_000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -42,40 +44,52 @@ class _Queue(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at bigint, id bigint, cost double")
+        self.waiting = handle.getListState("waiting", "calls binary")  # in arrays of CALL, PIECE at most
         self.held = handle.getListState("held", "at bigint, cost double")
         self.last = handle.getValueState("last", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(r.at), int(r.id), float(r.cost)) for part in rows for r in part.itertuples()]
-        yield from self._go_on(key, timerValues.getCurrentWatermarkInMs(), sorted(self._all(self.waiting) + new))
+        new = []
+        for part in rows:
+            calls = np.empty(len(part), dtype=CALL)
+            for name in CALL.names:
+                calls[name] = part[name]
+            new.append(calls)
+        yield from self._go_on(key, timerValues.getCurrentWatermarkInMs(), self._calls(new))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._go_on(key, max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()), sorted(self._all(self.waiting)))
+        yield from self._go_on(key, max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()), self._calls([]))
 
     def _all(self, state) -> list[tuple]:
         return [tuple(x) for x in state.get()] if state.exists() else []
 
-    def _go_on(self, key, now_ms: int, waiting: list[tuple[int, int, float]]) -> Iterator[pd.DataFrame]:
+    def _calls(self, new: list[np.ndarray]) -> np.ndarray:
+        """The calls that wait and the new ones, in the order in which they go."""
+        calls = np.concatenate([np.empty(0, dtype=CALL), *(np.frombuffer(x[0], dtype=CALL) for x in self._all(self.waiting)), *new])
+        return calls[np.lexsort((calls["cost"], calls["id"], calls["at"]))]
+
+    def _go_on(self, key, now_ms: int, waiting: np.ndarray) -> Iterator[pd.DataFrame]:
         """Gives out the calls that nothing can overtake, and sets a timer at the next."""
-        now, out, done = now_ms * 1000, [], 0
+        done = int(np.searchsorted(waiting["at"], now_ms * 1000, side="right"))
         held, last = self._all(self.held), int(self.last.get()[0]) if self.last.exists() else -(1 << 62)
-        for at, id_, cost in waiting:
-            if at > now:
-                self.handle.registerTimer(-(-at // 1000))
-                break
-            over = cost > self.budget or self.rate == 0
-            last = max(at, last) if over else admission(at, cost, last, held, self.budget, self.window, self.rate)
-            if not over:
-                held = [x for x in held if x[0] + self.window > last] + [(last, cost)]
-            done += 1
-            out.append((key[0], id_, at, cost, None if over else last))
+        for start in range(0, done, PIECE):
+            out = []
+            for at, id_, cost in waiting[start : min(start + PIECE, done)].tolist():
+                over = cost > self.budget or self.rate == 0
+                last = max(at, last) if over else admission(at, cost, last, held, self.budget, self.window, self.rate)
+                if not over:
+                    held = [x for x in held if x[0] + self.window > last] + [(last, cost)]
+                out.append((key[0], id_, at, cost, None if over else last))
+            yield pd.DataFrame(out, columns=["key", "id", "at", "cost", "admitted_at"]).astype({"admitted_at": "Int64"})
         if done:
             self.held.put(held) if held else self.held.clear()
             self.last.update((last,))
-        self.waiting.put(waiting[done:]) if waiting[done:] else self.waiting.clear()
-        if out:
-            yield pd.DataFrame(out, columns=["key", "id", "at", "cost", "admitted_at"]).astype({"admitted_at": "Int64"})
+        left = waiting[done:]
+        if len(left):
+            self.handle.registerTimer(-(-int(left["at"][0]) // 1000))
+            self.waiting.put([(left[i : i + PIECE].tobytes(),) for i in range(0, len(left), PIECE)])
+        else:
+            self.waiting.clear()
 
     def close(self) -> None:
         pass
