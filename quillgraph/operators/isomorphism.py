@@ -56,28 +56,49 @@ def isomorphism_classes(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return keyed.groupBy("class_key").agg(F.min("first").alias("first"), F.sum("n").cast("long").alias("n"), F.first("n_nodes").alias("n_nodes"), F.first("n_edges").alias("n_edges"))
 
 
-def refine(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> tuple[DataFrame, list[int]]:
-    """Colours of the nodes of one graph of any size, (node_id, colour), and how many colours each round had, from the types on.
+def refine(nodes: DataFrame, edges: DataFrame, most: int = 1000, rounds: int | None = None) -> tuple[DataFrame, list[int]]:
+    """Colours of the nodes of one graph of any size, (node_id, colour), and how many colours each round had, from the types on; after so
+    many rounds, or until no class splits.
 
     nodes: (node_id, node_type), edges: (src, tgt, edge_type). Two nodes have one colour if no number of steps along edges tells
-    them apart. Colours are 128 bits of digests; what meets at a node is a sum over its edges, so that a node with very many is
-    added up before it is shuffled.
+    them apart. Colours are 128 bits in two numbers; what meets at a node is a sum over its edges, so that a node with very many is
+    added up before it is shuffled. Edges are kept once for both ways, colours of a round go when the next ones stand, and what was shuffled for
+    a round goes with them.
     """
-    digest = F.md5(F.concat(F.lit("type|"), "node_type"))
-    now = kept(nodes.select("node_id", digest.alias("colour")), "colours")
-    counts = [now.select("colour").distinct().count()]
-    out = edges.select(F.col("src").alias("node_id"), F.col("tgt").alias("end"), F.concat(F.lit("0|"), "edge_type", F.lit("|")).alias("via"))
-    both = kept(out.unionByName(edges.select(F.col("tgt").alias("node_id"), F.col("src").alias("end"), F.concat(F.lit("1|"), "edge_type", F.lit("|")).alias("via"))), "ends")
-    for _ in range(most):
-        ends = now.select(F.col("node_id").alias("end"), "colour")
-        said = both.join(ends, "end").groupBy("node_id", "via", "colour").agg(F.count("*").alias("n"))
-        # Sums of parts of digests: 2 x 60 bits for each neighbouring colour with its number.
-        mark = F.md5(F.concat("via", "colour", F.lit("|"), F.col("n").cast("string")))
-        parts = [F.sum(F.conv(F.substring(mark, at, 15), 16, 10).cast("decimal(38,0)")).alias(name) for at, name in ((1, "x"), (17, "y"))]
-        around = said.groupBy("node_id").agg(*parts)
-        told = F.concat("colour", F.lit("|"), F.coalesce(F.col("x").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col("y").cast("string"), F.lit("")))
-        now = kept(now.join(around, "node_id", "left").select("node_id", F.md5(told).alias("colour")), "colours")
-        counts.append(now.select("colour").distinct().count())
+
+    def digest(*of) -> list[Column]:
+        return [F.xxhash64(F.lit(k), *of).alias(c) for k, c in ((1, "c1"), (2, "c2"))]
+
+    now = kept(nodes.select("node_id", *digest("node_type")), "colours")
+    counts = [now.select("c1", "c2").distinct().count()]
+    ends = kept(edges.select("src", "tgt", "edge_type"), "ends")
+    for _ in range(most if rounds is None else rounds):
+        said = None
+        for way, (to, end) in enumerate((("src", "tgt"), ("tgt", "src"))):
+            # 4 x 32 bits of each neighbour, which can be added up without end.
+            mark = [F.xxhash64(F.lit(k), F.lit(way), "edge_type", "c1", "c2") for k in (3, 4)]
+            parts = [x for m in mark for x in (m.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(m, 32))]
+            heard = ends.join(now.withColumnRenamed("node_id", end), end).select(F.col(to).alias("node_id"), *[x.alias(f"s{i}") for i, x in enumerate(parts)])
+            said = heard if said is None else said.unionByName(heard)
+        around = said.groupBy("node_id").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(4)])
+        told = [F.coalesce(f"s{i}", F.lit(-1)) for i in range(4)]
+        before, now = now, kept(now.join(around, "node_id", "left").select("node_id", *digest("c1", "c2", *told)), "colours")
+        counts.append(now.select("c1", "c2").distinct().count())
+        _drop(before)
         if counts[-1] == counts[-2]:
-            return now, counts
-    raise RuntimeError(f"colours still split after {most} rounds")
+            break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"colours still split after {most} rounds")
+    _drop(ends)
+    return now.select("node_id", F.concat(F.hex("c1"), F.lit("-"), F.hex("c2")).alias("colour")), counts
+
+
+def _drop(held: DataFrame) -> None:
+    """Deletes a table of kept() that no later step reads, and has the driver collect garbage, upon which Spark's cleaner deletes the shuffle files of
+    plans that are done with."""
+    spark = held.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in held.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    spark.sparkContext._jvm.System.gc()

@@ -1,5 +1,6 @@
 """Canonical forms, rewriting within rows, runs with cycles and state spaces against the small-graph kernel."""
 
+import glob
 import itertools
 import random
 from collections import Counter
@@ -207,3 +208,17 @@ def test_what_a_step_affects():
     assert delta.affects(by["r_WD"], by["r_WD"]) and not delta.affects(by["r_SALE"], by["r_NOTIFY"])
     assert all(delta.stays_near(r) for r in LIBRARY) and not delta.stays_near(FAR) and delta.stays_near(CHAIN)
     assert not Guard("<", 3, frozenset()).holds(2, "EU")
+
+
+def test_refinement_stops_and_keeps_one_round(spark, tmp_path):
+    """So many rounds as are asked for, and no tables of rounds before."""
+    from quillgraph.session import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{folder}/quillgraph/*"))
+    path = spark.range(40).selectExpr("id as src", "id + 1 as tgt", "'x' as edge_type")
+    nodes = spark.range(41).selectExpr("id as node_id", "'N' as node_type")
+    colours, counts = isomorphism.refine(nodes, path, rounds=3)
+    assert counts == [1, 3, 5, 7] and colours.count() == 41
+    assert len(set(glob.glob(f"{folder}/quillgraph/*")) - before) == 1
+    assert isomorphism.refine(nodes, path)[1][-1] == 41
