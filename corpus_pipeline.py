@@ -22,6 +22,7 @@ from quillgraph.session import ship
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = toxicity.fit(docs, shared.table(spark, sf_dir, "labels"))
+    shared.release(spark)  # training's memory
     return docs.filter(toxicity.score_column(spark, model, F.col("text")) < 0.5)
 
 

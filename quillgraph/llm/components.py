@@ -31,3 +31,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         e, old = shared.settle(small.distinct(), "stars"), e
         shared.discard(old)
+        shared.release(edges.sparkSession)

@@ -224,6 +224,7 @@ def _compared(docs: DataFrame, pairs: DataFrame, classes: DataFrame, rule: Rule,
 
     out = shared.settle(both.mapInArrow(compare, "a bigint, b bigint"), "compared")
     shared.discard(needed, sets)
+    shared.release(docs.sparkSession)
     return out
 
 
@@ -316,6 +317,7 @@ def shared_postings(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = held.filter("place = head").groupBy("token").agg(F.min(F.struct("c", "n", "pos")).alias("h")).select("token", F.col("h.c").alias("hc"), F.col("h.n").alias("hn"), F.col("h.pos").alias("hpos"))
     heads = shared.settle(heads, "list-heads")
     shared.discard(postings, lists)
+    shared.release(postings.sparkSession)
     return held.drop("place", "head"), heads
 
 
@@ -345,6 +347,7 @@ def second_round(held: DataFrame, roots: DataFrame, rule: Rule, most: int = LIST
     pairs = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: _lists(batches, take), "a bigint, b bigint").distinct()
     out = shared.settle(pairs, "list-pairs")
     shared.discard(rooted, open_)
+    shared.release(held.sparkSession)
     return out
 
 
@@ -381,6 +384,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     least = named.groupBy("root").agg(F.min("mdoc").alias("component_id"))
     named = shared.settle(named.join(least, "root").select("c", "root", "component_id"), "components")
     shared.discard(classes, tried, later, heads, open_)
+    shared.release(docs.sparkSession)
     return profile.join(named, "c", "left").select("did", "th", "n", "c", "root", F.when(F.col("c").isNull(), F.col("did")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -8,6 +8,7 @@ never decides a result.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -40,8 +41,13 @@ def discard(*tables: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Asks the driver to collect garbage, upon which Spark's cleaner deletes the shuffle files of plans that are done with: what was
-    shuffled for a settled table would else stay on the executors' disks until the driver's memory fills up."""
+    shuffled for a settled table would else stay on the executors' disks until the driver's memory fills up. Its heap, which grows
+    with each plan that it makes, and the free memory of its Python go back to the system."""
     spark.sparkContext._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 def whole_id(column: F.Column) -> F.Column:
@@ -103,9 +109,11 @@ def fingerprint_filter(df: DataFrame, column: str | F.Column, bits: int | None =
 def may_hold(df: DataFrame, column: str | F.Column, packed: np.ndarray, how: str = "left_semi") -> DataFrame:
     """The rows whose key may be in a filter; with left_anti those whose key surely isn't. Without Python.
 
-    The filter travels as one broadcast row of its fixed size, as an array of 64-bit words that is read in place.
+    The filter travels as one broadcast row of its fixed size, as an array of 64-bit words that is read in place. It reaches the
+    driver's JVM by Arrow: as a list it would be a million objects on both sides.
     """
-    bits = df.sparkSession.createDataFrame([(packed.view("<i8").tolist(),)], "filter_bits array<bigint>")
+    words = pa.ListArray.from_arrays(pa.array([0, len(packed) // 8], pa.int32()), pa.array(packed.view("<i8")))
+    bits = df.sparkSession.createDataFrame(pa.table({"filter_bits": words}), "filter_bits array<bigint>")
     found = F.lit(True)
     for place in _places(_column(column), len(packed) * 8):
         word = F.get(F.col("filter_bits"), F.floor(place / 64).cast("int"))

@@ -5,6 +5,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zipfile
 from html.parser import HTMLParser
 
@@ -679,6 +680,17 @@ def test_html_in_linear_time():
 # ---- shared
 
 
+def test_a_full_filter_is_no_list_of_objects(spark):
+    """A filter of the largest size reaches the driver's JVM without an object for each of its words, and its table too."""
+    packed = np.random.default_rng(5).integers(0, 256, shared.FILTER_BITS[1] // 8).astype(np.uint8)
+    tracemalloc.start()
+    some, rest = shared.split_by(spark.range(4000), "id", packed)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * len(packed)
+    assert 500 < some.count() < 1500 and some.unionByName(rest).distinct().count() == 4000
+
+
 def test_fingerprint_filter(spark):
     d = spark.range(1000).select((F.col("id") * 7 - 500).alias("x")).union(spark.sql("select cast(null as bigint)"))
     packed = shared.fingerprint_filter(d, "x", 1 << 16)
