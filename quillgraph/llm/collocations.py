@@ -1,9 +1,10 @@
 """Operator 11, phrase collocations by hierarchical pair naming.
 
-Method. Texts become chunks, rows of numbers with a mark between pieces. Words have ids, 64 bits of a hash that is checked to be
-different for all words of the corpus, and chosen anew if it isn't; so are those by which pairs of words are counted. A frequent phrase of k words is the pair of the ids of its
-first and its last k - 1 words, which overlap: adjacent ids of a chunk are paired, pairs are counted over all chunks, frequent
-ones get an id of their own, which is joined to the chunks' pairs and replaces them there. A phrase that holds an infrequent part is infrequent itself, so nothing frequent is lost. The
+Method. Texts become chunks, rows of numbers with a mark between pieces. Words have ids, 64 bits of a hash. A frequent phrase of k
+words is the pair of the ids of its first and its last k - 1 words, which overlap, and its id is a hash of the two. Before phrases
+are counted exactly, they are counted by the upper 32 bits of their ids, in ranges that are tables of fixed size: a phrase whose
+bucket stays below the least count is infrequent. Ids of what is counted exactly are checked to be different where one is
+frequent, and chosen anew if they aren't. A phrase that holds an infrequent part is infrequent itself, so nothing frequent is lost. The
 two ids are parent pointers: a phrase's counts of first parts come along its left parents and those of last parts along its
 right parents, which is all that the cuts need; and a phrase is subsumed exactly if one of its children is frequent enough,
 since counts fall from a phrase to each that holds it.
@@ -47,7 +48,11 @@ BREAK = np.zeros(256, dtype=bool)
 BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 WORD[BREAK] = False
 
-CHUNKS = "chunk bigint, lang string, own int, ids binary, names binary"
+#: Bits of a bucket within its range: counts of a range are a table of 32 MB.
+RANGE_BITS = 23
+
+CHUNKS = "chunk bigint, own int, ids binary, names binary"
+BUCKETS = "part int, steps binary, counts binary"
 RESULT = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
 
@@ -119,11 +124,70 @@ def word_ids(lang: str, words: pa.Array, seed: int) -> np.ndarray:
     return (textvec.mix(h ^ np.uint64(textvec.word_hash(f"{seed}|{lang}"))) >> np.uint64(1)).astype(np.int64)
 
 
-def word_counts(docs: DataFrame, text_col: str, lang_col: str, seed: int, longest: int = LONGEST, most: int = CHUNK) -> DataFrame:
-    """(lang, word, id, n): all words of each language."""
+def _bucket_rows(kind: int, ids: np.ndarray, n: np.ndarray):
+    """Counts by the upper 32 bits of ids, in rows by range: differences of the sorted buckets as planes of bytes, and counts up to 255."""
+    if not len(ids):
+        return
+    bucket, at = np.unique(ids >> 31, return_inverse=True)
+    n = np.minimum(np.bincount(at, weights=n), 255).astype(np.uint8)
+    own = bucket >> RANGE_BITS
+    cuts = np.flatnonzero(np.diff(own, prepend=-1))
+    parts, low, counts = [], [], []
+    for i, j in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+        step = np.diff(bucket[i:j] & ((1 << RANGE_BITS) - 1), prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4)
+        parts.append(int(own[i]) + (kind << (32 - RANGE_BITS)))
+        low.append(step[:, :3].T.tobytes())
+        counts.append(n[i:j].tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(low, pa.binary()), pa.array(counts, pa.binary())], names=["part", "steps", "counts"])
+
+
+def frequent_buckets(rows: DataFrame, least: int) -> DataFrame:
+    """(kind, bucket) of counts that reach least; a table of fixed size for a range at a time."""
+
+    def found(part, held):
+        at = np.flatnonzero(held >= min(least, 255)) + ((part & ((1 << (32 - RANGE_BITS)) - 1)) << RANGE_BITS)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part >> (32 - RANGE_BITS), np.int32)), pa.array(at.astype(np.int64))], names=["kind", "bucket"])
+
+    def add(batches):
+        now, held = None, None
+        for batch in batches:
+            for part, steps, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield found(now, held)
+                    now, held = part, np.zeros(1 << RANGE_BITS, dtype=np.int32)
+                step = np.frombuffer(steps.as_buffer(), dtype=np.uint8).reshape(3, -1).astype(np.int64)
+                held[np.cumsum(step[0] + (step[1] << 8) + (step[2] << 16))] += np.frombuffer(counts.as_buffer(), dtype=np.uint8)
+        if now is not None:
+            yield found(now, held)
+
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(add, "kind int, bucket bigint")
+
+
+def text_buckets(docs: DataFrame, text_col: str, lang_col: str, seed: int, longest: int = LONGEST, most: int = CHUNK) -> DataFrame:
+    """Counts by bucket of all words (kind 0) and of all pairs of words (kind 1)."""
 
     def emit(_, lang, own, ids, words, n):
-        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(words), type=pa.string()), "word": words.cast(pa.string()), "id": word_ids(lang, words, seed), "n": n.astype(np.int64)})
+        names = word_ids(lang, words, seed)
+        yield from _bucket_rows(0, names, n)
+        codes, _, _, n = _pairs(ids, max(len(names), 1), own)
+        yield from _bucket_rows(1, pair_ids(names[codes // max(len(names), 1)], names[codes % max(len(names), 1)], seed), n)
+
+    return _scanned(docs, text_col, lang_col, longest, most, emit, BUCKETS)
+
+
+def _zero(x: np.ndarray) -> np.ndarray:
+    return np.zeros(len(x), dtype=np.int64)
+
+
+def word_counts(docs: DataFrame, text_col: str, lang_col: str, seed: int, packed: np.ndarray, longest: int = LONGEST, most: int = CHUNK) -> DataFrame:
+    """(lang, word, id, n): words whose bucket may be in the filter; with null as the word, all words of each language."""
+
+    def emit(_, lang, own, ids, words, n):
+        names = word_ids(lang, words, seed)
+        kept = np.flatnonzero(_held(packed, names >> 31, _zero(names)))
+        word = pa.concat_arrays([words.take(pa.array(kept)).cast(pa.string()), pa.nulls(1, pa.string())])
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(word), type=pa.string()), "word": word, "id": np.append(names[kept], -1), "n": np.append(n[kept], n.sum()).astype(np.int64)})
 
     found = _scanned(docs, text_col, lang_col, longest, most, emit, "lang string, word string, id bigint, n bigint")
     return found.groupBy("lang", "word", "id").agg(F.sum("n").alias("n"))
@@ -149,37 +213,29 @@ def pair_ids(left: np.ndarray, right: np.ndarray, seed: int) -> np.ndarray:
     return (h >> np.uint64(1)).astype(np.int64)
 
 
-def word_pairs(docs: DataFrame, text_col: str, lang_col: str, seed: int, packed: np.ndarray, longest: int = LONGEST, most: int = CHUNK) -> DataFrame:
-    """(pair, n): adjacent words whose ids may be in the filter, by the pair's id, counted by chunk."""
-
-    def emit(_, lang, own, ids, words, n):
-        own, ids, names = _frequent_places(own, ids, word_ids(lang, words, seed), packed)
-        codes, _, _, n = _pairs(ids, max(len(names), 1), own)
-        for at in range(0, len(codes), SENT):
-            c = codes[at : at + SENT]
-            yield pa.RecordBatch.from_pydict({"pair": pair_ids(names[c // len(names)], names[c % len(names)], seed), "n": n[at : at + SENT].astype(np.int64)})
-
-    return _scanned(docs, text_col, lang_col, longest, most, emit, "pair bigint, n bigint")
+def text_chunks(docs: DataFrame, text_col: str, lang_col: str, seed: int, words: np.ndarray, pairs: np.ndarray, longest: int = LONGEST, most: int = CHUNK) -> DataFrame:
+    """Chunks of the places of pairs that may be frequent, with the ids of words."""
 
+    def emit(number, lang, own, ids, names, n):
+        own, ids, names = _frequent_places(own, ids, word_ids(lang, names, seed), words)
+        own, ids, names = _paired_places(own, ids, names, pairs, seed)
+        if len(names):
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([own], type=pa.int32()), pa.array([ids.astype(np.int32).tobytes()]), pa.array([names.tobytes()])], names=["chunk", "own", "ids", "names"])
 
-def chunk_pairs(docs: DataFrame, text_col: str, lang_col: str, seed: int, packed: np.ndarray, packed_pairs: np.ndarray, longest: int = LONGEST, most: int = CHUNK) -> DataFrame:
-    """(chunk, lang, own, ids, pairs, lefts, rights): the places whose pairs of words may be frequent, numbered within their chunk."""
+    return _scanned(docs, text_col, lang_col, longest, most, emit, CHUNKS)
 
-    def emit(number, lang, own, ids, words, n):
-        own, ids, names = _frequent_places(own, ids, word_ids(lang, words, seed), packed)
-        codes, at, which, _ = _pairs(ids, max(len(names), 1), own)
-        if not len(codes):
-            return
-        left, right = names[codes // len(names)], names[codes % len(names)]
-        pair = pair_ids(left, right, seed)
-        kept = np.flatnonzero(_held(packed_pairs, pair, np.zeros(len(pair), dtype=np.int64)))
-        ids = np.full(len(ids), -1, dtype=np.int32)
-        ids[at] = which
-        own, ids, _ = _renamed(ids, own, kept, kept, len(codes))
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(kept)], type=pa.int32()), pa.array(x[kept])) for x in (pair, left, right)]
-        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([lang], type=pa.string()), pa.array([own], type=pa.int32()), pa.array([ids.tobytes()]), *lists], names=["chunk", "lang", "own", "ids", "pairs", "lefts", "rights"])
 
-    return _scanned(docs, text_col, lang_col, longest, most, emit, "chunk bigint, lang string, own int, ids binary, pairs array<bigint>, lefts array<bigint>, rights array<bigint>")
+def _paired_places(own: int, ids: np.ndarray, names: np.ndarray, pairs: np.ndarray, seed: int):
+    """The places of pairs whose bucket may be in the filter, those at a chunk's end that it doesn't own included."""
+    width = max(len(names), 1)
+    codes, at, which, _ = _pairs(ids, width, own)
+    pair = pair_ids(names[codes // width], names[codes % width], seed) if len(codes) else codes
+    hit = at[_held(pairs, pair >> 31, _zero(pair))[which]]
+    keep = np.zeros(len(ids), dtype=bool)
+    keep[hit] = keep[hit + 1] = True
+    ids = np.where(keep, ids, -1)
+    used = np.unique(ids[ids >= 0])
+    return _renamed(ids, own, used, names[used], len(names))
 
 
 def _pairs(ids: np.ndarray, width: int, own: int):
@@ -227,47 +283,61 @@ def _filter(names: DataFrame) -> np.ndarray:
     return out
 
 
-def pair_counts(chunks: DataFrame, packed: np.ndarray | None = None) -> DataFrame:
-    """(chunk, j, left, right, n): the distinct adjacent pairs of each chunk, by number; with a filter those that may be in it."""
+def _chunk_pairs(batch, seed: int):
+    """Of each chunk: its number, own, distinct adjacent pairs' left, right and id, and their counts, and (places, pairs' numbers there, places in all)."""
+    for chunk, own, ids, names in zip(*[batch.column(k) for k in range(4)], strict=True):
+        names, ids = np.frombuffer(names.as_buffer(), dtype=np.int64), np.frombuffer(ids.as_buffer(), dtype=np.int32)
+        width = max(len(names), 1)
+        codes, at, which, n = _pairs(ids, width, own.as_py())
+        left, right = (names[codes // width], names[codes % width]) if len(codes) else (codes, codes)
+        yield chunk.as_py(), own.as_py(), left, right, pair_ids(left, right, seed).astype(np.int64), n, (at, which, len(ids))
+
+
+def pair_buckets(chunks: DataFrame, seed: int) -> DataFrame:
+    """Counts by bucket of the adjacent pairs of chunks."""
 
     def run(batches):
         for batch in batches:
-            for chunk, own, ids, names in zip(*[batch.column(k) for k in range(4)], strict=True):
-                names, ids = np.frombuffer(names.as_buffer(), dtype=np.int64), np.frombuffer(ids.as_buffer(), dtype=np.int32)
-                width = max(int(ids.max(initial=-1)) + 1, 1)
-                codes, _, _, n = _pairs(ids, width, own.as_py())
-                j = np.arange(len(codes), dtype=np.int32)
-                left, right = (names[codes // width], names[codes % width]) if len(codes) else (codes, codes)
-                if packed is not None:
-                    hit = _held(packed, left, right)
-                    j, left, right, n = j[hit], left[hit], right[hit], n[hit]
-                for at in range(0, len(j), SENT):
-                    s = slice(at, at + SENT)
-                    yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk.as_py()] * len(j[s]), type=pa.int64()), "j": j[s], "left": left[s], "right": right[s], "n": n[s].astype(np.int64)})
-
-    return chunks.select("chunk", "own", "ids", "names").mapInArrow(run, "chunk bigint, j int, left bigint, right bigint, n bigint")
-
-
-def rename(chunks: DataFrame, named: DataFrame, paired: bool) -> DataFrame:
-    """Chunks whose numbers, or adjacent pairs, are replaced by the ids in (chunk, j, id); chunks without any go."""
-
-    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
-        schema = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("own", pa.int32()), ("ids", pa.binary()), ("names", pa.binary())])
-        if not rows.num_rows or not found.num_rows:
-            return schema.empty_table()
-        row = {c: rows.column(c)[0] for c in rows.column_names}
-        ids, own = np.frombuffer(row["ids"].as_buffer(), dtype=np.int32), row["own"].as_py()
-        size = int(ids.max(initial=-1)) + 1
-        if paired:
-            codes, at, which, _ = _pairs(ids, max(size, 1), own)
-            ids, size = np.full(len(ids), -1, dtype=np.int32), len(codes)
-            ids[at] = which
-        order = np.argsort(found.column("j").to_numpy())
-        own, ids, names = _renamed(ids, own, found.column("j").to_numpy()[order], found.column("id").to_numpy()[order], size)
-        return pa.Table.from_pydict({"chunk": [row["chunk"].as_py()], "lang": [row["lang"].as_py()], "own": [own], "ids": [ids.tobytes()], "names": [names.astype(np.int64).tobytes()]}, schema=schema)
-
-    chunks = chunks.select("chunk", "lang", "own", "ids")
-    return chunks.groupBy("chunk").cogroup(named.select(F.col("chunk").alias("of"), "j", "id").groupBy("of")).applyInArrow(run, CHUNKS)
+            for _, _, _, _, pair, n, _ in _chunk_pairs(batch, seed):
+                yield from _bucket_rows(1, pair, n)
+
+    return chunks.select("chunk", "own", "ids", "names").mapInArrow(run, BUCKETS)
+
+
+def pair_counts(chunks: DataFrame, packed: np.ndarray, seed: int) -> DataFrame:
+    """(left, right, id, a): the adjacent pairs of chunks whose bucket may be in the filter."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, left, right, pair, n, _ in _chunk_pairs(batch, seed):
+                kept = np.flatnonzero(_held(packed, pair >> 31, _zero(pair)))
+                for at in range(0, len(kept), SENT):
+                    s = kept[at : at + SENT]
+                    yield pa.RecordBatch.from_pydict({"left": left[s], "right": right[s], "n": n[s].astype(np.int64)})
+
+    def name(batches):
+        for batch in batches:
+            pair = pair_ids(batch.column(0).to_numpy(), batch.column(1).to_numpy(), seed)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pair), batch.column(2)], names=["left", "right", "id", "a"])
+
+    found = chunks.select("chunk", "own", "ids", "names").mapInArrow(run, "left bigint, right bigint, n bigint")
+    return found.groupBy("left", "right").agg(F.sum("n").alias("a")).mapInArrow(name, "left bigint, right bigint, id bigint, a bigint")
+
+
+def rename(chunks: DataFrame, packed: np.ndarray, seed: int) -> DataFrame:
+    """Chunks whose adjacent pairs, if they may be in the filter of frequent ones, are replaced by the pairs' ids; chunks without any go."""
+
+    def run(batches):
+        for batch in batches:
+            for chunk, own, _, _, pair, _, (at, which, size) in _chunk_pairs(batch, seed):
+                ids = np.full(size, -1, dtype=np.int32)
+                ids[at] = which
+                kept = np.flatnonzero(_held(packed, pair, _zero(pair)))
+                own, ids, names = _renamed(ids, own, kept, pair[kept], len(pair))
+                if len(names):
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([own], type=pa.int32()), pa.array([ids.astype(np.int32).tobytes()]), pa.array([names.tobytes()])], names=["chunk", "own", "ids", "names"])
+
+    return chunks.select("chunk", "own", "ids", "names").mapInArrow(run, CHUNKS)
 
 
 def _grown(names: DataFrame, known: DataFrame) -> DataFrame:
@@ -283,47 +353,45 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
 
     firsts[k] and lasts[k] are the counts of a phrase's first and last k words.
     """
-    where = (docs, text_col, lang_col)
-    seed, names, chunks = 0, None, None
-    while chunks is None:
+    seed, found = 0, None
+    while found is None:  # two words or phrases have one id: all get others
         seed += 1
-        words = shared.settle(word_counts(*where, seed, longest, most), "phrase-words")
-        if words.agg(F.count("*") > F.count_distinct("id")).first()[0]:
-            shared.discard(words)
-            continue  # two words have one id: all get others
-        totals = shared.settle(words.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-        names = shared.settle(words.filter(F.col("n") >= least).select("id", "lang", "word", F.col("n").alias("a")), "phrase-names")
+        found = _phrases(docs, text_col, lang_col, seed, least, longest, most)
+    return found
+
+
+def _phrases(docs: DataFrame, text_col: str, lang_col: str, seed: int, least: int, longest: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    where, end = (docs, text_col, lang_col, seed), (longest, most)
+    buckets = shared.settle(frequent_buckets(text_buckets(*where, *end), least), "phrase-buckets")
+    shared.release(docs.sparkSession)
+    packed, pairs = (_filter(buckets.filter(F.col("kind") == kind).select("bucket", F.lit(0).cast("long"))) for kind in (0, 1))
+    shared.discard(buckets)
+    words = shared.settle(word_counts(*where, packed, *end), "phrase-words")
+    known = words.filter("word is not null")
+    if known.agg(F.count("*") > F.count_distinct("id")).first()[0]:
         shared.discard(words)
-        shared.release(docs.sparkSession)
-        known = names.select("id", "lang", "a", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("a").alias("firsts"), F.array("a").alias("lasts"))
-        packed = _filter(names.select("id", F.lit(0).cast("long")))
-        counted = word_pairs(*where, seed, packed, longest, most).groupBy("pair").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-        counted = shared.settle(counted.select(F.monotonically_increasing_id().alias("id"), "pair", "a"), "phrase-pairs")
-        shared.release(docs.sparkSession)
-        chunks = shared.settle(chunk_pairs(*where, seed, packed, _filter(counted.select("pair", F.lit(0).cast("long"))), longest, most), "phrase-chunks")
-        held = chunks.select("chunk", F.posexplode(F.arrays_zip("pairs", "lefts", "rights")).alias("j", "p")).select("chunk", "j", F.col("p.pairs").alias("pair"), F.col("p.lefts").alias("left"), F.col("p.rights").alias("right"))
-        ends = held.groupBy("pair").agg(*[f(c).alias(f"{n}_{c}") for c in ("left", "right") for n, f in (("least", F.min), ("most", F.max))]).join(counted, "pair")
-        ends = shared.settle(ends.select("id", "a", "least_left", "most_left", "least_right", "most_right"), "phrase-ends")
-        shared.release(docs.sparkSession)
-        if not ends.filter("least_left <> most_left or least_right <> most_right").isEmpty():
-            shared.discard(chunks)
-            chunks = None  # two pairs have one id, of which one is frequent
-    names = ends.select("id", F.col("least_left").alias("left"), F.col("least_right").alias("right"), "a")
-    named = held.join(counted, "pair").select("chunk", "j", "id")
+        return None
+    totals = words.filter("word is null").select("lang", "n")
+    known = known.filter(F.col("n") >= least).select("id", "lang", F.col("n").alias("a"), F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("n").alias("firsts"), F.array("n").alias("lasts"))
+    chunks = shared.settle(text_chunks(*where, _filter(known.select("id", F.lit(0).cast("long"))), pairs, *end), "phrase-chunks")
     found, children = [], []
     for k in range(2, longest + 1):
+        if k > 2:
+            buckets = shared.settle(frequent_buckets(pair_buckets(chunks, seed), least), "phrase-buckets")
+            pairs = _filter(buckets.select("bucket", F.lit(0).cast("long")))
+            shared.discard(buckets)
+        names = shared.settle(pair_counts(chunks, pairs, seed), "phrase-names")
+        shared.release(docs.sparkSession)
+        if not names.groupBy("id").agg(F.count("*").alias("n"), F.max("a").alias("a")).filter((F.col("n") > 1) & (F.col("a") >= least)).isEmpty():
+            shared.discard(names, chunks)
+            return None
+        names = names.filter(F.col("a") >= least)
         children.append(names.select(F.col("left").alias("id"), "a").unionByName(names.select(F.col("right").alias("id"), "a")).groupBy("id").agg(F.max("a").alias("child")).withColumn("k", F.lit(k - 1)))
         known = shared.settle(_grown(names, known), "phrase-known")
         found.append(known.withColumn("k", F.lit(k)))
-        if k == longest:
-            break
-        if k > 2:
-            named = pair_counts(chunks, _filter(names.select("left", "right"))).join(names.drop("a"), ["left", "right"]).select("chunk", "j", "id")
-        old, chunks = chunks, shared.settle(rename(chunks, named, k > 2), "phrase-chunks")
-        shared.discard(old)
-        shared.release(docs.sparkSession)
-        names = pair_counts(chunks).groupBy("left", "right").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-        names = shared.settle(names.select(F.monotonically_increasing_id().alias("id"), "left", "right", "a"), "phrase-names")
+        if k < longest:
+            old, chunks = chunks, shared.settle(rename(chunks, _filter(names.select("id", F.lit(0).cast("long"))), seed), "phrase-chunks")
+            shared.discard(old)
     shared.discard(chunks)
     phrases, best = found[0], children[0]
     for more in found[1:]:

@@ -92,6 +92,17 @@ def test_phrases_odd(spark):
     assert collocations.mine_phrases(d.filter("doc_id < 4 or doc_id is null")).count() == 0
 
 
+def test_rare_pairs_are_not_shuffled_as_rows(spark):
+    """A corpus of rare pairs shuffles fewer bytes than its texts have."""
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(5000)) for _ in range(40)]
+    d = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = sent()
+    assert collocations.mine_phrases(d).count() == 0
+    assert sent() - before < sum(map(len, texts))
+
+
 @pytest.mark.skipif(not os.path.exists(SMALL), reason="without the driver's tables")
 def test_phrases_sql(spark):
     assert same_as_sql(collocations.op11_phrases(spark, SMALL), collocations.ORACLE)
