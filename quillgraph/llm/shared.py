@@ -13,6 +13,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,14 +43,28 @@ def discard(*tables: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Asks the driver to collect garbage, upon which Spark's cleaner deletes the shuffle files of plans that are done with: what was
     shuffled for a settled table would else stay on the executors' disks until the driver's memory fills up. Its heap, which grows
-    with each plan that it makes, and the free memory of its Python go back to the system."""
+    with each plan that it makes, and the free memory of its Python go back to the system, and so does what the JVM's threads
+    (compilers, broadcasts, compression) have allocated outside the heap and freed, which the C library would else keep."""
     spark.sparkContext._jvm.System.gc()
+    _trim_jvm(spark)
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim:
         trim(0)
 
 
+def _trim_jvm(spark: SparkSession) -> None:
+    """jcmd's System.trim_native_heap, asked of the driver's JVM from within. The server's class is hidden, its interface isn't."""
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    asked = new(jvm.Object, 4)
+    asked[0], asked[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    try:
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), asked)
+    except Py4JJavaError:  # a JVM without that command keeps its free memory
+        pass
+
+
 def whole_id(column: F.Column) -> F.Column:
     """An id as a 64-bit integer; null where it is none."""
     return column.try_cast("long")

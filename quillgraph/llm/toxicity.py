@@ -21,6 +21,7 @@ bound, as has the model.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -242,9 +243,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return one.withColumn("bytes", so_far).filter(F.col("bytes") <= SAMPLE_BYTES).select("id", "toxic", "one.lang", "one.text")
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Trains on the bounded sample; None without rows of both labels."""
-    rows = sample(docs, labels)
+def profiles(rows: DataFrame) -> DataFrame:
+    """(id, toxic, lang, f, c): features of each text's words and its letters. Features are forty bytes a word, so they travel
+    compressed: the driver's JVM holds several copies of what it collects."""
 
     def profile(batches):
         for batch in batches:
@@ -253,18 +254,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
                 w = textvec.words(buf, off, textvec.LETTERS, AFFIXES)
                 f, c = features(w), letter_counts(buf, off)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(k) for k in range(3)] + [pa.array([f[a:b].tobytes() for a, b in zip(w.first, w.first[1:], strict=False)], pa.binary()), pa.array([x.tobytes() for x in c], pa.binary())],
+                    [part.column(k) for k in range(3)] + [pa.array([zlib.compress(f[a:b].tobytes(), 1) for a, b in zip(w.first, w.first[1:], strict=False)], pa.binary()), pa.array([x.tobytes() for x in c], pa.binary())],
                     names=["id", "toxic", "lang", "f", "c"],
                 )
 
-    kind = rows.schema[0].dataType.simpleString()
-    got = sorted(rows.mapInArrow(profile, f"id {kind}, toxic int, lang string, f binary, c binary").collect(), key=lambda r: r["id"])
+    return rows.mapInArrow(profile, f"id {rows.schema[0].dataType.simpleString()}, toxic int, lang string, f binary, c binary")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """Trains on the bounded sample; None without rows of both labels."""
+    got = sorted(profiles(sample(docs, labels)).collect(), key=lambda r: r["id"])
     y = np.array([r["toxic"] for r in got], dtype=np.float32)
     if not y.any() or y.all() or len(y) < 8:
         return None
     names = sorted({r["lang"] for r in got if r["lang"] is not None})
     langs = np.array([names.index(r["lang"]) if r["lang"] is not None else -1 for r in got])
-    docs_f = [np.frombuffer(r["f"], dtype=np.uint64).reshape(-1, 1 + len(AFFIXES)) for r in got]
+    docs_f = [np.frombuffer(zlib.decompress(r["f"]), dtype=np.uint64).reshape(-1, 1 + len(AFFIXES)) for r in got]
     counts = np.stack([np.frombuffer(r["c"], dtype=np.float32) for r in got])
     got.clear()
     return train(docs_f, y, counts, langs)

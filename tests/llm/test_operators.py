@@ -314,6 +314,15 @@ def test_forward_backward_by_enumeration():
             assert np.allclose(got[a:b], total / total.sum(axis=1, keepdims=True), atol=1e-5)
 
 
+def test_toxicity_sends_the_driver_compressed_features(spark):
+    rng = random.Random(3)
+    common = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choices(common, k=500)) for _ in range(40)]
+    rows = toxicity.profiles(spark.createDataFrame([(i, 0, "aa", t) for i, t in enumerate(texts)], "id bigint, toxic int, lang string, text string"))
+    got = rows.select("id", F.octet_length("f").alias("n")).collect()
+    assert len(got) == 40 and sum(r["n"] for r in got) < 0.6 * 40 * 40 * 500
+
+
 def test_toxicity(spark, odd, empty):
     docs, labels = synthetic(spark, 600)
     model = toxicity.fit(docs, labels)
@@ -691,6 +700,26 @@ def test_a_full_filter_is_no_list_of_objects(spark):
     assert 500 < some.count() < 1500 and some.unionByName(rest).distinct().count() == 4000
 
 
+def test_what_the_jvm_has_freed_goes_back_to_the_system(spark):
+    """Memory outside the heap that is freed between pieces in use."""
+    jvm = spark.sparkContext._jvm
+    folder = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup"
+
+    def held():
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", open(folder).read())[1]) / 1024
+
+    made = [jvm.java.util.zip.Deflater() for _ in range(600)]
+    for k, x in enumerate(made):
+        if k % 10:
+            x.end()
+    for _ in range(4):  # the heap's own free memory goes back in the background
+        jvm.System.gc()
+        time.sleep(1)
+    before = held()
+    shared.release(spark)
+    assert held() < before - 40
+
+
 def test_fingerprint_filter(spark):
     d = spark.range(1000).select((F.col("id") * 7 - 500).alias("x")).union(spark.sql("select cast(null as bigint)"))
     packed = shared.fingerprint_filter(d, "x", 1 << 16)
